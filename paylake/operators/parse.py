@@ -96,7 +96,7 @@ def bronze_lane_a(messages: DataFrame, value_col: str = "value",
         F.col("event_id"), F.col("user_id"), F.col("amount"), F.col("status"),
         date_value.alias("payment_date"), ts_value.alias("updated_at"))
     good = staged.filter(F.col("_reason").isNull()).select(
-        "event_id", F.col("user_id").cast("bigint").alias("user_id"), "amount", "status",
+        "event_id", F.col("user_id").try_cast("bigint").alias("user_id"), "amount", "status",
         "payment_date", "updated_at",
         (ingested_at if ingested_at is not None else ingest_time()).alias("ingested_at"),
     ).withColumn("payment_month", payment_month("payment_date"))
@@ -139,7 +139,7 @@ def bronze_lane_b(messages: DataFrame, value_col: str = "value",
         date_value.alias("payment_date"),
         parse_timestamp_ms(F.col("updated_at")).alias("updated_at"))
     good = staged.filter(F.col("_reason").isNull()).select(
-        "event_id", F.col("user_id").cast("bigint").alias("user_id"), "amount", "status",
+        "event_id", F.col("user_id").try_cast("bigint").alias("user_id"), "amount", "status",
         "payment_date", "updated_at",
         (ingested_at if ingested_at is not None else ingest_time()).alias("ingested_at"))
     bad = staged.filter(F.col("_reason").isNotNull()).select(

@@ -11,10 +11,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paylake.operators import gold as G
+from paylake.operators import quality as Q
+from paylake.operators import reports as R
+from paylake.operators.silver import silver_rows
 from paylake.plans import inputs as I
 from paylake.plans import oracle as O
+from paylake.schemas import (
+    ACCEPTED_STATUSES,
+    EVENT_ID_MAX_LEN,
+    FRESHNESS_ERROR_HOURS,
+    FRESHNESS_WARN_HOURS,
+    NEW_DATA_MINUTES,
+    RECENT_HOURS,
+    SILVER_B_KEY,
+    STATUS_MAX_LEN,
+)
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -49,3 +63,287 @@ def oracle_sql() -> dict[str, str]:
 def q_gold_revenue(spark, sf_dir):
     """G1 daily revenue from warehouse silver (build-time column left out)."""
     return G.gold_revenue(I.silver_b(spark, sf_dir), with_build_time=False)
+
+
+@register("weekly_revenue", O.with_layers("gold") + """
+SELECT CAST(date_trunc('week', payment_date) AS DATE) AS week,
+       CAST(SUM(total_revenue) AS DECIMAL(22,2)) AS weekly_revenue,
+       CAST(SUM(total_paid_orders) AS BIGINT) AS weekly_orders,
+       CAST(SUM(unique_users) AS BIGINT) AS total_users
+FROM gold GROUP BY 1""")
+def q_weekly_revenue(spark, sf_dir):
+    """G10 weekly roll-up of gold (sum of daily distinct users)."""
+    return G.weekly_revenue(G.gold_revenue(I.silver_b(spark, sf_dir), with_build_time=False))
+
+
+@register("weekly_unique_users", O.with_layers("silver_now") + """
+SELECT CAST(date_trunc('week', payment_date) AS DATE) AS week, COUNT(DISTINCT user_id) AS unique_users
+FROM silver_now GROUP BY 1""")
+def q_weekly_unique_users(spark, sf_dir):
+    """G10 exact weekly distinct users from silver."""
+    return G.weekly_unique_users(I.silver_now(spark, sf_dir))
+
+
+@register("recent_revenue", O.with_layers("gold") + f"""
+SELECT payment_date, total_revenue, total_paid_orders, avg_order_value, unique_users FROM gold
+WHERE payment_date >= DATE '{I.AS_OF}' - INTERVAL 30 DAY AND payment_date <= DATE '{I.AS_OF}'""")
+def q_recent_revenue(spark, sf_dir):
+    """G11 last 30 days of gold."""
+    gold = G.gold_revenue(I.silver_b(spark, sf_dir), with_build_time=False)
+    return G.recent_revenue(gold, I.AS_OF, 30)
+
+
+# ---------------------------------------------------------------------------
+# Silver (F1, P9-P11, Q8)
+
+@register("silver_full", O.with_layers("silver") + "\nSELECT * FROM silver")
+def q_silver_full(spark, sf_dir):
+    """F1 + P11 over all of bronze."""
+    return I.silver(spark, sf_dir)
+
+
+@register("reject_profile", O.with_layers("bronze") + """
+SELECT reason, COUNT(*) AS rows FROM (
+  SELECT CASE WHEN event_id IS NULL OR event_id = '' THEN 'blank_event_id'
+              WHEN user_id IS NULL OR user_id <= 0 THEN 'bad_user_id'
+              WHEN amount IS NULL OR amount <= 0 THEN 'bad_amount'
+              WHEN payment_date IS NULL THEN 'no_payment_date' END AS reason
+  FROM bronze) WHERE reason IS NOT NULL GROUP BY reason""")
+def q_reject_profile(spark, sf_dir):
+    """Q8 rows rejected by each silver rule."""
+    return Q.reject_profile(I.bronze(spark, sf_dir))
+
+
+@register("status_normalised_counts", O.with_layers("silver") + """
+SELECT status, COUNT(*) AS rows FROM silver GROUP BY status""")
+def q_status_normalised_counts(spark, sf_dir):
+    """P11 normalised status distribution of silver."""
+    return I.silver(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ---------------------------------------------------------------------------
+# Reports (G2-G9, G12, G13)
+
+@register("status_breakdown", O.with_layers("silver_now") + f"""
+SELECT payment_date,
+       COUNT(CASE WHEN status = 'paid' THEN 1 END) AS paid,
+       COUNT(CASE WHEN status = 'pending' THEN 1 END) AS pending,
+       COUNT(CASE WHEN status = 'failed' THEN 1 END) AS failed,
+       COUNT(CASE WHEN status = 'unknown' THEN 1 END) AS unknown,
+       COUNT(*) AS total
+FROM silver_now WHERE payment_date >= DATE '{I.AS_OF}' - INTERVAL 7 DAY GROUP BY payment_date""")
+def q_status_breakdown(spark, sf_dir):
+    """G2 status counts per day, last 7 days."""
+    return R.status_breakdown(I.silver_now(spark, sf_dir), I.AS_OF, 7)
+
+
+@register("day_summary", O.with_layers("silver_now") + f"""
+SELECT COUNT(*) AS total_transactions,
+       COUNT(CASE WHEN status = 'paid' THEN 1 END) AS paid_count,
+       {O.money_sum_sql()} AS total_amount,
+       {O.money_sum_sql()} / COUNT(amount) AS avg_amount,
+       COUNT(DISTINCT user_id) AS unique_users
+FROM silver_now WHERE payment_date = DATE '{I.AS_OF}'""")
+def q_day_summary(spark, sf_dir):
+    """G3 one-day summary over all statuses."""
+    return R.day_summary(I.silver_now(spark, sf_dir), I.AS_OF)
+
+
+@register("top_users", O.with_layers("silver_now") + f"""
+SELECT user_id, COUNT(*) AS num_transactions, {O.money_sum_sql()} AS total_amount
+FROM silver_now WHERE payment_date = DATE '{I.AS_OF}' AND status = 'paid'
+GROUP BY user_id ORDER BY num_transactions DESC, user_id ASC LIMIT 10""")
+def q_top_users(spark, sf_dir):
+    """G4 top-10 users by paid transactions on one day."""
+    return R.top_users(I.silver_now(spark, sf_dir), I.AS_OF, 10)
+
+
+@register("ingestion_rate", O.with_layers("bronze") + f"""
+SELECT date_trunc('minute', updated_at) AS minute, COUNT(*) AS rows_ingested
+FROM bronze WHERE updated_at >= {O.NOW_SQL} - INTERVAL 10 MINUTE GROUP BY 1""")
+def q_ingestion_rate(spark, sf_dir):
+    """G5/G6 rows per minute over the last 10 minutes (updated_at stands in
+    for the arrival time, ``now`` = newest event)."""
+    return R.ingestion_rate(I.bronze(spark, sf_dir), I.now_of(spark, sf_dir), 10, "updated_at")
+
+
+@register("bad_data_profile", O.with_layers("bronze") + f"""
+SELECT status, COUNT(*) AS count, COUNT(CASE WHEN amount <= 0 THEN 1 END) AS bad_amount,
+       MIN(amount) AS min_amount, MAX(amount) AS max_amount
+FROM bronze WHERE payment_date = DATE '{I.AS_OF}' GROUP BY status""")
+def q_bad_data_profile(spark, sf_dir):
+    """G7 bad-data distribution by raw status."""
+    return R.bad_data_profile(I.bronze(spark, sf_dir), I.AS_OF)
+
+
+@register("bronze_overview", O.with_layers("bronze") + """
+SELECT COUNT(*) AS rows, MIN(payment_date) AS min_payment_date, MAX(payment_date) AS max_payment_date
+FROM bronze""")
+def q_bronze_overview(spark, sf_dir):
+    """G8 bronze row count and date range."""
+    return R.bronze_overview(I.bronze(spark, sf_dir))
+
+
+@register("bronze_status_counts", O.with_layers("bronze") + f"""
+SELECT status, COUNT(*) AS cnt FROM bronze WHERE payment_date = DATE '{I.AS_OF}' GROUP BY status""")
+def q_bronze_status_counts(spark, sf_dir):
+    """G9 raw status distribution for one day."""
+    return R.bronze_status_counts(I.bronze(spark, sf_dir), I.AS_OF)
+
+
+@register("layer_row_counts", O.with_layers("silver") + """
+SELECT 'bronze' AS layer, COUNT(*) AS rows FROM bronze
+UNION ALL SELECT 'silver' AS layer, COUNT(*) AS rows FROM silver""")
+def q_layer_row_counts(spark, sf_dir):
+    """G12 row counts of bronze and silver."""
+    return R.layer_row_counts({"bronze": I.bronze(spark, sf_dir), "silver": I.silver(spark, sf_dir)})
+
+
+@register("approx_users", None)
+def q_approx_users(spark, sf_dir):
+    """G13 approximate distinct users per day (no exact oracle by design)."""
+    return R.approx_users(I.silver_now(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Lane comparisons
+
+_GATED = " WHERE src_id % 50 <> 0"
+
+
+@register("drop_rate", O.with_layers("silver_now") + f"""
+SELECT b.total_bronze, s.total_silver, b.total_bronze - s.total_silver AS dropped,
+       round((b.total_bronze - s.total_silver) / b.total_bronze * 100, 2) AS drop_pct
+FROM (SELECT COUNT(*) AS total_bronze FROM bronze WHERE payment_date = DATE '{I.AS_OF}') b,
+     (SELECT COUNT(*) AS total_silver FROM silver_now WHERE payment_date = DATE '{I.AS_OF}') s""")
+def q_drop_rate(spark, sf_dir):
+    """J1 bronze vs silver drop rate on one day."""
+    return Q.drop_rate(I.bronze(spark, sf_dir), I.silver_now(spark, sf_dir), I.AS_OF)
+
+
+@register("drop_rate_b", O.with_layers("bronze") + f"""
+, gated AS (SELECT * FROM bronze{_GATED})
+SELECT b.bronze_count, s.silver_count, b.bronze_count - s.silver_count AS dropped
+FROM (SELECT COUNT(*) AS bronze_count FROM gated WHERE payment_date = DATE '{I.AS_OF}') b,
+     (SELECT COUNT(*) AS silver_count FROM gated WHERE payment_date = DATE '{I.AS_OF}'
+        AND {O.VALID_SQL}) s""")
+def q_drop_rate_b(spark, sf_dir):
+    """J2 lane-B bronze (parsed from gated messages) vs warehouse silver."""
+    bronze_b, _ = I.bronze_b_parsed(spark, sf_dir)
+    return Q.drop_count(bronze_b, I.silver_b_from_messages(spark, sf_dir), I.AS_OF)
+
+
+@register("lane_lag", O.with_layers("bronze") + f"""
+SELECT COUNT(*) AS lane_a_rows, COUNT(*) AS lane_b_rows, CAST(0 AS BIGINT) AS lag_rows
+FROM bronze WHERE src_id % 50 <> 0 AND payment_date = DATE '{I.AS_OF}'""")
+def q_lane_lag(spark, sf_dir):
+    """J3 lane A vs lane B bronze rows on one day (both lanes fed by the gate)."""
+    a, _ = I.bronze_a_parsed(spark, sf_dir)
+    b, _ = I.bronze_b_parsed(spark, sf_dir)
+    return Q.lane_lag(a, b, I.AS_OF)
+
+
+@register("lane_lag_by_day", O.with_layers("bronze") + """
+SELECT payment_date, COUNT(*) AS lane_a_rows, COUNT(*) AS lane_b_rows, CAST(0 AS BIGINT) AS lag_rows
+FROM bronze WHERE src_id % 50 <> 0 GROUP BY payment_date""")
+def q_lane_lag_by_day(spark, sf_dir):
+    """J3 per day, without a join."""
+    a, _ = I.bronze_a_parsed(spark, sf_dir)
+    b, _ = I.bronze_b_parsed(spark, sf_dir)
+    return Q.lane_lag_by_day(a, b)
+
+
+# ---------------------------------------------------------------------------
+# Quality checks (Q1-Q5, Q9, Q10)
+
+def _not_null_sql(table: str, cols: list[str]) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT 'not_null' AS check_name, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) "
+        f"AS failures, CASE WHEN COUNT(*) FILTER (WHERE {c} IS NULL) = 0 THEN 'pass' ELSE 'fail' END "
+        f"AS status FROM {table}" for c in cols)
+
+
+_BRONZE_COLS = ["event_id", "user_id", "amount", "status", "payment_date", "updated_at"]
+
+
+@register("check_not_null", O.with_layers("bronze") + "\n" + _not_null_sql("bronze", _BRONZE_COLS))
+def q_check_not_null(spark, sf_dir):
+    """Q1 NULL counts of every bronze column."""
+    return Q.check_not_null(I.bronze(spark, sf_dir), _BRONZE_COLS)
+
+
+@register("check_accepted", O.with_layers("silver_now") + """
+SELECT 'accepted_values' AS check_name, 'status' AS column_name,
+       COUNT(*) FILTER (WHERE status IS NOT NULL AND status NOT IN
+         ('paid','pending','failed','refunded','cancelled','unknown')) AS failures,
+       CASE WHEN COUNT(*) FILTER (WHERE status IS NOT NULL AND status NOT IN
+         ('paid','pending','failed','refunded','cancelled','unknown')) = 0 THEN 'pass' ELSE 'fail' END AS status
+FROM silver_now""")
+def q_check_accepted(spark, sf_dir):
+    """Q2 accepted_values on silver status."""
+    return Q.check_accepted(I.silver_now(spark, sf_dir), "status", ACCEPTED_STATUSES)
+
+
+@register("accepted_violations", O.with_layers("bronze") + """
+SELECT status AS value, COUNT(*) AS failures FROM bronze
+WHERE status IS NOT NULL AND status NOT IN ('paid','pending','failed','refunded','cancelled','unknown')
+GROUP BY status""")
+def q_accepted_violations(spark, sf_dir):
+    """Q2 detail: raw bronze statuses outside the accepted set."""
+    return Q.accepted_violations(I.bronze(spark, sf_dir), "status", ACCEPTED_STATUSES)
+
+
+@register("check_length", O.with_layers("bronze") + """
+SELECT 'max_length' AS check_name, 'event_id' AS column_name,
+       COUNT(*) FILTER (WHERE length(event_id) > 64) AS failures,
+       CASE WHEN COUNT(*) FILTER (WHERE length(event_id) > 64) = 0 THEN 'pass' ELSE 'fail' END AS status
+FROM bronze
+UNION ALL
+SELECT 'max_length', 'status', COUNT(*) FILTER (WHERE length(status) > 20),
+       CASE WHEN COUNT(*) FILTER (WHERE length(status) > 20) = 0 THEN 'pass' ELSE 'fail' END
+FROM bronze""")
+def q_check_length(spark, sf_dir):
+    """Q10 VARCHAR(64) event_id / VARCHAR(20) status limits on bronze."""
+    return Q.check_length(I.bronze(spark, sf_dir),
+                          {"event_id": EVENT_ID_MAX_LEN, "status": STATUS_MAX_LEN})
+
+
+@register("check_unique", O.with_layers("silver", bronze=O.LINEITEM_BRONZE_SELECT) + """
+SELECT event_id, payment_date, COUNT(*) AS occurrences FROM silver
+GROUP BY event_id, payment_date HAVING COUNT(*) > 1""")
+def q_check_unique(spark, sf_dir):
+    """Q9 duplicated (event_id, payment_date) keys in silver built from lineitem."""
+    return Q.check_unique(silver_rows(I.lineitem_bronze(spark, sf_dir)), list(SILVER_B_KEY))
+
+
+@register("check_freshness", O.with_layers("silver_now") + f"""
+SELECT 'updated_at' AS column_name, MAX(updated_at) AS newest,
+       epoch_ms({O.NOW_SQL}) - epoch_ms(MAX(updated_at)) AS age_ms,
+       CASE WHEN epoch_ms({O.NOW_SQL}) - epoch_ms(MAX(updated_at)) > 6 * 3600000 THEN 'error'
+            WHEN epoch_ms({O.NOW_SQL}) - epoch_ms(MAX(updated_at)) > 2 * 3600000 THEN 'warn'
+            ELSE 'pass' END AS status
+FROM silver_now""")
+def q_check_freshness(spark, sf_dir):
+    """Q3 freshness of silver updated_at against ``now``."""
+    return Q.check_freshness(I.silver_now(spark, sf_dir), "updated_at", I.now_of(spark, sf_dir),
+                             FRESHNESS_WARN_HOURS, FRESHNESS_ERROR_HOURS)
+
+
+@register("new_data_gate", O.with_layers("bronze") + f"""
+SELECT 'new_data' AS gate,
+       EXISTS (SELECT 1 FROM bronze WHERE updated_at > {O.NOW_SQL} - INTERVAL 6 MINUTE) AS passed""")
+def q_new_data_gate(spark, sf_dir):
+    """Q4 any bronze row in the last 6 minutes (updated_at stands in for arrival)."""
+    b = I.bronze(spark, sf_dir)
+    return Q.gate_frame(spark, "new_data",
+                        Q.exists_since(b, "updated_at", NEW_DATA_MINUTES, I.now_of(spark, sf_dir)))
+
+
+@register("recent_gate", O.with_layers("bronze") + f"""
+SELECT 'recent' AS gate,
+       EXISTS (SELECT 1 FROM bronze WHERE updated_at > {O.NOW_SQL} - INTERVAL 2 HOUR) AS passed""")
+def q_recent_gate(spark, sf_dir):
+    """Q5 any bronze row updated in the last 2 hours."""
+    b = I.bronze(spark, sf_dir)
+    return Q.gate_frame(spark, "recent",
+                        Q.exists_since(b, "updated_at", RECENT_HOURS * 60, I.now_of(spark, sf_dir)))

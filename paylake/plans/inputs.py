@@ -90,3 +90,10 @@ def bronze_a_parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 def bronze_b_parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return bronze_lane_b(gated(spark, sf_dir))
+
+
+def silver_b_from_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warehouse silver fed from the message path: gate -> lane-A bronze ->
+    silver -> sync."""
+    bronze_a, _ = bronze_a_parsed(spark, sf_dir)
+    return sync_frame(silver_current(silver_rows(bronze_a).withColumn("batch_id", F.lit(0))))
