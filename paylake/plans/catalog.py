@@ -16,11 +16,24 @@ from pyspark.sql import functions as F
 from paylake.operators import gold as G
 from paylake.operators import quality as Q
 from paylake.operators import reports as R
-from paylake.operators.silver import silver_rows
+from paylake.operators.gate import gate_counters, split_valid, to_keyed, validate_events
+from paylake.operators.lifecycle import in_partition_window, retained
+from paylake.operators.merge import (
+    latest_by_key,
+    sync_frame,
+    to_warehouse_silver,
+    upsert_frame,
+    user_dim,
+)
+from paylake.operators.sessions import session_rollup
+from paylake.operators.silver import silver_current, silver_incremental, silver_rows
 from paylake.plans import inputs as I
 from paylake.plans import oracle as O
 from paylake.schemas import (
     ACCEPTED_STATUSES,
+    BRONZE_TTL_DAYS,
+    PARTITION_WINDOW_MONTHS,
+    SILVER_COLUMNS,
     EVENT_ID_MAX_LEN,
     FRESHNESS_ERROR_HOURS,
     FRESHNESS_WARN_HOURS,
@@ -29,6 +42,7 @@ from paylake.schemas import (
     SILVER_B_KEY,
     STATUS_MAX_LEN,
 )
+from paylake.sources.driver_tables import CORRUPT_EVERY, REJECT_PAYLOADS, redelivered
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -347,3 +361,180 @@ def q_recent_gate(spark, sf_dir):
     b = I.bronze(spark, sf_dir)
     return Q.gate_frame(spark, "recent",
                         Q.exists_since(b, "updated_at", RECENT_HOURS * 60, I.now_of(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Gate and bronze
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_KEY_SQL = "CASE WHEN event_id % 97 = 0 THEN '' ELSE concat('evt-', cast(event_id as varchar(32))) END"
+
+
+@register("gate_accepted", f"""
+SELECT event_id AS offset, {_KEY_SQL} AS key FROM events WHERE event_id % {CORRUPT_EVERY} <> 0""")
+def q_gate_accepted(spark, sf_dir):
+    """V1-V3 messages forwarded by the gate, re-keyed by event_id."""
+    return to_keyed(I.gated(spark, sf_dir)).select("offset", "key")
+
+
+@register("gate_rejected", f"""
+SELECT event_id AS offset,
+       {_sql_list(REJECT_PAYLOADS)}[(event_id // {CORRUPT_EVERY}) % {len(REJECT_PAYLOADS)} + 1] AS value
+FROM events WHERE event_id % {CORRUPT_EVERY} = 0""")
+def q_gate_rejected(spark, sf_dir):
+    """V1/V2 messages the gate drops (original text kept)."""
+    _, bad = split_valid(validate_events(I.messages(spark, sf_dir)))
+    return bad.select("offset", "value")
+
+
+@register("gate_counters", f"""
+SELECT COUNT(*) AS consumed, COUNT(*) FILTER (WHERE event_id % {CORRUPT_EVERY} <> 0) AS forwarded,
+       COUNT(*) FILTER (WHERE event_id % {CORRUPT_EVERY} = 0) AS parse_err FROM events""")
+def q_gate_counters(spark, sf_dir):
+    """V4 consumed / forwarded / parse_err counters."""
+    return gate_counters(validate_events(I.messages(spark, sf_dir)))
+
+
+@register("bronze_lane_a", O.with_layers("bronze") + f"""
+SELECT event_id, user_id, COALESCE(amount, 0.0) AS amount, COALESCE(status, '') AS status,
+       payment_date, date_trunc('millisecond', updated_at) AS updated_at
+FROM bronze WHERE src_id % {CORRUPT_EVERY} <> 0""")
+def q_bronze_lane_a(spark, sf_dir):
+    """V6/V9/V10 strict parse of gated messages with defaults (arrival time left out)."""
+    good, _ = I.bronze_a_parsed(spark, sf_dir)
+    return good.select(*SILVER_COLUMNS)
+
+
+@register("bronze_lane_b", O.with_layers("bronze") + f"""
+SELECT event_id, user_id, CAST(amount AS DECIMAL(12,2)) AS amount, status,
+       payment_date, date_trunc('millisecond', updated_at) AS updated_at
+FROM bronze WHERE src_id % {CORRUPT_EVERY} <> 0
+  AND event_id IS NOT NULL AND user_id IS NOT NULL AND payment_date IS NOT NULL""")
+def q_bronze_lane_b(spark, sf_dir):
+    """V8/F2/P4 lenient parse with DECIMAL(12,2) amounts (arrival time left out)."""
+    good, _ = I.bronze_b_parsed(spark, sf_dir)
+    return good.select(*SILVER_COLUMNS)
+
+
+# ---------------------------------------------------------------------------
+# Incremental silver, merge, upsert, sync
+
+_TARGET_BOUND_SQL = f"""(SELECT CASE WHEN COUNT(*) > 0 THEN MAX(payment_date) - 1 ELSE DATE '1970-01-01' END
+                      FROM silver WHERE payment_date <= DATE '{I.TARGET_UNTIL}')"""
+
+
+def _target(spark, sf_dir):
+    return I.silver(spark, sf_dir).filter(F.col("payment_date") <= F.lit(I.TARGET_UNTIL).cast("date"))
+
+
+@register("silver_incremental", O.with_layers("silver") + f"""
+SELECT * FROM silver WHERE payment_date >= {_TARGET_BOUND_SQL}""")
+def q_silver_incremental(spark, sf_dir):
+    """F3/M4 rows one incremental run appends to a target built up to 2024-01-20."""
+    return silver_incremental(I.bronze(spark, sf_dir), _target(spark, sf_dir), overlap_days=1)
+
+
+@register("silver_current_after_two_runs", O.with_layers("silver_now") + "\nSELECT * FROM silver_now")
+def q_silver_current_after_two_runs(spark, sf_dir):
+    """M4 then M1: target (batch 0) + overlapping incremental run (batch 1), merged."""
+    target = _target(spark, sf_dir)
+    appended = silver_incremental(I.bronze(spark, sf_dir), target, overlap_days=1)
+    both = (target.withColumn("batch_id", F.lit(0))
+            .unionByName(appended.withColumn("batch_id", F.lit(1))))
+    return silver_current(both)
+
+
+_REDO_SQL = f"""
+, redo AS (SELECT event_id, user_id, amount, status, payment_date,
+                  updated_at + INTERVAL 1 HOUR AS updated_at FROM bronze WHERE src_id % 10 = 0)
+, redo_b AS (SELECT event_id, user_id, CAST(amount AS DECIMAL(12,2)) AS amount, {O.STATUS_SQL} AS status,
+                    payment_date, updated_at FROM redo WHERE {O.VALID_SQL})
+, merged AS (SELECT *, 0 AS src FROM silver_b UNION ALL SELECT *, 1 AS src FROM redo_b)
+SELECT event_id, user_id, amount, status, payment_date, updated_at FROM merged
+QUALIFY row_number() OVER (PARTITION BY event_id, payment_date
+                           ORDER BY updated_at DESC, user_id DESC, amount DESC, status DESC, src DESC) = 1"""
+
+
+@register("silver_upsert", O.with_layers("silver_b") + _REDO_SQL)
+def q_silver_upsert(spark, sf_dir):
+    """M3 upsert on (event_id, payment_date): every 10th event redelivered an hour later."""
+    redo = redelivered(I.bronze_with_ids(spark, sf_dir)).drop("src_id", "batch_id")
+    updates = to_warehouse_silver(silver_rows(redo))
+    return upsert_frame(I.silver_b(spark, sf_dir), updates, list(SILVER_B_KEY),
+                        ["updated_at", "user_id", "amount", "status"])
+
+
+@register("sync_silver", O.with_layers("silver_b") + "\nSELECT * FROM silver_b")
+def q_sync_silver(spark, sf_dir):
+    """M7 lane-A silver after two overlapping runs (with duplicates) synced into
+    a warehouse silver that already holds the first run."""
+    target = _target(spark, sf_dir)
+    appended = silver_incremental(I.bronze(spark, sf_dir), target, overlap_days=1)
+    return sync_frame(target.unionByName(appended), to_warehouse_silver(target))
+
+
+@register("latest_by_key", O.with_layers("bronze", bronze=O.LINEITEM_BRONZE_SELECT) + """
+SELECT event_id, user_id, amount, status, payment_date, updated_at FROM bronze
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY payment_date DESC NULLS LAST,
+          updated_at DESC NULLS LAST, user_id DESC NULLS LAST, amount DESC NULLS LAST,
+          status DESC NULLS LAST) = 1""")
+def q_latest_by_key(spark, sf_dir):
+    """M1 on the non-unique lineitem-derived key: newest row per event_id."""
+    return latest_by_key(I.lineitem_bronze(spark, sf_dir), ["event_id"],
+                         ["payment_date", "updated_at", "user_id", "amount", "status"])
+
+
+@register("user_dim", O.with_layers("silver_now") + """
+SELECT user_id, event_id AS last_event_id, status AS last_status, amount AS last_amount,
+       payment_date AS last_payment_date, updated_at AS last_updated_at FROM silver_now
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, event_id DESC,
+                                                         payment_date DESC) = 1""")
+def q_user_dim(spark, sf_dir):
+    """M2 latest silver row per user."""
+    return user_dim(I.silver_now(spark, sf_dir))
+
+
+@register("session_rollup", O.with_layers("silver_now") + """
+, flagged AS (
+  SELECT user_id, updated_at, status, amount,
+         CASE WHEN lag(updated_at) OVER w IS NULL OR updated_at - lag(updated_at) OVER w > INTERVAL 30 MINUTE
+              THEN 1 ELSE 0 END AS new_session
+  FROM silver_now WINDOW w AS (PARTITION BY user_id ORDER BY updated_at))
+, numbered AS (
+  SELECT *, SUM(new_session) OVER (PARTITION BY user_id ORDER BY updated_at
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
+  FROM flagged)
+SELECT user_id, MIN(updated_at) AS session_start, MAX(updated_at) AS session_end,
+       CAST(MIN(updated_at) AS DATE) AS session_date, COUNT(*) AS events,
+       COUNT(CASE WHEN status = 'paid' THEN 1 END) AS paid_events,
+       CAST(SUM(CASE WHEN status = 'paid' THEN CAST(amount AS DECIMAL(38,2)) ELSE 0 END) AS DOUBLE)
+         AS paid_amount
+FROM numbered GROUP BY user_id, sid""")
+def q_session_rollup(spark, sf_dir):
+    """M8 30-minute-gap sessions per user over silver."""
+    return session_rollup(I.silver_now(spark, sf_dir), gap_minutes=30, chunk_minutes=5)
+
+
+# ---------------------------------------------------------------------------
+# Lifecycle
+
+@register("retention_90d", O.with_layers("bronze") + f"""
+SELECT event_id, user_id, amount, status, payment_date, updated_at FROM bronze
+WHERE payment_date + INTERVAL 90 DAY > DATE '{I.EXPIRY_AS_OF}'""")
+def q_retention_90d(spark, sf_dir):
+    """F7 bronze rows still alive under a 90-day TTL at a later as-of."""
+    return retained(I.bronze(spark, sf_dir), I.EXPIRY_AS_OF, BRONZE_TTL_DAYS)
+
+
+@register("partition_window", O.with_layers("silver", bronze=O.LINEITEM_BRONZE_SELECT) + """
+SELECT * FROM silver
+WHERE payment_date >= date_trunc('month', (SELECT MAX(l_shipdate) FROM lineitem)) - INTERVAL 6 MONTH""")
+def q_partition_window(spark, sf_dir):
+    """L3 rows inside the 6-month rolling partition window of the newest month
+    (silver built from lineitem, which spans several years)."""
+    li = I.lineitem_bronze(spark, sf_dir)
+    newest = li.select(F.max("payment_date")).scalar()
+    return in_partition_window(silver_rows(li), newest, PARTITION_WINDOW_MONTHS)
