@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paylake.functions import normalize_status
+from paylake.functions import normalize_status, payment_month
 from paylake.operators.merge import latest_by_key
 from paylake.schemas import SILVER_A_KEY, SILVER_COLUMNS
 
@@ -66,17 +66,26 @@ def incremental_bound(target: DataFrame, overlap_days: int = 1) -> Column:
 
 
 def incremental_since(new: DataFrame, target: DataFrame, overlap_days: int = 1) -> DataFrame:
-    """F3 filter: rows of ``new`` at or after the target's watermark."""
-    return new.filter(F.col("payment_date") >= incremental_bound(target, overlap_days))
+    """F3 filter: rows of ``new`` at or after the target's watermark.
+
+    When ``new`` is stored by month (``payment_month``), the same bound is also
+    applied to the month column so whole month directories are pruned."""
+    bound = incremental_bound(target, overlap_days)
+    cond = F.col("payment_date") >= bound
+    if "payment_month" in new.columns:
+        cond = cond & (F.col("payment_month") >= payment_month(bound))
+    return new.filter(cond)
 
 
 def silver_incremental(bronze: DataFrame, target: DataFrame | None,
                        overlap_days: int = 1) -> DataFrame:
-    """M4: the rows one incremental run appends (all valid rows on the first run)."""
-    rows = silver_rows(bronze)
+    """M4: the rows one incremental run appends (all valid rows on the first run).
+
+    The watermark filter is applied to bronze before cleaning so that it
+    reaches the bronze scan as a partition / row-group filter."""
     if target is None:
-        return rows
-    return incremental_since(rows, target, overlap_days)
+        return silver_rows(bronze)
+    return silver_rows(incremental_since(bronze, target, overlap_days))
 
 
 def silver_current(appended: DataFrame, order: tuple[str, ...] = ("batch_id", "updated_at")

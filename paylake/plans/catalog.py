@@ -17,7 +17,7 @@ from paylake.operators import gold as G
 from paylake.operators import quality as Q
 from paylake.operators import reports as R
 from paylake.operators.gate import gate_counters, split_valid, to_keyed, validate_events
-from paylake.operators.lifecycle import in_partition_window, retained
+from paylake.operators.lifecycle import in_partition_window, retained, write_partitioned
 from paylake.operators.merge import (
     latest_by_key,
     sync_frame,
@@ -42,7 +42,23 @@ from paylake.schemas import (
     SILVER_B_KEY,
     STATUS_MAX_LEN,
 )
-from paylake.sources.driver_tables import CORRUPT_EVERY, REJECT_PAYLOADS, redelivered
+from paylake.plans.chains import current_silver, run_medallion, run_realtime, scratch_lake
+from paylake.sources.driver_tables import (
+    CORRUPT_EVERY,
+    REJECT_PAYLOADS,
+    payments_from_events,
+    raw_payloads,
+    redelivered,
+)
+from paylake.sources.streams import read_table_stream, read_validated
+from paylake.streaming.ingest import (
+    append_stream,
+    bronze_a_stream,
+    dedup_stream,
+    gate_stream,
+    minute_counts_stream,
+    run_to_end,
+)
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -538,3 +554,93 @@ def q_partition_window(spark, sf_dir):
     li = I.lineitem_bronze(spark, sf_dir)
     newest = li.select(F.max("payment_date")).scalar()
     return in_partition_window(silver_rows(li), newest, PARTITION_WINDOW_MONTHS)
+
+
+# ---------------------------------------------------------------------------
+# Streaming (S1-S3, K1-K4, T1-T6): availableNow runs over the driver tables
+
+def _stream_dirs(spark, name):
+    lake = scratch_lake(spark, name)
+    return lake, f"{lake.root}/_checkpoints"
+
+
+@register("stream_bronze", O.with_layers("bronze") + f"""
+SELECT event_id, user_id, COALESCE(amount, 0.0) AS amount, COALESCE(status, '') AS status,
+       payment_date, date_trunc('millisecond', updated_at) AS updated_at
+FROM bronze WHERE src_id % {CORRUPT_EVERY} <> 0""")
+def q_stream_bronze(spark, sf_dir):
+    """S1 -> gate stream (K1) -> validated text topic -> S2 -> lane-A bronze
+    stream (K2); the written bronze table is read back."""
+    lake, ckpt = _stream_dirs(spark, "stream_bronze")
+    topic, dropped = f"{lake.root}/topic/validated", f"{lake.root}/topic/dropped"
+    raw = raw_payloads(read_table_stream(spark, sf_dir, "events"))
+    run_to_end(gate_stream(raw, topic, dropped, f"{ckpt}/gate"))
+    validated = read_validated(spark, topic)
+    run_to_end(bronze_a_stream(validated, lake.path("bronze_a"), lake.path("quarantine"),
+                               f"{ckpt}/bronze_a"))
+    return lake.read(spark, "bronze_a").select(*SILVER_COLUMNS)
+
+
+@register("stream_minute_counts", O.with_layers("bronze") + """
+SELECT date_trunc('minute', updated_at) AS minute, COUNT(*) AS rows FROM bronze GROUP BY 1""")
+def q_stream_minute_counts(spark, sf_dir):
+    """T5 streaming tumbling-minute counts (watermark, update mode, merged by minute)."""
+    lake, ckpt = _stream_dirs(spark, "stream_minutes")
+    rows = payments_from_events(read_table_stream(spark, sf_dir, "events"))
+    out = f"{lake.root}/minute_counts"
+    run_to_end(minute_counts_stream(rows, "updated_at", out, f"{ckpt}/minutes"))
+    return spark.read.parquet(out).select("minute", "rows")
+
+
+@register("stream_dedup", O.with_layers("bronze") + """
+SELECT event_id, user_id, amount, status, payment_date, updated_at FROM bronze""")
+def q_stream_dedup(spark, sf_dir):
+    """T2 at-least-once delivery (every 10th event delivered twice) deduplicated
+    in the stream by (event_id, updated_at) within a one-hour watermark."""
+    lake, ckpt = _stream_dirs(spark, "stream_dedup")
+    events = read_table_stream(spark, sf_dir, "events")
+    again = read_table_stream(spark, sf_dir, "events").filter(F.col("event_id") % 10 == 0)
+    rows = payments_from_events(events.unionByName(again))
+    unique = dedup_stream(rows, ["event_id", "updated_at"], "updated_at", "1 hour")
+    out = f"{lake.root}/deduped"
+    run_to_end(append_stream(unique, out, f"{ckpt}/dedup"))
+    return spark.read.parquet(out).select(*SILVER_COLUMNS)
+
+
+# ---------------------------------------------------------------------------
+# Chains (T7, T8): layers written as tables, then read back
+
+def _land_bronze(spark, sf_dir, lake):
+    bronze_a, quarantine = I.bronze_a_parsed(spark, sf_dir)
+    write_partitioned(bronze_a, lake.path("bronze_a"), ["payment_month"],
+                      sort_cols=["payment_date", "event_id"])
+    write_partitioned(quarantine.withColumn("batch_id", F.lit(0)), lake.path("quarantine"),
+                      ["batch_id"])
+
+
+_GATED_BRONZE = f"SELECT * FROM ({O.BRONZE_SELECT}) WHERE src_id % {CORRUPT_EVERY} <> 0"
+
+
+@register("realtime_chain", O.with_layers("silver", bronze=_GATED_BRONZE) + """
+SELECT event_id, user_id, amount, status, payment_date,
+       date_trunc('millisecond', updated_at) AS updated_at FROM silver""")
+def q_realtime_chain(spark, sf_dir):
+    """T7 twice: bronze landed, gate passes, first silver run, second run
+    re-appends the 1-day overlap; the merged silver is read back."""
+    lake = scratch_lake(spark, "realtime")
+    _land_bronze(spark, sf_dir, lake)
+    for _ in range(2):
+        if run_realtime(spark, lake) == "skipped":
+            raise RuntimeError("new-data gate skipped a run on freshly landed bronze")
+    return current_silver(spark, lake)
+
+
+@register("medallion_chain", O.with_layers("gold", bronze=_GATED_BRONZE) + "\nSELECT * FROM gold")
+def q_medallion_chain(spark, sf_dir):
+    """T8 end to end: recency gate (``now`` = newest event), silver run and
+    tests, sync into warehouse silver (upsert), gold full refresh and tests;
+    the newest gold version is read back (build time left out)."""
+    lake = scratch_lake(spark, "medallion")
+    _land_bronze(spark, sf_dir, lake)
+    run_medallion(spark, lake, now=I.now_of(spark, sf_dir))
+    return lake.read(spark, "gold_revenue").drop("dbt_updated_at")
