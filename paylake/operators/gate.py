@@ -13,10 +13,11 @@ The rule is that of a strict typed JSON decoder:
 
 Everything is evaluated with Spark's VARIANT expressions inside whole-stage
 code generation -- no Python runs per row.  ``try_parse_json`` stops at the
-end of the first JSON value, so the text is parsed in two wrappings:
-``[<text>]`` must be an array of exactly one element (rejects ``{}, 1``) and
-``{"a":<text>,"z":0}`` must be an object of exactly two keys (rejects
-trailing garbage such as ``{} x`` or ``{}],[{}``).  Duplicate keys need
+end of the first JSON value, so the text is checked in two wrappings:
+``[<text>]`` must be an array of exactly one element (rejects ``{}, 1``;
+a streaming ``json_array_length``) and ``{"a":<text>,"z":0}`` must be an
+object of exactly two keys (rejects trailing garbage such as ``{} x`` or
+``{}],[{}``).  Duplicate keys need
 ``spark.sql.variant.allowDuplicateKeys=true`` (see :mod:`paylake.session`).
 """
 
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from paylake.schemas import LONG_MAX, UINT64_MAX
 
 _STRING_FIELDS = ("event_id", "status", "payment_date", "updated_at")
+_ALL_FIELDS = ("event_id", "user_id", "amount", "status", "payment_date", "updated_at")
 
 
 def _wide(n: int) -> Column:
@@ -35,47 +37,94 @@ def _wide(n: int) -> Column:
     return F.lit(str(n)).cast("decimal(20,0)")
 
 
-def _field_ok(entry: Column) -> Column:
-    """Kind rule for one ``(key, value)`` entry of the decoded object."""
-    key = F.lower(entry["key"])
-    value = entry["value"]
-    kind = F.schema_of_variant(value)
+def _unsigned(kind: Column, value: Column) -> Column:
     as_long = F.try_variant_get(value, "$", "bigint")
     as_wide = F.try_variant_get(value, "$", "decimal(20,0)")
+    return (((kind == "BIGINT") & (as_long >= 0))
+            | (kind.rlike(r"^DECIMAL\((19|20),0\)$")
+               & (as_wide > _wide(LONG_MAX)) & (as_wide <= _wide(UINT64_MAX))))
+
+
+def _finite(kind: Column, value: Column) -> Column:
     as_double = F.try_variant_get(value, "$", "double")
-    unsigned = (((kind == "BIGINT") & (as_long >= 0))
-                | (kind.rlike(r"^DECIMAL\((19|20),0\)$")
-                   & (as_wide > _wide(LONG_MAX)) & (as_wide <= _wide(UINT64_MAX))))
-    finite = ((kind == "BIGINT") | kind.startswith("DECIMAL")
-              | ((kind == "DOUBLE") & ~F.isnan(as_double)
-                 & (F.abs(as_double) < F.lit(float("inf")))))
-    return (F.when(kind == "VOID", F.lit(True))
-            .when(key.isin(*_STRING_FIELDS), kind == "STRING")
-            .when(key == "user_id", F.coalesce(unsigned, F.lit(False)))
-            .when(key == "amount", F.coalesce(finite, F.lit(False)))
-            .otherwise(F.lit(True)))
+    return ((kind == "BIGINT") | kind.startswith("DECIMAL")
+            | ((kind == "DOUBLE") & ~F.isnan(as_double)
+               & (F.abs(as_double) < F.lit(float("inf")))))
 
 
-def gate_reason(value: Column) -> Column:
-    """NULL if the message passes the gate, else the reason it is dropped."""
-    one = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))).try_cast("array<variant>")
+def _kind_ok(field: str, value: Column) -> Column:
+    """Kind rule for the value of one known field (absent or JSON null passes)."""
+    kind = F.schema_of_variant(value)
+    if field in _STRING_FIELDS:
+        ok = kind == "STRING"
+    elif field == "user_id":
+        ok = _unsigned(kind, value)
+    else:
+        ok = _finite(kind, value)
+    return F.when(value.isNull() | (kind == "VOID"), F.lit(True)).otherwise(F.coalesce(ok, F.lit(False)))
+
+
+def _field_ok(entry: Column) -> Column:
+    """Kind rule for one ``(key, value)`` entry, keys matched case-insensitively."""
+    key = F.lower(entry["key"])
+    value = entry["value"]
+    rule = F.lit(True)
+    for field in reversed(_ALL_FIELDS):
+        rule = F.when(key == field, _kind_ok(field, value)).otherwise(rule)
+    return rule
+
+
+def _fields_ok(body: Column, fields: Column) -> Column:
+    """All known fields well typed.
+
+    Fast path (no upper-case letter in any key, the normal case): look the six
+    fields up by exact name -- plain code-generated expressions.  Otherwise
+    walk every entry with a lambda so that keys match case-insensitively."""
+    names = F.array_join(F.map_keys(fields), "\u0001")
+    exact = F.lit(True)
+    for field in _ALL_FIELDS:
+        exact = exact & _kind_ok(field, F.try_variant_get(body, f"$.{field}", "variant"))
+    by_entry = F.coalesce(F.forall(F.map_entries(fields), _field_ok), F.lit(True))
+    return F.when(fields.isNull(), F.lit(True)).when(names == F.lower(names), exact).otherwise(by_entry)
+
+
+def _parsed(value: Column) -> dict[str, Column]:
+    """The parsed forms of a message that the gate rule looks at."""
     wrapped = F.try_parse_json(F.concat(F.lit('{"a":'), value, F.lit(',"z":0}')))
-    pair = wrapped.try_cast("map<string,variant>")
-    body = pair["a"]
-    kind = F.schema_of_variant(body)
-    fields = F.map_entries(body.try_cast("map<string,variant>"))
-    single = F.coalesce(F.size(one) == 1, F.lit(False)) & F.coalesce(F.size(pair) == 2, F.lit(False))
-    is_object = (kind == "VOID") | kind.startswith("OBJECT<")
-    typed = F.coalesce(F.forall(fields, _field_ok), F.lit(True))
+    return {"one": F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))),
+            "pair": wrapped.try_cast("map<string,variant>")}
+
+
+def _reason(value: Column, one: Column, pair: Column, body: Column, fields: Column) -> Column:
+    single = F.coalesce(one == 1, F.lit(False)) & F.coalesce(F.size(pair) == 2, F.lit(False))
+    # An object is exactly what casts to a map; JSON null is also accepted.
+    is_object = fields.isNotNull() | F.coalesce(F.is_variant_null(body), F.lit(False))
     return (F.when(value.isNull() | ~single, F.lit("malformed_json"))
             .when(~is_object, F.lit("not_an_object"))
-            .when(~typed, F.lit("bad_field_type")))
+            .when(~_fields_ok(body, fields), F.lit("bad_field_type")))
+
+
+def gate_reason(value: Column) -> Column:
+    """NULL if the message passes the gate, else the reason it is dropped."""
+    parsed = _parsed(value)
+    body = parsed["pair"]["a"]
+    return _reason(value, parsed["one"], parsed["pair"], body, body.try_cast("map<string,variant>"))
 
 
 def validate_events(df: DataFrame, value_col: str = "value") -> DataFrame:
-    """V1: add ``ok`` (BOOLEAN) and ``reason`` (STRING, NULL when ok)."""
-    return (df.withColumn("reason", gate_reason(F.col(value_col).cast("string")))
-              .withColumn("ok", F.col("reason").isNull()))
+    """V1: add ``ok`` (BOOLEAN) and ``reason`` (STRING, NULL when ok).
+
+    The parsed forms are staged as columns of their own projections so that
+    each message is parsed once (Catalyst does not inline an expensive
+    expression into several uses)."""
+    value = F.col(value_col).cast("string")
+    parsed = _parsed(value)
+    staged = (df.withColumn("_one", parsed["one"]).withColumn("_pair", parsed["pair"])
+                .withColumn("_body", F.col("_pair")["a"])
+                .withColumn("_fields", F.col("_body").try_cast("map<string,variant>")))
+    reason = _reason(value, F.col("_one"), F.col("_pair"), F.col("_body"), F.col("_fields"))
+    return (staged.withColumn("reason", reason).drop("_one", "_pair", "_body", "_fields")
+                  .withColumn("ok", F.col("reason").isNull()))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
