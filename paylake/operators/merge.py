@@ -56,13 +56,24 @@ def upsert_frame(current: DataFrame, updates: DataFrame, keys: Sequence[str],
     return latest_by_key(both, keys, list(order) + ["_src"]).drop("_src")
 
 
+# Upper bound on distinct partition values pruned by literal list; partition
+# values are directory names, so their number is bounded by the table layout.
+MAX_PRUNED_PARTITIONS = 10_000
+
+
 def touched_partitions(current: DataFrame, updates: DataFrame, partition_col: str) -> DataFrame:
     """Rows of ``current`` in the partitions that ``updates`` touches.
 
-    A left-semi join on the partition column: Spark turns it into dynamic
-    partition pruning of the ``current`` scan (the distinct partition values of
-    the update are tiny and broadcast by the planner's own size estimate)."""
-    return current.join(updates.select(partition_col).distinct(), partition_col, "left_semi")
+    The distinct partition values of the update (at most one per partition
+    directory) are fetched and applied as a literal IN-list, which Spark turns
+    into static partition pruning of the ``current`` scan -- no join, no
+    shuffle of the current table.  Beyond :data:`MAX_PRUNED_PARTITIONS` values
+    the whole table is merged (still correct, just unpruned)."""
+    values = [r[0] for r in updates.select(partition_col).distinct()
+              .limit(MAX_PRUNED_PARTITIONS + 1).collect()]
+    if len(values) > MAX_PRUNED_PARTITIONS:
+        return current
+    return current.filter(F.col(partition_col).isin(values))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -74,7 +85,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str],
            order: Sequence[str], partition_col: str) -> None:
-    """M3: primary-key upsert into a partitioned Parquet table at ``path``."""
+    """M3: primary-key upsert into a partitioned Parquet table at ``path``.
+
+    The update is checkpointed once (computed a single time, deterministic
+    under task retries), the touched partitions are merged with it and the
+    result -- checkpointed again, because it is written over its own source --
+    replaces exactly those partitions (dynamic partition overwrite)."""
+    updates = checkpointed(updates)
     if not path_exists(spark, path):
         merged = latest_by_key(updates, keys, order)
     else:

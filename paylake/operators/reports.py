@@ -10,17 +10,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paylake.functions import as_date, days_before, minute_of, minutes_before, money_avg, money_sum
+from paylake.functions import (
+    as_date,
+    days_before,
+    minute_of,
+    minutes_before,
+    money_avg,
+    money_sum,
+    payment_month,
+)
+
+
+def _with_month(df: DataFrame, cond: Column, month_cond: Column) -> DataFrame:
+    """Add the equivalent ``payment_month`` predicate when the table is stored
+    by month, so whole month directories are pruned (not only row groups)."""
+    if "payment_month" in df.columns:
+        cond = cond & month_cond
+    return df.filter(cond)
 
 
 def in_last_days(df: DataFrame, days: int, as_of, col: str = "payment_date") -> DataFrame:
     """``col >= as_of - days`` (the reference's open-ended 'last N days')."""
-    return df.filter(F.col(col) >= days_before(as_of, days))
+    lo = days_before(as_of, days)
+    return _with_month(df, F.col(col) >= lo, F.col("payment_month") >= payment_month(lo))
 
 
 def on_day(df: DataFrame, as_of, col: str = "payment_date") -> DataFrame:
     """``col = as_of`` ('today')."""
-    return df.filter(F.col(col) == as_date(as_of))
+    day = as_date(as_of)
+    return _with_month(df, F.col(col) == day, F.col("payment_month") == payment_month(day))
 
 
 def in_last_minutes(df: DataFrame, col: str, minutes: int, now, strict: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paylake.operators import quality as Q
 from paylake.operators.gold import gold_revenue
-from paylake.operators.lifecycle import write_partitioned
+from paylake.operators.lifecycle import list_partitions, write_partitioned
 from paylake.operators.merge import overwrite_table, sync_silver
 from paylake.operators.silver import silver_current, silver_incremental
 from paylake.schemas import ACCEPTED_STATUSES, NEW_DATA_MINUTES, RECENT_HOURS
@@ -29,14 +29,26 @@ def _wall_clock(spark: SparkSession):
     return spark.range(1).select(F.current_timestamp().cast("timestamp_ntz")).first()[0]
 
 
+def recent_target(spark: SparkSession, lake: Lakehouse) -> DataFrame | None:
+    """The part of lane-A silver that can hold its newest day and newest batch.
+
+    A run appends rows on or after (newest day - overlap), so every batch after
+    the one that wrote the newest day lies in the newest month or the month
+    before it.  Reading only those two month partitions keeps the watermark
+    and batch-id lookups independent of the table's size."""
+    months = sorted(int(m) for m in list_partitions(spark, lake.path("silver_events"), "payment_month"))
+    if not months:
+        return None
+    return lake.read(spark, "silver_events").filter(F.col("payment_month").isin(months[-2:]))
+
+
 def silver_run(spark: SparkSession, lake: Lakehouse, overlap_days: int = 1) -> int:
     """M4: append one incremental run of bronze -> silver; returns rows appended.
 
     The run's ``batch_id`` is one more than the newest batch in silver, so the
     merge (M1) can tell later inserts from earlier ones."""
     bronze = lake.read(spark, "bronze_a")
-    has_target = lake.exists(spark, "silver_events")
-    target = lake.read(spark, "silver_events") if has_target else None
+    target = recent_target(spark, lake)
     batch = 0
     if target is not None:
         batch = (target.agg(F.max("batch_id")).first()[0] or 0) + 1

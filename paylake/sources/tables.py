@@ -63,12 +63,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_latest_version(spark: SparkSession, path: str) -> DataFrame:
     """Read the newest ``version=N`` partition of a full-refresh table (M5).
 
-    The newest version is found by a scalar subquery that Spark evaluates as a
-    partition filter, so only that version's files are scanned.
-    """
-    table = spark.read.parquet(path)
-    newest = table.select(F.max("version")).scalar()
-    return table.filter(F.col("version") == newest).drop("version")
+    The newest version is found by listing the version directories (a
+    metadata operation); only that version's files are scanned."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = [int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(hpath)
+                if st.isDirectory() and st.getPath().getName().startswith("version=")]
+    if not versions:
+        raise FileNotFoundError(f"no version of {path}")
+    return (spark.read.option("basePath", path).parquet(f"{path}/version={max(versions)}")
+                 .drop("version"))
 
 
 def register_views(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
