@@ -37,18 +37,19 @@ def read_messages(spark: SparkSession, src: str, starting: str = "earliest",
                   group: str | None = None, max_files: int | None = None) -> DataFrame:
     """A stream of raw message text from a Kafka URL or a text directory/glob.
 
-    ``starting='latest'`` on a directory only takes files modified after the
-    query starts (``modifiedAfter``)."""
+    ``starting='latest'`` on a directory skips files that already existed when
+    the stream was defined (filter on the file's modification time)."""
     if src.startswith("kafka://"):
         return _kafka(spark, src, starting, max_rows, min_partitions, group)
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.load(src)
     if starting == "latest":
-        import datetime as _dt
-        reader = reader.option("modifiedAfter",
-                               _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S"))
-    return reader.load(src)
+        started = spark.range(1).select(F.current_timestamp()).first()[0]
+        stream = (stream.filter(F.col("_metadata.file_modification_time") > F.lit(started))
+                        .select("value"))
+    return stream
 
 
 def read_events(spark: SparkSession, src: str, starting: str = "earliest") -> DataFrame:

@@ -15,8 +15,9 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark():
     from paylake.session import get_session
     ckpt = tempfile.mkdtemp(prefix="paylake-test-ckpt-")
+    warehouse = tempfile.mkdtemp(prefix="paylake-test-wh-")
     s = get_session("local[4]", app="paylake-tests", shuffle_partitions=4,
-                    extra={"spark.checkpoint.dir": ckpt})
+                    extra={"spark.checkpoint.dir": ckpt, "spark.sql.warehouse.dir": warehouse})
     s.sparkContext.setCheckpointDir(ckpt)
     yield s
     s.stop()
