@@ -91,7 +91,14 @@ def silver_incremental(bronze: DataFrame, target: DataFrame | None,
 def silver_current(appended: DataFrame, order: tuple[str, ...] = ("batch_id", "updated_at")
                    ) -> DataFrame:
     """M1 read of an append-only silver table: one row per sort key, the row of
-    the latest batch (ties by ``updated_at``, then the remaining columns)."""
+    the latest batch (ties by ``updated_at``, then the remaining columns).
+
+    A stored table's ``payment_month`` partition column is kept and added to
+    the key (it is a function of payment_date, so the result is the same):
+    filters on key columns are pushed below the dedup window by Catalyst, so
+    a report's day / month predicate still prunes directories and row groups."""
+    part = ("payment_month",) if "payment_month" in appended.columns else ()
+    keys = SILVER_A_KEY + part
     order = tuple(c for c in order if c in appended.columns)
-    rest = tuple(c for c in appended.columns if c not in SILVER_A_KEY + order)
-    return latest_by_key(appended, SILVER_A_KEY, order + rest).select(*SILVER_COLUMNS)
+    rest = tuple(c for c in appended.columns if c not in keys + order)
+    return latest_by_key(appended, keys, order + rest).select(*SILVER_COLUMNS, *part)

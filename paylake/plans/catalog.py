@@ -632,7 +632,7 @@ def q_realtime_chain(spark, sf_dir):
     for _ in range(2):
         if run_realtime(spark, lake) == "skipped":
             raise RuntimeError("new-data gate skipped a run on freshly landed bronze")
-    return current_silver(spark, lake)
+    return current_silver(spark, lake).select(*SILVER_COLUMNS)
 
 
 @register("medallion_chain", O.with_layers("gold", bronze=_GATED_BRONZE) + "\nSELECT * FROM gold")

@@ -52,3 +52,18 @@ def test_top_users_is_take_ordered(spark):
 def test_lane_comparisons_have_no_join(spark):
     plan = _plan(Q.drop_rate(I.bronze(spark, SF), I.silver_now(spark, SF), I.AS_OF))
     assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_report_over_merged_silver_prunes_months(spark, tmp_dir):
+    from pyspark.sql import functions as F
+    from paylake.functions import payment_month
+    from paylake.operators.silver import silver_current
+    path = f"{tmp_dir}/silver"
+    (silver_rows(I.bronze(spark, SF)).withColumn("batch_id", F.lit(0))
+     .withColumn("payment_month", payment_month("payment_date"))
+     .write.partitionBy("payment_month").parquet(path))
+    plan = _plan(top_users(silver_current(spark.read.parquet(path)), I.AS_OF))
+    assert "PartitionFilters: [isnotnull(payment_month" in plan
+    assert "EqualTo(payment_date,2024-01-30)" in plan
+    scan = plan.index("FileScan")
+    assert plan.index("WindowGroupLimit") < scan      # filter sits below the dedup
