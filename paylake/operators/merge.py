@@ -161,3 +161,20 @@ def sync_silver(spark: SparkSession, silver_a: DataFrame, path_b: str) -> None:
     incoming = to_warehouse_silver(silver_a)
     upsert(spark, path_b, incoming, SILVER_B_KEY, ["updated_at", "user_id", "amount", "status"],
            "payment_date")
+
+
+def merge_partitions(spark: SparkSession, path: str, partition_col: str, values: Sequence,
+                     keys: Sequence[str], order: Sequence[str]) -> int:
+    """M1 applied at merge time: rewrite the given partitions keeping only the
+    latest row per key (what a replacing merge tree does in the background).
+
+    Only the listed partitions are read (static partition pruning) and
+    rewritten (dynamic partition overwrite); returns the rows kept."""
+    if not values:
+        return 0
+    part = spark.read.parquet(path).filter(F.col(partition_col).isin(list(values)))
+    merged = checkpointed(latest_by_key(part, keys, order))
+    kept = merged.count()
+    (merged.hint("rebalance", partition_col).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path))
+    return kept

@@ -108,6 +108,14 @@ def ingestion_rate(bronze: DataFrame, now, minutes: int = 10, col: str = "ingest
             .orderBy(F.col("minute").desc()))
 
 
+def ingestion_rate_from_log(log: DataFrame, now, minutes: int = 10) -> DataFrame:
+    """G5/G6 from a bronze stream's ingestion log (rows per micro-batch)."""
+    return (in_last_minutes(log, "ingested_at", minutes, now)
+            .groupBy(minute_of("ingested_at").alias("minute"))
+            .agg(F.sum("rows").cast("bigint").alias("rows_ingested"))
+            .orderBy(F.col("minute").desc()))
+
+
 def bad_data_profile(bronze: DataFrame, as_of) -> DataFrame:
     """Per raw status on ``as_of``: rows, rows with amount <= 0, min / max amount.
     A NULL status forms its own group."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paylake.operators import quality as Q
 from paylake.operators.gold import gold_revenue
 from paylake.operators.lifecycle import list_partitions, write_partitioned
-from paylake.operators.merge import overwrite_table, sync_silver
+from paylake.operators.merge import merge_partitions, overwrite_table, sync_silver
 from paylake.operators.silver import silver_current, silver_incremental
 from paylake.schemas import ACCEPTED_STATUSES, NEW_DATA_MINUTES, RECENT_HOURS
 from paylake.session import shared_dir
@@ -62,16 +62,34 @@ def silver_run(spark: SparkSession, lake: Lakehouse, overlap_days: int = 1) -> i
     return int(obs.get["rows"])
 
 
+def new_bronze_data(spark: SparkSession, lake: Lakehouse, now, minutes: int) -> bool:
+    """Q4 on the lakehouse: from the bronze stream's ingestion log when there is
+    one (one row per micro-batch), else from bronze's arrival-time column."""
+    if lake.exists(spark, "ingest_log"):
+        return Q.has_new_data(lake.read(spark, "ingest_log"), now, minutes, "ingested_at")
+    return Q.has_new_data(lake.read(spark, "bronze_a"), now, minutes, "ingested_at")
+
+
 def run_realtime(spark: SparkSession, lake: Lakehouse, now=None,
                  minutes: int = NEW_DATA_MINUTES, overlap_days: int = 1) -> str:
     """New-data gate on bronze arrival time, then (or skip) a silver run."""
     now = now if now is not None else _wall_clock(spark)
-    bronze = lake.read(spark, "bronze_a")
-    if not Q.has_new_data(bronze, now, minutes, "ingested_at"):
+    if not new_bronze_data(spark, lake, now, minutes):
         return "skipped"
     return f"appended {silver_run(spark, lake, overlap_days)}"
 
 
+def merge_silver(spark: SparkSession, lake: Lakehouse, months: list[int] | None = None) -> int:
+    """Background merge of lane-A silver: deduplicate the given months (default:
+    the newest two, where incremental runs append) in place."""
+    if months is None:
+        months = sorted(int(m) for m in list_partitions(spark, lake.path("silver_events"),
+                                                        "payment_month"))[-2:]
+    order = ["batch_id", "updated_at", "amount", "status"]
+    return merge_partitions(spark, lake.path("silver_events"), "payment_month", months,
+                            ["payment_date", "user_id", "event_id"], order)
+
+
 def current_silver(spark: SparkSession, lake: Lakehouse) -> DataFrame:
     """Merged view of the append-only lane-A silver table (what reports read)."""
     return silver_current(lake.read(spark, "silver_events"))

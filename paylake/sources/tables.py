@@ -17,6 +17,8 @@ LAYERS = {
     "bronze_a": ("bronze/payments_bronze", "payment_month"),
     "bronze_b": ("bronze/payments", "payment_date"),
     "quarantine": ("bronze/quarantine", None),
+    "ingest_log": ("bronze/_ingest_log/payments_bronze", "batch_id"),
+    "ingest_log_b": ("bronze/_ingest_log/payments", "batch_id"),
     "silver_events": ("silver/silver_events", "payment_month"),
     "silver_payments": ("silver/silver_payments", "payment_date"),
     "gold_revenue": ("gold/gold_revenue", "version"),

@@ -64,17 +64,37 @@ def gate_stream(messages: DataFrame, validated_path: str, quarantine_path: str,
     return _start(messages.select("value"), "gate", checkpoint, handle, trigger)
 
 
+def ingest_log_path(table_path: str) -> str:
+    """Where a bronze stream logs its micro-batches: ``<dir>/_ingest_log/<table>``."""
+    parent, table = table_path.rstrip("/").rsplit("/", 1)
+    return f"{parent}/_ingest_log/{table}"
+
+
 def _bronze_stream(lane: Callable, messages: DataFrame, table_path: str, quarantine_path: str,
                    checkpoint: str, partition_col: str, trigger: dict | None,
                    max_broken: int | None, name: str) -> StreamingQuery:
+    """Shared lane driver.  Besides rows and quarantine, each micro-batch logs
+    one row ``(batch_id, rows, ingested_at)`` -- the arrival time is constant
+    within a batch -- so arrival-time questions (new-data gate, ingestion rate)
+    read the small log instead of scanning bronze."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         staged = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good, bad = lane(staged)
             if max_broken is not None:
                 enforce_broken_budget(bad.count(), max_broken)
-            _write_batch(good, table_path, batch_id, [partition_col])
+            from pyspark.sql import Observation
+            obs = Observation(f"{name}_{batch_id}")
+            observed = good.observe(obs, F.count(F.lit(1)).alias("rows"),
+                                    F.max("ingested_at").alias("ingested_at"))
+            _write_batch(observed, table_path, batch_id, [partition_col])
             _write_batch(bad, quarantine_path, batch_id)
+            stats = obs.get
+            if stats["rows"]:
+                log = batch.sparkSession.createDataFrame(
+                    [(int(stats["rows"]), stats["ingested_at"])],
+                    "rows bigint, ingested_at timestamp_ntz")
+                _write_batch(log, ingest_log_path(table_path), batch_id)
         finally:
             staged.unpersist()
 

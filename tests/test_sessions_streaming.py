@@ -126,3 +126,37 @@ def test_bucketed_write(spark):
     desc = {r[0]: r[1] for r in spark.sql("DESCRIBE TABLE EXTENDED silver_payments_bucketed").collect()}
     assert desc.get("Num Buckets") == "8"
     assert spark.table("silver_payments_bucketed").count() == 100
+
+
+def test_ingest_log_answers_arrival_questions(spark):
+    from paylake.operators.reports import ingestion_rate, ingestion_rate_from_log
+    from paylake.plans.chains import new_bronze_data
+    lake = scratch_lake(spark, "t_log")
+    topic = f"{lake.root}/topic"
+    raw_payloads(driver_table(spark, SF, "events")).select("value").write.text(f"{topic}/p1")
+    run_to_end(bronze_a_stream(read_validated(spark, f"{topic}/*"), lake.path("bronze_a"),
+                               lake.path("quarantine"), f"{lake.root}/ck"))
+    log = lake.read(spark, "ingest_log")
+    bronze = lake.read(spark, "bronze_a")
+    assert log.agg(F.sum("rows")).first()[0] == bronze.count()
+    now = bronze.agg(F.max("ingested_at")).first()[0]
+    a = {tuple(r) for r in ingestion_rate(bronze, now, 10).collect()}
+    b = {tuple(r) for r in ingestion_rate_from_log(log, now, 10).collect()}
+    assert a == b and a
+    assert new_bronze_data(spark, lake, now, 6)
+
+
+def test_merge_silver_partitions(spark):
+    from paylake.functions import payment_month
+    from paylake.operators.silver import silver_rows
+    from paylake.plans import inputs as I
+    from paylake.plans.chains import current_silver, merge_silver
+    lake = scratch_lake(spark, "t_merge")
+    s = silver_rows(I.bronze(spark, SF)).withColumn("payment_month", payment_month("payment_date"))
+    for b in (0, 1):   # the same rows appended twice: duplicates until merged
+        s.withColumn("batch_id", F.lit(b)).write.mode("append").partitionBy("payment_month") \
+            .parquet(lake.path("silver_events"))
+    before = current_silver(spark, lake).count()
+    kept = merge_silver(spark, lake)
+    assert kept == before == s.count()
+    assert lake.read(spark, "silver_events").count() == before
