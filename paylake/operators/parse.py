@@ -77,34 +77,47 @@ def conversion_reason(user_id: Column, date_text: Column, ts_text: Column | None
     return reason
 
 
-def bronze_lane_a(messages: DataFrame, value_col: str = "value",
-                  ingested_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """K2 transform: messages -> lane-A bronze rows and quarantined messages.
+def stage_lane_a(messages: DataFrame, value_col: str = "value",
+                 ingested_at: Column | None = None) -> DataFrame:
+    """Lane-A parse of every message into bronze columns plus ``_value`` (the
+    original text) and ``_reason`` (NULL when the row can be stored).
 
-    Output columns: event_id, user_id (BIGINT), amount (DOUBLE), status,
-    payment_date (DATE), updated_at / ingested_at (TIMESTAMP_NTZ, ms),
-    payment_month (INT partition key).
-    """
+    Split with :func:`split_staged`; persist the staged frame first when both
+    sides are written, so each message is parsed once."""
     parsed = fill_lane_a_defaults(parse_strict(messages, value_col))
     date_value = parse_date_strict(F.col("payment_date"))
     ts_value = parse_timestamp_ms(F.col("updated_at"))
     reason = (F.when(F.col("_error") != "", F.col("_error"))
               .otherwise(conversion_reason(F.col("user_id"), F.col("payment_date"),
                                            F.col("updated_at"), date_value, ts_value)))
-    staged = parsed.select(
+    return parsed.select(
         F.col(value_col).alias("_value"), reason.alias("_reason"),
-        F.col("event_id"), F.col("user_id"), F.col("amount"), F.col("status"),
-        date_value.alias("payment_date"), ts_value.alias("updated_at"))
-    good = staged.filter(F.col("_reason").isNull()).select(
-        "event_id", F.col("user_id").try_cast("bigint").alias("user_id"), "amount", "status",
-        "payment_date", "updated_at",
+        F.col("event_id"), F.col("user_id").try_cast("bigint").alias("user_id"),
+        F.col("amount"), F.col("status"),
+        date_value.alias("payment_date"), ts_value.alias("updated_at"),
         (ingested_at if ingested_at is not None else ingest_time()).alias("ingested_at"),
     ).withColumn("payment_month", payment_month("payment_date"))
+
+
+def split_staged(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(storable rows without the staging columns, quarantine ``(value, reason)``)."""
+    good = staged.filter(F.col("_reason").isNull()).drop("_value", "_reason")
     bad = staged.filter(F.col("_reason").isNotNull()).select(
         F.col("_value").alias("value"), F.col("_reason").alias("reason"))
     return good, bad
 
 
+def bronze_lane_a(messages: DataFrame, value_col: str = "value",
+                  ingested_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """K2 transform: messages -> lane-A bronze rows and quarantined messages.
+
+    Output columns: event_id, user_id (BIGINT), amount (DOUBLE), status,
+    payment_date (DATE), updated_at / ingested_at (TIMESTAMP_NTZ, ms),
+    payment_month (INT partition key).
+    """
+    return split_staged(stage_lane_a(messages, value_col, ingested_at))
+
+
 def parse_lenient(df: DataFrame, value_col: str = "value") -> DataFrame:
     """V8: decode with bad fields as NULL; a message that is not a JSON object
     at all (no struct) is skipped."""
@@ -120,6 +133,23 @@ def bronze_b_filter(parsed: DataFrame) -> DataFrame:
                          & F.col("payment_date").isNotNull())
 
 
+def stage_lane_b(messages: DataFrame, value_col: str = "value",
+                 ingested_at: Column | None = None) -> DataFrame:
+    """Lane-B parse into bronze columns plus ``_value`` / ``_reason`` (see
+    :func:`stage_lane_a`)."""
+    parsed = bronze_b_filter(parse_lenient(messages, value_col))
+    date_value = parse_date_strict(F.col("payment_date"))
+    amount = to_amount_decimal(F.col("amount"))
+    reason = (conversion_reason(F.col("user_id"), F.col("payment_date"), None, date_value, None)
+              .when(F.col("amount").isNotNull() & amount.isNull(), F.lit("amount_out_of_range")))
+    return parsed.select(
+        F.col(value_col).alias("_value"), reason.alias("_reason"),
+        "event_id", F.col("user_id").try_cast("bigint").alias("user_id"),
+        amount.alias("amount"), "status", date_value.alias("payment_date"),
+        parse_timestamp_ms(F.col("updated_at")).alias("updated_at"),
+        (ingested_at if ingested_at is not None else ingest_time()).alias("ingested_at"))
+
+
 def bronze_lane_b(messages: DataFrame, value_col: str = "value",
                   ingested_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """K3 transform: messages -> lane-B bronze rows and quarantined messages.
@@ -128,23 +158,7 @@ def bronze_lane_b(messages: DataFrame, value_col: str = "value",
     a payment_date that is not a real ``YYYY-MM-DD`` day is quarantined, an
     unparseable updated_at becomes NULL.
     """
-    parsed = bronze_b_filter(parse_lenient(messages, value_col))
-    date_value = parse_date_strict(F.col("payment_date"))
-    amount = to_amount_decimal(F.col("amount"))
-    reason = (conversion_reason(F.col("user_id"), F.col("payment_date"), None, date_value, None)
-              .when(F.col("amount").isNotNull() & amount.isNull(), F.lit("amount_out_of_range")))
-    staged = parsed.select(
-        F.col(value_col).alias("_value"), reason.alias("_reason"),
-        "event_id", "user_id", amount.alias("amount"), "status",
-        date_value.alias("payment_date"),
-        parse_timestamp_ms(F.col("updated_at")).alias("updated_at"))
-    good = staged.filter(F.col("_reason").isNull()).select(
-        "event_id", F.col("user_id").try_cast("bigint").alias("user_id"), "amount", "status",
-        "payment_date", "updated_at",
-        (ingested_at if ingested_at is not None else ingest_time()).alias("ingested_at"))
-    bad = staged.filter(F.col("_reason").isNotNull()).select(
-        F.col("_value").alias("value"), F.col("_reason").alias("reason"))
-    return good, bad
+    return split_staged(stage_lane_b(messages, value_col, ingested_at))
 
 
 def quarantine_bad_dates(bronze_raw: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from paylake.operators import quality as Q
 from paylake.operators import reports as R
 from paylake.operators.gate import gate_counters, split_valid, to_keyed, validate_events
 from paylake.operators.lifecycle import in_partition_window, retained, write_partitioned
+from paylake.operators.parse import split_staged, stage_lane_a
 from paylake.operators.merge import (
     latest_by_key,
     sync_frame,
@@ -611,11 +613,17 @@ def q_stream_dedup(spark, sf_dir):
 # Chains (T7, T8): layers written as tables, then read back
 
 def _land_bronze(spark, sf_dir, lake):
-    bronze_a, quarantine = I.bronze_a_parsed(spark, sf_dir)
-    write_partitioned(bronze_a, lake.path("bronze_a"), ["payment_month"],
-                      sort_cols=["payment_date", "event_id"])
-    write_partitioned(quarantine.withColumn("batch_id", F.lit(0)), lake.path("quarantine"),
-                      ["batch_id"])
+    """Batch landing of lane-A bronze from the gated messages (what the bronze
+    stream does per micro-batch): parse once, write rows and quarantine."""
+    staged = stage_lane_a(I.gated(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        bronze_a, quarantine = split_staged(staged)
+        write_partitioned(bronze_a, lake.path("bronze_a"), ["payment_month"],
+                          sort_cols=["payment_date", "event_id"])
+        write_partitioned(quarantine.withColumn("batch_id", F.lit(0)), lake.path("quarantine"),
+                          ["batch_id"])
+    finally:
+        staged.unpersist()
 
 
 _GATED_BRONZE = f"SELECT * FROM ({O.BRONZE_SELECT}) WHERE src_id % {CORRUPT_EVERY} <> 0"

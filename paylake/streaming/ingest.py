@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from paylake.functions import minute_of
 from paylake.operators.gate import gate_counter_columns, validate_events
 from paylake.operators.merge import upsert
-from paylake.operators.parse import bronze_lane_a, bronze_lane_b, enforce_broken_budget
+from paylake.operators.parse import enforce_broken_budget, split_staged, stage_lane_a, stage_lane_b
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, partition_cols: Sequence[str] = (),
@@ -78,9 +78,9 @@ def _bronze_stream(lane: Callable, messages: DataFrame, table_path: str, quarant
     within a batch -- so arrival-time questions (new-data gate, ingestion rate)
     read the small log instead of scanning bronze."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        staged = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        staged = lane(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            good, bad = lane(staged)
+            good, bad = split_staged(staged)
             if max_broken is not None:
                 enforce_broken_budget(bad.count(), max_broken)
             from pyspark.sql import Observation
@@ -107,7 +107,7 @@ def bronze_a_stream(messages: DataFrame, table_path: str, quarantine_path: str,
     """K2: each consumed block is parsed strictly (V6-V10) and appended to the
     month-partitioned lane-A bronze; failures go to quarantine.  The broken-
     message budget (V7) is off by default, as in the engine's error-stream mode."""
-    return _bronze_stream(bronze_lane_a, messages, table_path, quarantine_path, checkpoint,
+    return _bronze_stream(stage_lane_a, messages, table_path, quarantine_path, checkpoint,
                           "payment_month", trigger, max_broken, "bronze_a")
 
 
@@ -116,7 +116,7 @@ def bronze_b_stream(messages: DataFrame, table_path: str, quarantine_path: str,
     """K3: lenient parse (V8, F2, P4) into the day-partitioned lane-B bronze.
     Production trigger: ``{"processingTime": "60 seconds"}`` (commit interval);
     output per batch is replaced atomically on replay (exactly once)."""
-    return _bronze_stream(bronze_lane_b, messages, table_path, quarantine_path, checkpoint,
+    return _bronze_stream(stage_lane_b, messages, table_path, quarantine_path, checkpoint,
                           "payment_date", trigger or {"availableNow": True}, None, "bronze_b")
 
 
