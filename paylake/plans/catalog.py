@@ -47,6 +47,7 @@ from paylake.schemas import (
 from paylake.plans.chains import current_silver, run_medallion, run_realtime, scratch_lake
 from paylake.sources.driver_tables import (
     CORRUPT_EVERY,
+    REJECT_CASES,
     REJECT_PAYLOADS,
     payments_from_events,
     raw_payloads,
@@ -400,12 +401,14 @@ def q_gate_accepted(spark, sf_dir):
 
 @register("gate_rejected", f"""
 SELECT event_id AS offset,
-       {_sql_list(REJECT_PAYLOADS)}[(event_id // {CORRUPT_EVERY}) % {len(REJECT_PAYLOADS)} + 1] AS value
+       {_sql_list(REJECT_PAYLOADS)}[(event_id // {CORRUPT_EVERY}) % {len(REJECT_PAYLOADS)} + 1] AS value,
+       {_sql_list([r for _, r in REJECT_CASES])}[(event_id // {CORRUPT_EVERY}) % {len(REJECT_PAYLOADS)} + 1]
+         AS reason
 FROM events WHERE event_id % {CORRUPT_EVERY} = 0""")
 def q_gate_rejected(spark, sf_dir):
-    """V1/V2 messages the gate drops (original text kept)."""
+    """V1/V2 messages the gate drops: original text and the reason class."""
     _, bad = split_valid(validate_events(I.messages(spark, sf_dir)))
-    return bad.select("offset", "value")
+    return bad.select("offset", "value", "reason")
 
 
 @register("gate_counters", f"""

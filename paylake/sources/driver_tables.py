@@ -13,44 +13,48 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Payloads the gate must reject, in the order they are cycled
-# through when a payload is corrupted (one per 50 source rows).
-REJECT_PAYLOADS = (
-    "",
-    "{}] [{}",
-    "{}, 1",
-    "{}],[{}",
-    "[1]",
-    '[{"event_id":"a"}]',
-    '{"event_id":"a"',
-    '{"event_id":"a"} x',
-    '{"event_id":"a"}{"b":1}',
-    '{}, "b":{}',
-    '{} , "z":1',
-    '{"q":1},"a":{}',
-    "{'event_id':'a'}",
-    '{"amount":NaN}',
-    '{"event_id":"a",}',
-    '{"user_id":-5}',
-    '{"user_id":1.5}',
-    '{"user_id":1.0}',
-    '{"user_id":1e3}',
-    '{"user_id":"12"}',
-    '{"user_id":012}',
-    '{"user_id":18446744073709551616}',
-    '{"USER_ID":"x"}',
-    '{"event_id":5}',
-    '{"amount":"1.5"}',
-    '{"amount":true}',
-    '{"amount":1e400}',
-    "5",
-    '"s"',
-    "true",
-    '{"status":["a"]}',
-    '{"payment_date":{"a":1}}',
-    '{"event_id":"a" /* note */}',
-    '{event_id:"a"}',
-    '{"event_id":"a\tb"}',
+# through when a payload is corrupted (one per 50 source rows), each with the
+# class it falls in: not valid JSON text of exactly one value
+# (malformed_json), valid JSON but not an object (not_an_object), or an object
+# with a field of the wrong JSON kind (bad_field_type).
+REJECT_CASES = (
+    ("", "malformed_json"),
+    ("{}] [{}", "malformed_json"),
+    ("{}, 1", "malformed_json"),
+    ("{}],[{}", "malformed_json"),
+    ("[1]", "not_an_object"),
+    ('[{"event_id":"a"}]', "not_an_object"),
+    ('{"event_id":"a"', "malformed_json"),
+    ('{"event_id":"a"} x', "malformed_json"),
+    ('{"event_id":"a"}{"b":1}', "malformed_json"),
+    ('{}, "b":{}', "malformed_json"),
+    ('{} , "z":1', "malformed_json"),
+    ('{"q":1},"a":{}', "malformed_json"),
+    ("{'event_id':'a'}", "malformed_json"),
+    ('{"amount":NaN}', "malformed_json"),
+    ('{"event_id":"a",}', "malformed_json"),
+    ('{"user_id":-5}', "bad_field_type"),
+    ('{"user_id":1.5}', "bad_field_type"),
+    ('{"user_id":1.0}', "bad_field_type"),
+    ('{"user_id":1e3}', "bad_field_type"),
+    ('{"user_id":"12"}', "bad_field_type"),
+    ('{"user_id":012}', "malformed_json"),
+    ('{"user_id":18446744073709551616}', "bad_field_type"),
+    ('{"USER_ID":"x"}', "bad_field_type"),
+    ('{"event_id":5}', "bad_field_type"),
+    ('{"amount":"1.5"}', "bad_field_type"),
+    ('{"amount":true}', "bad_field_type"),
+    ('{"amount":1e400}', "bad_field_type"),
+    ("5", "not_an_object"),
+    ('"s"', "not_an_object"),
+    ("true", "not_an_object"),
+    ('{"status":["a"]}', "bad_field_type"),
+    ('{"payment_date":{"a":1}}', "bad_field_type"),
+    ('{"event_id":"a" /* note */}', "malformed_json"),
+    ('{event_id:"a"}', "malformed_json"),
+    ('{"event_id":"a\tb"}', "malformed_json"),
 )
+REJECT_PAYLOADS = tuple(payload for payload, _ in REJECT_CASES)
 # Payloads the gate must accept.
 ACCEPT_PAYLOADS = (
     '{"event_id":"e1","user_id":7,"amount":12.5,"status":"paid",'

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from paylake.operators.gate import gate_counters, observe_gate, split_valid, to_keyed, validate_events
-from paylake.sources.driver_tables import ACCEPT_PAYLOADS, REJECT_PAYLOADS
+from paylake.sources.driver_tables import ACCEPT_PAYLOADS, REJECT_CASES, REJECT_PAYLOADS
 
 
 def _corpus(spark):
@@ -20,8 +20,10 @@ def test_gate_classifies_corpus(spark):
     wrong = [(r.value, r.reason) for r in out if r.ok != r.expect]
     assert not wrong, wrong
     assert all(r.reason is None for r in out if r.ok)
-    assert all(r.reason in ("malformed_json", "not_an_object", "bad_field_type")
-               for r in out if not r.ok)
+    expected = dict(REJECT_CASES)
+    wrong_reason = [(r.value, r.reason, expected[r.value]) for r in out
+                    if not r.ok and r.reason != expected[r.value]]
+    assert not wrong_reason, wrong_reason
 
 
 def test_split_and_key(spark):
