@@ -57,6 +57,7 @@ from paylake.sources.streams import read_table_stream, read_validated
 from paylake.streaming.ingest import (
     append_stream,
     bronze_a_stream,
+    bronze_b_stream,
     dedup_stream,
     gate_stream,
     minute_counts_stream,
@@ -586,6 +587,22 @@ def q_stream_bronze(spark, sf_dir):
     return lake.read(spark, "bronze_a").select(*SILVER_COLUMNS)
 
 
+@register("stream_bronze_b", O.with_layers("bronze") + f"""
+SELECT event_id, user_id, CAST(amount AS DECIMAL(12,2)) AS amount, status,
+       payment_date, date_trunc('millisecond', updated_at) AS updated_at
+FROM bronze WHERE src_id % {CORRUPT_EVERY} <> 0""")
+def q_stream_bronze_b(spark, sf_dir):
+    """S1 -> gate stream -> validated topic -> S3 -> lane-B bronze stream (K3,
+    day-partitioned, replaced per batch on replay); read back."""
+    lake, ckpt = _stream_dirs(spark, "stream_bronze_b")
+    topic, dropped = f"{lake.root}/topic/validated", f"{lake.root}/topic/dropped"
+    raw = raw_payloads(read_table_stream(spark, sf_dir, "events"))
+    run_to_end(gate_stream(raw, topic, dropped, f"{ckpt}/gate"))
+    run_to_end(bronze_b_stream(read_validated(spark, topic), lake.path("bronze_b"),
+                               lake.path("quarantine"), f"{ckpt}/bronze_b"))
+    return lake.read(spark, "bronze_b").select(*SILVER_COLUMNS)
+
+
 @register("stream_minute_counts", O.with_layers("bronze") + """
 SELECT date_trunc('minute', updated_at) AS minute, COUNT(*) AS rows FROM bronze GROUP BY 1""")
 def q_stream_minute_counts(spark, sf_dir):
