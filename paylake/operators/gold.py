@@ -20,11 +20,12 @@ REVENUE_TYPE = "decimal(22,2)"
 
 
 def gold_revenue(silver_b: DataFrame, with_build_time: bool = True) -> DataFrame:
-    """G1: one row per payment_date, newest day first.
+    """G1: one row per payment_date.
 
     total_revenue is the exact DECIMAL sum of paid amounts; avg_order_value is
     revenue / paid orders, 0 when there are none.  ``dbt_updated_at`` is the
-    build time (wall clock)."""
+    build time (wall clock).  The build is not sorted (a table write keeps no
+    row order); readers sort, see :func:`gold_listing`."""
     paid = F.col("status") == "paid"
     amount = F.col("amount").cast(AMOUNT_DECIMAL)
     revenue = F.sum(F.when(paid, amount).otherwise(F.lit(0).cast(AMOUNT_DECIMAL)))
@@ -39,6 +40,11 @@ def gold_revenue(silver_b: DataFrame, with_build_time: bool = True) -> DataFrame
     )
     if with_build_time:
         gold = gold.withColumn("dbt_updated_at", F.current_timestamp().cast("timestamp_ntz"))
+    return gold
+
+
+def gold_listing(gold: DataFrame) -> DataFrame:
+    """O1: gold newest day first (the model's ``ORDER BY payment_date DESC``)."""
     return gold.orderBy(F.col("payment_date").desc())
 
 
