@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paylake.functions import minute_of
-from paylake.operators.gate import gate_counter_columns, validate_events
+from paylake.operators.gate import gate_counter_columns, to_keyed, validate_events
 from paylake.operators.merge import upsert
 from paylake.operators.parse import enforce_broken_budget, split_staged, stage_lane_a, stage_lane_b
 
@@ -30,6 +30,18 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, partition_cols: Sequen
         .partitionBy(*partition_cols, "batch_id").format(fmt).save(path))
 
 
+def write_validated(keyed: DataFrame, sink: str, batch_id: int) -> None:
+    """K1: publish validated messages.  ``kafka://host:port/topic`` gets
+    ``(key, value)`` records keyed by event_id (the producer partitions by the
+    key); a directory gets the original text as one line per message."""
+    if sink.startswith("kafka://"):
+        servers, _, topic = sink[len("kafka://"):].partition("/")
+        (keyed.select("key", "value").write.format("kafka")
+              .option("kafka.bootstrap.servers", servers).option("topic", topic).save())
+    else:
+        _write_batch(keyed.select("value"), sink, batch_id, fmt="text")
+
+
 def _start(stream: DataFrame, name: str, checkpoint: str, handler: Callable | None = None,
            trigger: dict | None = None, output_mode: str = "append") -> StreamingQuery:
     writer = (stream.writeStream.queryName(name).option("checkpointLocation", checkpoint)
@@ -53,7 +65,7 @@ def gate_stream(messages: DataFrame, validated_path: str, quarantine_path: str,
             from pyspark.sql import Observation
             obs = Observation(f"gate_{batch_id}")
             good = checked.observe(obs, *gate_counter_columns()).filter(F.col("ok"))
-            _write_batch(good.select("value"), validated_path, batch_id, fmt="text")
+            write_validated(to_keyed(good), validated_path, batch_id)
             _write_batch(checked.filter(~F.col("ok")).select("value", "reason"),
                          quarantine_path, batch_id)
             if on_counters is not None:
