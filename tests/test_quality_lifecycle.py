@@ -86,3 +86,49 @@ def test_partition_window_and_versions(spark, tmp_dir):
         spark.createDataFrame([(v,)], "x int").withColumn("version", F.lit(v)) \
             .write.mode("append").partitionBy("version").parquet(vpath)
     assert drop_old_versions(spark, vpath, keep=2) == 1
+
+
+def test_compact_and_file_size_cap(spark, tmp_dir):
+    import glob
+    from paylake.operators.lifecycle import compact
+    path = f"{tmp_dir}/b"
+    days = [dt.date(2024, 1, 1 + (i % 3)) for i in range(300)]
+    df = _df(spark, days).repartition(20)
+    df.write.partitionBy("payment_date").parquet(path)            # many small files
+    before = len(glob.glob(f"{path}/payment_date=2024-01-01/*.parquet"))
+    compact(spark, path, "payment_date", ["2024-01-01"])
+    after = len(glob.glob(f"{path}/payment_date=2024-01-01/*.parquet"))
+    assert after < before and spark.read.parquet(path).count() == 300
+    capped = f"{tmp_dir}/c"
+    write_partitioned(df, capped, ["payment_date"], max_records_per_file=40)
+    files = glob.glob(f"{capped}/payment_date=*/*.parquet")
+    assert len(files) >= 300 // 40
+    assert all(pq_rows <= 40 for pq_rows in
+               (spark.read.parquet(f).count() for f in files))
+
+
+def test_quarantine_bad_dates(spark):
+    from paylake.operators.parse import quarantine_bad_dates
+    raw = spark.createDataFrame([("a", "2024-01-15", "2024-01-15T10:00:00Z"),
+                                 ("b", "2024-13-01", "2024-01-15T10:00:00Z"),
+                                 ("c", "2024-01-15", "yesterday")],
+                                "event_id string, payment_date string, updated_at string")
+    good, bad = quarantine_bad_dates(raw)
+    assert [r.event_id for r in good.collect()] == ["a"]
+    assert sorted((r.event_id, r.reason) for r in bad.collect()) == [
+        ("b", "bad_payment_date"), ("c", "bad_updated_at")]
+
+
+def test_medallion_stops_on_failed_gate(spark):
+    import pytest
+    from paylake.functions import payment_month
+    from paylake.plans.chains import run_medallion, scratch_lake
+    lake = scratch_lake(spark, "t_stop")
+    _df(spark, [dt.date(2024, 1, 1)]).withColumn("ingested_at", F.col("updated_at")) \
+        .withColumn("payment_month", payment_month("payment_date")) \
+        .write.partitionBy("payment_month").parquet(lake.path("bronze_a"))
+    with pytest.raises(RuntimeError):
+        run_medallion(spark, lake, now="2024-01-02 12:00:00")      # nothing in the last 2 h
+    assert not lake.exists(spark, "silver_events")               # later steps never ran
+    out = run_medallion(spark, lake, now="2024-01-01 01:00:00")
+    assert out["silver_appended"] == 1 and lake.read(spark, "gold_revenue").count() == 1
