@@ -132,3 +132,20 @@ def test_medallion_stops_on_failed_gate(spark):
     assert not lake.exists(spark, "silver_events")               # later steps never ran
     out = run_medallion(spark, lake, now="2024-01-01 01:00:00")
     assert out["silver_appended"] == 1 and lake.read(spark, "gold_revenue").count() == 1
+
+
+def test_rebalance_splits_hot_partition(spark, tmp_dir):
+    """A partition value holding most rows is written by several tasks (AQE
+    splits the skewed REBALANCE partition), not funnelled through one."""
+    import glob
+    rows = [dt.date(2024, 1, 1)] * 9000 + [dt.date(2024, 1, 2 + i % 5) for i in range(1000)]
+    df = _df(spark, rows).repartition(8)
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        write_partitioned(df, f"{tmp_dir}/hot", ["payment_date"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    hot_files = glob.glob(f"{tmp_dir}/hot/payment_date=2024-01-01/*.parquet")
+    assert len(hot_files) > 1
+    assert spark.read.parquet(f"{tmp_dir}/hot").count() == 10000
