@@ -24,8 +24,14 @@ from paylake.operators.parse import enforce_broken_budget, split_staged, stage_l
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, partition_cols: Sequence[str] = (),
                  fmt: str = "parquet") -> None:
-    """Idempotent micro-batch write: overwrite this batch's partitions only."""
+    """Idempotent micro-batch write: overwrite this batch's partitions only.
+
+    Inside ``foreachBatch`` this is a batch job with AQE, so the REBALANCE on
+    the partition columns (K4) turns a batch that is mostly one day into
+    ~64 MB files instead of one small file per input task and day."""
     out = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    if partition_cols:
+        out = out.hint("rebalance", *partition_cols)
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_cols, "batch_id").format(fmt).save(path))
 
