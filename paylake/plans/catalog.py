@@ -263,8 +263,9 @@ FROM (SELECT COUNT(*) AS bronze_count FROM gated WHERE payment_date = DATE '{I.A
         AND {O.VALID_SQL}) s""")
 def q_drop_rate_b(spark, sf_dir):
     """J2 lane-B bronze (parsed from gated messages) vs warehouse silver."""
-    bronze_b, _ = I.bronze_b_parsed(spark, sf_dir)
-    return Q.drop_count(bronze_b, I.silver_b_from_messages(spark, sf_dir), I.AS_OF)
+    topic = I.validated_topic(spark, sf_dir)
+    bronze_b, _ = I.bronze_b_parsed(spark, sf_dir, topic)
+    return Q.drop_count(bronze_b, I.silver_b_from_messages(spark, sf_dir, topic), I.AS_OF)
 
 
 @register("lane_lag", O.with_layers("bronze") + f"""
@@ -272,8 +273,9 @@ SELECT COUNT(*) AS lane_a_rows, COUNT(*) AS lane_b_rows, CAST(0 AS BIGINT) AS la
 FROM bronze WHERE src_id % 50 <> 0 AND payment_date = DATE '{I.AS_OF}'""")
 def q_lane_lag(spark, sf_dir):
     """J3 lane A vs lane B bronze rows on one day (both lanes fed by the gate)."""
-    a, _ = I.bronze_a_parsed(spark, sf_dir)
-    b, _ = I.bronze_b_parsed(spark, sf_dir)
+    topic = I.validated_topic(spark, sf_dir)
+    a, _ = I.bronze_a_parsed(spark, sf_dir, topic)
+    b, _ = I.bronze_b_parsed(spark, sf_dir, topic)
     return Q.lane_lag(a, b, I.AS_OF)
 
 
@@ -282,8 +284,9 @@ SELECT payment_date, COUNT(*) AS lane_a_rows, COUNT(*) AS lane_b_rows, CAST(0 AS
 FROM bronze WHERE src_id % 50 <> 0 GROUP BY payment_date""")
 def q_lane_lag_by_day(spark, sf_dir):
     """J3 per day, without a join."""
-    a, _ = I.bronze_a_parsed(spark, sf_dir)
-    b, _ = I.bronze_b_parsed(spark, sf_dir)
+    topic = I.validated_topic(spark, sf_dir)
+    a, _ = I.bronze_a_parsed(spark, sf_dir, topic)
+    b, _ = I.bronze_b_parsed(spark, sf_dir, topic)
     return Q.lane_lag_by_day(a, b)
 
 

@@ -14,7 +14,7 @@ from paylake.operators.gate import validate_events, split_valid
 from paylake.operators.merge import sync_frame
 from paylake.operators.parse import bronze_lane_a, bronze_lane_b
 from paylake.operators.silver import silver_current, silver_rows
-from paylake.session import configure
+from paylake.session import configure, shared_dir
 from paylake.sources.driver_tables import (
     driver_table,
     payments_from_events,
@@ -84,16 +84,26 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good
 
 
-def bronze_a_parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return bronze_lane_a(gated(spark, sf_dir))
+def validated_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate's output written once (reliable checkpoint in the shared
+    folder), as the validated topic both lanes consume."""
+    shared_dir(spark)
+    return gated(spark, sf_dir).checkpoint(eager=True)
 
 
-def bronze_b_parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return bronze_lane_b(gated(spark, sf_dir))
+def bronze_a_parsed(spark: SparkSession, sf_dir: str,
+                    topic: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return bronze_lane_a(topic if topic is not None else gated(spark, sf_dir))
 
 
-def silver_b_from_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bronze_b_parsed(spark: SparkSession, sf_dir: str,
+                    topic: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return bronze_lane_b(topic if topic is not None else gated(spark, sf_dir))
+
+
+def silver_b_from_messages(spark: SparkSession, sf_dir: str,
+                           topic: DataFrame | None = None) -> DataFrame:
     """Warehouse silver fed from the message path: gate -> lane-A bronze ->
     silver -> sync."""
-    bronze_a, _ = bronze_a_parsed(spark, sf_dir)
+    bronze_a, _ = bronze_a_parsed(spark, sf_dir, topic)
     return sync_frame(silver_current(silver_rows(bronze_a).withColumn("batch_id", F.lit(0))))
