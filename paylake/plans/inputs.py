@@ -14,7 +14,7 @@ from paylake.operators.gate import validate_events, split_valid
 from paylake.operators.merge import sync_frame
 from paylake.operators.parse import bronze_lane_a, bronze_lane_b
 from paylake.operators.silver import silver_current, silver_rows
-from paylake.session import configure, shared_dir
+from paylake.session import configure, shared_dir, spread
 from paylake.sources.driver_tables import (
     driver_table,
     payments_from_events,
@@ -74,8 +74,14 @@ def silver_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw JSON messages ``(offset, value)`` built from ``events``."""
-    return raw_payloads(events(spark, sf_dir))
+    """Raw JSON messages ``(offset, value)`` built from ``events`` and
+    materialised like a produced topic: spread over at least one partition per
+    core and written once to the shared checkpoint folder.
+
+    Materialising matters: a repartition alone is no barrier for Catalyst, which
+    would push the gate's filter below it, back into the single-split scan."""
+    shared_dir(spark)
+    return spread(raw_payloads(events(spark, sf_dir))).checkpoint(eager=True)
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:

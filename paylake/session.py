@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that can be changed on a live session (SQL confs).
 RUNTIME_CONF = {
@@ -64,3 +64,24 @@ def shared_dir(spark: SparkSession) -> str:
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current.rstrip("/")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a *batch* input over the cluster when its source yields
+    fewer partitions than ``min_partitions`` (default: the cluster's default
+    parallelism) -- e.g. one large unsplittable file or a topic with few
+    partitions feeding CPU-heavy row-local work such as JSON validation.
+
+    A no-op for streaming frames and for inputs already split finer than
+    that (the normal case for a large table), so it never adds a shuffle to
+    a well-partitioned 100 TB scan.  Only call it on plans without a shuffle
+    (a scan plus projections): the partition count is read from the plan.
+    Catalyst pushes filters through a repartition, so materialise the result
+    (``checkpoint``) when an expensive filter follows.  Streams use the
+    source's own split option instead (Kafka ``minPartitions``)."""
+    if df.isStreaming:
+        return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
