@@ -8,6 +8,7 @@ the Spark output exactly.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -44,6 +45,7 @@ from paylake.schemas import (
     SILVER_B_KEY,
     STATUS_MAX_LEN,
 )
+from paylake.plans.sql_reports import run_report
 from paylake.plans.chains import current_silver, run_medallion, run_realtime, scratch_lake
 from paylake.sources.driver_tables import (
     CORRUPT_EVERY,
@@ -675,3 +677,27 @@ def q_medallion_chain(spark, sf_dir):
     _land_bronze(spark, sf_dir, lake)
     run_medallion(spark, lake, now=I.now_of(spark, sf_dir))
     return lake.read(spark, "gold_revenue").drop("dbt_updated_at")
+
+
+# ---------------------------------------------------------------------------
+# The same reports through Spark SQL (S6): parameterised statements over views
+
+def _sql_views(spark, sf_dir):
+    return {"payments_bronze": I.bronze(spark, sf_dir), "silver_events": I.silver_now(spark, sf_dir),
+            "silver_payments": I.silver_b(spark, sf_dir)}
+
+
+def _register_sql(name: str) -> None:
+    _, sql = _REGISTRY[name]
+
+    def job(spark, sf_dir):
+        """The report as a Spark SQL statement over temp views."""
+        return run_report(spark, name, _sql_views(spark, sf_dir),
+                          as_of=datetime.date.fromisoformat(I.AS_OF))
+
+    register(f"sql_{name}", sql)(job)
+
+
+for _name in ("status_breakdown", "day_summary", "top_users", "bad_data_profile", "drop_rate",
+              "gold_revenue"):
+    _register_sql(_name)

@@ -37,3 +37,12 @@ def test_silver_rerun_idempotent_after_merge(spark):
     twice = silver.withColumn("batch_id", F.lit(0)).unionByName(silver.withColumn("batch_id", F.lit(1)))
     assert silver_current(twice).count() == silver.count()
     assert sync_frame(twice.drop("batch_id")).count() == silver.count()
+
+
+def test_approx_users_within_error_bound(spark):
+    from paylake.operators.reports import approx_users, unique_users
+    s = I.silver_now(spark, SF)
+    approx = {r[0]: r[1] for r in approx_users(s, rsd=0.01).collect()}
+    exact = {r[0]: r[1] for r in unique_users(s).collect()}
+    assert approx.keys() == exact.keys()
+    assert all(abs(approx[d] - exact[d]) <= max(2, 0.03 * exact[d]) for d in exact)
