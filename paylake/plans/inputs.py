@@ -81,7 +81,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Materialising matters: a repartition alone is no barrier for Catalyst, which
     would push the gate's filter below it, back into the single-split scan."""
     shared_dir(spark)
-    return spread(raw_payloads(events(spark, sf_dir))).checkpoint(eager=True)
+    return raw_payloads(spread(events(spark, sf_dir))).checkpoint(eager=True)
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
