@@ -87,18 +87,19 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[st
            order: Sequence[str], partition_col: str) -> None:
     """M3: primary-key upsert into a partitioned Parquet table at ``path``.
 
-    The update is checkpointed once (computed a single time, deterministic
-    under task retries), the touched partitions are merged with it and the
-    result -- checkpointed again, because it is written over its own source --
-    replaces exactly those partitions (dynamic partition overwrite)."""
-    updates = checkpointed(updates)
+    Into an existing table: the update is checkpointed once (it is read twice
+    -- for the touched partition values and for the merge -- and must not
+    change between the two under task retries), the touched partitions are
+    merged with it and the result, checkpointed again because it is written
+    over its own source, replaces exactly those partitions (dynamic partition
+    overwrite).  A new table is simply written."""
     if not path_exists(spark, path):
         merged = latest_by_key(updates, keys, order)
     else:
+        updates = checkpointed(updates)
         current = spark.read.parquet(path)
-        merged = upsert_frame(touched_partitions(current, updates, partition_col),
-                              updates.select(*current.columns), keys, order)
-    merged = checkpointed(merged)
+        merged = checkpointed(upsert_frame(touched_partitions(current, updates, partition_col),
+                                           updates.select(*current.columns), keys, order))
     # REBALANCE (not repartition): AQE splits a partition value that holds a
     # large share of the rows into several ~64 MB files instead of one task.
     (merged.hint("rebalance", partition_col).write.mode("overwrite")
