@@ -161,12 +161,10 @@ def q_status_normalised_counts(spark, sf_dir):
 # Reports (G2-G9, G12, G13)
 
 @register("status_breakdown", O.with_layers("silver_now") + f"""
-SELECT payment_date,
-       COUNT(CASE WHEN status = 'paid' THEN 1 END) AS paid,
-       COUNT(CASE WHEN status = 'pending' THEN 1 END) AS pending,
-       COUNT(CASE WHEN status = 'failed' THEN 1 END) AS failed,
-       COUNT(CASE WHEN status = 'unknown' THEN 1 END) AS unknown,
-       COUNT(*) AS total
+SELECT payment_date, COUNT(*) FILTER (WHERE status = 'paid') AS paid,
+       COUNT(*) FILTER (WHERE status = 'pending') AS pending,
+       COUNT(*) FILTER (WHERE status = 'failed') AS failed,
+       COUNT(*) FILTER (WHERE status = 'unknown') AS unknown, COUNT(*) AS total
 FROM silver_now WHERE payment_date >= DATE '{I.AS_OF}' - INTERVAL 7 DAY GROUP BY payment_date""")
 def q_status_breakdown(spark, sf_dir):
     """G2 status counts per day, last 7 days."""
@@ -174,8 +172,7 @@ def q_status_breakdown(spark, sf_dir):
 
 
 @register("day_summary", O.with_layers("silver_now") + f"""
-SELECT COUNT(*) AS total_transactions,
-       COUNT(CASE WHEN status = 'paid' THEN 1 END) AS paid_count,
+SELECT COUNT(*) AS total_transactions, COUNT(*) FILTER (WHERE status = 'paid') AS paid_count,
        {O.money_sum_sql()} AS total_amount,
        {O.money_sum_sql()} / COUNT(amount) AS avg_amount,
        COUNT(DISTINCT user_id) AS unique_users
@@ -204,7 +201,7 @@ def q_ingestion_rate(spark, sf_dir):
 
 
 @register("bad_data_profile", O.with_layers("bronze") + f"""
-SELECT status, COUNT(*) AS count, COUNT(CASE WHEN amount <= 0 THEN 1 END) AS bad_amount,
+SELECT status, COUNT(*) AS count, COUNT(*) FILTER (WHERE amount <= 0) AS bad_amount,
        MIN(amount) AS min_amount, MAX(amount) AS max_amount
 FROM bronze WHERE payment_date = DATE '{I.AS_OF}' GROUP BY status""")
 def q_bad_data_profile(spark, sf_dir):
@@ -248,21 +245,22 @@ _GATED = " WHERE src_id % 50 <> 0"
 
 
 @register("drop_rate", O.with_layers("silver_now") + f"""
-SELECT b.total_bronze, s.total_silver, b.total_bronze - s.total_silver AS dropped,
-       round((b.total_bronze - s.total_silver) / b.total_bronze * 100, 2) AS drop_pct
-FROM (SELECT COUNT(*) AS total_bronze FROM bronze WHERE payment_date = DATE '{I.AS_OF}') b,
-     (SELECT COUNT(*) AS total_silver FROM silver_now WHERE payment_date = DATE '{I.AS_OF}') s""")
+, counts AS (
+  SELECT (SELECT COUNT(*) FROM bronze WHERE payment_date = DATE '{I.AS_OF}') AS total_bronze,
+         (SELECT COUNT(*) FROM silver_now WHERE payment_date = DATE '{I.AS_OF}') AS total_silver)
+SELECT total_bronze, total_silver, total_bronze - total_silver AS dropped,
+       round(100.0 * (total_bronze - total_silver) / NULLIF(total_bronze, 0), 2) AS drop_pct
+FROM counts""")
 def q_drop_rate(spark, sf_dir):
     """J1 bronze vs silver drop rate on one day."""
     return Q.drop_rate(I.bronze(spark, sf_dir), I.silver_now(spark, sf_dir), I.AS_OF)
 
 
 @register("drop_rate_b", O.with_layers("bronze") + f"""
-, gated AS (SELECT * FROM bronze{_GATED})
-SELECT b.bronze_count, s.silver_count, b.bronze_count - s.silver_count AS dropped
-FROM (SELECT COUNT(*) AS bronze_count FROM gated WHERE payment_date = DATE '{I.AS_OF}') b,
-     (SELECT COUNT(*) AS silver_count FROM gated WHERE payment_date = DATE '{I.AS_OF}'
-        AND {O.VALID_SQL}) s""")
+, gated AS (SELECT * FROM bronze{_GATED} AND payment_date = DATE '{I.AS_OF}')
+SELECT COUNT(*) AS bronze_count, COUNT(*) FILTER (WHERE {O.VALID_SQL}) AS silver_count,
+       COUNT(*) FILTER (WHERE NOT ({O.VALID_SQL})) AS dropped
+FROM gated""")
 def q_drop_rate_b(spark, sf_dir):
     """J2 lane-B bronze (parsed from gated messages) vs warehouse silver."""
     topic = I.validated_topic(spark, sf_dir)
@@ -536,7 +534,7 @@ def q_user_dim(spark, sf_dir):
   FROM flagged)
 SELECT user_id, MIN(updated_at) AS session_start, MAX(updated_at) AS session_end,
        CAST(MIN(updated_at) AS DATE) AS session_date, COUNT(*) AS events,
-       COUNT(CASE WHEN status = 'paid' THEN 1 END) AS paid_events,
+       COUNT(*) FILTER (WHERE status = 'paid') AS paid_events,
        CAST(SUM(CASE WHEN status = 'paid' THEN CAST(amount AS DECIMAL(38,2)) ELSE 0 END) AS DOUBLE)
          AS paid_amount
 FROM numbered GROUP BY user_id, sid""")

@@ -71,18 +71,16 @@ QUALIFY row_number() OVER (PARTITION BY event_id, payment_date
 
 GOLD_SELECT = """
 SELECT payment_date,
-       CAST(SUM(CASE WHEN status = 'paid' THEN amount ELSE 0 END) AS DECIMAL(22,2)) AS total_revenue,
-       COUNT(CASE WHEN status = 'paid' THEN 1 END) AS total_paid_orders,
-       COUNT(CASE WHEN status = 'pending' THEN 1 END) AS pending_orders,
-       COUNT(CASE WHEN status = 'failed' THEN 1 END) AS failed_orders,
-       COUNT(CASE WHEN status = 'refunded' THEN 1 END) AS refunded_orders,
-       COUNT(CASE WHEN status = 'cancelled' THEN 1 END) AS cancelled_orders,
-       COUNT(CASE WHEN status = 'unknown' THEN 1 END) AS unknown_orders,
+       CAST(COALESCE(SUM(amount) FILTER (WHERE status = 'paid'), 0) AS DECIMAL(22,2)) AS total_revenue,
+       COUNT(*) FILTER (WHERE status = 'paid') AS total_paid_orders,
+       COUNT(*) FILTER (WHERE status = 'pending') AS pending_orders,
+       COUNT(*) FILTER (WHERE status = 'failed') AS failed_orders,
+       COUNT(*) FILTER (WHERE status = 'refunded') AS refunded_orders,
+       COUNT(*) FILTER (WHERE status = 'cancelled') AS cancelled_orders,
+       COUNT(*) FILTER (WHERE status = 'unknown') AS unknown_orders,
        COUNT(DISTINCT user_id) AS unique_users,
-       CASE WHEN COUNT(CASE WHEN status = 'paid' THEN 1 END) > 0
-            THEN CAST(SUM(CASE WHEN status = 'paid' THEN amount ELSE 0 END) AS DOUBLE)
-                 / COUNT(CASE WHEN status = 'paid' THEN 1 END)
-            ELSE 0 END AS avg_order_value
+       COALESCE(CAST(SUM(amount) FILTER (WHERE status = 'paid') AS DOUBLE)
+                / NULLIF(COUNT(*) FILTER (WHERE status = 'paid'), 0), 0) AS avg_order_value
 FROM silver_b GROUP BY payment_date
 """
 
