@@ -45,7 +45,8 @@ STATEMENTS = {
                      (SELECT count(*) FROM silver_events WHERE payment_date = :as_of) AS total_silver)""",
     "gold_revenue": """
         SELECT payment_date,
-               CAST(sum(CASE WHEN status = 'paid' THEN amount ELSE 0 END) AS DECIMAL(22,2)) AS total_revenue,
+               CAST(coalesce(sum(amount) FILTER (WHERE status = 'paid'), 0) AS DECIMAL(22,2))
+                 AS total_revenue,
                count_if(status = 'paid') AS total_paid_orders,
                count_if(status = 'pending') AS pending_orders,
                count_if(status = 'failed') AS failed_orders,
@@ -53,10 +54,8 @@ STATEMENTS = {
                count_if(status = 'cancelled') AS cancelled_orders,
                count_if(status = 'unknown') AS unknown_orders,
                count(DISTINCT user_id) AS unique_users,
-               CASE WHEN count_if(status = 'paid') > 0
-                    THEN CAST(sum(CASE WHEN status = 'paid' THEN amount ELSE 0 END) AS DOUBLE)
-                         / count_if(status = 'paid')
-                    ELSE 0D END AS avg_order_value
+               coalesce(try_divide(CAST(sum(amount) FILTER (WHERE status = 'paid') AS DOUBLE),
+                                   count_if(status = 'paid')), 0D) AS avg_order_value
         FROM silver_payments GROUP BY payment_date""",
 }
 

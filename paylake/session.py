@@ -36,7 +36,9 @@ def get_session(master: str | None = None, app: str = "paylake",
     cluster's own values apply; tests pass ``local[*]`` and a small number.
     """
     builder = (SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false"))
+               .config("spark.ui.showConsoleProgress", "false")
+               # checkpoint files of DataFrames that went out of scope are removed
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
