@@ -99,10 +99,19 @@ def _month_end(yyyymm: int) -> _dt.date:
 def apply_retention(spark: SparkSession, path: str, as_of: _dt.date | str,
                     days: int = BRONZE_TTL_DAYS, partition_col: str = "payment_month",
                     date_col: str = "payment_date") -> dict[str, int]:
-    """F7/L2 on a month-partitioned table: drop months that are wholly expired,
-    rewrite the one month that is partly expired (dynamic partition overwrite)."""
+    """Drop partitions that are wholly expired.
+
+    Month-partitioned (``payment_month``): months ending on or before the
+    cutoff are dropped and the one month that is partly expired is rewritten
+    (dynamic partition overwrite).  Day-partitioned (``partition_col`` is the
+    date column): expired days are dropped, nothing is rewritten."""
     as_of = _dt.date.fromisoformat(str(as_of))
     cutoff = as_of - _dt.timedelta(days=days)          # rows with date <= cutoff expire
+    if partition_col == date_col:
+        old = [v for v in list_partitions(spark, path, partition_col)
+               if _dt.date.fromisoformat(v[:10]) <= cutoff]
+        return {"dropped_partitions": drop_partitions(spark, path, partition_col, old),
+                "rewritten_rows": 0}
     months = list_partitions(spark, path, partition_col)
     whole = [m for m in months if _month_end(int(m)) <= cutoff]
     partial = [m for m in months if m not in whole and int(m) <= cutoff.year * 100 + cutoff.month]

@@ -149,3 +149,12 @@ def test_rebalance_splits_hot_partition(spark, tmp_dir):
     hot_files = glob.glob(f"{tmp_dir}/hot/payment_date=2024-01-01/*.parquet")
     assert len(hot_files) > 1
     assert spark.read.parquet(f"{tmp_dir}/hot").count() == 10000
+
+
+def test_apply_retention_day_partitions(spark, tmp_dir):
+    days = [dt.date(2024, 1, 15), dt.date(2024, 1, 16), dt.date(2024, 1, 17)]
+    path = f"{tmp_dir}/bronze_b"
+    write_partitioned(_df(spark, days), path, ["payment_date"])
+    out = apply_retention(spark, path, "2024-04-15", 90, partition_col="payment_date")
+    assert out["dropped_partitions"] == 2
+    assert [r.payment_date.day for r in spark.read.parquet(path).collect()] == [17]
