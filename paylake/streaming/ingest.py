@@ -168,6 +168,21 @@ def dedup_stream(rows: DataFrame, keys: Sequence[str], ts_col: str, delay: str =
                 .dropDuplicatesWithinWatermark(list(keys)).drop("_et"))
 
 
+def dedup_stream_combined(rows: DataFrame, key: str, ts_col: str,
+                          delay: str = "1 hour") -> DataFrame:
+    """T2 for keys with very many copies: deduplicate by ``(key, event time)``
+    as a watermarked streaming aggregation.  Copies are combined map-side
+    (``partial_max`` before the shuffle), so a key with a third of all rows
+    does not land on one task.  Trade-off: in append mode a key is emitted
+    once the watermark has passed its event time (``delay`` after newer data
+    arrives), not immediately; the survivor is the greatest copy (a total
+    order over the remaining columns)."""
+    timed = rows.withColumn("_et", event_time(ts_col)).withWatermark("_et", delay)
+    rest = [c for c in rows.columns if c != key]
+    return (timed.groupBy(key, "_et").agg(F.max(F.struct(*rest)).alias("_row"))
+                 .select(key, *[F.col(f"_row.{c}").alias(c) for c in rest]))
+
+
 def append_stream(rows: DataFrame, path: str, checkpoint: str, partition_cols: Sequence[str] = (),
                   trigger: dict | None = None, max_records_per_file: int | None = None) -> StreamingQuery:
     """Plain exactly-once file sink (the file sink's commit log)."""

@@ -160,3 +160,21 @@ def test_merge_silver_partitions(spark):
     kept = merge_silver(spark, lake)
     assert kept == before == s.count()
     assert lake.read(spark, "silver_events").count() == before
+
+
+def test_dedup_stream_combined(spark):
+    from paylake.streaming.ingest import append_stream, dedup_stream_combined
+    from paylake.sources.driver_tables import payments_from_events
+    lake = scratch_lake(spark, "t_dedup2")
+    ev = read_table_stream(spark, SF, "events")
+    twice = ev.unionByName(read_table_stream(spark, SF, "events").filter(F.col("event_id") % 2 == 0))
+    rows = payments_from_events(twice).withColumn("src", F.col("updated_at"))
+    out = f"{lake.root}/out"
+    run_to_end(append_stream(dedup_stream_combined(rows, "event_id", "updated_at", "1 hour"),
+                             out, f"{lake.root}/ck"))
+    got = spark.read.parquet(out)
+    events = driver_table(spark, SF, "events")
+    cutoff = events.agg(F.max("ts")).first()[0] - dt.timedelta(hours=1)
+    # every key whose event time the watermark has passed is emitted exactly once
+    assert got.groupBy("event_id", "updated_at").count().filter("count > 1").count() == 0
+    assert got.count() == events.filter(F.col("ts") < F.lit(cutoff)).count()
