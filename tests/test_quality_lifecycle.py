@@ -158,3 +158,20 @@ def test_apply_retention_day_partitions(spark, tmp_dir):
     out = apply_retention(spark, path, "2024-04-15", 90, partition_col="payment_date")
     assert out["dropped_partitions"] == 2
     assert [r.payment_date.day for r in spark.read.parquet(path).collect()] == [17]
+
+
+def test_cli_runs_chains(spark, tmp_dir):
+    from paylake.__main__ import main
+    from paylake.functions import payment_month
+    from paylake.sources.tables import Lakehouse
+    lake = Lakehouse(f"{tmp_dir}/lake")
+    _df(spark, [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]).withColumn("ingested_at", F.col("updated_at")) \
+        .withColumn("payment_month", payment_month("payment_date")) \
+        .write.partitionBy("payment_month").parquet(lake.path("bronze_a"))
+    assert main(["medallion", "--root", lake.root, "--now", "2024-01-02 00:30:00"]) == 0
+    assert lake.read(spark, "gold_revenue").count() == 2
+    assert main(["medallion", "--root", lake.root, "--now", "2024-02-01 00:00:00"]) == 1
+    assert main(["realtime", "--root", lake.root, "--now", "2024-01-02 00:03:00"]) == 0
+    assert main(["merge", "--root", lake.root]) == 0
+    assert main(["retention", "--root", lake.root, "--as-of", "2024-03-31"]) == 0
+    assert spark.read.parquet(lake.path("bronze_a")).count() == 1
