@@ -1,9 +1,11 @@
 """Command line for schedulers: run one chain against a lakehouse root.
 
-    spark-submit -m paylake realtime  --root s3://bucket/lake
-    spark-submit -m paylake medallion --root s3://bucket/lake [--now "2024-01-30 12:00:00"]
-    spark-submit -m paylake merge     --root s3://bucket/lake      (background silver merge)
-    spark-submit -m paylake retention --root s3://bucket/lake --as-of 2024-04-15
+    spark-submit paylake/__main__.py realtime  --root s3://bucket/lake
+    spark-submit paylake/__main__.py medallion --root s3://bucket/lake [--now "2024-01-30 12:00:00"]
+    spark-submit paylake/__main__.py merge     --root s3://bucket/lake   (background silver merge)
+    spark-submit paylake/__main__.py retention --root s3://bucket/lake --as-of 2024-04-15
+
+(``python -m paylake ...`` does the same with a local session.)
 
 The process exits non-zero when a gate or data test fails, so the scheduler
 stops what follows (T8).
