@@ -83,7 +83,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     source's own split option instead (Kafka ``minPartitions``)."""
     if df.isStreaming:
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave as is
+        return df
+    return df.repartition(target) if current < target else df
