@@ -2,7 +2,6 @@
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from paylake.functions import (
     normalize_status, parse_date_strict, parse_timestamp_ms, payment_month, to_amount_decimal,

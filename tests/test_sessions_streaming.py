@@ -95,7 +95,6 @@ def test_dedup_stream(spark):
 
 def test_bronze_b_stream_and_latest_start(spark):
     from paylake.operators.parse import bronze_lane_b
-    from paylake.sources.streams import read_messages
     from paylake.streaming.ingest import bronze_b_stream
     lake = scratch_lake(spark, "t_lane_b")
     topic = f"{lake.root}/topic"

@@ -1,7 +1,6 @@
 """Incremental watermark (FIXTURES.md 2.3), dedup, upsert, versions, schema policy."""
 import datetime as dt
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paylake.operators.merge import (
