@@ -51,7 +51,9 @@ from paylake.sources.driver_tables import (
     CORRUPT_EVERY,
     REJECT_CASES,
     REJECT_PAYLOADS,
+    driver_table,
     payments_from_events,
+    payments_from_lineitem,
     raw_payloads,
     redelivered,
 )
@@ -492,6 +494,27 @@ def q_silver_upsert(spark, sf_dir):
                         ["updated_at", "user_id", "amount", "status"])
 
 
+@register("silver_upsert_lineitem", O.with_layers("silver_b", bronze=O.LINEITEM_BRONZE_SELECT)
+          + _REDO_SQL)
+def q_silver_upsert_lineitem(spark, sf_dir):
+    """M3 upsert at larger volume: warehouse silver built from lineitem (key not
+    unique, several years of days), every 10th id redelivered an hour later."""
+    li = payments_from_lineitem(driver_table(spark, sf_dir, "lineitem"), keep_source_id=True)
+    redo = redelivered(li).drop("src_id", "batch_id")
+    current = sync_frame(silver_current(silver_rows(li.drop("src_id")).withColumn("batch_id", F.lit(0))))
+    return upsert_frame(current, to_warehouse_silver(silver_rows(redo)), list(SILVER_B_KEY),
+                        ["updated_at", "user_id", "amount", "status"])
+
+
+@register("gold_revenue_lineitem", O.with_layers("gold", bronze=O.LINEITEM_BRONZE_SELECT)
+          + "\nSELECT * FROM gold")
+def q_gold_revenue_lineitem(spark, sf_dir):
+    """G1 over the lineitem-derived layers (thousands of days)."""
+    li = I.lineitem_bronze(spark, sf_dir)
+    silver_b = sync_frame(silver_current(silver_rows(li).withColumn("batch_id", F.lit(0))))
+    return G.gold_revenue(silver_b, with_build_time=False)
+
+
 @register("sync_silver", O.with_layers("silver_b") + "\nSELECT * FROM silver_b")
 def q_sync_silver(spark, sf_dir):
     """M7 lane-A silver after two overlapping runs (with duplicates) synced into
