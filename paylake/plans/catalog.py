@@ -51,9 +51,7 @@ from paylake.sources.driver_tables import (
     CORRUPT_EVERY,
     REJECT_CASES,
     REJECT_PAYLOADS,
-    driver_table,
     payments_from_events,
-    payments_from_lineitem,
     raw_payloads,
     redelivered,
 )
@@ -499,7 +497,7 @@ def q_silver_upsert(spark, sf_dir):
 def q_silver_upsert_lineitem(spark, sf_dir):
     """M3 upsert at larger volume: warehouse silver built from lineitem (key not
     unique, several years of days), every 10th id redelivered an hour later."""
-    li = payments_from_lineitem(driver_table(spark, sf_dir, "lineitem"), keep_source_id=True)
+    li = I.lineitem_bronze(spark, sf_dir, keep_source_id=True)
     redo = redelivered(li).drop("src_id", "batch_id")
     current = sync_frame(silver_current(silver_rows(li.drop("src_id")).withColumn("batch_id", F.lit(0))))
     return upsert_frame(current, to_warehouse_silver(silver_rows(redo)), list(SILVER_B_KEY),

@@ -53,9 +53,10 @@ def bronze_with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payments_from_events(events(spark, sf_dir), keep_source_id=True)
 
 
-def lineitem_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A larger bronze with a non-unique key (from ``lineitem``)."""
-    return payments_from_lineitem(driver_table(spark, sf_dir, "lineitem"))
+def lineitem_bronze(spark: SparkSession, sf_dir: str, keep_source_id: bool = False) -> DataFrame:
+    """A larger bronze with a non-unique key (from ``lineitem``), spread over
+    the cores (the driver file is a single row group)."""
+    return payments_from_lineitem(spread(driver_table(spark, sf_dir, "lineitem")), keep_source_id)
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
