@@ -634,7 +634,8 @@ def q_stream_minute_counts(spark, sf_dir):
     lake, ckpt = _stream_dirs(spark, "stream_minutes")
     rows = payments_from_events(read_table_stream(spark, sf_dir, "events"))
     out = f"{lake.root}/minute_counts"
-    run_to_end(minute_counts_stream(rows, "updated_at", out, f"{ckpt}/minutes"))
+    run_to_end(minute_counts_stream(rows, "updated_at", out, f"{ckpt}/minutes",
+                                    state_partitions=spark.sparkContext.defaultParallelism))
     return spark.read.parquet(out).select("minute", "rows")
 
 
@@ -649,7 +650,8 @@ def q_stream_dedup(spark, sf_dir):
     rows = payments_from_events(events.unionByName(again))
     unique = dedup_stream(rows, ["event_id", "updated_at"], "updated_at", "1 hour")
     out = f"{lake.root}/deduped"
-    run_to_end(append_stream(unique, out, f"{ckpt}/dedup"))
+    run_to_end(append_stream(unique, out, f"{ckpt}/dedup",
+                             state_partitions=spark.sparkContext.defaultParallelism))
     return spark.read.parquet(out).select(*SILVER_COLUMNS)
 
 

@@ -48,13 +48,29 @@ def write_validated(keyed: DataFrame, sink: str, batch_id: int) -> None:
         _write_batch(keyed.select("value"), sink, batch_id, fmt="text")
 
 
+def start_with_state_partitions(writer, spark, state_partitions: int | None) -> StreamingQuery:
+    """Start a stream.  A stateful query fixes its number of state partitions
+    from ``spark.sql.shuffle.partitions`` at its first start (it is then kept
+    in the checkpoint); ``state_partitions`` sets it for this start only."""
+    if not state_partitions:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, previous)
+
+
 def _start(stream: DataFrame, name: str, checkpoint: str, handler: Callable | None = None,
-           trigger: dict | None = None, output_mode: str = "append") -> StreamingQuery:
+           trigger: dict | None = None, output_mode: str = "append",
+           state_partitions: int | None = None) -> StreamingQuery:
     writer = (stream.writeStream.queryName(name).option("checkpointLocation", checkpoint)
               .outputMode(output_mode).trigger(**(trigger or {"availableNow": True})))
     if handler is not None:
         writer = writer.foreachBatch(handler)
-    return writer.start()
+    return start_with_state_partitions(writer, stream.sparkSession, state_partitions)
 
 
 def gate_stream(messages: DataFrame, validated_path: str, quarantine_path: str,
@@ -144,7 +160,8 @@ def event_time(col: str) -> Column:
 
 
 def minute_counts_stream(rows: DataFrame, ts_col: str, out_path: str, checkpoint: str,
-                         watermark: str = "10 minutes", trigger: dict | None = None) -> StreamingQuery:
+                         watermark: str = "10 minutes", trigger: dict | None = None,
+                         state_partitions: int | None = None) -> StreamingQuery:
     """T5: tumbling one-minute counts with a watermark, emitted in update mode
     and merged into a day-partitioned table by minute (M3 upsert; a later batch's
     running count replaces the earlier one)."""
@@ -158,7 +175,8 @@ def minute_counts_stream(rows: DataFrame, ts_col: str, out_path: str, checkpoint
         out = out.withColumn("day", F.to_date("minute"))
         upsert(out.sparkSession, out_path, out, ["minute"], ["batch_id", "rows"], "day")
 
-    return _start(counts, "minute_counts", checkpoint, handle, trigger, output_mode="update")
+    return _start(counts, "minute_counts", checkpoint, handle, trigger, output_mode="update",
+                  state_partitions=state_partitions)
 
 
 def dedup_stream(rows: DataFrame, keys: Sequence[str], ts_col: str, delay: str = "1 hour") -> DataFrame:
@@ -184,7 +202,8 @@ def dedup_stream_combined(rows: DataFrame, key: str, ts_col: str,
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str, partition_cols: Sequence[str] = (),
-                  trigger: dict | None = None, max_records_per_file: int | None = None) -> StreamingQuery:
+                  trigger: dict | None = None, max_records_per_file: int | None = None,
+                  state_partitions: int | None = None) -> StreamingQuery:
     """Plain exactly-once file sink (the file sink's commit log)."""
     writer = (rows.writeStream.format("parquet").option("path", path)
               .option("checkpointLocation", checkpoint).outputMode("append")
@@ -193,7 +212,7 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str, partition_cols: S
         writer = writer.partitionBy(*partition_cols)
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    return writer.start()
+    return start_with_state_partitions(writer, rows.sparkSession, state_partitions)
 
 
 def run_to_end(query: StreamingQuery, timeout_s: float | None = None) -> StreamingQuery:
