@@ -604,10 +604,11 @@ def q_stream_bronze(spark, sf_dir):
     lake, ckpt = _stream_dirs(spark, "stream_bronze")
     topic, dropped = f"{lake.root}/topic/validated", f"{lake.root}/topic/dropped"
     raw = raw_payloads(read_table_stream(spark, sf_dir, "events"))
-    run_to_end(gate_stream(raw, topic, dropped, f"{ckpt}/gate"))
+    cores = spark.sparkContext.defaultParallelism
+    run_to_end(gate_stream(raw, topic, dropped, f"{ckpt}/gate", min_partitions=cores))
     validated = read_validated(spark, topic)
     run_to_end(bronze_a_stream(validated, lake.path("bronze_a"), lake.path("quarantine"),
-                               f"{ckpt}/bronze_a"))
+                               f"{ckpt}/bronze_a", min_partitions=cores))
     return lake.read(spark, "bronze_a").select(*SILVER_COLUMNS)
 
 
@@ -621,9 +622,10 @@ def q_stream_bronze_b(spark, sf_dir):
     lake, ckpt = _stream_dirs(spark, "stream_bronze_b")
     topic, dropped = f"{lake.root}/topic/validated", f"{lake.root}/topic/dropped"
     raw = raw_payloads(read_table_stream(spark, sf_dir, "events"))
-    run_to_end(gate_stream(raw, topic, dropped, f"{ckpt}/gate"))
+    cores = spark.sparkContext.defaultParallelism
+    run_to_end(gate_stream(raw, topic, dropped, f"{ckpt}/gate", min_partitions=cores))
     run_to_end(bronze_b_stream(read_validated(spark, topic), lake.path("bronze_b"),
-                               lake.path("quarantine"), f"{ckpt}/bronze_b"))
+                               lake.path("quarantine"), f"{ckpt}/bronze_b", min_partitions=cores))
     return lake.read(spark, "bronze_b").select(*SILVER_COLUMNS)
 
 

@@ -20,6 +20,7 @@ from paylake.functions import minute_of
 from paylake.operators.gate import gate_counter_columns, to_keyed, validate_events
 from paylake.operators.merge import upsert
 from paylake.operators.parse import enforce_broken_budget, split_staged, stage_lane_a, stage_lane_b
+from paylake.session import spread
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, partition_cols: Sequence[str] = (),
@@ -75,13 +76,20 @@ def _start(stream: DataFrame, name: str, checkpoint: str, handler: Callable | No
 
 def gate_stream(messages: DataFrame, validated_path: str, quarantine_path: str,
                 checkpoint: str, trigger: dict | None = None,
-                on_counters: Callable[[int, dict], None] | None = None) -> StreamingQuery:
+                on_counters: Callable[[int, dict], None] | None = None,
+                min_partitions: int | None = None) -> StreamingQuery:
     """S1 -> V1..V5 -> K1: forward messages that pass the gate (original text)
     and quarantine the rest.  Counters (V4) are observed during the write and
     handed to ``on_counters(batch_id, {...})``; the source position advances
-    whether or not messages were dropped (V2)."""
+    whether or not messages were dropped (V2).
+
+    ``min_partitions`` spreads a micro-batch that arrives in fewer splits over
+    that many tasks before validating (for file sources; Kafka sources split
+    with their own ``minPartitions`` option)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if min_partitions:
+            batch = spread(batch, min_partitions)
         checked = validate_events(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             from pyspark.sql import Observation
@@ -106,12 +114,15 @@ def ingest_log_path(table_path: str) -> str:
 
 def _bronze_stream(lane: Callable, messages: DataFrame, table_path: str, quarantine_path: str,
                    checkpoint: str, partition_col: str, trigger: dict | None,
-                   max_broken: int | None, name: str) -> StreamingQuery:
+                   max_broken: int | None, name: str,
+                   min_partitions: int | None = None) -> StreamingQuery:
     """Shared lane driver.  Besides rows and quarantine, each micro-batch logs
     one row ``(batch_id, rows, ingested_at)`` -- the arrival time is constant
     within a batch -- so arrival-time questions (new-data gate, ingestion rate)
     read the small log instead of scanning bronze."""
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if min_partitions:
+            batch = spread(batch, min_partitions)
         staged = lane(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good, bad = split_staged(staged)
@@ -137,21 +148,24 @@ def _bronze_stream(lane: Callable, messages: DataFrame, table_path: str, quarant
 
 def bronze_a_stream(messages: DataFrame, table_path: str, quarantine_path: str,
                     checkpoint: str, trigger: dict | None = None,
-                    max_broken: int | None = None) -> StreamingQuery:
+                    max_broken: int | None = None,
+                    min_partitions: int | None = None) -> StreamingQuery:
     """K2: each consumed block is parsed strictly (V6-V10) and appended to the
     month-partitioned lane-A bronze; failures go to quarantine.  The broken-
     message budget (V7) is off by default, as in the engine's error-stream mode."""
     return _bronze_stream(stage_lane_a, messages, table_path, quarantine_path, checkpoint,
-                          "payment_month", trigger, max_broken, "bronze_a")
+                          "payment_month", trigger, max_broken, "bronze_a", min_partitions)
 
 
 def bronze_b_stream(messages: DataFrame, table_path: str, quarantine_path: str,
-                    checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+                    checkpoint: str, trigger: dict | None = None,
+                    min_partitions: int | None = None) -> StreamingQuery:
     """K3: lenient parse (V8, F2, P4) into the day-partitioned lane-B bronze.
     Production trigger: ``{"processingTime": "60 seconds"}`` (commit interval);
     output per batch is replaced atomically on replay (exactly once)."""
     return _bronze_stream(stage_lane_b, messages, table_path, quarantine_path, checkpoint,
-                          "payment_date", trigger or {"availableNow": True}, None, "bronze_b")
+                          "payment_date", trigger or {"availableNow": True}, None, "bronze_b",
+                          min_partitions)
 
 
 def event_time(col: str) -> Column:
