@@ -61,17 +61,26 @@ def upsert_frame(current: DataFrame, updates: DataFrame, keys: Sequence[str],
 MAX_PRUNED_PARTITIONS = 10_000
 
 
-def touched_partitions(current: DataFrame, updates: DataFrame, partition_col: str) -> DataFrame:
-    """Rows of ``current`` in the partitions that ``updates`` touches.
-
-    The distinct partition values of the update (at most one per partition
-    directory) are fetched and applied as a literal IN-list, which Spark turns
-    into static partition pruning of the ``current`` scan -- no join, no
-    shuffle of the current table.  Beyond :data:`MAX_PRUNED_PARTITIONS` values
-    the whole table is merged (still correct, just unpruned)."""
+def partition_values(updates: DataFrame, partition_col: str) -> list | None:
+    """Distinct partition values of ``updates`` (at most one per partition
+    directory), or None beyond :data:`MAX_PRUNED_PARTITIONS`."""
     values = [r[0] for r in updates.select(partition_col).distinct()
               .limit(MAX_PRUNED_PARTITIONS + 1).collect()]
-    if len(values) > MAX_PRUNED_PARTITIONS:
+    return None if len(values) > MAX_PRUNED_PARTITIONS else values
+
+
+def touched_partitions(current: DataFrame, updates: DataFrame, partition_col: str,
+                       values: list | None = None) -> DataFrame:
+    """Rows of ``current`` in the partitions that ``updates`` touches.
+
+    The distinct partition values of the update are applied as a literal
+    IN-list, which Spark turns into static partition pruning of the
+    ``current`` scan -- no join, no shuffle of the current table.  Beyond
+    :data:`MAX_PRUNED_PARTITIONS` values the whole table is merged (still
+    correct, just unpruned)."""
+    if values is None:
+        values = partition_values(updates, partition_col)
+    if values is None:
         return current
     return current.filter(F.col(partition_col).isin(values))
 
@@ -84,8 +93,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str],
-           order: Sequence[str], partition_col: str) -> None:
-    """M3: primary-key upsert into a partitioned Parquet table at ``path``.
+           order: Sequence[str], partition_col: str) -> list | None:
+    """M3: primary-key upsert into a partitioned Parquet table at ``path``;
+    returns the partition values it rewrote (None when there were more than
+    :data:`MAX_PRUNED_PARTITIONS`, i.e. the whole table).
 
     Into an existing table: the update is checkpointed once (it is read twice
     -- for the touched partition values and for the merge -- and must not
@@ -94,16 +105,20 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[st
     over its own source, replaces exactly those partitions (dynamic partition
     overwrite).  A new table is simply written."""
     if not path_exists(spark, path):
+        updates = checkpointed(updates)
+        values = partition_values(updates, partition_col)
         merged = latest_by_key(updates, keys, order)
     else:
         updates = checkpointed(updates)
+        values = partition_values(updates, partition_col)
         current = spark.read.parquet(path)
-        merged = checkpointed(upsert_frame(touched_partitions(current, updates, partition_col),
+        merged = checkpointed(upsert_frame(touched_partitions(current, updates, partition_col, values),
                                            updates.select(*current.columns), keys, order))
     # REBALANCE (not repartition): AQE splits a partition value that holds a
     # large share of the rows into several ~64 MB files instead of one task.
     (merged.hint("rebalance", partition_col).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path))
+    return values
 
 
 def overwrite_table(df: DataFrame, path: str, version: int | None = None) -> int:
@@ -157,11 +172,12 @@ def sync_frame(silver_a: DataFrame, silver_b: DataFrame | None = None) -> DataFr
     return upsert_frame(silver_b.select(*SILVER_COLUMNS), incoming, SILVER_B_KEY, order)
 
 
-def sync_silver(spark: SparkSession, silver_a: DataFrame, path_b: str) -> None:
-    """M7: upsert current lane-A silver into the warehouse silver table."""
+def sync_silver(spark: SparkSession, silver_a: DataFrame, path_b: str) -> list | None:
+    """M7: upsert current lane-A silver into the warehouse silver table;
+    returns the days (partitions) it rewrote."""
     incoming = to_warehouse_silver(silver_a)
-    upsert(spark, path_b, incoming, SILVER_B_KEY, ["updated_at", "user_id", "amount", "status"],
-           "payment_date")
+    return upsert(spark, path_b, incoming, SILVER_B_KEY,
+                  ["updated_at", "user_id", "amount", "status"], "payment_date")
 
 
 def merge_partitions(spark: SparkSession, path: str, partition_col: str, values: Sequence,

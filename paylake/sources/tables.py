@@ -21,7 +21,9 @@ LAYERS = {
     "silver_events": ("silver/silver_events", "payment_month"),
     "silver_payments": ("silver/silver_payments", "payment_date"),
     "gold_revenue": ("gold/gold_revenue", "version"),
+    "gold_revenue_daily": ("gold/gold_revenue_daily", "payment_date"),
     "user_dim": ("silver/silver_users", None),
+    "sync_log": ("silver/_sync_log", None),
     "sessions": ("silver/silver_sessions", "session_date"),
 }
 
