@@ -29,6 +29,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--root", required=True, help="lakehouse root directory")
     parser.add_argument("--now", default=None, help="reference time (default: wall clock)")
     parser.add_argument("--as-of", default=None, help="day for retention / partition window")
+    parser.add_argument("--incremental-gold", action="store_true",
+                        help="medallion: refresh only the days the sync rewrote")
     args = parser.parse_args(argv)
 
     spark = get_session(app=f"paylake-{args.command}")
@@ -37,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "realtime":
             result = run_realtime(spark, lake, now=args.now)
         elif args.command == "medallion":
-            result = run_medallion(spark, lake, now=args.now)
+            result = run_medallion(spark, lake, now=args.now, incremental_gold=args.incremental_gold)
         elif args.command == "merge":
             result = {"rows_kept": merge_silver(spark, lake)}
         else:

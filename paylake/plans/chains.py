@@ -90,6 +90,15 @@ def merge_silver(spark: SparkSession, lake: Lakehouse, months: list[int] | None
                             ["payment_date", "user_id", "event_id"], order)
 
 
+def unsynced_batches(spark: SparkSession, lake: Lakehouse) -> DataFrame:
+    """Silver rows of the batches appended since the last sync (see the log)."""
+    last = -1
+    if lake.exists(spark, "sync_log"):
+        last = spark.read.parquet(lake.path("sync_log")).agg(F.max("batch_id")).first()[0]
+        last = -1 if last is None else last
+    return lake.read(spark, "silver_events").filter(F.col("batch_id") > last)
+
+
 def sync_new_batches(spark: SparkSession, lake: Lakehouse) -> list | None:
     """M7 incrementally: sync only silver batches appended since the last sync.
 
@@ -98,17 +107,13 @@ def sync_new_batches(spark: SparkSession, lake: Lakehouse) -> list | None:
     that changed.  The synced batch ids go to a one-row-per-sync log *after*
     the upsert: a crash in between re-syncs the batch (the upsert is
     idempotent) instead of losing it.  Returns the days rewritten."""
-    log_path = lake.path("sync_log")
-    last = -1
-    if lake.exists(spark, "sync_log"):
-        last = spark.read.parquet(log_path).agg(F.max("batch_id")).first()[0]
-        last = -1 if last is None else last
-    fresh = lake.read(spark, "silver_events").filter(F.col("batch_id") > last)
+    fresh = unsynced_batches(spark, lake)
     newest = fresh.agg(F.max("batch_id")).first()[0]
     if newest is None:
         return []
     days = sync_silver(spark, silver_current(fresh), lake.path("silver_payments"))
-    spark.createDataFrame([(int(newest),)], "batch_id bigint").write.mode("append").parquet(log_path)
+    (spark.createDataFrame([(int(newest),)], "batch_id bigint")
+          .write.mode("append").parquet(lake.path("sync_log")))
     return days
 
 
@@ -128,7 +133,10 @@ def run_medallion(spark: SparkSession, lake: Lakehouse, now=None,
     now = now if now is not None else _wall_clock(spark)
     Q.require_recent(lake.read(spark, "bronze_a"), now, hours, "updated_at")
     appended = silver_run(spark, lake)
-    silver = current_silver(spark, lake)
+    # data tests: all of silver (as a full test run does), or in incremental
+    # mode only the rows this run will sync
+    silver = silver_current(unsynced_batches(spark, lake)) if incremental_gold \
+        else current_silver(spark, lake)
     Q.raise_on_failure(Q.check_not_null(silver, ["event_id", "payment_date", "amount"])
                        .unionByName(Q.check_accepted(silver, "status", ACCEPTED_STATUSES)))
     days = sync_new_batches(spark, lake)
