@@ -68,6 +68,21 @@ def _fs(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The table's partition columns, read from its ``key=value`` directory
+    nesting (e.g. ``payment_month`` then ``batch_id`` for stream-written bronze)."""
+    fs, hpath = _fs(spark, path)
+    cols: list[str] = []
+    current = hpath
+    while True:
+        subdirs = [st.getPath() for st in fs.listStatus(current)
+                   if st.isDirectory() and "=" in st.getPath().getName()]
+        if not subdirs:
+            return cols
+        cols.append(subdirs[0].getName().split("=", 1)[0])
+        current = subdirs[0]
+
+
 def list_partitions(spark: SparkSession, path: str, partition_col: str) -> list[str]:
     """Values of the top-level ``partition_col=value`` directories (a listing)."""
     fs, hpath = _fs(spark, path)
@@ -124,7 +139,7 @@ def apply_retention(spark: SparkSession, path: str, as_of: _dt.date | str,
         from paylake.operators.merge import checkpointed
         keep = checkpointed(keep)
         rewritten = keep.count()
-        write_partitioned(keep, path, [partition_col], mode="overwrite")
+        write_partitioned(keep, path, partition_columns(spark, path), mode="overwrite")
         # A partition whose every row expired is not rewritten by a dynamic
         # overwrite (no rows for it), so remove it explicitly.
         survivors = {str(r[0]) for r in keep.select(partition_col).distinct().collect()}
@@ -152,8 +167,9 @@ def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
 
 def compact(spark: SparkSession, path: str, partition_col: str, values: Sequence[str]) -> None:
     """Rewrite the given partitions into fewer, larger files (small files from
-    frequent stream commits)."""
+    frequent stream commits).  All partition levels of the table are kept, so
+    the directory layout stays uniform."""
     table = spark.read.parquet(path)
     part = table.filter(F.col(partition_col).isin(list(values)))
     from paylake.operators.merge import checkpointed
-    write_partitioned(checkpointed(part), path, [partition_col], mode="overwrite")
+    write_partitioned(checkpointed(part), path, partition_columns(spark, path), mode="overwrite")

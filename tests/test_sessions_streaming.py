@@ -177,3 +177,21 @@ def test_dedup_stream_combined(spark):
     # every key whose event time the watermark has passed is emitted exactly once
     assert got.groupBy("event_id", "updated_at").count().filter("count > 1").count() == 0
     assert got.count() == events.filter(F.col("ts") < F.lit(cutoff)).count()
+
+
+def test_lifecycle_on_stream_written_bronze(spark):
+    from paylake.operators.lifecycle import apply_retention, compact, partition_columns
+    lake = scratch_lake(spark, "t_life")
+    topic = f"{lake.root}/topic"
+    raw_payloads(driver_table(spark, SF, "events")).select("value").write.text(f"{topic}/p1")
+    run_to_end(bronze_a_stream(read_validated(spark, f"{topic}/*"), lake.path("bronze_a"),
+                               lake.path("quarantine"), f"{lake.root}/ck"))
+    path = lake.path("bronze_a")
+    assert partition_columns(spark, path) == ["payment_month", "batch_id"]
+    before = spark.read.parquet(path).count()
+    compact(spark, path, "payment_month", ["202401"])
+    assert spark.read.parquet(path).count() == before
+    out = apply_retention(spark, path, "2024-04-15", 90)
+    left = spark.read.parquet(path)
+    assert out["rewritten_rows"] == left.count() > 0
+    assert left.agg(F.min("payment_date")).first()[0] > dt.date(2024, 1, 16)
