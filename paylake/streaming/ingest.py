@@ -9,12 +9,13 @@ batch replayed after a failure replaces, never duplicates, its output.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from paylake.functions import minute_of
 from paylake.operators.gate import gate_counter_columns, to_keyed, validate_events
@@ -22,6 +23,8 @@ from paylake.operators.merge import upsert
 from paylake.operators.parse import enforce_broken_budget, split_staged, stage_lane_a, stage_lane_b
 from paylake.session import spread
 
+_LOG = logging.getLogger("paylake.streaming")
+
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, partition_cols: Sequence[str] = (),
                  fmt: str = "parquet") -> None:
@@ -79,31 +82,64 @@ def gate_stream(messages: DataFrame, validated_path: str, quarantine_path: str,
                 on_counters: Callable[[int, dict], None] | None = None,
                 min_partitions: int | None = None) -> StreamingQuery:
     """S1 -> V1..V5 -> K1: forward messages that pass the gate (original text)
-    and quarantine the rest.  Counters (V4) are observed during the write and
-    handed to ``on_counters(batch_id, {...})``; the source position advances
-    whether or not messages were dropped (V2).
-
-    ``min_partitions`` spreads a micro-batch that arrives in fewer splits over
-    that many tasks before validating (for file sources; Kafka sources split
-    with their own ``minPartitions`` option)."""
+    and quarantine the rest; the source position advances whether or not
+    messages were dropped (V2).
+
+    Counters (V4) are observed on the stream as ``gate`` -- every progress
+    event carries them in ``observedMetrics`` (see :class:`CounterLog`) -- and
+    also handed to ``on_counters(batch_id, {...})`` synchronously per batch.
+    ``min_partitions`` spreads micro-batches that arrive in fewer splits over
+    that many tasks before validating (file sources; Kafka sources split with
+    their own ``minPartitions`` option)."""
+    stream = messages.select("value")
+    if min_partitions:
+        stream = stream.repartition(min_partitions)
+    checked = validate_events(stream).observe("gate", *gate_counter_columns())
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if min_partitions:
-            batch = spread(batch, min_partitions)
-        checked = validate_events(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        staged = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             from pyspark.sql import Observation
             obs = Observation(f"gate_{batch_id}")
-            good = checked.observe(obs, *gate_counter_columns()).filter(F.col("ok"))
+            good = staged.observe(obs, *gate_counter_columns()).filter(F.col("ok"))
             write_validated(to_keyed(good), validated_path, batch_id)
-            _write_batch(checked.filter(~F.col("ok")).select("value", "reason"),
+            _write_batch(staged.filter(~F.col("ok")).select("value", "reason"),
                          quarantine_path, batch_id)
             if on_counters is not None:
                 on_counters(batch_id, obs.get)
         finally:
-            checked.unpersist()
+            staged.unpersist()
+
+    return _start(checked, "gate", checkpoint, handle, trigger)
+
+
+class CounterLog(StreamingQueryListener):
+    """V4 reporting: logs a stream's observed counters at every progress event
+    (every trigger, e.g. ``processingTime='10 seconds'``) and the totals when
+    the query ends.  Register with ``spark.streams.addListener(CounterLog())``."""
+
+    def __init__(self, name: str = "gate", sink: Callable[[dict], None] | None = None):
+        self.name = name
+        self.totals: dict[str, int] = {}
+        self.sink = sink or (lambda record: _LOG.info("%s", record))
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 (listener API)
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        metrics = event.progress.observedMetrics.get(self.name)
+        if metrics is None:
+            return
+        values = metrics.asDict()
+        for key, value in values.items():
+            self.totals[key] = self.totals.get(key, 0) + (value or 0)
+        self.sink({"batch": event.progress.batchId, **values})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
 
-    return _start(messages.select("value"), "gate", checkpoint, handle, trigger)
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.sink({"final": dict(self.totals)})
 
 
 def ingest_log_path(table_path: str) -> str:

@@ -195,3 +195,25 @@ def test_lifecycle_on_stream_written_bronze(spark):
     left = spark.read.parquet(path)
     assert out["rewritten_rows"] == left.count() > 0
     assert left.agg(F.min("payment_date")).first()[0] > dt.date(2024, 1, 16)
+
+
+def test_gate_counters_in_progress_and_listener(spark):
+    import time as _t
+    from paylake.streaming.ingest import CounterLog
+    records = []
+    listener = CounterLog(sink=records.append)
+    spark.streams.addListener(listener)
+    try:
+        lake = scratch_lake(spark, "t_counters")
+        raw = raw_payloads(read_table_stream(spark, SF, "events"))
+        q = run_to_end(gate_stream(raw, f"{lake.root}/topic", f"{lake.root}/dropped",
+                                   f"{lake.root}/ck", min_partitions=4))
+        observed = [p["observedMetrics"]["gate"] for p in q.recentProgress if p.get("observedMetrics")]
+        total = driver_table(spark, SF, "events").count()
+        assert sum(m["consumed"] for m in observed) == total
+        deadline = _t.time() + 30
+        while not any("final" in r for r in records) and _t.time() < deadline:
+            _t.sleep(0.5)
+        assert listener.totals.get("consumed") == total
+    finally:
+        spark.streams.removeListener(listener)
