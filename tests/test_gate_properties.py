@@ -1,0 +1,52 @@
+"""Property test: the gate agrees with a plain-Python model of the typed
+decoder rules on randomly generated JSON objects."""
+import json
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from paylake.operators.gate import validate_events
+
+FIELDS = ("event_id", "user_id", "amount", "status", "payment_date", "updated_at")
+STRING_FIELDS = {"event_id", "status", "payment_date", "updated_at"}
+
+
+def model_ok(obj: dict) -> bool:
+    """Accept unless a key equal to a field name (ignoring case) holds a value
+    of the wrong JSON kind; null is always fine."""
+    for key, value in obj.items():
+        field = key.lower()
+        if field not in FIELDS or value is None:
+            continue
+        if field in STRING_FIELDS and not isinstance(value, str):
+            return False
+        if field == "user_id" and not (isinstance(value, int) and not isinstance(value, bool)
+                                       and 0 <= value < 2 ** 64):
+            return False
+        if field == "amount" and (isinstance(value, bool) or not isinstance(value, (int, float))):
+            return False
+    return True
+
+
+scalars = st.one_of(st.none(), st.booleans(), st.text(max_size=6),
+                    st.integers(min_value=-2 ** 70, max_value=2 ** 70),
+                    st.floats(allow_nan=False, allow_infinity=False))
+values = st.recursive(scalars, lambda inner: st.one_of(st.lists(inner, max_size=3),
+                                                       st.dictionaries(st.text(max_size=4), inner,
+                                                                       max_size=3)),
+                      max_leaves=4)
+keys = st.one_of(st.sampled_from(FIELDS), st.sampled_from([f.upper() for f in FIELDS]),
+                 st.sampled_from(["User_Id", "Amount", "eVent_id", "zz", "extra"]),
+                 st.text(max_size=5))
+objects = st.dictionaries(keys, values, max_size=6)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.too_slow,
+                                                                 HealthCheck.data_too_large])
+@given(st.lists(objects, min_size=60, max_size=60))
+def test_gate_matches_model(spark, batch):
+    payloads = [json.dumps(o, allow_nan=False) for o in batch]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i int, value string")
+    got = {r.i: r.ok for r in validate_events(df).collect()}
+    wrong = [(payloads[i], got[i]) for i, o in enumerate(batch) if got[i] != model_ok(o)]
+    assert not wrong, wrong[:5]
