@@ -50,3 +50,29 @@ def test_gate_matches_model(spark, batch):
     got = {r.i: r.ok for r in validate_events(df).collect()}
     wrong = [(payloads[i], got[i]) for i, o in enumerate(batch) if got[i] != model_ok(o)]
     assert not wrong, wrong[:5]
+
+
+STATUS_WORDS = ["paid", "PAID", "Pending", "failed", "refunded", "CANCELLED", "unknown", "x", ""]
+statuses = st.one_of(
+    st.none(),
+    st.builds(lambda pre, word, post: pre + word + post,
+              st.sampled_from(["", " ", "  ", "\t", " \t"]), st.sampled_from(STATUS_WORDS),
+              st.sampled_from(["", " ", "\t", "  "])),
+    st.text(alphabet="abcdefPAID \t", max_size=8))
+
+
+def model_status(raw):
+    if raw is None:
+        return "unknown"
+    cleaned = raw.strip(" ").lower()          # SQL trim removes spaces only
+    return cleaned if cleaned in ("paid", "pending", "failed", "refunded", "cancelled") else "unknown"
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(st.lists(statuses, min_size=80, max_size=80))
+def test_normalize_status_matches_model(spark, batch):
+    from paylake.functions import normalize_status
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(batch)], "i int, s string")
+    got = {r.i: r.n for r in df.select("i", normalize_status("s").alias("n")).collect()}
+    wrong = [(batch[i], got[i]) for i in range(len(batch)) if got[i] != model_status(batch[i])]
+    assert not wrong, wrong[:5]
