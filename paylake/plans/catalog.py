@@ -46,7 +46,13 @@ from paylake.schemas import (
     STATUS_MAX_LEN,
 )
 from paylake.plans.sql_reports import run_report
-from paylake.plans.chains import current_silver, run_medallion, run_realtime, scratch_lake
+from paylake.plans.chains import (
+    current_silver,
+    realtime_stream,
+    run_medallion,
+    run_realtime,
+    scratch_lake,
+)
 from paylake.sources.driver_tables import (
     CORRUPT_EVERY,
     REJECT_CASES,
@@ -691,6 +697,24 @@ def q_realtime_chain(spark, sf_dir):
     return current_silver(spark, lake).select(*SILVER_COLUMNS)
 
 
+@register("realtime_stream_chain", O.with_layers("silver", bronze=_GATED_BRONZE) + """
+SELECT event_id, user_id, amount, status, payment_date,
+       date_trunc('millisecond', updated_at) AS updated_at FROM silver""")
+def q_realtime_stream_chain(spark, sf_dir):
+    """T6/T7 fully streamed: events -> gate stream -> validated topic -> lane-A
+    bronze stream (with ingestion log) -> log-triggered silver runs; the merged
+    silver is read back."""
+    lake, ckpt = _stream_dirs(spark, "realtime_stream")
+    topic, dropped = f"{lake.root}/topic/validated", f"{lake.root}/topic/dropped"
+    cores = spark.sparkContext.defaultParallelism
+    run_to_end(gate_stream(raw_payloads(read_table_stream(spark, sf_dir, "events")), topic, dropped,
+                           f"{ckpt}/gate", min_partitions=cores))
+    run_to_end(bronze_a_stream(read_validated(spark, topic), lake.path("bronze_a"),
+                               lake.path("quarantine"), f"{ckpt}/bronze_a", min_partitions=cores))
+    run_to_end(realtime_stream(spark, lake, f"{ckpt}/silver"))
+    return current_silver(spark, lake).select(*SILVER_COLUMNS)
+
+
 @register("medallion_chain", O.with_layers("gold", bronze=_GATED_BRONZE) + "\nSELECT * FROM gold")
 def q_medallion_chain(spark, sf_dir):
     """T8 end to end: recency gate (``now`` = newest event), silver run and

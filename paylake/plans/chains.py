@@ -149,3 +149,21 @@ def run_medallion(spark: SparkSession, lake: Lakehouse, now=None,
         gold, result = lake.read(spark, "gold_revenue"), {"gold_version": version}
     Q.raise_on_failure(Q.check_not_null(gold, ["payment_date", "total_revenue", "unique_users"]))
     return {"silver_appended": appended, **result}
+
+
+def realtime_stream(spark: SparkSession, lake: Lakehouse, checkpoint: str,
+                    trigger: dict | None = None, overlap_days: int = 1):
+    """T6/T7 without a scheduler: a stream over the bronze ingestion log whose
+    micro-batches run the silver step (``processingTime='1 minute'`` in
+    production).  A streaming query never overlaps itself, so at most one
+    silver run is active; a trigger with no new log rows does nothing."""
+    log_schema = "rows bigint, ingested_at timestamp_ntz, batch_id bigint"
+    log = (spark.readStream.schema(log_schema).option("basePath", lake.path("ingest_log"))
+           .parquet(lake.path("ingest_log")))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch.limit(1).count():
+            silver_run(spark, lake, overlap_days)
+
+    return (log.writeStream.queryName("realtime_silver").option("checkpointLocation", checkpoint)
+               .trigger(**(trigger or {"availableNow": True})).foreachBatch(handle).start())

@@ -217,3 +217,19 @@ def test_gate_counters_in_progress_and_listener(spark):
         assert listener.totals.get("consumed") == total
     finally:
         spark.streams.removeListener(listener)
+
+
+def test_realtime_stream_runs_silver_per_trigger(spark):
+    from paylake.operators.silver import silver_rows
+    from paylake.plans.chains import current_silver, realtime_stream
+    lake = scratch_lake(spark, "t_rt")
+    topic = f"{lake.root}/topic"
+    raw_payloads(driver_table(spark, SF, "events")).select("value").write.text(f"{topic}/p1")
+    run_to_end(bronze_a_stream(read_validated(spark, f"{topic}/*"), lake.path("bronze_a"),
+                               lake.path("quarantine"), f"{lake.root}/ck_a"))
+    run_to_end(realtime_stream(spark, lake, f"{lake.root}/ck_rt"))
+    want = silver_rows(lake.read(spark, "bronze_a"))
+    got = current_silver(spark, lake)
+    assert got.count() == want.count() > 0
+    run_to_end(realtime_stream(spark, lake, f"{lake.root}/ck_rt"))   # no new log rows: no run
+    assert lake.read(spark, "silver_events").agg(F.max("batch_id")).first()[0] == 0
