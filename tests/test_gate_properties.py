@@ -76,3 +76,24 @@ def test_normalize_status_matches_model(spark, batch):
     got = {r.i: r.n for r in df.select("i", normalize_status("s").alias("n")).collect()}
     wrong = [(batch[i], got[i]) for i in range(len(batch)) if got[i] != model_status(batch[i])]
     assert not wrong, wrong[:5]
+
+
+rows_strategy = st.lists(
+    st.tuples(st.sampled_from(["hot"] * 6 + ["a", "b", "c"]),        # one key holds most rows
+              st.integers(0, 5), st.one_of(st.none(), st.integers(0, 3)), st.text("xy", max_size=2)),
+    min_size=1, max_size=120)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(rows_strategy)
+def test_latest_by_key_matches_brute_force(spark, rows):
+    from paylake.operators.merge import latest_by_key
+    df = spark.createDataFrame(rows, "k string, v int, w int, s string").repartition(4)
+    got = sorted(tuple(r) for r in latest_by_key(df, ["k"], ["v", "w", "s"]).collect())
+    # descending by (v, w, s) with NULLs last -> greatest with None below every value
+    best = {}
+    for k, v, w, s in rows:
+        rank = (v, (w is not None, w if w is not None else 0), s)
+        if k not in best or rank > best[k][0]:
+            best[k] = (rank, (k, v, w, s))
+    assert got == sorted(r for _, r in best.values())
