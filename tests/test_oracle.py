@@ -21,9 +21,15 @@ def duck():
     return con
 
 
+FORBIDDEN_PLAN_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+                        "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [n for n in FORBIDDEN_PLAN_NODES if n in plan], plan
     srecs = [tuple(r) for r in df.collect()]
     sql = E.oracle_sql().get(name)
     if sql is None:
