@@ -11,8 +11,10 @@ The rule is that of a strict typed JSON decoder:
   ``user_id`` an unsigned 64-bit integer, ``amount`` a finite number; ``null``
   is allowed for every field.
 
-Everything is evaluated with Spark's VARIANT expressions inside whole-stage
-code generation -- no Python runs per row.  ``try_parse_json`` stops at the
+Everything is evaluated with Spark's native VARIANT expressions in the JVM --
+no Python runs per row.  The common case (no upper-case key) is plain
+code-generated expressions; only objects with upper-case keys take a
+case-insensitive lambda over all entries.  ``try_parse_json`` stops at the
 end of the first JSON value, so the text is checked in two wrappings:
 ``[<text>]`` must be an array of exactly one element (rejects ``{}, 1``;
 a streaming ``json_array_length``) and ``{"a":<text>,"z":0}`` must be an
@@ -114,9 +116,9 @@ def gate_reason(value: Column) -> Column:
 def validate_events(df: DataFrame, value_col: str = "value") -> DataFrame:
     """V1: add ``ok`` (BOOLEAN) and ``reason`` (STRING, NULL when ok).
 
-    The parsed forms are staged as columns of their own projections so that
-    each message is parsed once (Catalyst does not inline an expensive
-    expression into several uses)."""
+    The parsed forms are intermediate columns, dropped again at the end.
+    A filter on ``ok`` may be pushed towards the scan by Catalyst; that is
+    fine for row-local input, see :func:`paylake.session.spread` otherwise."""
     value = F.col(value_col).cast("string")
     parsed = _parsed(value)
     staged = (df.withColumn("_one", parsed["one"]).withColumn("_pair", parsed["pair"])
