@@ -198,7 +198,8 @@ def bronze_b_stream(messages: DataFrame, table_path: str, quarantine_path: str,
                     min_partitions: int | None = None) -> StreamingQuery:
     """K3: lenient parse (V8, F2, P4) into the day-partitioned lane-B bronze.
     Production trigger: ``{"processingTime": "60 seconds"}`` (commit interval);
-    output per batch is replaced atomically on replay (exactly once)."""
+    a replayed batch replaces its own output at job commit, so rows are never
+    duplicated (effectively exactly once)."""
     return _bronze_stream(stage_lane_b, messages, table_path, quarantine_path, checkpoint,
                           "payment_date", trigger or {"availableNow": True}, None, "bronze_b",
                           min_partitions)
