@@ -67,3 +67,19 @@ def test_report_over_merged_silver_prunes_months(spark, tmp_dir):
     assert "EqualTo(payment_date,2024-01-30)" in plan
     scan = plan.index("FileScan")
     assert plan.index("WindowGroupLimit") < scan      # filter sits below the dedup
+
+
+def test_spread_only_for_under_partitioned_inputs(spark, tmp_dir):
+    from paylake.session import spread
+    many = f"{tmp_dir}/many"
+    spark.range(0, 20000, numPartitions=12).write.parquet(many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")   # one split per file
+    try:
+        wide = spark.read.parquet(many)
+        assert wide.rdd.getNumPartitions() >= 4
+        assert "Exchange" not in _plan(spread(wide, 4))           # already split: no shuffle
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    one = spark.read.parquet(f"{SF}/events.parquet")
+    assert one.rdd.getNumPartitions() == 1
+    assert "RoundRobinPartitioning(4)" in _plan(spread(one, 4))
