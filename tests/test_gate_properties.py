@@ -1,5 +1,6 @@
 """Property test: the gate agrees with a plain-Python model of the typed
 decoder rules on randomly generated JSON objects."""
+import datetime
 import json
 
 from hypothesis import HealthCheck, given, settings
@@ -97,3 +98,19 @@ def test_latest_by_key_matches_brute_force(spark, rows):
         if k not in best or rank > best[k][0]:
             best[k] = (rank, (k, v, w, s))
     assert got == sorted(r for _, r in best.values())
+
+
+dates = st.dates(min_value=datetime.date(1960, 1, 1), max_value=datetime.date(2030, 12, 31))
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(st.lists(dates, max_size=8), st.lists(dates, min_size=1, max_size=30),
+       st.integers(min_value=0, max_value=3))
+def test_incremental_watermark_matches_model(spark, target_days, new_days, overlap):
+    from paylake.operators.silver import incremental_since
+    target = spark.createDataFrame([(d,) for d in target_days], "payment_date date")
+    new = spark.createDataFrame([(i, d) for i, d in enumerate(new_days)], "i int, payment_date date")
+    got = sorted(r.i for r in incremental_since(new, target, overlap).collect())
+    bound = (max(target_days) - datetime.timedelta(days=overlap)) if target_days \
+        else datetime.date(1970, 1, 1)
+    assert got == [i for i, d in enumerate(new_days) if d >= bound]
