@@ -114,3 +114,21 @@ def test_incremental_watermark_matches_model(spark, target_days, new_days, overl
     bound = (max(target_days) - datetime.timedelta(days=overlap)) if target_days \
         else datetime.date(1970, 1, 1)
     assert got == [i for i, d in enumerate(new_days) if d >= bound]
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(st.lists(st.integers(min_value=-10 ** 9, max_value=10 ** 9), min_size=1, max_size=200),
+       st.integers(min_value=1, max_value=8))
+def test_money_sum_is_exact_under_any_partitioning(spark, cents, parts):
+    from decimal import Decimal
+    from paylake.functions import money_sum
+    amounts = [c / 100 for c in cents]
+    df = spark.createDataFrame([(a,) for a in amounts], "amount double").repartition(parts)
+    got = df.agg(money_sum("amount").alias("s")).first().s
+    assert got == float(sum(Decimal(c) / 100 for c in cents))
+
+
+def test_money_sum_falls_back_for_huge_amounts(spark):
+    from paylake.functions import money_sum
+    df = spark.createDataFrame([(1.5,), (1.2e50,)], "amount double")
+    assert df.agg(money_sum("amount").alias("s")).first().s == 1.2e50 + 1.5
