@@ -1,5 +1,6 @@
-"""Property test: the gate agrees with a plain-Python model of the typed
-decoder rules on randomly generated JSON objects."""
+"""Hypothesis property tests against plain-Python models: the JSON gate,
+status normalisation, latest-by-key, the incremental watermark and exact
+money sums, on randomly generated inputs."""
 import datetime
 import json
 
