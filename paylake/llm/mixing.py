@@ -261,11 +261,12 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
              .agg(F.collect_list(F.struct("epoch", "lo", "hi")).alias("spans")))   # bounded by the document's length
     # rows equal in id, source and text differ in ``at`` alone: they are numbered on both sides
     order = Window.partitionBy("doc_id", "source_no", "th").orderBy("at")
-    spans = (placed.select("source_no", "doc_id", "th", "at", "source", "size")
-             .withColumn("copy", F.row_number().over(order))
-             .join(spans, (spans.source_no == placed.source_no) & (spans["at"] == placed["at"])
-                   & spans.doc_id.eqNullSafe(placed.doc_id) & (spans.th == placed.th) & (F.col("size") > 0), "inner")
-             .select(placed.doc_id.alias("k_id"), placed.th.alias("k_th"), F.col("source").alias("k_source"), "copy", "spans"))
+    p = (placed.filter("size > 0").withColumn("copy", F.row_number().over(order))).alias("p")
+    s = spans.alias("s")
+    spans = (p.join(s, (F.col("s.source_no") == F.col("p.source_no")) & (F.col("s.at") == F.col("p.at"))
+                    & F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("s.th") == F.col("p.th")))
+             .select(F.col("p.doc_id").alias("k_id"), F.col("p.th").alias("k_th"),
+                     F.col("p.source").alias("k_source"), F.col("p.copy").alias("k_copy"), "s.spans"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         "lang", F.col("source").cast("string").alias("source"),
@@ -273,7 +274,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     rows = rows.withColumn("copy", F.row_number().over(
         Window.partitionBy("doc_id", "source", "th").orderBy("lang")))
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th"))
-                       & F.col("source").eqNullSafe(F.col("k_source")) & (rows["copy"] == spans["copy"]))
+                       & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("copy") == F.col("k_copy")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
