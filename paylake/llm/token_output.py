@@ -10,11 +10,13 @@ parallel.
 
 from __future__ import annotations
 
+import array
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,9 @@ STRIPE_BYTES = 16 * 1024 * 1024
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
 #: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
-WORD_MEMORY = 400_000
+WORD_MEMORY = 1_000_000
+#: Bytes of text whose words are told apart together.
+SLICE_BYTES = 8_000_000
 
 _tokenizers: dict = {}
 
@@ -50,41 +54,59 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memory: dict[str, bytes] = {"": b""}
-
-    def encode_words(self, words: list[str]) -> None:
-        if len(self.memory) > WORD_MEMORY:
-            self.memory.clear()
-            self.memory[""] = b""
-        new = list({w for w in words if w not in self.memory})
+        self.memory: dict[str, bytes] = {}
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words as little-endian unsigned 32-bit integers."""
+        if len(self.memory) + len(words) > WORD_MEMORY:
+            self.memory = {}
+        out = list(map(self.memory.get, words))
+        new = [i for i, x in enumerate(out) if x is None]
         for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.memory[w] = np.asarray(e.ids, np.dtype("<u4")).tobytes()
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, end id last."""
-        end = END_ID.to_bytes(4, "little")
-        out: list[bytes] = []
-        for text in texts:
-            text = text or ""
-            if any(s in text for s in self.special):
-                ids = self.tok.encode(text, add_special_tokens=False).ids
-                out.append(np.asarray(ids, np.dtype("<u4")).tobytes() + end)
-                continue
-            words = text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.memory.__getitem__, words)) + end)
-            except KeyError:
-                self.encode_words(words)
-                memory = self.memory
-                if all(w in memory for w in words):
-                    out.append(b"".join(map(memory.__getitem__, words)) + end)
-                else:                                    # cleared on the way: many new words in one text
-                    ids = self.tok.encode(text, add_special_tokens=False).ids
-                    out.append(np.asarray(ids, np.dtype("<u4")).tobytes() + end)
+            part = [words[i] for i in new[k:k + 20_000]]
+            for i, w, e in zip(new[k:k + 20_000], part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                out[i] = self.memory[w] = array.array("I", e.ids).tobytes()
         return out
 
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, end id last in each text; offsets of the texts) of texts
+        without special tokens, from the ids of their distinct words."""
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        off = cut.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        raw = self.word_ids(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(raw), "<u4")
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        at = np.cumsum(size) - size
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[word]
+        before = np.concatenate([[0], np.cumsum(n)])
+        body = flat[np.repeat(at[word] - before[:-1], n) + np.arange(before[-1])]
+        ends = before[off - off[0]] + np.arange(len(off))            # where texts end, with the end ids before them
+        out = np.full(len(body) + len(texts), END_ID, np.uint32)
+        keep = np.ones(len(out), bool)
+        keep[ends[1:] - 1] = False
+        out[keep] = body
+        return out, ends
+
+    def whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = [*self.tok.encode(text, add_special_tokens=False).ids, END_ID]
+        return np.array(ids, np.uint32), np.array([0, len(ids)])
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, last row, ids, offsets) for stretches of rows in order."""
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        odd = np.zeros(len(texts), bool)
+        for token in self.special:
+            odd |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        stops = sorted({0, len(texts), *np.flatnonzero(odd), *(np.flatnonzero(odd) + 1)})
+        for a, b in zip(stops[:-1], stops[1:]):
+            if odd[a]:
+                yield a, b, *self.whole(texts[a].as_py())
+                continue
+            for c, d in common.slices(lengths[a:b], SLICE_BYTES):
+                yield a + c, a + d, *self.ids(texts.slice(a + c, d - c))
+
 
 def _encoder(path: str) -> WordEncoder:
     if path not in _tokenizers:
@@ -101,19 +123,10 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
         for batch in batches:
-            # The words of a batch that aren't known yet are encoded together.
-            texts = batch.column("text").to_pylist()
-            for a, b in common.slices(np.array([len(t or "") for t in texts]), 4_000_000):
-                words: set[str] = set()
-                for t in texts[a:b]:
-                    words.update((t or "").replace("\n", " ").split(" "))
-                enc.encode_words(words)
-                raw = enc.texts(texts[a:b])
-                off = np.zeros(b - a + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in raw], out=off[1:])
-                ids = pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(raw))])
+            for a, b, ids, off in enc.parts(batch.column("text")):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(off), ids)],
+                    [batch.column("doc_id").slice(a, b - a),
+                     pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.view(np.int32)))],
                     names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
