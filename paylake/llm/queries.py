@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op10_mixing
+from .quality_crf import op2_quality
+from .suffix_dedup import op1_suffix_dedup
 from .token_output import op9_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_quality": op2_quality,
         "op9_token_output": op9_token_output,
         "op10_mixing": op10_mixing,
     }
