@@ -79,8 +79,8 @@ class Hashes:
 
 def parse(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """Rows of step 1 for texts given as bytes and offsets: doc (index), lo, hi
-    (first and last start position, in the text), core, span, n (occurrences:
-    more than 1 for a run of positions that start equal strings)."""
+    (first and last start position, in the text), core, span, n (occurrences in
+    these texts: more than 1 where they hold a string several times)."""
     h = Hashes(data)
     size = len(data)
     first, end = off[:-1], off[1:]
@@ -134,12 +134,43 @@ def parse(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         out["span"].append(two[s])
         for name, v in (("doc", owner[k[s]]), ("lo", i[s]), ("hi", i[e]), ("n", e - s + 1)):
             out[name].append(v)
-    rows = {k: np.concatenate(v) for k, v in out.items()}
+    rows = _merged({k: np.concatenate(v) for k, v in out.items()}, h)
     rows["lo"] = rows["lo"] - first[rows["doc"]]
     rows["hi"] = rows["hi"] - first[rows["doc"]]
     return rows
 
 
+def _merged(rows: dict[str, np.ndarray], h: Hashes) -> dict[str, np.ndarray]:
+    """Rows of one slice in which each (core, span) stands once, with its number
+    of occurrences.  Positions that such a row stands for besides itself repeat
+    within the slice; they are kept as ranges, neighbouring ones joined, with a
+    key of their own and two occurrences."""
+    order = np.lexsort((rows["lo"], rows["span"], rows["core"]))
+    rows = {k: v[order] for k, v in rows.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (rows["core"][1:] != rows["core"][:-1]) | (rows["span"][1:] != rows["span"][:-1])
+    at = np.flatnonzero(new)
+    size = np.diff(np.concatenate([at, [len(new)]]))
+    total = np.add.reduceat(rows["n"], at) if len(at) else rows["n"]
+    known = np.repeat(size, size) > 1
+    if not known.any():
+        return rows
+    doc, lo, hi = rows["doc"][known], rows["lo"][known], rows["hi"][known]
+    rows = {k: v[at] for k, v in rows.items()}
+    rows["n"] = total
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order], hi[order]
+    top = np.maximum.accumulate(hi)                        # rows of a document don't overlap, documents follow each other
+    cut = np.ones(len(lo), bool)
+    cut[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > top[:-1] + 1)
+    s = np.flatnonzero(cut)
+    e = np.concatenate([s[1:], [len(lo)]]) - 1
+    lo, hi, doc = lo[s], top[e], doc[s]
+    ranges = {"doc": doc, "lo": lo, "hi": hi, "n": np.full(len(s), 2),
+              "core": common.mix64(h.of(lo, hi + LENGTH, 0) + np.uint64(2000)), "span": h.of(lo, hi + LENGTH, 1)}
+    return {k: np.concatenate([v, ranges[k].astype(v.dtype)]) for k, v in rows.items()}
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
