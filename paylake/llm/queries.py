@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk, url_filter
+from .bagminhash import op5_near_dedup
 from .mixing import op10_mixing
 from .quality_crf import op2_quality
 from .suffix_dedup import op1_suffix_dedup
@@ -16,10 +18,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_quality": op2_quality,
+        "op3_topk": topk.op3_topk,
+        "op4_url_filter": url_filter.op4_url_filter,
+        "op5_near_dedup": op5_near_dedup,
         "op9_token_output": op9_token_output,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk": topk.OP3_SQL, "op4_url_filter": url_filter.oracle()}
