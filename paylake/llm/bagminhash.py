@@ -17,9 +17,12 @@ Duplicates: texts with equal shingle multisets are one class representative.
 Signatures are cut into ``BANDS`` bands of ``ROWS`` components; representatives
 that share a band are candidates.  In each bucket the smallest id leads and is
 verified against every member (multiset overlap of the whole texts); verified
-links give components.  Members whose bucket still holds several components are
-then compared pair by pair across components, so no link that the bands offer
-is lost, while large groups of copies cost one comparison per member.
+links give components.  Buckets that still hold several components get
+``MORE_LEADERS`` further leaders one after the other.  Members that are then in
+different components of a bucket are compared pair by pair, except where the
+triangle inequality (1 - overlap is a metric) and the distances to the leaders
+exclude a link.  So no link that the bands offer is lost, while large groups of
+copies cost a few comparisons per member.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 #: The most rounds of label propagation; a component's diameter halves with each.
 MOST_ROUNDS = 60
+#: Further leaders that buckets of several components get before pairs are listed.
+MORE_LEADERS = 3
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(55).integers(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -199,8 +204,8 @@ def _texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a")
 
 
-def similar(texts: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose multiset overlap is ``least`` or more."""
+def overlaps(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the exact overlap ``j`` of their multisets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = (pc.binary_length(batch.column("text_a")).to_numpy(zero_copy_only=False)
@@ -217,11 +222,11 @@ def similar(texts: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> Da
                 at = np.flatnonzero(twin)
                 common_ = np.bincount(pair[at], np.minimum(count[at], count[at - 1]), n)
                 total = np.bincount(pair, count, n) - common_
-                ok = pa.array((total > 0) & (common_ >= least * total - 1e-9))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("a").slice(x, n).filter(ok), batch.column("b").slice(x, n).filter(ok)], names=["a", "b"])
+                    [batch.column("a").slice(x, n), batch.column("b").slice(x, n), pa.array(common_ / np.maximum(total, 1))],
+                    names=["a", "b", "j"])
 
-    return _texts(texts, pairs).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return _texts(texts, pairs).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, j double")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -250,6 +255,22 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     raise RuntimeError("label propagation did not end")
 
 
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (bucket, rep, ...) with ``comp``, of buckets that hold several components."""
+    placed = (members.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+              .withColumn("comp", F.coalesce("comp", "rep")))
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket")
+    return placed.join(several, "bucket")
+
+
+def _measured(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Members (bucket, rep, leader, comp) with ``leaders``: the list of distances
+    to the bucket's leaders, here of the first one."""
+    j = known.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "j")
+    return (members.join(j, ["leader", "rep"], "left")
+            .select("bucket", "rep", "comp", F.array(1 - F.when(F.col("rep") == F.col("leader"), 1.0).otherwise(F.col("j"))).alias("leaders")))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, th, rep, class_id): one row per row of ``docs`` (doc_id, text, ...).
 
@@ -276,21 +297,35 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts = common.staged(
         docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
         .select("rep", "text").dropDuplicates(["rep"]), "near-texts")
+    near = f"j >= {least} - 1e-9"
     star = shared.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = common.staged(similar(texts, star, least), "near-links")
+    known = common.staged(overlaps(texts, star), "near-overlaps")
+    links = known.filter(near).select("a", "b")
     comps = components(links, "near-star")
-    # buckets that hold several components: the rest of their pairs, across components
-    placed = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("bucket", "rep", "leader", F.coalesce("comp", "rep").alias("comp"))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket")
-    rest = common.staged(placed.join(open_, "bucket"), "near-open")
+    # buckets that hold several components, with each member's distance to the bucket's leaders so far
+    rest = _open(shared, comps)
+    rest = common.staged(_measured(rest, known), "near-open")
+    for turn in range(1, MORE_LEADERS + 1):
+        if not rest.limit(1).count():
+            break
+        lead = rest.groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("lead"))
+        led = rest.join(lead, "bucket")
+        found = common.staged(overlaps(texts, led.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()),
+                              "near-overlaps")
+        links = links.unionByName(found.filter(near).select("a", "b"))
+        comps = components(links, "near-star")
+        led = led.join(found.select(F.col("a").alias("lead"), F.col("b").alias("rep"), "j"), ["lead", "rep"], "left")
+        led = led.select("bucket", "rep", F.concat("leaders", F.array(1 - F.when(F.col("rep") == F.col("lead"), 1.0).otherwise(F.col("j")))).alias("leaders"))
+        rest = common.staged(_open(led, comps), "near-open")
+    # the rest of their pairs, across components; 1 - overlap is a metric, so members whose
+    # distances to a leader differ by more than 1 - least can't be similar
     x, y = rest.alias("x"), rest.alias("y")
+    apart = F.expr(f"exists(zip_with(x.leaders, y.leaders, (p, q) -> abs(p - q)), d -> d > {1 - least} + 1e-9)")
     more = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep"))
-                   & (F.col("x.comp") != F.col("y.comp")))
-            .filter("x.rep <> x.leader and y.rep <> x.leader")           # pairs with the leader are done
+                   & (F.col("x.comp") != F.col("y.comp")) & ~apart)
             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-    more_links = common.staged(similar(texts, more, least), "near-more")
-    comps = components(links.unionByName(more_links), "near-all")
+    found = common.staged(overlaps(texts, more), "near-overlaps")
+    comps = components(links.unionByName(found.filter(near).select("a", "b")), "near-all")
     named = (reps.select("rep", "least_id").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
              .withColumn("comp", F.coalesce("comp", "rep")))
     classes = named.groupBy("comp").agg(F.min("least_id").alias("class_id"))
@@ -301,6 +336,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return grouped.unionByName(alone)
 
 
+def blank_rows(docs: DataFrame) -> DataFrame:
+    """The rows whose text is null or has no word."""
+    return docs.filter(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x09-\x0D\x20]"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: doc_id, class_id (its smallest
     doc_id), kept (whether the document is the one that stays)."""

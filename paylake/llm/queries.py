@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import topk, url_filter
 from .bagminhash import op5_near_dedup
+from .gumbel_pieces import op8_gumbel_pieces
 from .mixing import op10_mixing
+from .pii_semicrf import op6_pii
+from .projected_ann import op7_projected_ann
 from .quality_crf import op2_quality
 from .suffix_dedup import op1_suffix_dedup
 from .token_output import op9_token_output
@@ -21,8 +25,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk": topk.op3_topk,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_near_dedup": op5_near_dedup,
+        "op6_pii": op6_pii,
+        "op7_projected_ann": op7_projected_ann,
+        "op8_gumbel_pieces": op8_gumbel_pieces,
         "op9_token_output": op9_token_output,
         "op10_mixing": op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
