@@ -46,7 +46,9 @@ K = 2
 OFFSET = 100
 SEED = 8
 #: Distinct words whose lattices a worker keeps; beyond it they start anew.
-WORD_MEMORY = 300_000
+WORD_MEMORY = 150_000
+#: Edges from here on stand for characters outside the vocabulary.
+CHAR = 1 << 20
 BLANK = "▁"
 _models: dict = {}
 
@@ -74,6 +76,17 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         self.logp = -np.log(OFFSET + np.arange(n, dtype=float))
         self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
+        keys = list(self.ids)
+        at = np.zeros(len(keys), np.uint64)
+        for i, w in enumerate(keys):
+            h = np.zeros(1, np.uint64)
+            for c in w:
+                h = common.mix64(h * np.uint64(31) + np.uint64(ord(c) + 1))
+            at[i] = h[0]
+        order = np.argsort(at)
+        self.hashes = at[order]
+        self.hash_len = np.array([len(w) for w in keys])[order]
+        self.hash_piece = np.array([self.ids[w] for w in keys])[order]
         self._words()
 
     def _words(self) -> None:
@@ -86,80 +99,96 @@ class Vocabulary:
         self.edges = 0
         self.first = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
-        self.piece = np.zeros(1 << 18, np.int32)
+        self.piece = np.zeros(1 << 18, np.int64)
         self.to = np.zeros(1 << 18, np.int64)
         self.upto = np.zeros(1 << 18)
         self.given = np.zeros(1 << 18)
 
-    def _lattice(self, word: str) -> tuple[list[list[tuple[int, int]]], list[str]]:
-        """Edges (piece, end) of each place of the word that a path reaches; a
-        character outside the vocabulary is a chain of byte edges."""
-        ids, n, longest = self.ids, len(word), self.longest
-        edges: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        extra: list[list[tuple[int, int]]] = []
-        for a in range(n):
-            for b in range(a + 1, min(n, a + longest) + 1):
-                i = ids.get(word[a:b])
-                if i is not None:
-                    edges[a].append((i, b))
-            if word[a] not in ids:
-                raw = word[a].encode("utf-8", "surrogatepass")
-                at = a
-                for j, c in enumerate(raw):
-                    to = a + 1 if j == len(raw) - 1 else n + 1 + len(extra)
-                    (edges[at] if at < n else extra[at - n - 1]).append((self.bytes[c], to))
-                    if to > n:
-                        extra.append([])
-                    at = to
-        return edges, extra
-
-    def _add(self, word: str) -> int:
-        edges, extra = self._lattice(word)
-        n = len(word)
-        places = list(range(n)) + list(range(n + 1, n + 1 + len(extra)))
-        all_edges = {p: (edges[p] if p < n else extra[p - n - 1]) for p in places}
-        beta = {n: 0.0}
-        logp = self.logp
-        order = self._order(all_edges, n)
-        for p in order:
-            s = [logp[i] + beta[to] for i, to in all_edges[p] if to in beta]
-            if s:
-                m = max(s)
-                beta[p] = m + float(np.log(sum(np.exp(x - m) for x in s)))
-        node = {p: self.nodes + k for k, p in enumerate(places)}
-        self._room(len(places), sum(map(len, all_edges.values())))
-        for p in places:
-            e = self.edges
-            self.first[node[p]] = e
-            if p in beta:
-                total = 0.0
-                for i, to in all_edges[p]:
-                    if to in beta:
-                        g = logp[i] + beta[to] - beta[p]
-                        total += np.exp(g)
-                        self.piece[self.edges], self.to[self.edges] = i, -1 if to == n else node[to]
-                        self.upto[self.edges], self.given[self.edges] = total, g
-                        self.edges += 1
-                self.upto[self.edges - 1] = 2.0
-            self.count[node[p]] = self.edges - e
-        self.nodes += len(places)
-        return node[0]
-
-    @staticmethod
-    def _order(edges: dict, n: int) -> list[int]:
-        """Places so that an edge's end comes before its beginning."""
-        done, out = {n}, []
-        for p in sorted((p for p in edges if p < n), reverse=True):
-            chain = []
-            todo = [to for _, to in edges[p] if to > n]
-            while todo:
-                q = todo.pop()
-                chain.append(q)
-                todo += [to for _, to in edges[q] if to > n]
-            out += [q for q in reversed(chain) if q not in done] + [p]
-            done.update(chain)
+    def _lattice(self, word: str) -> list[list[tuple[int, int]]]:
+        """Edges (piece, end) of each place of a word, one at a time: for tests.
+        A piece from ``CHAR`` on is a character outside the vocabulary."""
+        out = []
+        for a in range(len(word)):
+            out.append([(self.ids[word[a:b]], b) for b in range(a + 1, min(len(word), a + self.longest) + 1) if word[a:b] in self.ids])
+            if word[a] not in self.ids:
+                out[a].append((CHAR + ord(word[a]), a + 1))
         return out
 
+    def cost(self, piece: int) -> float:
+        """log p of a piece, or of a character's byte pieces."""
+        return float(self.logp[piece]) if piece < CHAR else float(sum(self.logp[self.bytes[c]] for c in chr(piece - CHAR).encode("utf-8", "surrogatepass")))
+
+    def _add(self, words: list[str]) -> None:
+        """Lattices of new distinct words, all at once: a place is a node; its
+        edges are the pieces that begin there, found by hashes of substrings."""
+        sizes = np.array([len(w) for w in words])
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        n = len(text)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        left = ends - np.arange(n)                          # characters up to the word's end
+        rows, lens, pieces = [], [], []
+        h = np.zeros(n, np.uint64)
+        single = np.zeros(n, bool)
+        for size in range(1, self.longest + 1):
+            at = np.flatnonzero(left >= size)
+            if not len(at):
+                break
+            h[at] = common.mix64(h[at] * np.uint64(31) + text[at + size - 1].astype(np.uint64) + np.uint64(1))
+            k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            hit = (self.hashes[k] == h[at]) & (self.hash_len[k] == size)
+            rows.append(at[hit])
+            lens.append(np.full(int(hit.sum()), size))
+            pieces.append(self.hash_piece[k[hit]])
+            if size == 1:
+                single[at[hit]] = True
+        odd = np.flatnonzero(~single)                       # characters outside the vocabulary
+        rows.append(odd)
+        lens.append(np.ones(len(odd), np.int64))
+        pieces.append(CHAR + text[odd])
+        row, size, piece = np.concatenate(rows), np.concatenate(lens), np.concatenate(pieces).astype(np.int64)
+        cost = self.logp[np.minimum(piece, len(self.logp) - 1)].copy()
+        for c in np.unique(piece[piece >= CHAR]):
+            cost[piece == c] = self.cost(int(c))
+        order = np.lexsort((size, row))
+        row, size, piece, cost = row[order], size[order], piece[order], cost[order]
+        first = np.searchsorted(row, np.arange(n))
+        count = np.diff(np.append(first, len(row)))
+        # backward masses, by characters left, in all words together
+        beta = np.zeros(n + 1)
+        total = np.zeros(len(row))
+        by = np.argsort(left, kind="stable")
+        cut = np.searchsorted(left[by], np.arange(1, int(left.max(initial=0)) + 2))
+        for k in range(len(cut) - 1):
+            at = by[cut[k]:cut[k + 1]]
+            if not len(at):
+                continue
+            e = np.repeat(first[at], count[at]) + np.arange(count[at].sum()) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
+            to = row[e] + size[e]
+            total[e] = cost[e] + np.where(to == ends[row[e]], 0.0, beta[np.minimum(to, n)])
+            begin = np.cumsum(count[at]) - count[at]
+            top = np.maximum.reduceat(total[e], begin)
+            beta[at] = top + np.log(np.add.reduceat(np.exp(total[e] - np.repeat(top, count[at])), begin))
+        given = total - beta[row]
+        run = np.cumsum(np.exp(given))
+        upto = run - np.repeat(run[first] - np.exp(given[first]), count)
+        upto[first + count - 1] = 2.0
+        self._room(n, len(row))
+        a, e = self.nodes, self.edges
+        self.first[a:a + n], self.count[a:a + n] = first + e, count
+        to = row + size
+        self.piece[e:e + len(row)], self.to[e:e + len(row)] = piece, np.where(to == ends[row], -1, to + a)
+        self.upto[e:e + len(row)], self.given[e:e + len(row)] = upto, given
+        self.nodes, self.edges = a + n, e + len(row)
+        self.node_of.update(zip(words, (a + np.cumsum(sizes) - sizes).tolist()))
+
+    def ids_of(self, edges: np.ndarray) -> np.ndarray:
+        """Piece ids of a path, characters outside the vocabulary as their bytes."""
+        piece = self.piece[edges]
+        if not (piece >= CHAR).any():
+            return piece.astype(np.int32)
+        return np.array([i for p in piece.tolist() for i in
+                         ([p] if p < CHAR else [self.bytes[c] for c in chr(p - CHAR).encode("utf-8", "surrogatepass")])], np.int32)
+
     def _room(self, nodes: int, edges: int) -> None:
         while self.nodes + nodes > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
@@ -173,16 +202,10 @@ class Vocabulary:
 
     def roots(self, words: list[str]) -> np.ndarray:
         """First lattice node of each word."""
-        get = self.node_of.get
-        out = list(map(get, words))
-        for i, x in enumerate(out):
-            if x is None:
-                w = words[i]
-                x = get(w)
-                if x is None:
-                    x = self.node_of[w] = self._add(w)
-                out[i] = x
-        return np.array(out, np.int64)
+        new = sorted(set(words) - self.node_of.keys())
+        for k in range(0, len(new), 20_000):
+            self._add(new[k:k + 20_000])
+        return np.array(list(map(self.node_of.__getitem__, words)), np.int64)
 
 
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
@@ -327,7 +350,7 @@ def sample(docs: DataFrame, k: int = K, seed: int = SEED, model: str | None = No
                         doc.append(a + i)
                         draw.append(n + 1)
                         results.append(r)
-                ids = [voc.piece[r["edges"]] for r in results]
+                ids = [voc.ids_of(r["edges"]) for r in results]
                 off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 at = pa.array(doc, pa.int64())
                 yield pa.RecordBatch.from_arrays(

@@ -11,8 +11,7 @@ TEXTS = ["Hello world", "  two  blanks\n\ttab ", "漢字 é𝄞 mix", "", None,
 
 
 def rows(spark):
-    return spark.createDataFrame([(i, t, 1, "d") for i, t in enumerate(TEXTS)] + [(None, "no id"), (0, "Hello world")] if False else
-                                 [(i, t, 1, "d") for i, t in enumerate(TEXTS)] + [(None, "no id", 1, "d"), (0, "Hello world", 2, "e")],
+    return spark.createDataFrame([(i, t, 1, "d") for i, t in enumerate(TEXTS)] + [(None, "no id", 1, "d"), (0, "Hello world", 2, "e")],
                                  "doc_id long, text string, draw int, decoded string")
 
 
@@ -34,29 +33,28 @@ def test_round_trip_distinct_and_repeatable(spark):
 
 
 def every(voc, word):
-    edges, extra = voc._lattice(word)
-    n = len(word)
+    edges, n = voc._lattice(word), len(word)
 
     def walk(p):
         if p == n:
             yield ()
             return
-        for i, to in (edges[p] if p < n else extra[p - n - 1]):
+        for i, to in edges[p]:
             for rest in walk(to):
                 yield (i,) + rest
-    out = {seg: float(np.exp(sum(voc.logp[i] for i in seg))) for seg in walk(0)}
+    out = {seg: float(np.exp(sum(voc.cost(i) for i in seg))) for seg in walk(0)}
     z = sum(out.values())
     return {k: v / z for k, v in out.items()}
 
 
-@pytest.mark.parametrize("text", ["on at", "ther"])
+@pytest.mark.parametrize("text", ["on at", "ther", "é漢t"])
 def test_draws_follow_sampling_without_replacement(text):
     voc = G.Vocabulary(G.default_model())
     words = G.words_of(text)
     probs = {(): 1.0}
     for w in words:
         probs = {a + b: p * q for a, p in probs.items() for b, q in every(voc, w).items()}
-    n = 6000
+    n = 3000
     first, second = Counter(), Counter()
     roots = voc.roots(words)
     for s in range(n):
@@ -67,9 +65,9 @@ def test_draws_follow_sampling_without_replacement(text):
         first[ids[0]] += 1
         second[ids[1]] += 1
     for seg, p in probs.items():
-        assert abs(first[seg] / n - p) < 0.03
+        assert abs(first[seg] / n - p) < 0.045
         want = sum(q * p / (1 - q) for other, q in probs.items() if other != seg)
-        assert abs(second[seg] / n - want) < 0.03
+        assert abs(second[seg] / n - want) < 0.045
 
 
 def test_all_segmentations_when_there_are_few():
