@@ -325,9 +325,14 @@ def train(docs: DataFrame) -> SemiMarkov:
     those with a digit or an at sign; texts above 20,000 characters aren't used
     for training."""
     text = F.col("text").cast("string")
-    rows = (docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
-            .filter((F.length("text") <= 20_000) & F.col("text").rlike("[0-9@]"))
-            .orderBy("h", "text").limit(SAMPLE_DOCS).collect())
+    some = (docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
+            .filter((F.length("text") <= 20_000) & F.col("text").rlike("[0-9@]")))
+    # hashes first, so that tasks send numbers and not texts
+    last = some.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    if last is None:
+        return fit([])
+    rows = some.filter(F.col("h") <= last).dropDuplicates(["h"]).limit(SAMPLE_DOCS).collect()
+    rows.sort(key=lambda r: (r.h, r.text))
     return fit([r.text for r in rows])
 
 
