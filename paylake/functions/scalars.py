@@ -119,21 +119,24 @@ def percent(part: ColumnOrName, whole: ColumnOrName, digits: int = 2) -> Column:
     return F.round(F.try_divide(_col(part).cast("double"), _col(whole)) * 100, digits)
 
 
-_WIDE_MONEY = "decimal(38,2)"
+#: Amounts are added at this scale: 16 whole digits and 12 decimals, so that a
+#: sum of up to 10^10 of them still fits DECIMAL(38,12).
+_WIDE_MONEY = "decimal(28,12)"
 
 
 def money_sum(c: ColumnOrName) -> Column:
-    """Sum of a DOUBLE money column by exact cent addition, returned as DOUBLE.
+    """Sum of a DOUBLE money column, returned as DOUBLE.
 
     Floating-point sums depend on the order rows are added in, which changes
-    with partitioning; adding cents exactly makes the total reproducible on any
-    cluster layout.  If some value does not fit DECIMAL(38,2) (a 50-digit
-    amount passes the gate) the plain floating-point sum is returned instead.
+    with partitioning.  Amounts below 10^16 are added exactly at twelve decimals
+    (no rounding to cents); larger ones, which pass the gate, are added as
+    doubles to that total, so one of them doesn't change how the others add up.
     """
     c = _col(c)
-    cents = c.try_cast(_WIDE_MONEY)
-    misfits = F.count_if(c.isNotNull() & cents.isNull())
-    return F.when(misfits == 0, F.sum(cents).cast("double")).otherwise(F.sum(c))
+    exact = c.try_cast(_WIDE_MONEY)
+    rest = F.sum(F.when(c.isNotNull() & exact.isNull(), c))
+    small = F.sum(exact).cast("double")
+    return F.when(rest.isNull(), small).otherwise(F.coalesce(small, F.lit(0.0)) + rest)
 
 
 def money_avg(c: ColumnOrName) -> Column:

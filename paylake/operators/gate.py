@@ -143,13 +143,16 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 def to_keyed(good: DataFrame, value_col: str = "value") -> DataFrame:
     """V3: ``(key, value)`` with the original text as value and ``event_id`` as key.
 
-    The key is read with the same case-insensitive, last-one-wins rule as the
-    gate.  Repartitioning by key is left to the sink (Kafka hashes the key).
+    The key is read with the same case-insensitive rule as the gate (of keys
+    equal in case the last stands, of others the last in name order that isn't
+    null); a message without an id has the key ``''``.
+    Repartitioning by key is left to the sink (Kafka hashes the key).
     """
     fields = F.map_entries(
         F.try_parse_json(F.col(value_col)).try_cast("map<string,variant>"))
     ids = F.filter(fields, lambda e: F.lower(e["key"]) == "event_id")
-    key = F.try_variant_get(F.try_element_at(ids, F.lit(-1))["value"], "$", "string")
+    texts = F.filter(F.transform(ids, lambda e: F.try_variant_get(e["value"], "$", "string")), lambda x: x.isNotNull())
+    key = F.coalesce(F.try_element_at(texts, F.lit(-1)), F.lit(""))
     return good.select(key.alias("key"), F.col(value_col).alias("value"),
                        *[c for c in good.columns if c not in (value_col, "key")])
 

@@ -105,6 +105,25 @@ def drop_partitions(spark: SparkSession, path: str, partition_col: str, values:
     return removed
 
 
+def drop_leaves(spark: SparkSession, path: str, levels: Sequence[str], partition_col: str,
+                values: set[str], survivors: set[tuple[str, ...]]) -> int:
+    """Remove the leaf directories under partitions ``values`` that aren't among
+    ``survivors`` (their values by level); returns how many."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    leaves = [((), root)]
+    for level in levels:
+        leaves = [((*seen, st.getPath().getName().split("=", 1)[1]), st.getPath())
+                  for seen, at in leaves for st in fs.listStatus(at)
+                  if st.isDirectory() and st.getPath().getName().startswith(f"{level}=")]
+    at = list(levels).index(partition_col)
+    gone = [p for seen, p in leaves if seen[at] in values and seen not in survivors]
+    for p in gone:
+        fs.delete(p, True)
+    return len(gone)
+
+
 def _month_end(yyyymm: int) -> _dt.date:
     year, month = divmod(int(yyyymm), 100)
     nxt = _dt.date(year + month // 12, month % 12 + 1, 1)
@@ -140,10 +159,11 @@ def apply_retention(spark: SparkSession, path: str, as_of: _dt.date | str,
         keep = checkpointed(keep)
         rewritten = keep.count()
         write_partitioned(keep, path, partition_columns(spark, path), mode="overwrite")
-        # A partition whose every row expired is not rewritten by a dynamic
-        # overwrite (no rows for it), so remove it explicitly.
-        survivors = {str(r[0]) for r in keep.select(partition_col).distinct().collect()}
-        drop_partitions(spark, path, partition_col, [m for m in partial if m not in survivors])
+        # A leaf directory (all partition levels, such as month / batch) whose every row
+        # expired is not rewritten by a dynamic overwrite (no rows for it): remove it.
+        levels = partition_columns(spark, path)
+        survivors = {tuple(str(v) for v in r) for r in keep.select(*levels).distinct().collect()}
+        dropped += drop_leaves(spark, path, levels, partition_col, set(partial), survivors)
     return {"dropped_partitions": dropped, "rewritten_rows": rewritten}
 
 

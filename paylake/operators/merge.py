@@ -47,26 +47,20 @@ def user_dim(silver: DataFrame) -> DataFrame:
 
 def upsert_frame(current: DataFrame, updates: DataFrame, keys: Sequence[str],
                  order: Sequence[str]) -> DataFrame:
-    """M3 merge semantics: the union of both, latest row per key wins.
+    """M3 merge semantics of a primary-key table: the later write wins.
 
-    Rows of ``updates`` win ties against ``current`` (a later write)."""
+    A key's row comes from ``updates`` if it is there, whatever its
+    ``updated_at``; ``order`` decides between rows of the same write."""
     cols = current.columns
     both = (current.select(*cols, F.lit(0).alias("_src"))
             .unionByName(updates.select(*cols, F.lit(1).alias("_src"))))
-    return latest_by_key(both, keys, list(order) + ["_src"]).drop("_src")
+    return latest_by_key(both, keys, ["_src", *order]).drop("_src")
 
 
-# Upper bound on distinct partition values pruned by literal list; partition
-# values are directory names, so their number is bounded by the table layout.
-MAX_PRUNED_PARTITIONS = 10_000
-
-
-def partition_values(updates: DataFrame, partition_col: str) -> list | None:
-    """Distinct partition values of ``updates`` (at most one per partition
-    directory), or None beyond :data:`MAX_PRUNED_PARTITIONS`."""
-    values = [r[0] for r in updates.select(partition_col).distinct()
-              .limit(MAX_PRUNED_PARTITIONS + 1).collect()]
-    return None if len(values) > MAX_PRUNED_PARTITIONS else values
+def partition_values(updates: DataFrame, partition_col: str) -> list:
+    """Distinct partition values of ``updates``: at most one per partition
+    directory, so their number is bounded by the table layout."""
+    return [r[0] for r in updates.select(partition_col).distinct().collect()]
 
 
 def touched_partitions(current: DataFrame, updates: DataFrame, partition_col: str,
@@ -75,13 +69,9 @@ def touched_partitions(current: DataFrame, updates: DataFrame, partition_col: st
 
     The distinct partition values of the update are applied as a literal
     IN-list, which Spark turns into static partition pruning of the
-    ``current`` scan -- no join, no shuffle of the current table.  Beyond
-    :data:`MAX_PRUNED_PARTITIONS` values the whole table is merged (still
-    correct, just unpruned)."""
+    ``current`` scan -- no join, no shuffle of the current table."""
     if values is None:
         values = partition_values(updates, partition_col)
-    if values is None:
-        return current
     return current.filter(F.col(partition_col).isin(values))
 
 
@@ -93,10 +83,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str],
-           order: Sequence[str], partition_col: str) -> list | None:
+           order: Sequence[str], partition_col: str) -> list:
     """M3: primary-key upsert into a partitioned Parquet table at ``path``;
-    returns the partition values it rewrote (None when there were more than
-    :data:`MAX_PRUNED_PARTITIONS`, i.e. the whole table).
+    returns the partition values it rewrote.
 
     Into an existing table: the update is checkpointed once (it is read twice
     -- for the touched partition values and for the merge -- and must not
@@ -156,23 +145,34 @@ def align_schema(df: DataFrame, target: T.StructType, policy: str = "ignore") ->
 
 def to_warehouse_silver(silver_a: DataFrame) -> DataFrame:
     """M7 column mapping: lane-A silver -> lane-B silver (DECIMAL amount, all
-    columns NOT NULL; a row whose amount overflows DECIMAL(12,2) is dropped)."""
+    columns NOT NULL).  Rows that don't fit are :func:`sync_misfits`."""
     return (silver_a.select("event_id", "user_id", to_amount_decimal("amount").alias("amount"),
                             "status", "payment_date", "updated_at")
                     .dropna(subset=list(SILVER_COLUMNS)))
 
 
+def sync_misfits(silver_a: DataFrame) -> DataFrame:
+    """The lane-A silver rows that :func:`to_warehouse_silver` can't hold, with
+    the ``reason``: the first column that is NULL, or an amount beyond
+    DECIMAL(12,2).  A sync writes them to the table ``sync_quarantine``."""
+    reason = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"null_{c}")) for c in SILVER_COLUMNS],
+                        F.when(to_amount_decimal("amount").isNull(), F.lit("amount_overflow")))
+    return (silver_a.select(*SILVER_COLUMNS).withColumn("reason", reason)
+                    .filter(F.col("reason").isNotNull()))
+
+
 def sync_frame(silver_a: DataFrame, silver_b: DataFrame | None = None) -> DataFrame:
     """M7 as a frame: current lane-A silver merged into warehouse silver on
-    ``(event_id, payment_date)``; the latest ``updated_at`` wins."""
+    ``(event_id, payment_date)``; the later write wins, within one write the
+    latest ``updated_at``.  One keyed pass either way."""
     order = ["updated_at", "user_id", "amount", "status"]
-    incoming = latest_by_key(to_warehouse_silver(silver_a), SILVER_B_KEY, order)
+    incoming = to_warehouse_silver(silver_a)
     if silver_b is None:
-        return incoming
+        return latest_by_key(incoming, SILVER_B_KEY, order)
     return upsert_frame(silver_b.select(*SILVER_COLUMNS), incoming, SILVER_B_KEY, order)
 
 
-def sync_silver(spark: SparkSession, silver_a: DataFrame, path_b: str) -> list | None:
+def sync_silver(spark: SparkSession, silver_a: DataFrame, path_b: str) -> list:
     """M7: upsert current lane-A silver into the warehouse silver table;
     returns the days (partitions) it rewrote."""
     incoming = to_warehouse_silver(silver_a)

@@ -16,6 +16,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paylake.operators.reports import on_day
 from paylake.functions import as_date, as_timestamp, minutes_before, percent
 from paylake.operators.silver import reject_reason
 
@@ -130,9 +131,8 @@ def _tagged_counts(frames: dict[str, DataFrame]) -> DataFrame:
 
 def drop_rate(bronze: DataFrame, silver: DataFrame, as_of) -> DataFrame:
     """Bronze vs silver rows on ``as_of``, dropped rows and drop %."""
-    day = as_date(as_of)
-    counts = _tagged_counts({"total_bronze": bronze.filter(F.col("payment_date") == day),
-                             "total_silver": silver.filter(F.col("payment_date") == day)})
+    counts = _tagged_counts({"total_bronze": on_day(bronze, as_of),
+                             "total_silver": on_day(silver, as_of)})
     return counts.select("total_bronze", "total_silver",
                          (F.col("total_bronze") - F.col("total_silver")).alias("dropped"),
                          percent(F.col("total_bronze") - F.col("total_silver"),
@@ -141,9 +141,8 @@ def drop_rate(bronze: DataFrame, silver: DataFrame, as_of) -> DataFrame:
 
 def drop_count(bronze: DataFrame, silver: DataFrame, as_of) -> DataFrame:
     """Lane-B variant without the percentage."""
-    day = as_date(as_of)
-    counts = _tagged_counts({"bronze_count": bronze.filter(F.col("payment_date") == day),
-                             "silver_count": silver.filter(F.col("payment_date") == day)})
+    counts = _tagged_counts({"bronze_count": on_day(bronze, as_of),
+                             "silver_count": on_day(silver, as_of)})
     return counts.select("bronze_count", "silver_count",
                          (F.col("bronze_count") - F.col("silver_count")).alias("dropped"))
 
@@ -151,9 +150,8 @@ def drop_count(bronze: DataFrame, silver: DataFrame, as_of) -> DataFrame:
 def lane_lag(bronze_a: DataFrame, bronze_b: DataFrame, as_of) -> DataFrame:
     """Rows in lane A vs lane B bronze on ``as_of``; the difference is what
     lane B has not committed yet."""
-    day = as_date(as_of)
-    counts = _tagged_counts({"lane_a_rows": bronze_a.filter(F.col("payment_date") == day),
-                             "lane_b_rows": bronze_b.filter(F.col("payment_date") == day)})
+    counts = _tagged_counts({"lane_a_rows": on_day(bronze_a, as_of),
+                             "lane_b_rows": on_day(bronze_b, as_of)})
     return counts.select("lane_a_rows", "lane_b_rows",
                          (F.col("lane_a_rows") - F.col("lane_b_rows")).alias("lag_rows"))
 
@@ -172,7 +170,7 @@ def lane_lag_by_day(bronze_a: DataFrame, bronze_b: DataFrame) -> DataFrame:
 
 def raise_on_failure(summary: DataFrame) -> None:
     """Stop a chain when a check summary has failing rows (T8 'tests')."""
-    failed = summary.filter(F.col("status") != "pass").limit(20).collect()
+    failed = summary.filter(F.col("status") != "pass").collect()      # one row per check
     if failed:
         raise RuntimeError("data checks failed: " + "; ".join(
             f"{r['check_name']}:{r['column_name']}={r['failures']}" for r in failed))

@@ -4,9 +4,9 @@ A session is a run of one user's events where consecutive events are at most
 ``gap`` apart.  A plain ``lag`` window over ``partitionBy(user)`` would send
 all of a very active user's rows to one task, so the work is split in two:
 
-1. Time is cut into chunks of ``chunk_minutes``.  Inside each
-   ``(user, chunk)`` the rows are sessionised with a window, giving session
-   *fragments* with mergeable partials (first/last time, counts, cent sums).
+1. Time is cut into chunks of ``chunk_minutes``, no longer than the gap, so the
+   rows of a ``(user, chunk)`` are one session *fragment*: a plain aggregation,
+   combined map-side (first/last time, counts, sums).
 2. Fragments of one user are stitched in time order: a fragment starts a new
    session when it begins more than ``gap`` after the previous one ends.
    A user has at most about ``span / chunk + span / gap`` fragments, however
@@ -18,32 +18,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_CENTS = "decimal(38,2)"
+#: As in money_sum: exact up to 10^16, larger amounts are added as doubles.
+_EXACT = "decimal(28,12)"
 
 
 def session_rollup(silver: DataFrame, gap_minutes: int = 30, chunk_minutes: int = 5,
                    ts: str = "updated_at") -> DataFrame:
-    """Sessions ``(user_id, session_start, session_end, session_date, events,
-    paid_events, paid_amount)``; ``session_date`` is the day the session starts."""
+    """Sessions ``(session_id, user_id, session_start, session_end, session_date,
+    events, paid_events, paid_amount)``; ``session_date`` is the day the session
+    starts and ``session_id`` the MD5 of user and start, the same in every run."""
+    if chunk_minutes > gap_minutes:
+        raise ValueError("a chunk must not be longer than the gap: it could hold two sessions")
     gap = F.expr(f"INTERVAL {int(gap_minutes)} MINUTES")
     chunk_us = int(chunk_minutes) * 60 * 1_000_000
     paid = F.col("status") == "paid"
-    rows = silver.select(
-        "user_id", F.col(ts).alias("_t"),
-        F.when(paid, 1).otherwise(0).alias("_paid"),
-        F.when(paid, F.col("amount").try_cast(_CENTS)).otherwise(F.lit(0).cast(_CENTS)).alias("_cents"),
-        F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / chunk_us).alias("_chunk"))
-
-    in_chunk = Window.partitionBy("user_id", "_chunk").orderBy("_t")
-    cut = F.coalesce(F.col("_t") - F.lag("_t").over(in_chunk) > gap, F.lit(True))
-    running = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fragments = (rows.withColumn("_cut", cut.cast("int"))
-                     .withColumn("_frag", F.sum("_cut").over(running))
-                     .groupBy("user_id", "_chunk", "_frag")
-                     .agg(F.min("_t").alias("_start"), F.max("_t").alias("_end"),
-                          F.count(F.lit(1)).alias("_events"), F.sum("_paid").alias("_paid"),
-                          F.sum("_cents").alias("_cents")))
-
+    fragments = (silver.withColumn("_chunk", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / chunk_us))
+                       .groupBy("user_id", "_chunk")
+                       .agg(F.min(ts).alias("_start"), F.max(ts).alias("_end"),
+                            F.count(F.lit(1)).alias("_events"), F.count_if(paid).alias("_paid"),
+                            F.sum(F.when(paid, F.col("amount").try_cast(_EXACT))).alias("_sum"),
+                            F.sum(F.when(paid & F.col("amount").try_cast(_EXACT).isNull(), F.col("amount"))).alias("_rest")))
     per_user = Window.partitionBy("user_id").orderBy("_start", "_end")
     stitch = F.coalesce(F.col("_start") - F.lag("_end").over(per_user) > gap, F.lit(True))
     stitched = (fragments.withColumn("_new", stitch.cast("int"))
@@ -53,7 +47,10 @@ def session_rollup(silver: DataFrame, gap_minutes: int = 30, chunk_minutes: int
                     .agg(F.min("_start").alias("session_start"), F.max("_end").alias("session_end"),
                          F.sum("_events").cast("bigint").alias("events"),
                          F.sum("_paid").cast("bigint").alias("paid_events"),
-                         F.sum("_cents").cast("double").alias("paid_amount"))
-                    .select("user_id", "session_start", "session_end",
+                         (F.coalesce(F.sum("_sum").cast("double"), F.lit(0.0))
+                          + F.coalesce(F.sum("_rest"), F.lit(0.0))).alias("paid_amount"))
+                    .select(F.md5(F.concat_ws("|", "user_id", F.unix_micros(F.col("session_start").cast("timestamp")).cast("string")))
+                            .alias("session_id"),
+                            "user_id", "session_start", "session_end",
                             F.to_date("session_start").alias("session_date"),
                             "events", "paid_events", "paid_amount"))

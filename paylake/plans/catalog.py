@@ -559,7 +559,8 @@ def q_user_dim(spark, sf_dir):
   SELECT *, SUM(new_session) OVER (PARTITION BY user_id ORDER BY updated_at
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
   FROM flagged)
-SELECT user_id, MIN(updated_at) AS session_start, MAX(updated_at) AS session_end,
+SELECT md5(concat_ws('|', user_id, CAST(epoch_us(MIN(updated_at)) AS VARCHAR))) AS session_id,
+       user_id, MIN(updated_at) AS session_start, MAX(updated_at) AS session_end,
        CAST(MIN(updated_at) AS DATE) AS session_date, COUNT(*) AS events,
        COUNT(*) FILTER (WHERE status = 'paid') AS paid_events,
        CAST(SUM(CASE WHEN status = 'paid' THEN CAST(amount AS DECIMAL(38,2)) ELSE 0 END) AS DOUBLE)

@@ -13,6 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paylake.sources.tables import register_views
 
+# The sum of amounts as money_sum() adds them: exactly where they fit, larger ones as doubles.
+_EXACT = "TRY_CAST(amount AS DECIMAL(28,12))"
+_MONEY = f"""CASE WHEN count_if(amount IS NOT NULL AND {_EXACT} IS NULL) = 0 THEN CAST(sum({_EXACT}) AS DOUBLE)
+                    ELSE coalesce(CAST(sum({_EXACT}) AS DOUBLE), 0D)
+                         + sum(CASE WHEN {_EXACT} IS NULL THEN amount END) END"""
+
 STATEMENTS = {
     "status_breakdown": """
         SELECT payment_date,
@@ -22,15 +28,15 @@ STATEMENTS = {
         FROM silver_events
         WHERE payment_date >= date_sub(:as_of, 7)
         GROUP BY payment_date ORDER BY payment_date DESC""",
-    "day_summary": """
+    "day_summary": f"""
         SELECT count(*) AS total_transactions, count_if(status = 'paid') AS paid_count,
-               CAST(sum(CAST(amount AS DECIMAL(38,2))) AS DOUBLE) AS total_amount,
-               CAST(sum(CAST(amount AS DECIMAL(38,2))) AS DOUBLE) / count(amount) AS avg_amount,
+               {_MONEY} AS total_amount,
+               try_divide({_MONEY}, count(amount)) AS avg_amount,
                count(DISTINCT user_id) AS unique_users
         FROM silver_events WHERE payment_date = :as_of""",
-    "top_users": """
+    "top_users": f"""
         SELECT user_id, count(*) AS num_transactions,
-               CAST(sum(CAST(amount AS DECIMAL(38,2))) AS DOUBLE) AS total_amount
+               {_MONEY} AS total_amount
         FROM silver_events WHERE payment_date = :as_of AND status = 'paid'
         GROUP BY user_id ORDER BY num_transactions DESC, user_id ASC LIMIT 10""",
     "bad_data_profile": """

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paylake.sources.tables import path_exists
+
 
 def _kafka(spark: SparkSession, url: str, starting: str, max_rows: int | None,
            min_partitions: int | None, group: str | None) -> DataFrame:
@@ -19,8 +21,7 @@ def _kafka(spark: SparkSession, url: str, starting: str, max_rows: int | None,
     reader = (spark.readStream.format("kafka")
               .option("kafka.bootstrap.servers", servers)
               .option("subscribe", topic)
-              .option("startingOffsets", starting)
-              .option("failOnDataLoss", "false"))
+              .option("startingOffsets", starting))      # lost offsets stop the query (the default)
     if max_rows:
         reader = reader.option("maxOffsetsPerTrigger", max_rows)
     if min_partitions:
@@ -34,11 +35,16 @@ def _kafka(spark: SparkSession, url: str, starting: str, max_rows: int | None,
 
 def read_messages(spark: SparkSession, src: str, starting: str = "earliest",
                   max_rows: int | None = None, min_partitions: int | None = None,
-                  group: str | None = None, max_files: int | None = None) -> DataFrame:
+                  group: str | None = None, max_files: int | None = None,
+                  position: str | None = None) -> DataFrame:
     """A stream of raw message text from a Kafka URL or a text directory/glob.
 
-    ``starting='latest'`` on a directory skips files that already existed when
-    the stream was defined (filter on the file's modification time)."""
+    ``starting='latest'`` on a directory skips files that already existed at the
+    stream's first start (filter on the file's modification time).  That start
+    is written to the folder ``position`` (keep it beside the stream's
+    checkpoint) and read from there on later starts, so files that arrive while
+    the query is down are read after a restart; without ``position`` it is the
+    time of this call.  (Kafka keeps the position in its checkpoint itself.)"""
     if src.startswith("kafka://"):
         return _kafka(spark, src, starting, max_rows, min_partitions, group)
     reader = spark.readStream.format("text")
@@ -46,23 +52,35 @@ def read_messages(spark: SparkSession, src: str, starting: str = "earliest",
         reader = reader.option("maxFilesPerTrigger", max_files)
     stream = reader.load(src)
     if starting == "latest":
-        started = spark.range(1).select(F.current_timestamp()).first()[0]
+        started = first_start(spark, position)
         stream = (stream.filter(F.col("_metadata.file_modification_time") > F.lit(started))
                         .select("value"))
     return stream
 
 
-def read_events(spark: SparkSession, src: str, starting: str = "earliest") -> DataFrame:
-    """The raw ``payment-events`` topic, own position, oldest first."""
-    return read_messages(spark, src, starting=starting, group="payment-ingestor")
+def first_start(spark: SparkSession, position: str | None):
+    """The time of a stream's first start, kept in the folder ``position``."""
+    now = spark.range(1).select(F.current_timestamp().alias("started"))
+    if position is None:
+        return now.first()[0]
+    if not path_exists(spark, position):
+        now.coalesce(1).write.mode("ignore").parquet(position)
+    return spark.read.parquet(position).agg(F.min("started")).first()[0]
+
+
+def read_events(spark: SparkSession, src: str, starting: str = "earliest",
+                group: str | None = None, max_files: int | None = None) -> DataFrame:
+    """The raw payment-event topic, own position, oldest first."""
+    return read_messages(spark, src, starting=starting, group=group, max_files=max_files)
 
 
 def read_validated(spark: SparkSession, src: str, starting: str = "earliest",
-                   max_rows: int | None = 65536, min_partitions: int | None = 4) -> DataFrame:
+                   max_rows: int | None = 65536, min_partitions: int | None = 4,
+                   max_files: int | None = None, position: str | None = None) -> DataFrame:
     """S2 (lane A, earliest, 65,536-row blocks, 4 consumers) and S3 (lane B,
     ``starting='latest'``) read of the validated topic."""
     return read_messages(spark, src, starting=starting, max_rows=max_rows,
-                         min_partitions=min_partitions)
+                         min_partitions=min_partitions, max_files=max_files, position=position)
 
 
 def read_table_stream(spark: SparkSession, directory: str, table: str,
