@@ -225,7 +225,8 @@ class Mix:
     def taken_pieces(self, placed: DataFrame) -> DataFrame:
         """Blocks joined with slots by index: (shard, slot, source_no, epoch,
         doc_id, th, at, lo, hi), the words of documents that each slot takes."""
-        joined = self.block_pieces(placed).join(self.slot_table(), ["source_no", "block"])
+        # the slot table grows with the mix and the planner can't estimate it: never broadcast
+        joined = self.block_pieces(placed).join(self.slot_table().hint("merge"), ["source_no", "block"])
         end = F.col("block") * F.lit(self.block) + F.col("use") - F.col("at")
         return (joined.withColumn("hi", F.least(F.col("hi"), end)).filter("hi > lo")
                 .select("shard", "slot", "source_no", "epoch", "doc_id", "th", "at", "lo", "hi"))
