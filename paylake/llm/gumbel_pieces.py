@@ -8,11 +8,13 @@ outside the vocabulary are their UTF-8 byte pieces, a single path.
 The ``k`` segmentations with the largest Gumbel-perturbed log-probabilities are
 ``k`` draws without replacement.  They are found by A-star search from the top:
 a node is a prefix of a segmentation and stands for all its completions, with
-the exact log-mass as its bound; the root's Gumbel is drawn, a child's Gumbels
-are drawn under the condition that their maximum is the parent's.  The best
-child keeps its parent's value, so following it draws an exact sample of the
-rest, and the others go to the queue with their truncated Gumbels; the next
-result starts from the queue's best node.
+the exact log-mass as its bound; the root's Gumbel is drawn, the Gumbels below a
+node under the condition that their maximum is the node's.  The best child keeps
+its parent's value, so following it draws an exact sample of the rest.  At each
+place of that path the edges not taken go to the queue together, with one
+Gumbel of their joint mass, truncated at the parent's value (only the largest
+that the results still wanted can need); the next result starts from the
+queue's best node: one of its edges is drawn, the edges left go back.
 
 Pieces never join a word end with the next word's blank, so the lattice of a
 text is the chain of its words' lattices and the masses of words multiply.  The
@@ -58,6 +60,11 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _longer(h: np.ndarray, char: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one character longer."""
+    return common.mix64(h * np.uint64(31) + char + np.uint64(1))
+
+
 class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
@@ -76,33 +83,38 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         self.logp = -np.log(OFFSET + np.arange(n, dtype=float))
         self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
+        # every prefix of a piece by its hash, and the piece that it is (or -1)
         keys = list(self.ids)
-        at = np.zeros(len(keys), np.uint64)
-        for i, w in enumerate(keys):
-            h = np.zeros(1, np.uint64)
-            for c in w:
-                h = common.mix64(h * np.uint64(31) + np.uint64(ord(c) + 1))
-            at[i] = h[0]
-        order = np.argsort(at)
-        self.hashes = at[order]
-        self.hash_len = np.array([len(w) for w in keys])[order]
-        self.hash_piece = np.array([self.ids[w] for w in keys])[order]
+        sizes = np.array([len(w) for w in keys])
+        text = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        start, piece = np.cumsum(sizes) - sizes, np.array([self.ids[w] for w in keys])
+        h, prefixes = np.zeros(len(keys), np.uint64), []
+        for size in range(1, self.longest + 1):
+            on = sizes >= size
+            start, sizes, piece = start[on], sizes[on], piece[on]
+            h = _longer(h[on], text[start + size - 1])
+            prefixes.append((h, np.full(len(h), size), np.where(sizes == size, piece, -1)))
+        h, size, piece = (np.concatenate(x) for x in zip(*prefixes))
+        order = np.lexsort((-piece, h))
+        order = order[np.concatenate([[True], np.diff(h[order]) != 0])]
+        self.hashes, self.hash_len, self.hash_piece = h[order], size[order], piece[order]
         self._words()
 
     def _words(self) -> None:
         """Tables of known words' lattice nodes, in growing arrays: ``first`` edge
         and number of edges of a node; of an edge its piece, the node it leads to
         (-1 at the word's end), its probability summed up over the node's edges,
-        and its log-probability given the node."""
+        and the log-probabilities given the node of it and of all other edges."""
         self.node_of: dict[str, int] = {}
         self.nodes = 0
         self.edges = 0
-        self.first = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
-        self.piece = np.zeros(1 << 18, np.int64)
-        self.to = np.zeros(1 << 18, np.int64)
+        self.first = np.zeros(1 << 16, np.int32)
+        self.count = np.zeros(1 << 16, np.int32)
+        self.piece = np.zeros(1 << 18, np.int32)
+        self.to = np.zeros(1 << 18, np.int32)
         self.upto = np.zeros(1 << 18)
         self.given = np.zeros(1 << 18)
+        self.side = np.zeros(1 << 18)
 
     def _lattice(self, word: str) -> list[list[tuple[int, int]]]:
         """Edges (piece, end) of each place of a word, one at a time: for tests.
@@ -126,33 +138,35 @@ class Vocabulary:
         n = len(text)
         ends = np.repeat(np.cumsum(sizes), sizes)
         left = ends - np.arange(n)                          # characters up to the word's end
-        rows, lens, pieces = [], [], []
-        h = np.zeros(n, np.uint64)
-        single = np.zeros(n, bool)
+        # positions whose text so far is a prefix of some piece, longer by one with each turn
+        at, h, found = np.arange(n), np.zeros(n, np.uint64), []
         for size in range(1, self.longest + 1):
-            at = np.flatnonzero(left >= size)
             if not len(at):
                 break
-            h[at] = common.mix64(h[at] * np.uint64(31) + text[at + size - 1].astype(np.uint64) + np.uint64(1))
-            k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-            hit = (self.hashes[k] == h[at]) & (self.hash_len[k] == size)
-            rows.append(at[hit])
-            lens.append(np.full(int(hit.sum()), size))
-            pieces.append(self.hash_piece[k[hit]])
-            if size == 1:
-                single[at[hit]] = True
-        odd = np.flatnonzero(~single)                       # characters outside the vocabulary
-        rows.append(odd)
-        lens.append(np.ones(len(odd), np.int64))
-        pieces.append(CHAR + text[odd])
-        row, size, piece = np.concatenate(rows), np.concatenate(lens), np.concatenate(pieces).astype(np.int64)
+            h = _longer(h, text[at + size - 1].astype(np.uint64))
+            k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = (self.hashes[k] == h) & (self.hash_len[k] == size)
+            piece = np.where(hit, self.hash_piece[k], -1)
+            if size == 1:                                   # characters outside the vocabulary
+                piece = np.where(piece < 0, CHAR + text, piece)
+            is_piece = piece >= 0
+            found.append((at[is_piece], size, piece[is_piece]))
+            go = hit & (left[at] > size)
+            at, h = at[go], h[go]
+        count = np.zeros(n, np.int64)
+        for at, _, _ in found:
+            count[at] += 1
+        first = np.cumsum(count) - count
+        row = np.repeat(np.arange(n), count)
+        size, piece, filled = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), first.copy()
+        for at, length, pieces in found:
+            size[filled[at]], piece[filled[at]] = length, pieces
+            filled[at] += 1
         cost = self.logp[np.minimum(piece, len(self.logp) - 1)].copy()
-        for c in np.unique(piece[piece >= CHAR]):
-            cost[piece == c] = self.cost(int(c))
-        order = np.lexsort((size, row))
-        row, size, piece, cost = row[order], size[order], piece[order], cost[order]
-        first = np.searchsorted(row, np.arange(n))
-        count = np.diff(np.append(first, len(row)))
+        odd = np.flatnonzero(piece >= CHAR)
+        if len(odd):
+            kinds, which = np.unique(piece[odd], return_inverse=True)
+            cost[odd] = np.array([self.cost(int(c)) for c in kinds])[which]
         # backward masses, by characters left, in all words together
         beta = np.zeros(n + 1)
         total = np.zeros(len(row))
@@ -172,29 +186,46 @@ class Vocabulary:
         run = np.cumsum(np.exp(given))
         upto = run - np.repeat(run[first] - np.exp(given[first]), count)
         upto[first + count - 1] = 2.0
+        # mass of a node's other edges; only the one above a half is summed from the others
+        p = np.exp(given)
+        over = p > 0.5
+        others = np.add.reduceat(np.where(over, 0.0, p), first)
+        with np.errstate(divide="ignore"):
+            side = np.log(np.where(over, others[row], 1.0 - p))
         self._room(n, len(row))
         a, e = self.nodes, self.edges
         self.first[a:a + n], self.count[a:a + n] = first + e, count
         to = row + size
         self.piece[e:e + len(row)], self.to[e:e + len(row)] = piece, np.where(to == ends[row], -1, to + a)
-        self.upto[e:e + len(row)], self.given[e:e + len(row)] = upto, given
+        self.upto[e:e + len(row)], self.given[e:e + len(row)], self.side[e:e + len(row)] = upto, given, side
         self.nodes, self.edges = a + n, e + len(row)
         self.node_of.update(zip(words, (a + np.cumsum(sizes) - sizes).tolist()))
 
     def ids_of(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of a path, characters outside the vocabulary as their bytes."""
         piece = self.piece[edges]
-        if not (piece >= CHAR).any():
-            return piece.astype(np.int32)
-        return np.array([i for p in piece.tolist() for i in
-                         ([p] if p < CHAR else [self.bytes[c] for c in chr(p - CHAR).encode("utf-8", "surrogatepass")])], np.int32)
+        odd = np.flatnonzero(piece >= CHAR)
+        if not len(odd):
+            return piece
+        kinds, which = np.unique(piece[odd], return_inverse=True)
+        codes = [[self.bytes[c] for c in chr(p - CHAR).encode("utf-8", "surrogatepass")] for p in kinds.tolist()]
+        sizes = np.array([len(c) for c in codes])
+        starts = np.cumsum(sizes) - sizes
+        n = np.ones(len(piece), np.int64)
+        n[odd] = sizes[which]
+        out, at = np.repeat(piece, n), (np.cumsum(n) - n)[odd]
+        code = np.concatenate(codes).astype(np.int32)
+        for k in range(int(sizes.max())):
+            more = sizes[which] > k
+            out[at[more] + k] = code[starts[which[more]] + k]
+        return out
 
     def _room(self, nodes: int, edges: int) -> None:
         while self.nodes + nodes > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
         while self.edges + edges > len(self.piece):
-            self.piece, self.to, self.upto, self.given = (
-                np.concatenate([x, np.zeros_like(x)]) for x in (self.piece, self.to, self.upto, self.given))
+            self.piece, self.to, self.upto, self.given, self.side = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.piece, self.to, self.upto, self.given, self.side))
 
     def begin(self) -> None:
         if len(self.node_of) > WORD_MEMORY:
@@ -220,47 +251,36 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _truncated(mass: np.ndarray, at_most: float, u: np.ndarray) -> np.ndarray:
-    """Gumbels with location ``mass`` under the condition to be at most ``at_most``."""
-    g = mass - np.log(-np.log(u))
-    v = at_most - g + np.log1p(-np.exp(np.minimum(g - at_most, -1e-300)))
-    with np.errstate(over="ignore", invalid="ignore"):
-        near = at_most - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
-        exact = -np.logaddexp(-at_most, -g)
-    return np.where(np.isfinite(exact), exact, near)
-
-
 def paths(voc: Vocabulary, roots: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, ...]:
     """One exact sample through the lattices that begin at ``roots``, all at once.
 
-    Returns, per step in order of (root, step): root index, step, node, edge."""
-    index = np.arange(len(roots))
-    node, seed = roots.copy(), seeds.copy()
-    out: list[tuple] = []
-    step = 0
+    Returns root index, node and edge of the paths' steps, in order of the roots."""
+    index, node, seed = np.arange(len(roots)), roots, seeds
+    steps, length = [], np.zeros(len(roots), np.int64)
     while len(node):
         seed = common.mix64(seed + np.uint64(0x9E3779B97F4A7C15))
         u = _uniform(seed)
-        edge = voc.first[node].copy()
+        edge = voc.first[node]
         more = np.flatnonzero(voc.upto[edge] < u)
         while len(more):
             edge[more] += 1
             more = more[voc.upto[edge[more]] < u[more]]
-        out.append((index, np.full(len(node), step), node, edge))
+        steps.append((index, node, edge))
+        length[index] += 1
         node = voc.to[edge]
         go = node >= 0
         index, node, seed = index[go], node[go], seed[go]
-        step += 1
-    if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    index, step_, node, edge = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((step_, index))
-    return index[order], step_[order], node[order], edge[order]
+    start = np.cumsum(length) - length
+    nodes, edges = np.zeros(int(length.sum()), np.int32), np.zeros(int(length.sum()), np.int32)
+    for k, (index, node, edge) in enumerate(steps):
+        at = start[index] + k
+        nodes[at], edges[at] = node, edge
+    return np.repeat(np.arange(len(roots)), length), nodes, edges
 
 
 class Sampler:
-    """Top-down search of one text.  A queue node is (value, first word or place
-    not yet fixed, prefix): its prefix of edges is a view on an earlier result."""
+    """Top-down search of one text.  A queue node stands for a prefix of edges
+    and the edges of its next lattice node but those given before."""
 
     def __init__(self, voc: Vocabulary, words: np.ndarray, seed: int):
         self.voc, self.words, self.seed = voc, words, seed
@@ -269,51 +289,88 @@ class Sampler:
         base = common.mix64(np.array([self.seed % 2**64], np.uint64) + np.uint64(draw * 1_000_003 + what))
         return common.mix64(base + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
-    def run(self, k: int, first: tuple | None = None) -> list[dict]:
+    def run(self, k: int) -> list[dict]:
         """Up to ``k`` results, largest value first: edges, log_prob, value, inclusion."""
+        return search(self.voc, [self], k)[0]
+
+    def steps(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The search: yields (lattice nodes, seeds) whose paths it needs, gets
+        them sent as (index, node, edge), and returns the results."""
         voc = self.voc
         if not len(self.words):
-            return [{"edges": np.zeros(0, np.int64), "log_prob": 0.0, "value": 0.0, "inclusion": 1.0}]
+            return [{"edges": np.zeros(0, np.int32), "log_prob": 0.0, "value": 0.0, "inclusion": 1.0}]
         root = float(-np.log(-np.log(_uniform(self._draws(0, 1, 1))[0])))
-        # queue nodes: (-value, number, prefix edges, words they span, node within the word or -1, mass)
-        queue: list[tuple] = [(-root, 0, np.zeros(0, np.int64), 0, -1, 0.0)]
+        # queue nodes: (-value, number, prefix, log mass of the prefix, lattice node or -1, edges given before, next word)
+        queue: list[tuple] = [(-root, 0, np.zeros(0, np.int32), 0.0, -1, (), 0)]
         number, results, kappa = 0, [], None
-        for draw in range(k + 1):
+        for draw in range(k):
             if not queue:
                 break
-            if draw == k:
-                kappa = -queue[0][0]
-                break
-            value, _, prefix, word, inner, mass = heapq.heappop(queue)
-            value = -value
-            rest = self.words[word:] if inner < 0 else np.concatenate([[inner], self.words[word:]])
-            index, _, node, edge = first if first is not None and draw == 0 else paths(voc, rest, self._draws(draw, 2, len(rest)))
+            value, _, prefix, mass, at, given_before, word = heapq.heappop(queue)
+            value, inner = -value, -1
+            if at >= 0:
+                # one of the edges left, and what then is left of them
+                u = _uniform(self._draws(draw, 4, 2))
+                left = [e for e in range(voc.first[at], voc.first[at] + voc.count[at]) if e not in given_before]
+                p = np.exp(voc.given[left])
+                i = min(int(np.searchsorted(np.cumsum(p), u[0] * p.sum(), side="right")), len(left) - 1)
+                rest = float(np.delete(p, i).sum())
+                if rest > 0:
+                    number += 1
+                    heapq.heappush(queue, (-float(_under(mass + np.log(rest) - np.log(-np.log(u[1])), value)), number,
+                                           prefix, mass, at, (*given_before, left[i]), word))
+                prefix, mass, inner = np.append(prefix, np.int32(left[i])), mass + float(voc.given[left[i]]), int(voc.to[left[i]])
+            todo = self.words[word:] if inner < 0 else np.concatenate([[inner], self.words[word:]])
+            index, node, edge = yield todo, self._draws(draw, 2, len(todo))
             given = voc.given[edge]
-            upto = mass + np.concatenate([[0.0], np.cumsum(given)])
-            # side children of the path: the other edges of its nodes
-            n = voc.count[node]
-            step = np.repeat(np.arange(len(node)), n)
-            other = voc.first[node][step] + np.arange(len(step)) - np.repeat(np.cumsum(n) - n, n)
-            keep = other != edge[step]
-            step, other = step[keep], other[keep]
-            side = upto[step] + voc.given[other]
-            g = _truncated(side, value, _uniform(self._draws(draw, 3, len(side))))
-            all_edges = np.concatenate([prefix, edge])
-            results.append({"edges": all_edges, "log_prob": float(upto[-1]), "value": value})
-            # only as many can be wanted as results are left, and one for kappa
+            upto = mass + np.cumsum(given) - given
+            results.append({"edges": np.concatenate([prefix, edge]), "log_prob": float(mass + given.sum()), "value": value})
+            # the edges not taken, by place; only as many can be wanted as results are left, and one for kappa
+            g = upto + voc.side[edge] - np.log(-np.log(_uniform(self._draws(draw, 3, len(edge)))))
             want = k - draw
             best = np.argpartition(-g, want - 1)[:want] if len(g) > want else np.arange(len(g))
-            for i in best:
-                number += 1
-                s, e = int(step[i]), int(other[i])
-                to = int(voc.to[e])
-                at_word = word + int(index[s]) + (0 if inner >= 0 else 1)
-                heapq.heappush(queue, (-float(g[i]), number, np.concatenate([prefix, edge[:s], [e]]), at_word, to, float(side[i])))
+            for s in best.tolist():
+                if g[s] > -np.inf:
+                    number += 1
+                    heapq.heappush(queue, (-float(_under(g[s], value)), number, np.concatenate([prefix, edge[:s]]), float(upto[s]),
+                                           int(node[s]), (int(edge[s]),), word + int(index[s]) + (0 if inner >= 0 else 1)))
+        if queue and len(results) == k:
+            kappa = -queue[0][0]
         for r in results:
             r["inclusion"] = 1.0 if kappa is None else float(-np.expm1(-np.exp(min(r["log_prob"] - kappa, 700.0))))
         return results
 
 
+def _under(g: np.ndarray | float, at_most: float) -> np.ndarray | float:
+    """A Gumbel under the condition to be at most ``at_most``: grows with ``g``."""
+    return -np.logaddexp(-at_most, -g)
+
+
+def search(voc: Vocabulary, samplers: list[Sampler], k: int) -> list[list[dict]]:
+    """Results of several texts; each turn draws the paths of all texts at once."""
+    results: list = [None] * len(samplers)
+    live: list[tuple] = []
+
+    def turn(i: int, run: Iterator, paths_: tuple | None) -> None:
+        try:
+            live.append((i, run, run.send(paths_)))
+        except StopIteration as end:
+            results[i] = end.value
+
+    for i, s in enumerate(samplers):
+        turn(i, s.steps(k), None)
+    while live:
+        wanted, live = live, []
+        sizes = np.array([len(w[2][0]) for w in wanted])
+        index, node, edge = paths(voc, np.concatenate([w[2][0] for w in wanted]), np.concatenate([w[2][1] for w in wanted]))
+        ends = np.cumsum(sizes)
+        cut = np.searchsorted(index, np.concatenate([[0], ends])).tolist()
+        for j, (i, run, _) in enumerate(wanted):
+            p, q = cut[j], cut[j + 1]
+            turn(i, run, (index[p:q] - (ends[j] - sizes[j]), node[p:q], edge[p:q]))
+    return results
+
+
 def _voc(path: str) -> Vocabulary:
     if path not in _models:
         _models[path] = Vocabulary(path)
@@ -337,19 +394,11 @@ def sample(docs: DataFrame, k: int = K, seed: int = SEED, model: str | None = No
                 cut = [words_of(t or "") for t in texts[a:b]]
                 flat = voc.roots([w for c in cut for w in c])
                 ends = np.cumsum([len(c) for c in cut])
-                doc, draw, results = [], [], []
-                # the first draw of all texts in one pass; later ones text by text
                 samplers = [Sampler(voc, flat[e - len(c):e], int(keys[a + i] ^ np.uint64(seed * 0x2545F491))) for i, (c, e) in enumerate(zip(cut, ends))]
-                seeds = [s._draws(0, 2, len(s.words)) for s in samplers]
-                index, step, node, edge = paths(voc, flat, np.concatenate(seeds) if seeds else np.zeros(0, np.uint64))
-                bound = np.searchsorted(index, np.concatenate([[0], ends]))
-                for i, s in enumerate(samplers):
-                    p, q = bound[i], bound[i + 1]
-                    first = (index[p:q] - (ends[i] - len(cut[i])), step[p:q], node[p:q], edge[p:q])
-                    for n, r in enumerate(s.run(k, first)):
-                        doc.append(a + i)
-                        draw.append(n + 1)
-                        results.append(r)
+                found = search(voc, samplers, k)
+                doc = [a + i for i, rs in enumerate(found) for _ in rs]
+                draw = [n + 1 for rs in found for n in range(len(rs))]
+                results = [r for rs in found for r in rs]
                 ids = [voc.ids_of(r["edges"]) for r in results]
                 off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 at = pa.array(doc, pa.int64())
