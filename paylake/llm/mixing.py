@@ -15,6 +15,7 @@ targets stop at two passes, so no document gives more than twice its size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,6 @@ BLOCK_WORDS = 64
 #: Slots of one output shard, about (one task each).
 SHARD_SLOTS = 50_000
 SEED = 20
-#: Documents of one source that are numbered in one task, about.
-RUN_ROWS = 20_000
 
 
 def targets(sizes: list[int], weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_PASSES) -> list[float]:
@@ -136,7 +135,8 @@ class Mix:
         self.shards = max(1, -(-sum(self.slots) // shard_slots))
         counts = draw_shards(self.slots, self.shards, seed)
         self.first_slot = np.vstack([np.zeros((1, len(rows)), np.int64), np.cumsum(counts, axis=0)])
-        self.runs = [max(1, -(-int(r.docs) // RUN_ROWS)) for r in rows]
+        # a run has as many documents as its source has runs: neither grows faster than the root
+        self.runs = [math.isqrt(int(r.docs)) + 1 for r in rows]
 
     def _slots(self, k: int) -> int:
         """Slots so that the blocks taken hold the quota."""
