@@ -15,8 +15,8 @@ about one point per shingle for long texts.
 
 Duplicates: texts with equal shingle multisets are one class representative.
 Signatures are cut into ``BANDS`` bands of ``ROWS`` components; representatives
-that share a band are candidates.  In each bucket the smallest id leads and is
-verified against every member (multiset overlap of the whole texts); verified
+that share a band are candidates.  In each bucket the member that shares most buckets
+with most others leads and is verified against every member (multiset overlap of the whole texts); verified
 links give components.  Buckets that still hold several components get
 ``MORE_LEADERS`` further leaders one after the other.  Members that are then in
 different components of a bucket are compared pair by pair, except where the
@@ -268,7 +268,7 @@ def _measured(members: DataFrame, known: DataFrame) -> DataFrame:
     to the bucket's leaders, here of the first one."""
     j = known.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "j")
     return (members.join(j, ["leader", "rep"], "left")
-            .select("bucket", "rep", "comp", F.array(1 - F.when(F.col("rep") == F.col("leader"), 1.0).otherwise(F.col("j"))).alias("leaders")))
+            .select("bucket", "rep", "weight", "comp", F.array(1 - F.when(F.col("rep") == F.col("leader"), 1.0).otherwise(F.col("j"))).alias("leaders")))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -289,8 +289,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                          .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("one"),
                               F.first("bands").alias("bands"), F.min("doc_id").alias("least_id")), "near-reps")
     bands = reps.select("rep", F.explode("bands").alias("bucket"))
-    leaders = bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("most")).filter("leader <> most")
-    shared = common.staged(bands.join(leaders.select("bucket", "leader"), "bucket"), "near-buckets")
+    held = common.staged(bands.join(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket"), "near-held")
+    # a text that others were made from shares more with each of them than they among themselves
+    held = held.drop("n").join(held.groupBy("rep").agg(F.sum("n").alias("weight")), "rep")
+    leaders = held.groupBy("bucket").agg(F.max_by("rep", F.struct("weight", "rep")).alias("leader"))
+    shared = common.staged(held.join(leaders, "bucket"), "near-buckets")
     # texts of representatives that share a bucket with another one
     wanted = shared.select("rep").distinct().join(reps.select("rep", "one"), "rep") \
         .select("rep", F.col("one.doc_id").alias("w_id"), F.col("one.th").alias("w_th"))
@@ -305,17 +308,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # buckets that hold several components, with each member's distance to the bucket's leaders so far
     rest = _open(shared, comps)
     rest = common.staged(_measured(rest, known), "near-open")
-    for turn in range(1, MORE_LEADERS + 1):
+    for _ in range(MORE_LEADERS):
         if not rest.limit(1).count():
             break
-        lead = rest.groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("lead"))
-        led = rest.join(lead, "bucket")
+        # a leader's distance to itself is 0; other members are different multisets
+        lead = (rest.filter(~F.array_contains("leaders", 0.0)).groupBy("bucket")
+                .agg(F.max_by("rep", F.struct("weight", "rep")).alias("lead")))
+        led = rest.join(lead, "bucket", "left").withColumn("lead", F.coalesce("lead", "rep"))
         found = common.staged(overlaps(texts, led.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()),
                               "near-overlaps")
         links = links.unionByName(found.filter(near).select("a", "b"))
         comps = components(links, "near-star")
         led = led.join(found.select(F.col("a").alias("lead"), F.col("b").alias("rep"), "j"), ["lead", "rep"], "left")
-        led = led.select("bucket", "rep", F.concat("leaders", F.array(1 - F.when(F.col("rep") == F.col("lead"), 1.0).otherwise(F.col("j")))).alias("leaders"))
+        led = led.select("bucket", "rep", "weight", F.concat("leaders", F.array(1 - F.when(F.col("rep") == F.col("lead"), 1.0).otherwise(F.col("j")))).alias("leaders"))
         rest = common.staged(_open(led, comps), "near-open")
     # the rest of their pairs, across components; 1 - overlap is a metric, so members whose
     # distances to a leader differ by more than 1 - least can't be similar
