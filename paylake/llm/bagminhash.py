@@ -19,10 +19,11 @@ that share a band are candidates.  In each bucket the member that shares most bu
 with most others leads and is verified against every member (multiset overlap of the whole texts); verified
 links give components.  Buckets that still hold several components get
 ``MORE_LEADERS`` further leaders one after the other.  Members that are then in
-different components of a bucket are compared pair by pair, except where the
-triangle inequality (1 - overlap is a metric) and the distances to the leaders
-exclude a link.  So no link that the bands offer is lost, while large groups of
-copies cost a few comparisons per member.
+different components of a bucket are compared pair by pair, except where their
+sizes exclude a link, or the triangle inequality (1 - overlap is a metric) with
+the distances to the leaders, or the whole signatures: fewer than
+``LEAST_AGREEING`` components agree (a similar pair is lost so with a
+probability of 9e-8).  Large groups of copies cost a few comparisons per member.
 """
 
 from __future__ import annotations
@@ -44,7 +45,10 @@ SIZE = BANDS * ROWS
 #: The most rounds of label propagation; a component's diameter halves with each.
 MOST_ROUNDS = 60
 #: Further leaders that buckets of several components get before pairs are listed.
-MORE_LEADERS = 3
+MORE_LEADERS = 1
+#: Listed pairs are verified if this many components of their signatures agree: of 125, a pair
+#: of similarity 0.8 has fewer with a probability of 9e-8, one of 0.5 as many with one of 0.016.
+LEAST_AGREEING = 75
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(55).integers(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,16 +170,19 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int,
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, set1, set2, bands) of (doc_id, th, text): two hashes of the
-    shingle multiset and the hashes of the signature's bands (null for a text
-    without words)."""
+    """(doc_id, th, set1, set2, bands, n, marks) of (doc_id, th, text): two hashes
+    of the shingle multiset, the hashes of the signature's bands (null for a text
+    without words), the multiset's size and one byte of each component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             for a, b in common.slices(lengths):
                 doc, h, n = multisets(texts.slice(a, b - a))
-                sig = signatures(doc, h, n, b - a).reshape(b - a, BANDS, ROWS)
+                sig = signatures(doc, h, n, b - a)
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * SIZE),
+                                                 pa.array((sig & np.uint64(255)).astype(np.uint8).reshape(-1).view(np.int8)))
+                sig = sig.reshape(b - a, BANDS, ROWS)
                 band = np.zeros((b - a, BANDS), np.uint64)
                 for j in range(ROWS):
                     band = common.mix64(band * np.uint64(_BASE) + sig[:, :, j])
@@ -191,10 +198,11 @@ def sketch(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), flat)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), *sums,
-                     pc.if_else(pa.array(has), lists, pa.scalar(None, lists.type))],
-                    names=["doc_id", "th", "set1", "set2", "bands"])
+                     pc.if_else(pa.array(has), lists, pa.scalar(None, lists.type)),
+                     pa.array(np.bincount(doc, n, b - a).astype(np.int64)), marks],
+                    names=["doc_id", "th", "set1", "set2", "bands", "n", "marks"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, set1 long, set2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, th long, set1 long, set2 long, bands array<long>, n long, marks array<byte>")
 
 
 def _texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -287,7 +295,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # one representative per shingle multiset, named by a hash of its two sums
     reps = common.staged(members.withColumn("rep", F.xxhash64("set1", "set2")).groupBy("rep")
                          .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("one"),
-                              F.first("bands").alias("bands"), F.min("doc_id").alias("least_id")), "near-reps")
+                              F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.min("doc_id").alias("least_id")), "near-reps")
     bands = reps.select("rep", F.explode("bands").alias("bucket"))
     held = common.staged(bands.join(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket"), "near-held")
     # a text that others were made from shares more with each of them than they among themselves
@@ -324,10 +332,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         rest = common.staged(_open(led, comps), "near-open")
     # the rest of their pairs, across components; 1 - overlap is a metric, so members whose
     # distances to a leader differ by more than 1 - least can't be similar
+    rest = rest.join(reps.select("rep", "n", "marks"), "rep")
     x, y = rest.alias("x"), rest.alias("y")
+    sizes = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-6
+    # the signatures' bound is for SIMILARITY; a lower one needs all pairs that the bands offer
+    agree = F.expr(f"size(filter(zip_with(x.marks, y.marks, (p, q) -> p = q), m -> m)) >= {LEAST_AGREEING if least >= SIMILARITY else 0}")
     apart = F.expr(f"exists(zip_with(x.leaders, y.leaders, (p, q) -> abs(p - q)), d -> d > {1 - least} + 1e-9)")
     more = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep"))
-                   & (F.col("x.comp") != F.col("y.comp")) & ~apart)
+                   & (F.col("x.comp") != F.col("y.comp")) & sizes & ~apart & agree)
             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
     found = common.staged(overlaps(texts, more), "near-overlaps")
     comps = components(links.unionByName(found.filter(near).select("a", "b")), "near-all")
