@@ -19,11 +19,12 @@ that share a band are candidates.  In each bucket the member that shares most bu
 with most others leads and is verified against every member (multiset overlap of the whole texts); verified
 links give components.  Buckets that still hold several components get
 ``MORE_LEADERS`` further leaders one after the other.  Members that are then in
-different components of a bucket are compared pair by pair, except where their
-sizes exclude a link, or the triangle inequality (1 - overlap is a metric) with
-the distances to the leaders, or the whole signatures: fewer than
-``LEAST_AGREEING`` components agree (a similar pair is lost so with a
-probability of 9e-8).  Large groups of copies cost a few comparisons per member.
+different components of a bucket are compared where their shingles allow a link:
+with the shingles of all such members ordered from rare to frequent, two texts of
+overlap 0.8 share one among the first of both (the weight before it is at most
+the weight that the texts may not share), so they meet at that shingle.  The
+filter is exact.  Large groups of copies cost a few comparisons per member, and
+so do large groups of texts that are all a little less similar than 0.8.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -46,9 +47,6 @@ SIZE = BANDS * ROWS
 MOST_ROUNDS = 60
 #: Further leaders that buckets of several components get before pairs are listed.
 MORE_LEADERS = 1
-#: Listed pairs are verified if this many components of their signatures agree: of 125, a pair
-#: of similarity 0.8 has fewer with a probability of 9e-8, one of 0.5 as many with one of 0.016.
-LEAST_AGREEING = 75
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(55).integers(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -170,19 +168,16 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int,
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, set1, set2, bands, n, marks) of (doc_id, th, text): two hashes
-    of the shingle multiset, the hashes of the signature's bands (null for a text
-    without words), the multiset's size and one byte of each component."""
+    """(doc_id, th, set1, set2, bands) of (doc_id, th, text): two hashes of the
+    shingle multiset and the hashes of the signature's bands (null for a text
+    without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             for a, b in common.slices(lengths):
                 doc, h, n = multisets(texts.slice(a, b - a))
-                sig = signatures(doc, h, n, b - a)
-                marks = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * SIZE),
-                                                 pa.array((sig & np.uint64(255)).astype(np.uint8).reshape(-1).view(np.int8)))
-                sig = sig.reshape(b - a, BANDS, ROWS)
+                sig = signatures(doc, h, n, b - a).reshape(b - a, BANDS, ROWS)
                 band = np.zeros((b - a, BANDS), np.uint64)
                 for j in range(ROWS):
                     band = common.mix64(band * np.uint64(_BASE) + sig[:, :, j])
@@ -198,11 +193,10 @@ def sketch(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), flat)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), *sums,
-                     pc.if_else(pa.array(has), lists, pa.scalar(None, lists.type)),
-                     pa.array(np.bincount(doc, n, b - a).astype(np.int64)), marks],
-                    names=["doc_id", "th", "set1", "set2", "bands", "n", "marks"])
+                     pc.if_else(pa.array(has), lists, pa.scalar(None, lists.type))],
+                    names=["doc_id", "th", "set1", "set2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, set1 long, set2 long, bands array<long>, n long, marks array<byte>")
+    return docs.mapInArrow(run, "doc_id long, th long, set1 long, set2 long, bands array<long>")
 
 
 def _texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -271,12 +265,42 @@ def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     return placed.join(several, "bucket")
 
 
-def _measured(members: DataFrame, known: DataFrame) -> DataFrame:
-    """Members (bucket, rep, leader, comp) with ``leaders``: the list of distances
-    to the bucket's leaders, here of the first one."""
-    j = known.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "j")
-    return (members.join(j, ["leader", "rep"], "left")
-            .select("bucket", "rep", "weight", "comp", F.array(1 - F.when(F.col("rep") == F.col("leader"), 1.0).otherwise(F.col("j"))).alias("leaders")))
+def elements(texts: DataFrame) -> DataFrame:
+    """(rep, h, w, n): the distinct shingles of (rep, text), their counts, and the
+    size of the multiset."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column("text")
+            for x, y in common.slices(pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False)):
+                doc, h, w = multisets(t.slice(x, y - x))
+                n = np.bincount(doc, w, y - x).astype(np.int64)
+                rep = batch.column("rep").slice(x, y - x).to_numpy(zero_copy_only=False)
+                for a in range(0, len(h), common.SLICE_BYTES // 32):
+                    d = doc[a:a + common.SLICE_BYTES // 32]
+                    b = a + len(d)
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[d]), pa.array(h[a:b].view(np.int64)), pa.array(w[a:b].astype(np.int64)), pa.array(n[d])],
+                                                     names=["rep", "h", "w", "n"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, h long, w long, n long")
+
+
+def meeting(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of members (rep, comp, buckets) of different components that
+    share a bucket and may overlap by ``least``: a prefix filter over the texts'
+    shingles, rare ones first.  No pair of that overlap that shares a bucket is lost."""
+    every = common.staged(elements(texts.join(members.select("rep"), "rep")), "near-elements")
+    # a shingle of one text only meets nothing, but its weight counts for the texts' order
+    often = every.groupBy("h").agg(F.count("*").alias("df"))
+    ranked = every.join(often, "h").withColumn(
+        "before", F.sum("w").over(Window.partitionBy("rep").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w"))
+    heads = ranked.filter((F.col("df") > 1) & (F.col("before") <= (1 - least) * F.col("n") + 1e-6)).select("rep", "h", "n", "before")
+    heads = common.staged(heads.join(members, "rep"), "near-heads")
+    x, y = heads.alias("x"), heads.alias("y")
+    shared = (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-6            # the overlap that a link needs
+    return (x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+                   & (F.col("x.before") <= F.col("x.n") - shared) & (F.col("y.before") <= F.col("y.n") - shared)
+                   & F.arrays_overlap("x.buckets", "y.buckets"))
+            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -295,7 +319,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # one representative per shingle multiset, named by a hash of its two sums
     reps = common.staged(members.withColumn("rep", F.xxhash64("set1", "set2")).groupBy("rep")
                          .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("one"),
-                              F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.min("doc_id").alias("least_id")), "near-reps")
+                              F.first("bands").alias("bands"), F.min("doc_id").alias("least_id")), "near-reps")
     bands = reps.select("rep", F.explode("bands").alias("bucket"))
     held = common.staged(bands.join(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket"), "near-held")
     # a text that others were made from shares more with each of them than they among themselves
@@ -313,34 +337,22 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     known = common.staged(overlaps(texts, star), "near-overlaps")
     links = known.filter(near).select("a", "b")
     comps = components(links, "near-star")
-    # buckets that hold several components, with each member's distance to the bucket's leaders so far
-    rest = _open(shared, comps)
-    rest = common.staged(_measured(rest, known), "near-open")
+    # buckets that hold several components, with their leaders so far
+    rest = common.staged(_open(shared.withColumn("leaders", F.array("leader")), comps), "near-open")
     for _ in range(MORE_LEADERS):
         if not rest.limit(1).count():
             break
-        # a leader's distance to itself is 0; other members are different multisets
-        lead = (rest.filter(~F.array_contains("leaders", 0.0)).groupBy("bucket")
+        lead = (rest.filter(~F.array_contains("leaders", F.col("rep"))).groupBy("bucket")
                 .agg(F.max_by("rep", F.struct("weight", "rep")).alias("lead")))
-        led = rest.join(lead, "bucket", "left").withColumn("lead", F.coalesce("lead", "rep"))
-        found = common.staged(overlaps(texts, led.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()),
-                              "near-overlaps")
+        led = rest.join(lead, "bucket")
+        found = common.staged(overlaps(texts, led.filter("rep <> lead and not array_contains(leaders, rep)")
+                                       .select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()), "near-overlaps")
         links = links.unionByName(found.filter(near).select("a", "b"))
         comps = components(links, "near-star")
-        led = led.join(found.select(F.col("a").alias("lead"), F.col("b").alias("rep"), "j"), ["lead", "rep"], "left")
-        led = led.select("bucket", "rep", "weight", F.concat("leaders", F.array(1 - F.when(F.col("rep") == F.col("lead"), 1.0).otherwise(F.col("j")))).alias("leaders"))
-        rest = common.staged(_open(led, comps), "near-open")
-    # the rest of their pairs, across components; 1 - overlap is a metric, so members whose
-    # distances to a leader differ by more than 1 - least can't be similar
-    rest = rest.join(reps.select("rep", "n", "marks"), "rep")
-    x, y = rest.alias("x"), rest.alias("y")
-    sizes = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-6
-    # the signatures' bound is for SIMILARITY; a lower one needs all pairs that the bands offer
-    agree = F.expr(f"size(filter(zip_with(x.marks, y.marks, (p, q) -> p = q), m -> m)) >= {LEAST_AGREEING if least >= SIMILARITY else 0}")
-    apart = F.expr(f"exists(zip_with(x.leaders, y.leaders, (p, q) -> abs(p - q)), d -> d > {1 - least} + 1e-9)")
-    more = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep"))
-                   & (F.col("x.comp") != F.col("y.comp")) & sizes & ~apart & agree)
-            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+        rest = common.staged(_open(led.withColumn("leaders", F.array_append("leaders", F.col("lead"))).drop("lead"), comps), "near-open")
+    # what is still in different components of a bucket; a representative is in one bucket a band at most
+    rest = common.staged(rest.groupBy("rep").agg(F.first("comp").alias("comp"), F.collect_set("bucket").alias("buckets")), "near-open")
+    more = meeting(rest, texts, least)
     found = common.staged(overlaps(texts, more), "near-overlaps")
     comps = components(links.unionByName(found.filter(near).select("a", "b")), "near-all")
     named = (reps.select("rep", "least_id").join(comps.withColumnRenamed("node", "rep"), "rep", "left")

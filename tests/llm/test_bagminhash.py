@@ -95,3 +95,43 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.comp for r in B.components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_prefix_filter_loses_no_pair_and_lists_few(spark):
+    """A group of texts around 0.8 to one another: every pair of overlap 0.8 meets, most others don't."""
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 40, 150)]           # repeated words: shingles with counts
+    base += base[:30]
+    texts = []
+    for i in range(90):
+        t = base[: len(base) - int(rng.integers(0, 12))]
+        for _ in range(int(rng.integers(0, 9))):
+            t[int(rng.integers(len(t)))] = f"n{rng.integers(10**6)}"
+        texts.append(" ".join(t))
+    texts = sorted(set(texts))
+    frame = spark.createDataFrame(list(enumerate(texts)), "rep long, text string").repartition(4)
+    members = frame.selectExpr("rep", "rep as comp", "array(rep div 45) as buckets")
+    got = {(r.a, r.b) for r in B.meeting(members, frame, 0.8).collect()}
+    same = [(x, y) for y in range(len(texts)) for x in range(y) if x // 45 == y // 45]
+    near = {p for p in same if jaccard(texts[p[0]], texts[p[1]]) >= 0.8}
+    assert near and near <= got <= set(same)
+    assert len(got) < 0.8 * len(same)
+
+
+def test_classes_of_a_group_around_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(int(rng.integers(0, 8))):
+            t[int(rng.integers(len(t)))] = f"n{rng.integers(10**6)}"
+        rows.append((i, " ".join(t)))
+    got = {r.doc_id: r.class_id for r in B.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    label = {i: i for i, _ in rows}
+    for y, b in rows:
+        for x, a in rows[:y]:
+            if jaccard(a, b) >= 0.8 and label[x] != label[y]:
+                old, new = max(label[x], label[y]), min(label[x], label[y])
+                label = {k: new if v == old else v for k, v in label.items()}
+    assert got == label
