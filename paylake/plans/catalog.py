@@ -20,10 +20,11 @@ from paylake.operators import quality as Q
 from paylake.operators import reports as R
 from paylake.operators.gate import gate_counters, split_valid, to_keyed, validate_events
 from paylake.operators.lifecycle import in_partition_window, retained, write_partitioned
-from paylake.operators.parse import split_staged, stage_lane_a
+from paylake.operators.parse import bronze_lane_a, bronze_lane_b, split_staged, stage_lane_a
 from paylake.operators.merge import (
     latest_by_key,
     sync_frame,
+    sync_misfits,
     to_warehouse_silver,
     upsert_frame,
     user_dim,
@@ -60,6 +61,8 @@ from paylake.sources.driver_tables import (
     payments_from_events,
     raw_payloads,
     redelivered,
+    dirty_payloads,
+    misfit_payments,
 )
 from paylake.sources.streams import read_table_stream, read_validated
 from paylake.streaming.ingest import (
@@ -450,6 +453,41 @@ def q_bronze_lane_b(spark, sf_dir):
     return good.select(*SILVER_COLUMNS)
 
 
+_FLAWED_SQL = O.with_layers("bronze") + """
+, flawed AS (SELECT CASE WHEN src_id % 7 < 5 THEN event_id END AS event_id, CASE {} END AS reason FROM bronze)
+SELECT event_id, reason FROM flawed WHERE reason IS NOT NULL"""
+
+
+def _reasons(quarantine):
+    return quarantine.select(F.get_json_object("value", "$.event_id").alias("event_id"), "reason")
+
+
+@register("bronze_a_quarantine", _FLAWED_SQL.format("""src_id % 7
+    WHEN 1 THEN 'bad_payment_date' WHEN 2 THEN 'bad_updated_at' WHEN 3 THEN 'user_id_out_of_range'
+    WHEN 5 THEN 'undecodable' WHEN 6 THEN 'bad_payment_date'"""))
+def q_bronze_a_quarantine(spark, sf_dir):
+    """V6/V10 messages that pass the gate and that lane A can't store, with the reason."""
+    _, bad = bronze_lane_a(dirty_payloads(I.events(spark, sf_dir)))
+    return _reasons(bad)
+
+
+@register("bronze_b_quarantine", _FLAWED_SQL.format("""src_id % 7
+    WHEN 1 THEN 'bad_payment_date' WHEN 3 THEN 'user_id_out_of_range' WHEN 4 THEN 'amount_out_of_range'"""))
+def q_bronze_b_quarantine(spark, sf_dir):
+    """V8/V10/F2 messages that lane B can't store (those without a key are skipped)."""
+    _, bad = bronze_lane_b(dirty_payloads(I.events(spark, sf_dir)))
+    return _reasons(bad)
+
+
+@register("sync_quarantine", O.with_layers("bronze") + f"""
+, amounts AS (SELECT * REPLACE (CASE WHEN src_id % 9 = 0 THEN 1e10 ELSE amount END AS amount) FROM bronze)
+SELECT event_id, payment_date, CASE WHEN src_id % 11 = 0 THEN 'null_updated_at' ELSE 'amount_overflow' END AS reason
+FROM amounts WHERE {O.VALID_SQL} AND (src_id % 11 = 0 OR src_id % 9 = 0)""")
+def q_sync_quarantine(spark, sf_dir):
+    """M7 silver rows that the warehouse silver can't hold, with the reason."""
+    return sync_misfits(silver_rows(misfit_payments(I.events(spark, sf_dir)))).select("event_id", "payment_date", "reason")
+
+
 # ---------------------------------------------------------------------------
 # Incremental silver, merge, upsert, sync
 

@@ -147,6 +147,30 @@ def raw_payloads(events: DataFrame) -> DataFrame:
     return rows.select(F.col("src_id").alias("offset"), value.alias("value"))
 
 
+def dirty_payloads(events: DataFrame) -> DataFrame:
+    """JSON messages ``(offset, value)`` of which six of seven have a flaw that the
+    gate lets pass: a date that doesn't exist, a time that is none, a user id
+    beyond 2^63, an amount beyond DECIMAL(12,2), ``null`` and ``{}``."""
+    rows = payments_from_events(events, keep_source_id=True)
+    kind = F.col("src_id") % 7
+    body = F.to_json(F.struct(
+        "event_id",
+        F.when(kind == 3, F.lit("9223372036854775808").cast("decimal(20,0)")).otherwise(F.col("user_id").cast("decimal(20,0)")).alias("user_id"),
+        F.when(kind == 4, F.lit(1e10)).otherwise(F.col("amount")).alias("amount"), "status",
+        F.when(kind == 1, F.lit("2024-02-30")).otherwise(F.date_format("payment_date", "yyyy-MM-dd")).alias("payment_date"),
+        F.when(kind == 2, F.lit("yesterday")).otherwise(F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("updated_at")))
+    value = F.when(kind == 5, F.lit("null")).when(kind == 6, F.lit("{}")).otherwise(body)
+    return rows.select(F.col("src_id").alias("offset"), value.alias("value"))
+
+
+def misfit_payments(events: DataFrame) -> DataFrame:
+    """Raw bronze payments of which every 9th amount is beyond DECIMAL(12,2) and
+    every 11th row has no ``updated_at``."""
+    rows = payments_from_events(events, keep_source_id=True)
+    return (rows.withColumn("amount", F.when(F.col("src_id") % 9 == 0, F.lit(1e10)).otherwise(F.col("amount")))
+                .withColumn("updated_at", F.when(F.col("src_id") % 11 != 0, F.col("updated_at"))).drop("src_id"))
+
+
 def redelivered(rows: DataFrame, src_col: str = "src_id", every: int = 10,
                 batch_id: int = 1) -> DataFrame:
     """Second delivery of every ``every``-th row: ``updated_at + 1 hour`` and a
