@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +49,13 @@ K = 2
 OFFSET = 100
 SEED = 8
 #: Distinct words whose lattices a worker keeps; beyond it they start anew.
-WORD_MEMORY = 150_000
+WORD_MEMORY = 400_000
 #: Edges from here on stand for characters outside the vocabulary.
 CHAR = 1 << 20
+#: Leading bits of hashes that a table resolves at once.
+LEAD_BITS = 20
 BLANK = "▁"
+_BASE = 0x9E3779B97F4A7C15
 _models: dict = {}
 
 
@@ -82,7 +86,9 @@ class Vocabulary:
             raise ValueError("pieces across words: the lattice isn't a chain of words")
         self.longest = max(map(len, self.ids))
         self.logp = -np.log(OFFSET + np.arange(n, dtype=float))
-        self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
+        raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
+        #: bytes of the pieces, and once more without their first one (a text's first piece has the blank in front)
+        self.raw = pa.array(raw + [r[1:] for r in raw], pa.large_binary())
         # every prefix of a piece by its hash, and the piece that it is (or -1)
         keys = list(self.ids)
         sizes = np.array([len(w) for w in keys])
@@ -98,18 +104,36 @@ class Vocabulary:
         order = np.lexsort((-piece, h))
         order = order[np.concatenate([[True], np.diff(h[order]) != 0])]
         self.hashes, self.hash_len, self.hash_piece = h[order], size[order], piece[order]
+        # where the hashes with the same leading bits begin, and the most of them
+        self.begins = np.searchsorted(self.hashes, np.arange(1 << LEAD_BITS, dtype=np.uint64) << np.uint64(64 - LEAD_BITS)).astype(np.int32)
+        self.crowd = int(np.diff(np.append(self.begins, len(self.hashes))).max())
         self._words()
 
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        """Where hashes stand among those of the prefixes (any place if they don't)."""
+        last = len(self.hashes) - 1
+        k = np.minimum(self.begins[(h >> np.uint64(64 - LEAD_BITS)).view(np.int64)], last)
+        for _ in range(self.crowd - 1):
+            k = np.minimum(k + (self.hashes[k] < h), last)
+        return k
+
     def _words(self) -> None:
         """Tables of known words' lattice nodes, in growing arrays: ``first`` edge
-        and number of edges of a node; of an edge its piece, the node it leads to
+        and number of edges of a node, log mass of its completions, its suffix's first
+        character and the node of the suffix after it; the nodes by hashes of
+        their suffixes; of an edge its piece, the node it leads to
         (-1 at the word's end), its probability summed up over the node's edges,
         and the log-probabilities given the node of it and of all other edges."""
-        self.node_of: dict[str, int] = {}
+        self.number = _Numbers()
+        self.root = np.zeros(0, np.int64)
         self.nodes = 0
         self.edges = 0
         self.first = np.zeros(1 << 16, np.int32)
         self.count = np.zeros(1 << 16, np.int32)
+        self.beta = np.zeros(1 << 16)
+        self.char = np.zeros(1 << 16, np.int32)
+        self.after = np.zeros(1 << 16, np.int32)
+        self.keys, self.key_node = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.piece = np.zeros(1 << 18, np.int32)
         self.to = np.zeros(1 << 18, np.int32)
         self.upto = np.zeros(1 << 18)
@@ -130,34 +154,70 @@ class Vocabulary:
         """log p of a piece, or of a character's byte pieces."""
         return float(self.logp[piece]) if piece < CHAR else float(sum(self.logp[self.bytes[c]] for c in chr(piece - CHAR).encode("utf-8", "surrogatepass")))
 
+    def _suffixes(self, text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Equal suffixes of words: (hash, a position, and of every position its suffix's number).
+
+        The hashes only propose; suffixes are the same if their first characters
+        and what follows are.  Should hashes collide, every position stays alone."""
+        n = len(text)
+        power = np.multiply.accumulate(np.full(n, _BASE, np.uint64))
+        inverse = np.multiply.accumulate(np.full(n, pow(_BASE, -1, 2**64), np.uint64))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(common.mix64(text.astype(np.uint64) + np.uint64(_BASE)) * power)])
+        h = common.mix64((sums[np.arange(n) + left] - sums[:-1]) * inverse + left.astype(np.uint64))
+        keys, at, which = np.unique(h, return_index=True, return_inverse=True)
+        after = np.where(left > 1, np.append(which[1:], -1), -1)
+        if ((text == text[at][which]) & (after == after[at][which])).all():
+            return keys, at, which
+        return np.zeros(n, np.uint64), np.arange(n), np.arange(n)
+
+    def _known(self, keys: np.ndarray, char: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Lattice nodes of suffixes (hash, first character, number of the suffix after it) that
+        are known, else -1; all are new if hashes collide."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        node = np.where(self.keys[k] == keys, self.key_node[k], -1)
+        hit = node >= 0
+        then = np.where(after >= 0, node[after], -1)
+        good = (self.char[node] == char) & (self.after[node] == then)
+        return node if good[hit].all() else np.full(len(keys), -1)
+
     def _add(self, words: list[str]) -> None:
-        """Lattices of new distinct words, all at once: a place is a node; its
-        edges are the pieces that begin there, found by hashes of substrings."""
+        """Lattices of new distinct words, all at once: a node is a suffix of a word (what may
+        follow a place depends on it only) and is shared by the words that end so; its edges
+        are the pieces that it begins with, found by hashes of substrings."""
         sizes = np.array([len(w) for w in words])
         text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         n = len(text)
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        left = ends - np.arange(n)                          # characters up to the word's end
-        # positions whose text so far is a prefix of some piece, longer by one with each turn
-        at, h, found = np.arange(n), np.zeros(n, np.uint64), []
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)        # characters up to the word's end
+        keys, rep, which = self._suffixes(text, left)
+        after = np.where(left[rep] > 1, which[np.minimum(rep + 1, n - 1)], -1)
+        node = self._known(keys, text[rep], after)
+        new = np.flatnonzero(node < 0)
+        pos, m = rep[new], len(new)
+        node[new] = self.nodes + np.arange(m)
+        node_at = node[which]
+        # suffixes whose text so far is a prefix of some piece, longer by one with each turn
+        at, h, found = np.arange(m), np.zeros(m, np.uint64), []
         for size in range(1, self.longest + 1):
             if not len(at):
                 break
-            h = _longer(h, text[at + size - 1].astype(np.uint64))
-            k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            p = pos[at]
+            h = _longer(h, text[p + size - 1].astype(np.uint64))
+            k = self._place(h)
             hit = (self.hashes[k] == h) & (self.hash_len[k] == size)
             piece = np.where(hit, self.hash_piece[k], -1)
             if size == 1:                                   # characters outside the vocabulary
-                piece = np.where(piece < 0, CHAR + text, piece)
+                piece = np.where(piece < 0, CHAR + text[p], piece)
             is_piece = piece >= 0
             found.append((at[is_piece], size, piece[is_piece]))
-            go = hit & (left[at] > size)
+            go = hit & (left[p] > size)
             at, h = at[go], h[go]
-        count = np.zeros(n, np.int64)
+        count = np.zeros(m, np.int64)
         for at, _, _ in found:
             count[at] += 1
         first = np.cumsum(count) - count
-        row = np.repeat(np.arange(n), count)
+        row = np.repeat(np.arange(m), count)
         size, piece, filled = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), first.copy()
         for at, length, pieces in found:
             size[filled[at]], piece[filled[at]] = length, pieces
@@ -165,48 +225,52 @@ class Vocabulary:
         cost = self.logp[np.minimum(piece, len(self.logp) - 1)].copy()
         odd = np.flatnonzero(piece >= CHAR)
         if len(odd):
-            kinds, which = np.unique(piece[odd], return_inverse=True)
-            cost[odd] = np.array([self.cost(int(c)) for c in kinds])[which]
+            kinds, kind = np.unique(piece[odd], return_inverse=True)
+            cost[odd] = np.array([self.cost(int(c)) for c in kinds])[kind]
+        a, e0 = self.nodes, self.edges
+        self._room(m, len(row))
+        to = np.where(left[pos][row] == size, -1, node_at[np.minimum(pos[row] + size, n - 1)])
         # backward masses, by characters left, in all words together
-        beta = np.zeros(n + 1)
-        total = np.zeros(len(row))
-        by = np.argsort(left, kind="stable")
-        cut = np.searchsorted(left[by], np.arange(1, int(left.max(initial=0)) + 2))
-        for k in range(len(cut) - 1):
-            at = by[cut[k]:cut[k + 1]]
-            if not len(at):
-                continue
-            e = np.repeat(first[at], count[at]) + np.arange(count[at].sum()) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
-            to = row[e] + size[e]
-            total[e] = cost[e] + np.where(to == ends[row[e]], 0.0, beta[np.minimum(to, n)])
-            begin = np.cumsum(count[at]) - count[at]
-            top = np.maximum.reduceat(total[e], begin)
-            beta[at] = top + np.log(np.add.reduceat(np.exp(total[e] - np.repeat(top, count[at])), begin))
-        given = total - beta[row]
-        run = np.cumsum(np.exp(given))
-        upto = run - np.repeat(run[first] - np.exp(given[first]), count)
-        upto[first + count - 1] = 2.0
-        # mass of a node's other edges; only the one above a half is summed from the others
-        p = np.exp(given)
-        over = p > 0.5
-        others = np.add.reduceat(np.where(over, 0.0, p), first)
-        with np.errstate(divide="ignore"):
-            side = np.log(np.where(over, others[row], 1.0 - p))
-        self._room(n, len(row))
-        a, e = self.nodes, self.edges
-        self.first[a:a + n], self.count[a:a + n] = first + e, count
-        to = row + size
-        self.piece[e:e + len(row)], self.to[e:e + len(row)] = piece, np.where(to == ends[row], -1, to + a)
-        self.upto[e:e + len(row)], self.given[e:e + len(row)], self.side[e:e + len(row)] = upto, given, side
-        self.nodes, self.edges = a + n, e + len(row)
-        self.node_of.update(zip(words, (a + np.cumsum(sizes) - sizes).tolist()))
-
-    def ids_of(self, edges: np.ndarray) -> np.ndarray:
-        """Piece ids of a path, characters outside the vocabulary as their bytes."""
+        beta, total = self.beta, cost
+        by = np.argsort(left[pos], kind="stable")
+        lengths, cut = np.unique(left[pos][by], return_index=True)
+        for p, q in zip(cut.tolist(), [*cut[1:].tolist(), m]):
+            at = by[p:q]
+            num = count[at]
+            begin = np.cumsum(num) - num
+            e = np.repeat(first[at] - begin, num) + np.arange(int(num.sum()))
+            total[e] += np.where(to[e] < 0, 0.0, beta[to[e]])
+            t = total[e]
+            top = np.maximum.reduceat(t, begin)
+            beta[a + at] = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, num)), begin))
+        if m:
+            given = total - beta[a + row]
+            prob = np.exp(given)
+            run = np.cumsum(prob)
+            upto = run - np.repeat(run[first] - prob[first], count)
+            upto[first + count - 1] = 2.0
+            # mass of a node's other edges; only the one above a half is summed from the others
+            over = prob > 0.5
+            others = np.add.reduceat(np.where(over, 0.0, prob), first)
+            with np.errstate(divide="ignore"):
+                side = np.log(np.where(over, others[row], 1.0 - prob))
+            e1 = e0 + len(row)
+            self.first[a:a + m], self.count[a:a + m] = first + e0, count
+            self.char[a:a + m], self.after[a:a + m] = text[pos], np.where(after[new] >= 0, node[after[new]], -1)
+            self.piece[e0:e1], self.to[e0:e1] = piece, to
+            self.upto[e0:e1], self.given[e0:e1], self.side[e0:e1] = upto, given, side
+            self.nodes, self.edges = a + m, e1
+            if keys[-1]:                                    # hashes of no use aren't kept
+                where = np.searchsorted(self.keys, keys[new])
+                self.keys, self.key_node = np.insert(self.keys, where, keys[new]), np.insert(self.key_node, where, node[new])
+        self.root = np.append(self.root, node_at[np.cumsum(sizes) - sizes])
+
+    def ids_of(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of paths, characters outside the vocabulary as their bytes; ids per edge."""
         piece = self.piece[edges]
         odd = np.flatnonzero(piece >= CHAR)
         if not len(odd):
-            return piece
+            return piece, np.ones(len(piece), np.int64)
         kinds, which = np.unique(piece[odd], return_inverse=True)
         codes = [[self.bytes[c] for c in chr(p - CHAR).encode("utf-8", "surrogatepass")] for p in kinds.tolist()]
         sizes = np.array([len(c) for c in codes])
@@ -218,39 +282,78 @@ class Vocabulary:
         for k in range(int(sizes.max())):
             more = sizes[which] > k
             out[at[more] + k] = code[starts[which[more]] + k]
-        return out
+        return out, n
 
     def _room(self, nodes: int, edges: int) -> None:
         while self.nodes + nodes > len(self.first):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+            self.first, self.count, self.beta, self.char, self.after = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.beta, self.char, self.after))
         while self.edges + edges > len(self.piece):
             self.piece, self.to, self.upto, self.given, self.side = (
                 np.concatenate([x, np.zeros_like(x)]) for x in (self.piece, self.to, self.upto, self.given, self.side))
 
     def begin(self) -> None:
-        if len(self.node_of) > WORD_MEMORY:
+        if len(self.number) > WORD_MEMORY:
             self._words()
 
     def roots(self, words: list[str]) -> np.ndarray:
         """First lattice node of each word."""
-        new = sorted(set(words) - self.node_of.keys())
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new = self.number.new
         for k in range(0, len(new), 20_000):
             self._add(new[k:k + 20_000])
-        return np.array(list(map(self.node_of.__getitem__, words)), np.int64)
+        new.clear()
+        return self.root[numbers]
+
+
+class _Numbers(dict):
+    """Numbers of words, from 0; words get one when first asked for, and are listed in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
 
 
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Words with the blanks before them; the text gets a blank in front."""
+    """Words with the blanks before them; the text gets a blank in front.  One text, for tests."""
     return _WORD.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
+def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of texts: the distinct ones, of every word in text order its number, and where texts begin."""
+    texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), BLANK, " ")
+    texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+    data, off = common.buffers(texts)
+    if not len(data):
+        return [], np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    blank = data == 32
+    blank[1:] &= data[:-1] != 32
+    blank[off[:-1][np.diff(off) > 0]] = True
+    at = np.flatnonzero(blank)
+    cut = pa.py_buffer(np.append(at, len(data)).astype(np.int64))
+    coded = pa.LargeStringArray.from_buffers(len(at), cut, pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+    return (pc.replace_substring(coded.dictionary, " ", BLANK).to_pylist(), coded.indices.to_numpy(zero_copy_only=False),
+            np.searchsorted(at, off))
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def draws(seed: np.ndarray, draw: np.ndarray, what: int, sizes: np.ndarray) -> np.ndarray:
+    """Random numbers of several texts: ``sizes`` of each, by its seed, draw, purpose and place."""
+    base = common.mix64(seed + (draw * 1_000_003 + what).astype(np.uint64))
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return common.mix64(np.repeat(base, sizes) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
 def paths(voc: Vocabulary, roots: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, ...]:
     """One exact sample through the lattices that begin at ``roots``, all at once.
 
@@ -286,16 +389,16 @@ class Sampler:
         self.voc, self.words, self.seed = voc, words, seed
 
     def _draws(self, draw: int, what: int, n: int) -> np.ndarray:
-        base = common.mix64(np.array([self.seed % 2**64], np.uint64) + np.uint64(draw * 1_000_003 + what))
-        return common.mix64(base + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        return draws(np.array([self.seed % 2**64], np.uint64), np.array([draw]), what, np.array([n]))
 
     def run(self, k: int) -> list[dict]:
         """Up to ``k`` results, largest value first: edges, log_prob, value, inclusion."""
         return search(self.voc, [self], k)[0]
 
-    def steps(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The search: yields (lattice nodes, seeds) whose paths it needs, gets
-        them sent as (index, node, edge), and returns the results."""
+    def steps(self, k: int) -> Iterator[tuple[np.ndarray, int]]:
+        """The search: yields (lattice nodes, draw) whose paths it needs, gets them
+        sent as (index, node, edge, log p of the edges, Gumbels of the edges not
+        taken, less the path's mass), and returns the results."""
         voc = self.voc
         if not len(self.words):
             return [{"edges": np.zeros(0, np.int32), "log_prob": 0.0, "value": 0.0, "inclusion": 1.0}]
@@ -321,12 +424,11 @@ class Sampler:
                                            prefix, mass, at, (*given_before, left[i]), word))
                 prefix, mass, inner = np.append(prefix, np.int32(left[i])), mass + float(voc.given[left[i]]), int(voc.to[left[i]])
             todo = self.words[word:] if inner < 0 else np.concatenate([[inner], self.words[word:]])
-            index, node, edge = yield todo, self._draws(draw, 2, len(todo))
-            given = voc.given[edge]
+            index, node, edge, given, side = yield todo, draw
             upto = mass + np.cumsum(given) - given
             results.append({"edges": np.concatenate([prefix, edge]), "log_prob": float(mass + given.sum()), "value": value})
             # the edges not taken, by place; only as many can be wanted as results are left, and one for kappa
-            g = upto + voc.side[edge] - np.log(-np.log(_uniform(self._draws(draw, 3, len(edge)))))
+            g = upto + side
             want = k - draw
             best = np.argpartition(-g, want - 1)[:want] if len(g) > want else np.arange(len(g))
             for s in best.tolist():
@@ -353,7 +455,7 @@ def search(voc: Vocabulary, samplers: list[Sampler], k: int) -> list[list[dict]]
 
     def turn(i: int, run: Iterator, paths_: tuple | None) -> None:
         try:
-            live.append((i, run, run.send(paths_)))
+            live.append((i, run, *run.send(paths_)))
         except StopIteration as end:
             results[i] = end.value
 
@@ -361,13 +463,18 @@ def search(voc: Vocabulary, samplers: list[Sampler], k: int) -> list[list[dict]]
         turn(i, s.steps(k), None)
     while live:
         wanted, live = live, []
-        sizes = np.array([len(w[2][0]) for w in wanted])
-        index, node, edge = paths(voc, np.concatenate([w[2][0] for w in wanted]), np.concatenate([w[2][1] for w in wanted]))
+        sizes = np.array([len(w[2]) for w in wanted])
+        seed = np.array([samplers[w[0]].seed % 2**64 for w in wanted], np.uint64)
+        draw = np.array([w[3] for w in wanted])
+        index, node, edge = paths(voc, np.concatenate([w[2] for w in wanted]), draws(seed, draw, 2, sizes))
         ends = np.cumsum(sizes)
-        cut = np.searchsorted(index, np.concatenate([[0], ends])).tolist()
-        for j, (i, run, _) in enumerate(wanted):
+        cut = np.searchsorted(index, np.concatenate([[0], ends]))
+        given = voc.given[edge]
+        side = voc.side[edge] - np.log(-np.log(_uniform(draws(seed, draw, 3, np.diff(cut)))))
+        cut = cut.tolist()
+        for j, (i, run, _, _) in enumerate(wanted):
             p, q = cut[j], cut[j + 1]
-            turn(i, run, (index[p:q] - (ends[j] - sizes[j]), node[p:q], edge[p:q]))
+            turn(i, run, (index[p:q] - (ends[j] - sizes[j]), node[p:q], edge[p:q], given[p:q], side[p:q]))
     return results
 
 
@@ -387,24 +494,24 @@ def sample(docs: DataFrame, k: int = K, seed: int = SEED, model: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = _voc(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for a, b in common.slices(np.array([len(t or "") for t in texts]), 500_000):
+            for a, b in common.slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 500_000):
                 voc.begin()
-                cut = [words_of(t or "") for t in texts[a:b]]
-                flat = voc.roots([w for c in cut for w in c])
-                ends = np.cumsum([len(c) for c in cut])
-                samplers = [Sampler(voc, flat[e - len(c):e], int(keys[a + i] ^ np.uint64(seed * 0x2545F491))) for i, (c, e) in enumerate(zip(cut, ends))]
+                words, which, cut = split(texts.slice(a, b - a))
+                flat, cut = voc.roots(words)[which], cut.tolist()
+                samplers = [Sampler(voc, flat[cut[i]:cut[i + 1]], int(keys[a + i] ^ np.uint64(seed * 0x2545F491))) for i in range(b - a)]
                 found = search(voc, samplers, k)
                 doc = [a + i for i, rs in enumerate(found) for _ in rs]
                 draw = [n + 1 for rs in found for n in range(len(rs))]
                 results = [r for rs in found for r in rs]
-                ids = [voc.ids_of(r["edges"]) for r in results]
-                off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                ids, per_edge = voc.ids_of(np.concatenate([np.zeros(0, np.int32), *(r["edges"] for r in results)]))
+                upto = np.concatenate([[0], np.cumsum(per_edge)])
+                off = upto[np.concatenate([[0], np.cumsum([len(r["edges"]) for r in results], dtype=np.int64)])].astype(np.int32)
                 at = pa.array(doc, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(draw, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))),
+                     pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32))),
                      *(pa.array([r[c] for r in results], pa.float64()) for c in ("log_prob", "value", "inclusion"))],
                     names=["doc_id", "th", "draw", "ids", "log_prob", "value", "inclusion"])
 
@@ -422,12 +529,20 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = _voc(path)
-        get = voc.raw.__getitem__
         for batch in batches:
             lists = batch.column("ids")
-            off = lists.offsets.to_numpy(zero_copy_only=False)
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            texts = [b"".join(map(get, flat[p:q].tolist()))[1:].decode("utf-8", "replace") for p, q in zip(off[:-1], off[1:])]
+            off = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+            piece = lists.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]].astype(np.int64)
+            off = off - off[0]
+            texts = []
+            for a, b in common.slices(np.diff(off), 500_000):
+                ids, cut = piece[off[a]:off[b]].copy(), off[a:b + 1] - off[a]
+                ids[cut[:-1][np.diff(cut) > 0]] += len(voc.pieces)
+                joined = voc.raw.take(pa.array(ids))              # its bytes are the texts, one after the other
+                ends = np.frombuffer(joined.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+                data = joined.buffers()[2].to_pybytes() if len(ids) else b""
+                at = ends[cut].tolist()
+                texts += [data[p:q].decode("utf-8", "replace") for p, q in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return rows.mapInArrow(run, f"{schema}, decoded string")
