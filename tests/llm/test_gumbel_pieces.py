@@ -2,6 +2,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -81,3 +82,39 @@ def test_all_segmentations_when_there_are_few():
 
 def test_empty_table(spark):
     assert G.decode(G.sample(rows(spark).filter("false"))).collect() == []
+
+
+def test_split_equals_words_of():
+    rng = np.random.default_rng(2)
+    texts = [None, "", " ", "a", "  two  blanks ", "x▁y ▁", "line\nend\n", "é 日本 x"]
+    texts += ["".join(rng.choice(list("ab \n▁é"), int(rng.integers(0, 30)))) for _ in range(200)]
+    words, which, cut = G.split(pa.array(texts, pa.string()).slice(1))
+    for i, t in enumerate(texts[1:]):
+        assert [words[j] for j in which[cut[i]:cut[i + 1]]] == G.words_of((t or "").replace("▁", " "))
+    assert len(set(words)) == len(words)
+    assert [len(x) for x in G.split(pa.array([None, ""], pa.string()))] == [0, 0, 3]
+
+
+def lattice(voc, node):
+    """All edges below a node: (piece, log p, what follows)."""
+    if node < 0:
+        return ()
+    a, n = voc.first[node], voc.count[node]
+    return tuple((int(voc.piece[e]), round(float(voc.given[e]), 9), lattice(voc, int(voc.to[e]))) for e in range(a, a + n))
+
+
+def test_shared_suffixes_change_no_lattice(monkeypatch):
+    words = ["▁nation", "▁station", "tion", "▁ion\n", "▁é日", "▁", "ation", "▁nations"]
+    voc = G.Vocabulary(G.default_model())
+    shared = [lattice(voc, int(r)) for part in (words[:3], words[3:], words) for r in voc.roots(part)]
+    small = voc.nodes
+    alone = G.Vocabulary(G.default_model())
+    monkeypatch.setattr(G.Vocabulary, "_suffixes", lambda self, text, left: (np.zeros(len(text), np.uint64), np.arange(len(text)), np.arange(len(text))))
+    assert shared == [lattice(alone, int(r)) for part in (words[:3], words[3:], words) for r in alone.roots(part)]
+    assert small < alone.nodes
+    monkeypatch.undo()
+    collide = G.Vocabulary(G.default_model())
+    real = G.Vocabulary._suffixes
+    # one hash for all suffixes of the same number in a batch: known nodes don't match and nothing is shared
+    monkeypatch.setattr(G.Vocabulary, "_suffixes", lambda self, text, left: (lambda k, a, w: (np.arange(1, len(k) + 1, dtype=np.uint64), a, w))(*real(self, text, left)))
+    assert shared == [lattice(collide, int(r)) for part in (words[:3], words[3:], words) for r in collide.roots(part)]
