@@ -117,8 +117,7 @@ def overwrite_table(df: DataFrame, path: str, version: int | None = None) -> int
     :func:`paylake.sources.tables.read_latest_version`.  Old versions are
     removed by :func:`paylake.operators.lifecycle.drop_old_versions`."""
     version = version if version is not None else time.time_ns() // 1_000_000
-    (df.withColumn("version", F.lit(version).cast("bigint"))
-       .write.mode("append").partitionBy("version").parquet(path))
+    df.write.parquet(f"{path}/version={version}")
     return version
 
 

@@ -48,6 +48,7 @@ from paylake.schemas import (
 )
 from paylake.plans.sql_reports import run_report
 from paylake.plans.chains import (
+    build_user_tables,
     current_silver,
     realtime_stream,
     run_medallion,
@@ -577,17 +578,20 @@ def q_latest_by_key(spark, sf_dir):
                          ["payment_date", "updated_at", "user_id", "amount", "status"])
 
 
-@register("user_dim", O.with_layers("silver_now") + """
+_USERS_SQL = """
 SELECT user_id, event_id AS last_event_id, status AS last_status, amount AS last_amount,
        payment_date AS last_payment_date, updated_at AS last_updated_at FROM silver_now
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, event_id DESC,
-                                                         payment_date DESC) = 1""")
+                                                         payment_date DESC) = 1"""
+
+
+@register("user_dim", O.with_layers("silver_now") + _USERS_SQL)
 def q_user_dim(spark, sf_dir):
     """M2 latest silver row per user."""
     return user_dim(I.silver_now(spark, sf_dir))
 
 
-@register("session_rollup", O.with_layers("silver_now") + """
+_SESSIONS_SQL = """
 , flagged AS (
   SELECT user_id, updated_at, status, amount,
          CASE WHEN lag(updated_at) OVER w IS NULL OR updated_at - lag(updated_at) OVER w > INTERVAL 30 MINUTE
@@ -603,7 +607,10 @@ SELECT md5(concat_ws('|', user_id, CAST(epoch_us(MIN(updated_at)) AS VARCHAR)))
        COUNT(*) FILTER (WHERE status = 'paid') AS paid_events,
        CAST(SUM(CASE WHEN status = 'paid' THEN CAST(amount AS DECIMAL(38,2)) ELSE 0 END) AS DOUBLE)
          AS paid_amount
-FROM numbered GROUP BY user_id, sid""")
+FROM numbered GROUP BY user_id, sid"""
+
+
+@register("session_rollup", O.with_layers("silver_now") + _SESSIONS_SQL)
 def q_session_rollup(spark, sf_dir):
     """M8 30-minute-gap sessions per user over silver."""
     return session_rollup(I.silver_now(spark, sf_dir), gap_minutes=30, chunk_minutes=5)
@@ -780,6 +787,30 @@ def q_medallion_chain_incremental(spark, sf_dir):
     return lake.read(spark, "gold_revenue_daily").drop("dbt_updated_at")
 
 
+_GATED_BRONZE_MS = f"SELECT * REPLACE (date_trunc('millisecond', updated_at) AS updated_at) FROM ({_GATED_BRONZE})"
+
+
+def _user_tables(spark, sf_dir):
+    lake = scratch_lake(spark, "users")
+    _land_bronze(spark, sf_dir, lake)
+    for _ in range(2):
+        run_realtime(spark, lake)
+        build_user_tables(spark, lake)
+    return lake
+
+
+@register("silver_users_table", O.with_layers("silver_now", bronze=_GATED_BRONZE_MS) + _USERS_SQL)
+def q_silver_users_table(spark, sf_dir):
+    """M2 as a table: written after each of two silver runs, the newest version read back."""
+    return _user_tables(spark, sf_dir).read(spark, "silver_users")
+
+
+@register("silver_sessions_table", O.with_layers("silver_now", bronze=_GATED_BRONZE_MS) + _SESSIONS_SQL)
+def q_silver_sessions_table(spark, sf_dir):
+    """M8 as a table: written after each of two silver runs, the newest version read back."""
+    return _user_tables(spark, sf_dir).read(spark, "silver_sessions")
+
+
 # ---------------------------------------------------------------------------
 # The same reports through Spark SQL (S6): parameterised statements over views
 

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from paylake.operators import quality as Q
 from paylake.operators.gold import gold_revenue, refresh_gold_days
 from paylake.operators.lifecycle import list_partitions, write_partitioned
-from paylake.operators.merge import merge_partitions, overwrite_table, sync_silver
-from paylake.operators.silver import silver_current, silver_incremental
+from paylake.operators.merge import merge_partitions, overwrite_table, sync_misfits, sync_silver, user_dim
+from paylake.operators.sessions import session_rollup
+from paylake.operators.silver import incremental_since, silver_current, silver_incremental
 from paylake.schemas import ACCEPTED_STATUSES, NEW_DATA_MINUTES, RECENT_HOURS
 from paylake.session import shared_dir
 from paylake.sources.tables import Lakehouse
@@ -106,12 +107,18 @@ def sync_new_batches(spark: SparkSession, lake: Lakehouse) -> list | None:
     unsynced batches (merged among themselves) are exactly the current rows
     that changed.  The synced batch ids go to a one-row-per-sync log *after*
     the upsert: a crash in between re-syncs the batch (the upsert is
-    idempotent) instead of losing it.  Returns the days rewritten."""
+    idempotent) instead of losing it.  Rows that the warehouse silver can't hold
+    go to the table ``sync_quarantine``, under the newest batch of the sync.
+    Returns the days rewritten."""
     fresh = unsynced_batches(spark, lake)
     newest = fresh.agg(F.max("batch_id")).first()[0]
     if newest is None:
         return []
-    days = sync_silver(spark, silver_current(fresh), lake.path("silver_payments"))
+    changed = silver_current(fresh)
+    (sync_misfits(changed).withColumn("batch_id", F.lit(int(newest)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(lake.path("sync_quarantine")))
+    days = sync_silver(spark, changed, lake.path("silver_payments"))
     (spark.createDataFrame([(int(newest),)], "batch_id bigint")
           .write.mode("append").parquet(lake.path("sync_log")))
     return days
@@ -122,16 +129,32 @@ def current_silver(spark: SparkSession, lake: Lakehouse) -> DataFrame:
     return silver_current(lake.read(spark, "silver_events"))
 
 
+def build_user_tables(spark: SparkSession, lake: Lakehouse) -> None:
+    """M2 / M8 as tables: ``silver_users`` and ``silver_sessions`` built from the
+    merged silver, each as a new version."""
+    silver = current_silver(spark, lake)
+    overwrite_table(user_dim(silver), lake.path("silver_users"))
+    overwrite_table(session_rollup(silver), lake.path("silver_sessions"))
+
+
 def run_medallion(spark: SparkSession, lake: Lakehouse, now=None,
                   hours: int = RECENT_HOURS, incremental_gold: bool = False) -> dict:
-    """Recency gate -> silver run -> silver tests -> sync -> gold -> gold
-    tests.  A failing gate or test raises and stops what follows.
+    """Recency gate -> bronze tests -> silver run -> silver tests -> sync ->
+    warehouse silver tests -> gold -> gold tests.  A failing gate or test raises
+    and stops what follows.
 
     ``incremental_gold`` refreshes only the days the sync rewrote in a
     day-partitioned gold table instead of rebuilding gold as a new version
-    from all of warehouse silver (the reference's full refresh)."""
+    from all of warehouse silver (the reference's full refresh).  The tests of
+    bronze and warehouse silver read the whole tables, or in incremental mode
+    the days that the run can append and the days that the sync rewrote."""
     now = now if now is not None else _wall_clock(spark)
     Q.require_recent(lake.read(spark, "bronze_a"), now, hours, "updated_at")
+    bronze = lake.read(spark, "bronze_a")
+    target = recent_target(spark, lake) if incremental_gold else None
+    if target is not None:
+        bronze = incremental_since(bronze, target)
+    Q.raise_on_failure(Q.check_not_null(bronze, ["event_id", "user_id", "payment_date"]))
     appended = silver_run(spark, lake)
     # data tests: all of silver (as a full test run does), or in incremental
     # mode only the rows this run will sync
@@ -141,6 +164,9 @@ def run_medallion(spark: SparkSession, lake: Lakehouse, now=None,
                        .unionByName(Q.check_accepted(silver, "status", ACCEPTED_STATUSES)))
     days = sync_new_batches(spark, lake)
     silver_b = lake.read(spark, "silver_payments")
+    synced = silver_b.filter(F.col("payment_date").isin(days)) if incremental_gold else silver_b
+    Q.raise_on_failure(Q.check_not_null(synced, ["event_id", "user_id", "amount", "payment_date"])
+                       .unionByName(Q.check_accepted(synced, "status", ACCEPTED_STATUSES)))
     if incremental_gold:
         refresh_gold_days(spark, silver_b, lake.path("gold_revenue_daily"), days)
         gold, result = lake.read(spark, "gold_revenue_daily"), {"gold_days": days}

@@ -22,9 +22,10 @@ LAYERS = {
     "silver_payments": ("silver/silver_payments", "payment_date"),
     "gold_revenue": ("gold/gold_revenue", "version"),
     "gold_revenue_daily": ("gold/gold_revenue_daily", "payment_date"),
-    "user_dim": ("silver/silver_users", None),
+    "silver_users": ("silver/silver_users", "version"),
     "sync_log": ("silver/_sync_log", None),
-    "sessions": ("silver/silver_sessions", "session_date"),
+    "silver_sessions": ("silver/silver_sessions", "version"),
+    "sync_quarantine": ("silver/_sync_quarantine", "batch_id"),
 }
 
 
@@ -45,7 +46,7 @@ class Lakehouse:
 
     def read(self, spark: SparkSession, layer: str) -> DataFrame:
         """S5 ``layer(spark, name)``: the current content of a layer."""
-        if layer == "gold_revenue":
+        if self.partition_column(layer) == "version":
             return read_latest_version(spark, self.path(layer))
         return bronze_table(spark, self.path(layer))
 
@@ -64,15 +65,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """Read the newest ``version=N`` partition of a full-refresh table (M5).
+    """Read the newest complete ``version=N`` of a full-refresh table (M5).
 
     The newest version is found by listing the version directories (a
-    metadata operation); only that version's files are scanned."""
+    metadata operation); only that version's files are scanned.  A version
+    counts once its job has committed and left ``_SUCCESS`` in it, so a run that
+    died half way is never read."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     versions = [int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(hpath)
-                if st.isDirectory() and st.getPath().getName().startswith("version=")]
+                if st.isDirectory() and st.getPath().getName().startswith("version=")
+                and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
     if not versions:
         raise FileNotFoundError(f"no version of {path}")
     return (spark.read.option("basePath", path).parquet(f"{path}/version={max(versions)}")

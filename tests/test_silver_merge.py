@@ -1,5 +1,6 @@
 """Incremental watermark (FIXTURES.md 2.3), dedup, upsert, versions, schema policy."""
 import datetime as dt
+import os
 
 from pyspark.sql import types as T
 
@@ -134,3 +135,11 @@ def test_incremental_gold_equals_full_rebuild(spark):
     cols = sorted(full.columns)
     assert inc.count() == full.count()
     assert inc.select(cols).exceptAll(full.select(cols)).count() == 0
+
+
+def test_half_written_version_is_not_read(spark, tmp_dir):
+    path = f"{tmp_dir}/half"
+    overwrite_table(spark.createDataFrame([(1,)], "x int"), path, version=1)
+    overwrite_table(spark.createDataFrame([(9,)], "x int"), path, version=2)
+    os.remove(f"{path}/version=2/_SUCCESS")
+    assert [r.x for r in read_latest_version(spark, path).collect()] == [1]
