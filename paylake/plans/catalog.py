@@ -67,11 +67,11 @@ from paylake.sources.driver_tables import (
 )
 from paylake.sources.streams import read_table_stream, read_validated
 from paylake.streaming.ingest import (
-    append_stream,
     bronze_a_stream,
     bronze_b_stream,
-    dedup_stream,
+    dedup_table_stream,
     gate_stream,
+    minute_counts,
     minute_counts_stream,
     run_to_end,
 )
@@ -646,6 +646,19 @@ def _stream_dirs(spark, name):
     return lake, f"{lake.root}/_checkpoints"
 
 
+def _late_events(spark, sf_dir, lake, again=None):
+    """A stream of ``events`` in files that arrive one a batch: the second half of
+    the month first, then the first half, then every ``again``-th event once more."""
+    events, folder = I.events(spark, sf_dir), f"{lake.root}/events_in"
+    late = F.day("ts") > 15
+    parts = [events.filter(late), events.filter(~late | late.isNull())]
+    if again:
+        parts.append(events.filter(F.col("event_id") % again == 0))
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+    return (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+
+
 @register("stream_bronze", O.with_layers("bronze") + f"""
 SELECT event_id, user_id, COALESCE(amount, 0.0) AS amount, COALESCE(status, '') AS status,
        payment_date, date_trunc('millisecond', updated_at) AS updated_at
@@ -684,28 +697,24 @@ def q_stream_bronze_b(spark, sf_dir):
 @register("stream_minute_counts", O.with_layers("bronze") + """
 SELECT date_trunc('minute', updated_at) AS minute, COUNT(*) AS rows FROM bronze GROUP BY 1""")
 def q_stream_minute_counts(spark, sf_dir):
-    """T5 streaming tumbling-minute counts (watermark, update mode, merged by minute)."""
+    """T5 streaming one-minute counts over files that arrive one a batch, the newest days first."""
     lake, ckpt = _stream_dirs(spark, "stream_minutes")
-    rows = payments_from_events(read_table_stream(spark, sf_dir, "events"))
+    rows = payments_from_events(_late_events(spark, sf_dir, lake))
     out = f"{lake.root}/minute_counts"
-    run_to_end(minute_counts_stream(rows, "updated_at", out, f"{ckpt}/minutes",
-                                    state_partitions=spark.sparkContext.defaultParallelism))
-    return spark.read.parquet(out).select("minute", "rows")
+    run_to_end(minute_counts_stream(rows, "updated_at", out, f"{ckpt}/minutes"))
+    return minute_counts(spark.read.parquet(out))
 
 
 @register("stream_dedup", O.with_layers("bronze") + """
 SELECT event_id, user_id, amount, status, payment_date, updated_at FROM bronze""")
 def q_stream_dedup(spark, sf_dir):
-    """T2 at-least-once delivery (every 10th event delivered twice) deduplicated
-    in the stream by (event_id, updated_at) within a one-hour watermark."""
+    """T2 at-least-once delivery (every 10th event delivered again, in a later
+    batch) over files that arrive one a batch, the newest days first: each
+    (event_id, payment_date, updated_at) is kept once."""
     lake, ckpt = _stream_dirs(spark, "stream_dedup")
-    events = read_table_stream(spark, sf_dir, "events")
-    again = read_table_stream(spark, sf_dir, "events").filter(F.col("event_id") % 10 == 0)
-    rows = payments_from_events(events.unionByName(again))
-    unique = dedup_stream(rows, ["event_id", "updated_at"], "updated_at", "1 hour")
+    rows = payments_from_events(_late_events(spark, sf_dir, lake, again=10))
     out = f"{lake.root}/deduped"
-    run_to_end(append_stream(unique, out, f"{ckpt}/dedup",
-                             state_partitions=spark.sparkContext.defaultParallelism))
+    run_to_end(dedup_table_stream(rows, ["event_id", "payment_date", "updated_at"], out, f"{ckpt}/dedup"))
     return spark.read.parquet(out).select(*SILVER_COLUMNS)
 
 

@@ -15,13 +15,15 @@ from collections.abc import Callable, Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from paylake.functions import minute_of
 from paylake.operators.gate import gate_counter_columns, to_keyed, validate_events
-from paylake.operators.merge import upsert
+from paylake.operators.merge import partition_values
 from paylake.operators.parse import enforce_broken_budget, split_staged, stage_lane_a, stage_lane_b
 from paylake.session import spread
+from paylake.sources.tables import path_exists
 
 _LOG = logging.getLogger("paylake.streaming")
 
@@ -211,28 +213,54 @@ def event_time(col: str) -> Column:
 
 
 def minute_counts_stream(rows: DataFrame, ts_col: str, out_path: str, checkpoint: str,
-                         watermark: str = "10 minutes", trigger: dict | None = None,
-                         state_partitions: int | None = None) -> StreamingQuery:
-    """T5: tumbling one-minute counts with a watermark, emitted in update mode
-    and merged into a day-partitioned table by minute (M3 upsert; a later batch's
-    running count replaces the earlier one)."""
-    counts = (rows.withColumn("_et", event_time(ts_col)).withWatermark("_et", watermark)
-                  .groupBy(F.window("_et", "1 minute").alias("w"))
-                  .agg(F.count(F.lit(1)).alias("rows")))
-
+                         trigger: dict | None = None) -> StreamingQuery:
+    """T5: one-minute counts, whatever the order of arrival: every micro-batch
+    writes its own counts under its ``batch_id`` and :func:`minute_counts` adds
+    them up.  There is no state and no watermark, so no late row is lost."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        out = batch.select(minute_of(F.col("w.start")).alias("minute"), "rows",
-                           F.lit(batch_id).cast("bigint").alias("batch_id"))
-        out = out.withColumn("day", F.to_date("minute"))
-        upsert(out.sparkSession, out_path, out, ["minute"], ["batch_id", "rows"], "day")
+        _write_batch(batch.groupBy(minute_of(F.col(ts_col)).alias("minute")).agg(F.count(F.lit(1)).alias("rows"))
+                     .withColumn("day", F.to_date("minute")), out_path, batch_id, ["day"])
+
+    return _start(rows, "minute_counts", checkpoint, handle, trigger)
+
 
-    return _start(counts, "minute_counts", checkpoint, handle, trigger, output_mode="update",
-                  state_partitions=state_partitions)
+def minute_counts(counts: DataFrame) -> DataFrame:
+    """T5 read side: the counts of all batches by minute."""
+    return counts.groupBy("minute").agg(F.sum("rows").cast("bigint").alias("rows"))
+
+
+def dedup_table_stream(rows: DataFrame, keys: Sequence[str], out_path: str, checkpoint: str,
+                       partition_col: str = "payment_date", trigger: dict | None = None) -> StreamingQuery:
+    """T2 without a time limit: append the rows whose ``keys`` the table doesn't
+    hold yet.  Copies in a micro-batch are combined before the shuffle; copies
+    of stored rows are found by an anti join with the partitions that the batch
+    touches only (``partition_col`` is one of the keys, so copies share it).
+    Rows may come as late as they like; a replayed batch replaces itself."""
+    if partition_col not in keys:
+        raise ValueError(f"{partition_col} must be one of the keys")
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(list(keys))
+        if path_exists(batch.sparkSession, out_path):
+            days = partition_values(batch, partition_col)
+            known = [d for d in days if d is not None]
+            stored = (batch.sparkSession.read.schema(stored_schema).option("basePath", out_path).parquet(out_path)
+                      .filter(F.col(partition_col).isin(known) | (F.col(partition_col).isNull() if None in days else F.lit(False)))
+                      .filter(F.col("batch_id") != batch_id).select(*[F.col(k).alias(f"_{k}") for k in keys]))
+            same = None
+            for k in keys:
+                eq = F.col(k).eqNullSafe(F.col(f"_{k}"))
+                same = eq if same is None else same & eq
+            new = new.join(stored, same, "left_anti")
+        _write_batch(new, out_path, batch_id, [partition_col])
+
+    stored_schema = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.LongType())])
+    return _start(rows, "dedup_table", checkpoint, handle, trigger)
 
 
 def dedup_stream(rows: DataFrame, keys: Sequence[str], ts_col: str, delay: str = "1 hour") -> DataFrame:
-    """Drop redelivered copies that arrive within ``delay`` of each other
-    (state is bounded by the watermark)."""
+    """T2 with bounded state: drop redelivered copies that arrive within ``delay``
+    of each other.  Rows later than ``delay`` are dropped by the watermark; where
+    that can happen use :func:`dedup_table_stream`."""
     return (rows.withColumn("_et", event_time(ts_col)).withWatermark("_et", delay)
                 .dropDuplicatesWithinWatermark(list(keys)).drop("_et"))
 
