@@ -69,7 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled SentencePiece ids of every document: doc_id, draw, ids, log_prob,
     inclusion, and whether the ids decode to the text."""
-    out = gumbel_pieces.decode(gumbel_pieces.sample(documents(docs)))
+    out = gumbel_pieces.sample(documents(docs), decoded=True)
     return out.select("doc_id", "draw", "ids", "log_prob", "inclusion", gumbel_pieces.round_trip().alias("round_trip"))
 
 

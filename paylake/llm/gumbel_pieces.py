@@ -49,7 +49,7 @@ K = 2
 OFFSET = 100
 SEED = 8
 #: Distinct words whose lattices a worker keeps; beyond it they start anew.
-WORD_MEMORY = 400_000
+WORD_MEMORY = 150_000
 #: Edges from here on stand for characters outside the vocabulary.
 CHAR = 1 << 20
 #: Leading bits of hashes that a table resolves at once.
@@ -484,10 +484,11 @@ def _voc(path: str) -> Vocabulary:
     return _models[path]
 
 
-def sample(docs: DataFrame, k: int = K, seed: int = SEED, model: str | None = None) -> DataFrame:
+def sample(docs: DataFrame, k: int = K, seed: int = SEED, model: str | None = None, decoded: bool = False) -> DataFrame:
     """doc_id, th, draw (from 1), ids, log_prob, value, inclusion: ``k`` distinct
     segmentations of every whole text (fewer if it has fewer).  The row key is
-    the id and a hash of the text; equal rows get equal draws."""
+    the id and a hash of the text; equal rows get equal draws.  ``decoded`` adds the
+    text that :func:`decode` makes of the ids, in the same Python worker."""
     common.prepare(docs.sparkSession)
     path = model or default_model()
 
@@ -509,14 +510,34 @@ def sample(docs: DataFrame, k: int = K, seed: int = SEED, model: str | None = No
                 upto = np.concatenate([[0], np.cumsum(per_edge)])
                 off = upto[np.concatenate([[0], np.cumsum([len(r["edges"]) for r in results], dtype=np.int64)])].astype(np.int32)
                 at = pa.array(doc, pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(draw, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32))),
-                     *(pa.array([r[c] for r in results], pa.float64()) for c in ("log_prob", "value", "inclusion"))],
-                    names=["doc_id", "th", "draw", "ids", "log_prob", "value", "inclusion"])
+                    [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(draw, pa.int32()), lists,
+                     *(pa.array([r[c] for r in results], pa.float64()) for c in ("log_prob", "value", "inclusion")),
+                     *([pa.array(texts_of(voc, lists), pa.string())] if decoded else [])], names=names)
+        voc._words()                                    # a worker's next task may be another one
 
     docs = docs.select(*common.text_key()).withColumn("key", F.xxhash64("doc_id", "th"))
-    return docs.mapInArrow(run, "doc_id long, th long, draw int, ids array<int>, log_prob double, value double, inclusion double")
+    schema = "doc_id long, th long, draw int, ids array<int>, log_prob double, value double, inclusion double" + ", decoded string" * decoded
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.mapInArrow(run, schema)
+
+
+def texts_of(voc: Vocabulary, lists: pa.ListArray) -> list[str]:
+    """The text of each list of ids."""
+    off = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    piece = lists.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]].astype(np.int64)
+    off = off - off[0]
+    texts = []
+    for a, b in common.slices(np.diff(off), 500_000):
+        ids, cut = piece[off[a]:off[b]].copy(), off[a:b + 1] - off[a]
+        ids[cut[:-1][np.diff(cut) > 0]] += len(voc.pieces)
+        joined = voc.raw.take(pa.array(ids))              # its bytes are the texts, one after the other
+        ends = np.frombuffer(joined.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+        data = joined.buffers()[2].to_pybytes() if len(ids) else b""
+        at = ends[cut].tolist()
+        texts += [data[p:q].decode("utf-8", "replace") for p, q in zip(at[:-1], at[1:])]
+    return texts
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
@@ -530,20 +551,7 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = _voc(path)
         for batch in batches:
-            lists = batch.column("ids")
-            off = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-            piece = lists.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]].astype(np.int64)
-            off = off - off[0]
-            texts = []
-            for a, b in common.slices(np.diff(off), 500_000):
-                ids, cut = piece[off[a]:off[b]].copy(), off[a:b + 1] - off[a]
-                ids[cut[:-1][np.diff(cut) > 0]] += len(voc.pieces)
-                joined = voc.raw.take(pa.array(ids))              # its bytes are the texts, one after the other
-                ends = np.frombuffer(joined.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
-                data = joined.buffers()[2].to_pybytes() if len(ids) else b""
-                at = ends[cut].tolist()
-                texts += [data[p:q].decode("utf-8", "replace") for p, q in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts_of(voc, batch.column("ids")), pa.string())], names=[*names, "decoded"])
 
     return rows.mapInArrow(run, f"{schema}, decoded string")
 
@@ -557,7 +565,7 @@ def round_trip() -> F.Column:
 def op8_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every text: doc_id, draw, n_tokens, ids_hash,
     log_prob, value, inclusion, and whether decoding the ids gives the text back."""
-    rows = decode(sample(common.table(spark, sf_dir, "documents")))
+    rows = sample(common.table(spark, sf_dir, "documents"), decoded=True)
     return rows.select("doc_id", "draw", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
                        "log_prob", "value", "inclusion",
                        round_trip().alias("round_trip"))
