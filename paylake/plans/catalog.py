@@ -248,6 +248,16 @@ def q_approx_users(spark, sf_dir):
     return R.approx_users(I.silver_now(spark, sf_dir))
 
 
+@register("approx_users_close", O.with_layers("silver_now") + """
+SELECT payment_date, COUNT(DISTINCT user_id) AS unique_users, TRUE AS within_3pct FROM silver_now GROUP BY 1""")
+def q_approx_users_close(spark, sf_dir):
+    """G13 against G14: whether each day's approximate count is within 3 % of the exact one."""
+    s = I.silver_now(spark, sf_dir)
+    close = F.abs(F.col("approx_users") - F.col("unique_users")) <= F.col("unique_users") * 0.03
+    return R.approx_users(s).join(R.unique_users(s), "payment_date").select(
+        "payment_date", "unique_users", close.alias("within_3pct"))
+
+
 # ---------------------------------------------------------------------------
 # Lane comparisons
 
@@ -376,6 +386,31 @@ def q_check_freshness(spark, sf_dir):
                              FRESHNESS_WARN_HOURS, FRESHNESS_ERROR_HOURS)
 
 
+@register("check_freshness_late", O.with_layers("silver_now") + """
+SELECT late_hours, CASE WHEN late_hours > 6 THEN 'error' WHEN late_hours > 2 THEN 'warn' ELSE 'pass' END AS status
+FROM (SELECT MAX(updated_at) AS newest FROM silver_now), (VALUES (1), (3), (7)) AS h(late_hours)""")
+def q_check_freshness_late(spark, sf_dir):
+    """Q3 one, three and seven hours after silver's newest row: pass, warn, error."""
+    s = I.silver_now(spark, sf_dir)
+    newest = s.agg(F.max("updated_at")).scalar()
+    out = None
+    for h in (1, 3, 7):
+        one = Q.check_freshness(s, "updated_at", newest + F.expr(f"INTERVAL {h} HOURS"),
+                                FRESHNESS_WARN_HOURS, FRESHNESS_ERROR_HOURS).select(F.lit(h).alias("late_hours"), "status")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("gates_closed", O.with_layers("bronze") + f"""
+SELECT gate, EXISTS (SELECT 1 FROM bronze WHERE updated_at > {O.NOW_SQL} + INTERVAL 3 HOUR - INTERVAL 1 MINUTE * minutes) AS passed
+FROM (VALUES ('new_data', 6), ('recent', 120)) AS g(gate, minutes)""")
+def q_gates_closed(spark, sf_dir):
+    """Q4/Q5 three hours after the newest event: both gates are closed."""
+    b, now = I.bronze(spark, sf_dir), I.now_of(spark, sf_dir) + F.expr("INTERVAL 3 HOURS")
+    new = Q.gate_frame(spark, "new_data", Q.exists_since(b, "updated_at", NEW_DATA_MINUTES, now))
+    return new.unionByName(Q.gate_frame(spark, "recent", Q.exists_since(b, "updated_at", RECENT_HOURS * 60, now)))
+
+
 @register("new_data_gate", O.with_layers("bronze") + f"""
 SELECT 'new_data' AS gate,
        EXISTS (SELECT 1 FROM bronze WHERE updated_at > {O.NOW_SQL} - INTERVAL 6 MINUTE) AS passed""")
