@@ -17,9 +17,10 @@ that the results still wanted can need); the next result starts from the
 queue's best node: one of its edges is drawn, the edges left go back.
 
 Pieces never join a word end with the next word's blank, so the lattice of a
-text is the chain of its words' lattices and the masses of words multiply.  The
-tables of a distinct word (its nodes' edges, backward masses) are made once and
-kept.  All random numbers are hashes of the row key, the draw and the place, so
+text is the chain of its words' lattices and the masses of words multiply.  A
+lattice node is a suffix of a word, shared by all words that end so; its tables
+(edges, backward mass) are made once and kept until the task ends or they hold
+``WORD_MEMORY`` words.  All random numbers are hashes of the row key, the draw and the place, so
 reruns and other partitionings give the same segmentations.
 
 Each result has its log-probability, its perturbed value, and its inclusion
