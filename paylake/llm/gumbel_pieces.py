@@ -560,7 +560,8 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
 def round_trip() -> F.Column:
     """Whether ``decoded`` is the row's text, by the text's hash ``th`` (a null
     text decodes to the empty one)."""
-    return F.col("th").isin(F.xxhash64("decoded"), F.when(F.col("decoded") == "", F.xxhash64(F.lit(None).cast("string"))))
+    same = F.col("th").isin(F.xxhash64("decoded"), F.when(F.col("decoded") == "", F.xxhash64(F.lit(None).cast("string"))))
+    return F.coalesce(same, F.lit(False))
 
 
 def op8_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
