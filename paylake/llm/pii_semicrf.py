@@ -12,8 +12,12 @@ span touches it and its marginal probability is ``CERTAIN`` or more.
 
 Training: islands of a bounded sample of texts (the first ``SAMPLE_DOCS`` by a
 hash), with the base spans, and long hexadecimal or mixed tokens after a word
-for a secret, as labels.  The features leave out what only the fixed patterns
-test (check digits), so that near forms are found too.
+for a secret, as labels.  All their islands are used, up to ``SAMPLE_TOKENS``
+tokens; beyond that they are chosen by hash, each set of kinds in its turn.
+Islands of more than ``TRAIN_TOKENS`` tokens are learned in pieces cut between
+segments, and an island with a label that doesn't begin and end with tokens is
+left out.  The features leave out what only the fixed patterns test (check
+digits), so that near forms are found too.
 
 Null and empty texts have no spans.  Texts are handled whole; an island is cut
 into pieces of ``MOST_ISLAND`` tokens, each solved by itself, so memory stays
@@ -41,6 +45,12 @@ SAMPLE_DOCS = 1500
 MOST_TOKENS = 4
 MOST_ISLAND = 64
 CERTAIN = 0.95
+#: Training: an island of more tokens than TRAIN_TOKENS is cut between segments, and
+#: the islands have SAMPLE_TOKENS tokens at most (a sample of sf0.1 has about 1,500);
+#: of more, islands are chosen by hash, each set of kinds in its turn.
+TRAIN_TOKENS = 64
+SAMPLE_TOKENS = 100_000
+BATCH_TOKENS = 20_000
 EPOCHS = 60
 RATE = 0.3
 #: Words that announce a secret.
@@ -166,6 +176,47 @@ def features(text: str, first: Token, last: Token, n: int) -> list[str]:
     return out
 
 
+def scores_of(tokens: int, table: dict) -> np.ndarray:
+    """(first token, tokens - 1, kind) scores of a table of segments."""
+    out = np.full((tokens, MOST_TOKENS, len(KINDS) + 1), -np.inf)
+    for (s, n), (_, score) in table.items():
+        out[s, n - 1] = score
+    return out
+
+
+class Sums:
+    """Forward and backward log-sums of several islands at once, from scores
+    (island, first token, tokens - 1, kind) that are -inf where no segment is."""
+
+    def __init__(self, score: np.ndarray, length: np.ndarray, pairs: np.ndarray):
+        n, tokens, most, size = score.shape
+        self.ahead = np.full((n, tokens + 1, size), -np.inf)
+        self.ahead[:, 0, 0] = 0.0
+        self.into = np.empty((n, tokens, size))
+        for s in range(tokens):
+            self.into[:, s] = np.logaddexp.reduce(self.ahead[:, s, :, None] + pairs, axis=1)
+            m = min(most, tokens - s)
+            to = self.ahead[:, s + 1:s + 1 + m]
+            np.logaddexp(to, self.into[:, s, None] + score[:, s, :m], out=to)
+        self.back = np.full((n, tokens + 1, size), -np.inf)
+        self.back[np.arange(n), length] = 0.0
+        self.onto = np.empty((n, tokens, size))
+        for s in range(tokens - 1, -1, -1):
+            m = min(most, tokens - s)
+            self.onto[:, s] = np.logaddexp.reduce(score[:, s, :m] + self.back[:, s + 1:s + 1 + m], axis=1)
+            self.back[:, s] = np.where((length == s)[:, None], 0.0, np.logaddexp.reduce(pairs + self.onto[:, s, None], axis=2))
+        self.z = np.logaddexp.reduce(self.ahead[np.arange(n), length], axis=1)
+
+    def segments(self, score: np.ndarray) -> np.ndarray:
+        """P(segment is chosen with each kind), in the shape of ``score``."""
+        out = np.zeros_like(score)
+        for s in range(score.shape[1]):
+            m = min(score.shape[2], score.shape[1] - s)
+            out[:, s, :m] = np.exp(np.minimum(self.into[:, s, None] + score[:, s, :m] + self.back[:, s + 1:s + 1 + m]
+                                              - self.z[:, None, None], 0))
+        return out
+
+
 class SemiMarkov:
     """Weights of (kind, feature); kind 0 is "none" and spans one token."""
 
@@ -190,32 +241,14 @@ class SemiMarkov:
     def sums(self, tokens: int, table: dict) -> tuple[np.ndarray, np.ndarray, float]:
         """Forward and backward log-sums at (token boundary, kind of the segment
         ending / beginning there), and the log partition function."""
-        size = len(KINDS) + 1
-        ahead = np.full((tokens + 1, size), -np.inf)
-        ahead[0, 0] = 0.0
-        for e in range(1, tokens + 1):
-            for n in range(1, min(MOST_TOKENS, e) + 1):
-                score = np.array(table[e - n, n][1])
-                into = np.logaddexp.reduce(ahead[e - n][:, None] + self.pairs, axis=0)
-                ahead[e] = np.logaddexp(ahead[e], into + score)
-        back = np.full((tokens + 1, size), -np.inf)
-        back[tokens] = 0.0
-        for s in range(tokens - 1, -1, -1):
-            total = np.full(size, -np.inf)
-            for n in range(1, min(MOST_TOKENS, tokens - s) + 1):
-                score = np.array(table[s, n][1])
-                total = np.logaddexp(total, np.logaddexp.reduce(self.pairs + (score + back[s + n])[None, :], axis=1))
-            back[s] = total
-        return ahead, back, float(np.logaddexp.reduce(ahead[tokens]))
+        sums = Sums(scores_of(tokens, table)[None], np.array([tokens]), self.pairs)
+        return sums.ahead[0], sums.back[0], float(sums.z[0])
 
     def marginals(self, tokens: int, table: dict) -> dict[tuple[int, int], np.ndarray]:
         """P(segment is chosen with each kind)."""
-        ahead, back, z = self.sums(tokens, table)
-        out = {}
-        for (s, n), (_, score) in table.items():
-            into = np.logaddexp.reduce(ahead[s][:, None] + self.pairs, axis=0)
-            out[s, n] = np.exp(np.minimum(into + np.array(score) + back[s + n] - z, 0))
-        return out
+        score = scores_of(tokens, table)[None]
+        p = Sums(score, np.array([tokens]), self.pairs).segments(score)[0]
+        return {(s, n): p[s, n - 1] for s, n in table}
 
     def decode(self, text: str, tokens: list[Token]) -> list[tuple[str, int, int, float]]:
         """The best segmentation's entities with their marginals."""
@@ -274,50 +307,116 @@ def secrets(text: str, tokens: list[list[Token]]) -> list[tuple[str, int, int]]:
     return out
 
 
+def pieces(want: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(first token, tokens, segments) of an island's pieces for training: a piece
+    ends with the segment that brings it to ``TRAIN_TOKENS`` tokens."""
+    part: list[tuple[int, int, int]] = []
+    for s, n, y in want:
+        part.append((s, n, y))
+        start = part[0][0]
+        if s + n - start >= TRAIN_TOKENS or (s, n, y) == want[-1]:
+            yield start, s + n - start, [(q - start, k, z) for q, k, z in part]
+            part = []
+
+
+def chosen(cases: list[tuple], most: int) -> list[tuple]:
+    """The cases (hash, tokens, want, ...) within ``most`` tokens: cases with the same
+    kinds by hash, and each set of kinds in its turn, so that none crowds out another."""
+    if sum(len(c[1]) for c in cases) <= most:
+        return cases
+    strata: dict[tuple[int, ...], list] = {}
+    for c in sorted(cases, key=lambda c: c[0]):
+        strata.setdefault(tuple(sorted({y for _, _, y in c[2]})), []).append(c)
+    out, total = [], 0
+    for _, _, c in sorted((i, kinds, c) for kinds, group in strata.items() for i, c in enumerate(group)):
+        total += len(c[1])
+        if total > most:
+            break
+        out.append(c)
+    return out
+
+
+class Cases:
+    """Islands of about one length for training: the numbers of their segments
+    (island, first token, tokens - 1), -1 where there is none."""
+
+    def __init__(self, group: list[tuple]):
+        size = max(len(c[0]) for c in group)
+        self.length = np.array([len(c[0]) for c in group])
+        self.weight = np.array([1.0 + np.log(c[2]) for c in group])
+        self.segment = np.full((len(group), size, MOST_TOKENS), -1, np.int32)
+        for i, (rows, _, _) in enumerate(group):
+            for s, row in enumerate(rows):
+                self.segment[i, s, :len(row)] = row
+
+
 def fit(texts: list[str]) -> SemiMarkov:
-    """Conditional maximum likelihood by AdaGrad over islands of the sample."""
+    """Conditional maximum likelihood by AdaGrad over the islands of the sample, all
+    of them up to ``SAMPLE_TOKENS`` tokens."""
     cases = []
     for text in texts:
         found = islands(text)
         spans = base_spans(text) + secrets(text, found)
+        name = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         for tokens in found:
-            if len(tokens) <= 12:
-                want = gold(text, tokens, spans)
-                if want is not None:
-                    cases.append((text, tokens, want))
-    model = SemiMarkov()
-    # many islands are alike: one of each list of features, with its number
-    groups: dict[tuple, list] = {}
-    for text, tokens, want in cases:
-        table = model.table(text, tokens)
-        key = (tuple(want), tuple((k, tuple(f)) for k, (f, _) in sorted(table.items())))
-        groups.setdefault(key, [0, len(tokens), {k: f for k, (f, _) in table.items()}, want])[0] += 1
-    kept = sorted(groups.items(), key=lambda g: (-g[1][0], repr(g[0])))[:400]
-    seen: dict[tuple[int, str], float] = {}
-    get = model.weights
+            want = gold(text, tokens, spans)
+            for a, n, part in pieces(want) if want is not None else ():
+                mark = hashlib.blake2b(name + tokens[a].a.to_bytes(8), digest_size=8).digest()
+                cases.append((mark, tokens[a:a + n], part, text))
+    # segments and islands that are alike stand once, islands with their number
+    number: dict[tuple[str, ...], int] = {}
+    names: dict[str, int] = {}
+    flat: list[list[int]] = []
+    groups: dict[tuple, int] = {}
+    for _, tokens, want, text in chosen(cases, SAMPLE_TOKENS):
+        rows = []
+        for i in range(len(tokens)):
+            row = []
+            for n in range(1, min(MOST_TOKENS, len(tokens) - i) + 1):
+                f = tuple(features(text, tokens[i], tokens[i + n - 1], n))
+                if f not in number:
+                    number[f] = len(flat)
+                    flat.append([names.setdefault(x, len(names)) for x in f])
+                row.append(number[f])
+            rows.append(tuple(row))
+        key = tuple(rows), tuple(want)
+        groups[key] = groups.get(key, 0) + 1
+    if not groups:
+        return SemiMarkov()
+    size = len(KINDS) + 1
+    seg_of = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
+    name_of = np.array([x for f in flat for x in f])
+    single = np.array(["n=1" in f for f in number])
+    batches: list[Cases] = []
+    observed = np.zeros((len(flat), size))
+    part: list[tuple] = []
+    for (rows, want), count in sorted(groups.items(), key=lambda g: len(g[0][0])):
+        for s, n, y in want:
+            observed[rows[s][n - 1], y] += 1.0 + np.log(count)
+        if part and (len(rows) > 1.25 * len(part[0][0]) or len(part) * len(rows) > BATCH_TOKENS):
+            batches.append(Cases(part))
+            part = []
+        part.append((rows, want, count))
+    batches.append(Cases(part))
+
+    weights, seen, pairs = np.zeros((len(names), size)), np.full((len(names), size), 1e-8), np.zeros((size, size))
     for _ in range(EPOCHS):
-        grad: dict[tuple[int, str], float] = {}
-        pair_grad = np.zeros_like(model.pairs)
-        for _, (number, n_tokens, feats, want) in kept:
-            weight = 1.0 + np.log(number)
-            table = {k: (f, [sum(get.get((y, x), 0.0) for x in f) if y or k[1] == 1 else -np.inf for y in range(len(KINDS) + 1)])
-                     for k, f in feats.items()}
-            for (s, n), p in model.marginals(n_tokens, table).items():
-                f = feats[s, n]
-                for y in np.flatnonzero(p > 1e-4):
-                    for x in f:
-                        grad[int(y), x] = grad.get((int(y), x), 0.0) - weight * float(p[y])
-            prev = 0
-            for s, n, y in want:
-                for x in feats[s, n]:
-                    grad[y, x] = grad.get((y, x), 0.0) + weight
-                pair_grad[prev, y] += 0 * weight
-                prev = y
-        for k, g in grad.items():
-            g -= 0.02 * get.get(k, 0.0)
-            seen[k] = seen.get(k, 1e-8) + g * g
-            get[k] = get.get(k, 0.0) + RATE * g / seen[k]**0.5
-    return model
+        score = np.full((len(flat) + 1, size), -np.inf)
+        for y in range(size):
+            score[:-1, y] = np.bincount(seg_of, weights[name_of, y], len(flat))
+        score[:-1, 0][~single] = -np.inf
+        left = observed.copy()
+        for batch in batches:
+            at = score[batch.segment]
+            sums = Sums(at, batch.length, pairs)
+            p = sums.segments(at) * batch.weight[:, None, None, None]
+            real = batch.segment >= 0
+            for y in range(size):
+                left[:, y] -= np.bincount(batch.segment[real], p[..., y][real], len(flat))
+        grad = np.stack([np.bincount(name_of, left[seg_of, y], len(names)) for y in range(size)], axis=1) - 0.02 * weights
+        seen += grad * grad
+        weights += RATE * grad / np.sqrt(seen)
+    return SemiMarkov({(y, x): float(w) for x, i in names.items() for y, w in enumerate(weights[i]) if w}, pairs)
 
 
 def train(docs: DataFrame) -> SemiMarkov:

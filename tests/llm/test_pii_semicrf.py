@@ -100,3 +100,26 @@ def test_odd_rows(spark):
     assert {r.redacted for r in got if r.base.startswith("phone")} == {"call <PHONE>"}
     assert P.detect(df.filter("false"), model, ["doc_id"]).collect() == []
     assert len(P.detect(df.drop("base", "spans"), P.train(df), ["doc_id"]).collect()) == len(rows)
+
+
+def test_rare_shapes_are_learned_beside_many_islands_without_entities():
+    # 600 lists of features without an entity, 40 different ones with a secret
+    rng = np.random.default_rng(3)
+    none = ["see " + ".".join("123456789"[:int(k)] for k in rng.integers(1, 10, 5)) + "x" for _ in range(600)]
+    keys = ["token " + "".join(rng.choice(list("abcdef0123456789"), 24 + 2 * i)) for i in range(40)]
+    assert len({tuple(P.features(t, k[0], k[0], 1)) for t in none + keys for k in P.islands(t)}) > 500
+    model = P.fit(none + keys)
+    new = "token " + "".join(rng.choice(list("abcdef0123456789"), 45))
+    assert [s[0] for s in P.spans_of(new, model)[1]] == ["secret"]
+    assert not P.spans_of("see 12.1234.123456.12.1x", model)[1]
+
+
+def test_a_bounded_sample_keeps_every_kind(monkeypatch):
+    cases = [(bytes([i % 256, i // 256]), [None], [(0, 1, 5 if i % 100 == 0 else 0)], "") for i in range(1000)]
+    kept = P.chosen(cases, 30)
+    assert len(kept) == 30 and sum(c[2][0][2] == 5 for c in kept) == 10
+    assert P.chosen(cases, 1000) == cases
+    want = [(i, 1, 0) for i in range(60)] + [(60, 10, 3)] + [(i, 1, 0) for i in range(70, 150)]
+    parts = list(P.pieces(want))
+    assert [(a, n) for a, n, _ in parts] == [(0, 70), (70, 64), (134, 16)]
+    assert [(a + s, n, y) for a, _, part in parts for s, n, y in part] == want
