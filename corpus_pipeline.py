@@ -32,13 +32,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one of the smallest id
-    (of rows with that id, the one with the smallest hash of text, source, lang).
-    Texts without words stay."""
+    (of rows with that id, the one with the smallest hash of the text; of rows without
+    id, likewise).  Classes are told apart by their texts, not by ids, so an id on
+    different texts joins no classes.  Texts without words stay."""
     docs = documents(docs).withColumn("th", F.xxhash64("text"))
     classes = bagminhash.near_duplicates(docs).filter("rep is not null")
     # the row that stays, by class: map-side minima of small keys
-    stay = (classes.withColumn("class", F.coalesce(F.col("class_id"), F.col("rep")))
-            .groupBy(F.col("class_id").isNull().alias("no"), "class")
+    stay = (classes.groupBy("comp")
             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("one"))
             .select(F.col("one.doc_id").alias("k_id"), F.col("one.th").alias("k_th")))
     blank = (bagminhash.blank_rows(docs).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).distinct()

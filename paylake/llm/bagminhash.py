@@ -304,13 +304,13 @@ def meeting(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, th, rep, class_id): one row per row of ``docs`` (doc_id, text, ...).
+    """(doc_id, th, rep, comp, class_id): one row per row of ``docs`` (doc_id, text, ...).
 
     Rows are known by doc_id and a hash of the text.  ``rep`` is a number of the
-    row's shingle multiset and ``class_id`` the smallest doc_id of all rows of
+    row's shingle multiset, ``comp`` of its class and ``class_id`` the smallest doc_id of all rows of
     its class (null ids come last; a class of null ids only has a null
-    class_id).  Texts without words (null, empty, blank) have no shingles and
-    are each a class of their own: ``rep`` is null and class_id is doc_id.
+    class_id, and classes that share an id may have the same one).  Texts without words (null, empty, blank) have no shingles and
+    are each a class of their own: ``rep`` and ``comp`` are null and class_id is doc_id.
     """
     common.prepare(docs.sparkSession)
     docs = docs.select(*common.text_key())
@@ -358,10 +358,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     named = (reps.select("rep", "least_id").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
              .withColumn("comp", F.coalesce("comp", "rep")))
     classes = named.groupBy("comp").agg(F.min("least_id").alias("class_id"))
-    named = named.join(classes, "comp").select("rep", "class_id")
+    named = named.join(classes, "comp").select("rep", "comp", "class_id")
     grouped = (members.select("doc_id", "th", F.xxhash64("set1", "set2").alias("rep")).join(named, "rep")
-               .select("doc_id", "th", "rep", "class_id"))
-    alone = sk.filter("bands is null").select("doc_id", "th", F.lit(None).cast("long").alias("rep"), F.col("doc_id").alias("class_id"))
+               .select("doc_id", "th", "rep", "comp", "class_id"))
+    alone = sk.filter("bands is null").select("doc_id", "th", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("comp"),
+                                              F.col("doc_id").alias("class_id"))
     return grouped.unionByName(alone)
 
 

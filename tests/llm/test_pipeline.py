@@ -30,3 +30,13 @@ def test_stages_on_an_empty_table(spark):
         assert out.collect() == [], name
         if name != P.STAGES[-1][0]:
             assert out.columns == P.NAMES
+
+
+def test_near_duplicates_by_class_not_by_id(spark):
+    words = ["".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11)) + str(i) for i in range(400)]
+    a, b, c = (" ".join(words[i:i + 100]) for i in (0, 100, 200))
+    edited = [c[:-len(words[299])] + w for w in ("end", "stop", "last")]            # near copies of c
+    rows = [(7, a), (7, b), (8, a), (9, b), (None, c), *((None, t) for t in edited), (None, c), (None, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in rows], ", ".join(P.COLUMNS))
+    out = [(r.doc_id, r.text) for r in P.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(out, key=str) == sorted([(7, a), (7, b), (7, None), (None, ""), next(x for x in out if x[1] in (c, *edited))], key=str)
