@@ -3,7 +3,7 @@
 Base spans (email, ip, card, phone) follow fixed patterns, leftmost and
 non-overlapping per kind.  A semi-Markov CRF adds spans: over *islands* of a
 text, which are maximal runs of tokens with a digit or an at sign (and the
-single tokens between them), it scores whole candidate segments of up to
+single tokens between them, which no entity begins or ends with), it scores whole candidate segments of up to
 ``MOST_TOKENS`` tokens by features of the whole span (digits, separators,
 groups, alphabet, length, the words before it) and chooses boundaries and types
 jointly: forward sums for training, and a dynamic programme over segment ends
@@ -19,15 +19,16 @@ segments, and an island with a label that doesn't begin and end with tokens is
 left out.  The features leave out what only the fixed patterns test (check
 digits), so that near forms are found too.
 
-Null and empty texts have no spans.  Texts are handled whole; an island is cut
-into pieces of ``MOST_ISLAND`` tokens, each solved by itself, so memory stays
-bounded on texts made of numbers.
+Null and empty texts have no spans.  Texts and islands are handled whole: a
+segment's scores are made when its first token is reached and kept for no longer,
+so of a long island only some numbers per token stay in memory.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,8 @@ from . import common
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 SAMPLE_DOCS = 1500
-MOST_TOKENS = 4
-MOST_ISLAND = 64
+#: The most number tokens of a base form: a card of 19 digits with a blank after each.
+MOST_TOKENS = 19
 CERTAIN = 0.95
 #: Training: an island of more tokens than TRAIN_TOKENS is cut between segments, and
 #: the islands have SAMPLE_TOKENS tokens at most (a sample of sf0.1 has about 1,500);
@@ -51,6 +52,8 @@ CERTAIN = 0.95
 TRAIN_TOKENS = 64
 SAMPLE_TOKENS = 100_000
 BATCH_TOKENS = 20_000
+#: Lists of features whose scores a task keeps.
+CACHE = 20_000
 EPOCHS = 60
 RATE = 0.3
 #: Words that announce a secret.
@@ -63,6 +66,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
+_NUMBER = re.compile(r"[0-9@]")
+# one token and at most two blanks on each side, on one line
+_BETWEEN = re.compile(r"[^\S\n]{1,2}(\S+)[^\S\n]{1,2}")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -130,26 +136,29 @@ class Token:
 
 
 def islands(text: str) -> list[list[Token]]:
-    """Runs of tokens with a digit or an at sign; marks around a token aren't part of it."""
+    """Runs of tokens with a digit or an at sign, with the single tokens between
+    them; marks around a token aren't part of it."""
     out: list[list[Token]] = []
-    last, last_end = "", -10
-    for m in re.finditer(r"\S*[0-9@]\S*", text):
-        a, b = m.span()
+    last_end, stop = -10, 0
+    for m in _TOKEN.finditer(text):
         s = m[0]
+        if not _NUMBER.search(s):
+            continue
+        a, b = m.span()
         lead = len(s) - len(s.lstrip(_MARKS.replace("(", "")))
         trail = len(s) - len(s.rstrip(_MARKS.replace(")", "")))
-        if lead + trail >= len(s):
-            continue
         a, b = a + lead, b - trail
         # the two words before the token, letters only
         back = text[max(0, m.start() - 24):m.start()].split()
-        last = " ".join(back[-2:]).lower() if back else ""
-        token = Token(a, b, True, last)
-        if out and a - last_end <= 2 and "\n" not in text[last_end:a] and len(out[-1]) < MOST_ISLAND:
+        token = Token(a, b, True, " ".join(back[-2:]).lower() if back else "")
+        word = _BETWEEN.fullmatch(text, stop, m.start()) if out else None
+        if out and a - last_end <= 2 and "\n" not in text[last_end:a]:
             out[-1].append(token)
+        elif word and word.start(1) - last_end <= 2 and a - word.end(1) <= 2:
+            out[-1] += [Token(*word.span(1), False, ""), token]
         else:
             out.append([token])
-        last_end = b
+        last_end, stop = b, m.end()
     return out
 
 
@@ -184,6 +193,17 @@ def scores_of(tokens: int, table: dict) -> np.ndarray:
     return out
 
 
+def segments(text: str, tokens: list[Token], i: int) -> Iterator[tuple[int, tuple[str, ...]]]:
+    """(tokens, features) of the candidate segments that begin with token i: those
+    that begin and end with a number token, and a single token between."""
+    if not tokens[i].key:
+        yield 1, ("between",)
+        return
+    for n in range(1, min(MOST_TOKENS, len(tokens) - i) + 1):
+        if tokens[i + n - 1].key:
+            yield n, tuple(features(text, tokens[i], tokens[i + n - 1], n))
+
+
 class Sums:
     """Forward and backward log-sums of several islands at once, from scores
     (island, first token, tokens - 1, kind) that are -inf where no segment is."""
@@ -222,20 +242,22 @@ class SemiMarkov:
 
     def __init__(self, weights: dict[tuple[int, str], float] | None = None, pairs: np.ndarray | None = None):
         self.weights = weights or {}
+        self.cache: dict[tuple[str, ...], np.ndarray] = {}
         self.pairs = np.zeros((len(KINDS) + 1, len(KINDS) + 1)) if pairs is None else pairs
 
-    def table(self, text: str, tokens: list[Token]) -> dict[tuple[int, int], tuple[list[str], list[float]]]:
-        """(features, score per kind) of every candidate segment (first token, number of tokens)."""
-        get = self.weights.get
-        out = {}
-        for i in range(len(tokens)):
-            for n in range(1, min(MOST_TOKENS, len(tokens) - i) + 1):
-                f = features(text, tokens[i], tokens[i + n - 1], n)
-                kinds = range(len(KINDS) + 1) if n == 1 else range(1, len(KINDS) + 1)
-                score = [-np.inf] * (len(KINDS) + 1)
-                for y in kinds:
-                    score[y] = sum(get((y, x), 0.0) for x in f)
-                out[i, n] = f, score
+    def scores(self, text: str, tokens: list[Token], i: int, cache: dict) -> np.ndarray:
+        """(tokens - 1, kind) scores of the segments that begin with token i."""
+        out = np.full((min(MOST_TOKENS, len(tokens) - i), len(KINDS) + 1), -np.inf)
+        for n, f in segments(text, tokens, i):
+            row = cache.get(f)
+            if row is None:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                get = self.weights.get
+                row = cache[f] = np.array([sum(get((y, x), 0.0) for x in f) if y or n == 1 else -np.inf for y in range(len(KINDS) + 1)])
+            out[n - 1] = row
+            if not tokens[i].key:
+                out[n - 1, 1:] = -np.inf
         return out
 
     def sums(self, tokens: int, table: dict) -> tuple[np.ndarray, np.ndarray, float]:
@@ -252,26 +274,42 @@ class SemiMarkov:
 
     def decode(self, text: str, tokens: list[Token]) -> list[tuple[str, int, int, float]]:
         """The best segmentation's entities with their marginals."""
-        table = self.table(text, tokens)
         size, n_tokens = len(KINDS) + 1, len(tokens)
-        best = np.full((n_tokens + 1, size), -np.inf)
-        best[0, 0] = 0.0
-        come: dict[tuple[int, int], tuple[int, int]] = {}
-        for e in range(1, n_tokens + 1):
-            for n in range(1, min(MOST_TOKENS, e) + 1):
-                into = best[e - n][:, None] + self.pairs
-                prev = into.argmax(0)
-                score = into.max(0) + np.array(table[e - n, n][1])
-                for y in np.flatnonzero(score > best[e]):
-                    best[e, y], come[e, int(y)] = score[y], (n, int(prev[y]))
-        e, y, out = n_tokens, int(best[n_tokens].argmax()), []
-        marg = None
+        cache = self.cache
+        ahead, best = np.full((n_tokens + 1, size), -np.inf), np.full((n_tokens + 1, size), -np.inf)
+        ahead[0, 0] = best[0, 0] = 0.0
+        come = np.zeros((n_tokens + 1, size, 2), np.int8)
+        for s in range(n_tokens):
+            score = self.scores(text, tokens, s, cache)
+            m = len(score)
+            to = ahead[s + 1:s + 1 + m]
+            np.logaddexp(to, np.logaddexp.reduce(ahead[s][:, None] + self.pairs, axis=0) + score, out=to)
+            into = best[s][:, None] + self.pairs
+            reach = into.max(0) + score
+            n, y = np.nonzero(reach > best[s + 1:s + 1 + m])
+            best[s + 1 + n, y] = reach[n, y]
+            come[s + 1 + n, y, 0], come[s + 1 + n, y, 1] = n + 1, into.argmax(0)[y]
+        e, y, found = n_tokens, int(best[n_tokens].argmax()), {}
         while e > 0:
-            n, prev = come[e, y]
+            n, prev = (int(x) for x in come[e, y])
             if y:
-                marg = marg or self.marginals(n_tokens, table)
-                out.append((KINDS[y - 1], tokens[e - n].a, tokens[e - 1].b, float(marg[e - n, n][y])))
+                found[e - n] = n, y
             e, y = e - n, prev
+        if not found:
+            return []
+        # backward, with as many boundaries as a segment has tokens, down to the first entity
+        z, first, out = np.logaddexp.reduce(ahead[n_tokens]), min(found), []
+        back = np.full((MOST_TOKENS, size), -np.inf)                 # of the boundaries after s
+        back[0] = 0.0
+        for s in range(n_tokens - 1, first - 1, -1):
+            score = self.scores(text, tokens, s, cache)
+            rest = score + back[:len(score)]
+            if s in found:
+                n, y = found[s]
+                p = np.exp(min(np.logaddexp.reduce(ahead[s] + self.pairs[:, y]) + rest[n - 1, y] - z, 0.0))
+                out.append((KINDS[y - 1], tokens[s].a, tokens[s + n - 1].b, float(p)))
+            back[1:] = back[:-1].copy()
+            back[0] = np.logaddexp.reduce(self.pairs + np.logaddexp.reduce(rest, axis=0), axis=1)
         return out[::-1]
 
 
@@ -371,13 +409,12 @@ def fit(texts: list[str]) -> SemiMarkov:
     for _, tokens, want, text in chosen(cases, SAMPLE_TOKENS):
         rows = []
         for i in range(len(tokens)):
-            row = []
-            for n in range(1, min(MOST_TOKENS, len(tokens) - i) + 1):
-                f = tuple(features(text, tokens[i], tokens[i + n - 1], n))
+            row = [-1] * min(MOST_TOKENS, len(tokens) - i)
+            for n, f in segments(text, tokens, i):
                 if f not in number:
                     number[f] = len(flat)
                     flat.append([names.setdefault(x, len(names)) for x in f])
-                row.append(number[f])
+                row[n - 1] = number[f]
             rows.append(tuple(row))
         key = tuple(rows), tuple(want)
         groups[key] = groups.get(key, 0) + 1
@@ -386,7 +423,8 @@ def fit(texts: list[str]) -> SemiMarkov:
     size = len(KINDS) + 1
     seg_of = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
     name_of = np.array([x for f in flat for x in f])
-    single = np.array(["n=1" in f for f in number])
+    between = np.array([f == ("between",) for f in number])
+    single = between | np.array(["n=1" in f for f in number])
     batches: list[Cases] = []
     observed = np.zeros((len(flat), size))
     part: list[tuple] = []
@@ -405,6 +443,7 @@ def fit(texts: list[str]) -> SemiMarkov:
         for y in range(size):
             score[:-1, y] = np.bincount(seg_of, weights[name_of, y], len(flat))
         score[:-1, 0][~single] = -np.inf
+        score[:-1, 1:][between] = -np.inf
         left = observed.copy()
         for batch in batches:
             at = score[batch.segment]
@@ -438,16 +477,25 @@ def train(docs: DataFrame) -> SemiMarkov:
 def spans_of(text: str, model: SemiMarkov) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans) by kind in order, then start."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[list[int]] = []                              # where base spans are, joined
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    ends = [b for _, b in taken]
+
+    def touched(a: int, b: int) -> bool:
+        i = bisect_right(ends, a)
+        return i < len(taken) and taken[i][0] < b
+
     added = []
     for tokens in islands(text):
-        lo, hi = tokens[0].a, tokens[-1].b
-        near = [(a, b) for a, b in taken if b > lo and a < hi] if taken else []
         # an island that base spans explain whole has nothing to add
-        if near and all(any(a <= t.a and t.b <= b for a, b in near) for t in tokens):
+        if all(touched(t.a, t.b) for t in tokens if t.key):
             continue
         for kind, a, b, p in model.decode(text, tokens):
-            if p >= CERTAIN and not any(x < b and a < y for x, y in near):
+            if p >= CERTAIN and not touched(a, b):
                 added.append((kind, a, b))
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

@@ -123,3 +123,36 @@ def test_a_bounded_sample_keeps_every_kind(monkeypatch):
     parts = list(P.pieces(want))
     assert [(a, n) for a, n, _ in parts] == [(0, 70), (70, 64), (134, 16)]
     assert [(a + s, n, y) for a, _, part in parts for s, n, y in part] == want
+
+
+def luhn_card(rng, n):
+    head = "".join(rng.choice(list("0123456789"), n - 1))
+    return next(head + d for d in "0123456789" if P.luhn(head + d))
+
+
+def test_long_forms_and_long_islands():
+    rng = np.random.default_rng(5)
+    card = lambda: " ".join(re.findall("[0-9]{1,4}", luhn_card(rng, 19)))
+    texts = [f"paid with {card()} today" for _ in range(60)] + [f"rows {i} of {i * 7} and {i * 3} seen" for i in range(60)]
+    model = P.fit(texts)
+    near = "4111 1111 1111 1111 113"                    # 4-4-4-4-3, wrong check digit
+    assert not P.cards(near)
+    assert [s[:1] for s in P.spans_of(f"paid with {near} today", model)[1]] == [("card",)]
+    # the same behind 0 to 70 single tokens of one island: no place where it is cut
+    only = P.SemiMarkov({(3, "shape=4-4-4-4-3"): 60.0, (0, "n=1"): 1.0, (3, "n=1"): -9.0})
+    for before in (0, 44, 58, 60, 61, 62, 63, 64, 70):
+        line = "7 " * before + near + " 7" * 30
+        assert len(P.islands(line)) == 1
+        assert P.spans_of(line, only)[1] == [("card", 2 * before, 2 * before + len(near))]
+
+
+def test_words_between_belong_to_an_island():
+    assert [[t.key for t in k] for k in P.islands("(030) 12 ext 34, see also 5 - 6\nat 7")] == [[True, True, False, True], [True, False, True], [True]]
+    text = "call 030 12 ext 34"
+    model = P.SemiMarkov({(4, "shape=3-2-2"): 60.0, (0, "between"): 5.0})
+    assert P.spans_of(text, model)[1] == [("phone", 5, 18)]
+    # no base span is lost in an island, and marginals are those of the table
+    tokens = P.islands(text)[0]
+    table = {(i, n): (f, list(model.scores(text, tokens, i, {})[n - 1])) for i in range(len(tokens)) for n, f in P.segments(text, tokens, i)}
+    kind, a, b, p = model.decode(text, tokens)[0]
+    assert np.isclose(p, model.marginals(len(tokens), table)[0, 4][4])
