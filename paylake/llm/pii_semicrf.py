@@ -52,8 +52,9 @@ CERTAIN = 0.95
 TRAIN_TOKENS = 64
 SAMPLE_TOKENS = 100_000
 BATCH_TOKENS = 20_000
-#: Lists of features whose scores a task keeps.
-CACHE = 20_000
+#: Islands of so many tokens keep their scores from one pass to the next; a segment has MOST_FEATURES at most.
+KEEP_TOKENS = 10_000
+MOST_FEATURES = 16
 EPOCHS = 60
 RATE = 0.3
 #: Words that announce a secret.
@@ -165,18 +166,17 @@ def islands(text: str) -> list[list[Token]]:
 def features(text: str, first: Token, last: Token, n: int) -> list[str]:
     """Features of the whole span from one token to another."""
     s = text[first.a:last.b]
-    digits = sum("0" <= c <= "9" for c in s)
-    letters = sum(c.isalpha() for c in s)
-    groups = re.findall(r"[0-9]+", s)
-    rest = "".join(sorted({c for c in s if not c.isalnum() and c != " "}))
+    groups, chars = re.findall(r"[0-9]+", s), set(s)
+    digits = sum(map(len, groups))
+    letters = any(map(str.isalpha, chars))
+    rest = "".join(sorted(c for c in chars if not c.isalnum() and c != " "))
     out = [f"n={n}", f"digits={min(digits, 20)}", f"groups={min(len(groups), 6)}", f"rest={rest[:6]}",
            f"at={min(s.count('@'), 2)}", f"dots={min(s.count('.'), 5)}", f"plus={s[:1] == '+'}", f"blank={' ' in s}",
            f"letters={'none' if not letters else 'some' if digits else 'all'}",
            f"length={min(len(s) // 4, 12)}", "shape=" + "-".join(str(min(len(g), 9)) for g in groups[:6])]
     if letters and len(s) >= 16 and " " not in s:
-        kinds = len({c for c in s})
-        out.append(f"hex={all(c in '0123456789abcdefABCDEF' for c in s)}")
-        out.append(f"variety={min(kinds // 4, 6)}")
+        out.append(f"hex={all(c in '0123456789abcdefABCDEF' for c in chars)}")
+        out.append(f"variety={min(len(chars) // 4, 6)}")
     words = re.findall(r"[a-z_]+", first.before)
     out.append(f"announced={any(w in SECRET_WORDS for w in words)}")
     if "@" in s:
@@ -242,22 +242,28 @@ class SemiMarkov:
 
     def __init__(self, weights: dict[tuple[int, str], float] | None = None, pairs: np.ndarray | None = None):
         self.weights = weights or {}
-        self.cache: dict[tuple[str, ...], np.ndarray] = {}
+        self.rows: dict[str, int] | None = None
         self.pairs = np.zeros((len(KINDS) + 1, len(KINDS) + 1)) if pairs is None else pairs
 
-    def scores(self, text: str, tokens: list[Token], i: int, cache: dict) -> np.ndarray:
+    def scores(self, text: str, tokens: list[Token], i: int) -> np.ndarray:
         """(tokens - 1, kind) scores of the segments that begin with token i."""
+        if self.rows is None:
+            names = {x for _, x in self.weights}
+            self.rows = {x: k + 1 for k, x in enumerate(sorted(names))}          # row 0: features without weights
+            self.matrix = np.zeros((len(names) + 1, len(KINDS) + 1))
+            for (y, x), w in self.weights.items():
+                self.matrix[self.rows[x], y] = w
         out = np.full((min(MOST_TOKENS, len(tokens) - i), len(KINDS) + 1), -np.inf)
+        get, at, ids = self.rows.get, [], []
         for n, f in segments(text, tokens, i):
-            row = cache.get(f)
-            if row is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                get = self.weights.get
-                row = cache[f] = np.array([sum(get((y, x), 0.0) for x in f) if y or n == 1 else -np.inf for y in range(len(KINDS) + 1)])
-            out[n - 1] = row
-            if not tokens[i].key:
-                out[n - 1, 1:] = -np.inf
+            at.append(n - 1)
+            ids.append([get(x, 0) for x in f] + [0] * (MOST_FEATURES - len(f)))
+        if at:
+            out[at] = self.matrix[np.array(ids)].sum(axis=1)
+        if tokens[i].key:
+            out[1:, 0] = -np.inf
+        else:
+            out[:, 1:] = -np.inf
         return out
 
     def sums(self, tokens: int, table: dict) -> tuple[np.ndarray, np.ndarray, float]:
@@ -275,12 +281,14 @@ class SemiMarkov:
     def decode(self, text: str, tokens: list[Token]) -> list[tuple[str, int, int, float]]:
         """The best segmentation's entities with their marginals."""
         size, n_tokens = len(KINDS) + 1, len(tokens)
-        cache = self.cache
+        kept = []
         ahead, best = np.full((n_tokens + 1, size), -np.inf), np.full((n_tokens + 1, size), -np.inf)
         ahead[0, 0] = best[0, 0] = 0.0
         come = np.zeros((n_tokens + 1, size, 2), np.int8)
         for s in range(n_tokens):
-            score = self.scores(text, tokens, s, cache)
+            score = self.scores(text, tokens, s)
+            if n_tokens <= KEEP_TOKENS:
+                kept.append(score)
             m = len(score)
             to = ahead[s + 1:s + 1 + m]
             np.logaddexp(to, np.logaddexp.reduce(ahead[s][:, None] + self.pairs, axis=0) + score, out=to)
@@ -302,7 +310,7 @@ class SemiMarkov:
         back = np.full((MOST_TOKENS, size), -np.inf)                 # of the boundaries after s
         back[0] = 0.0
         for s in range(n_tokens - 1, first - 1, -1):
-            score = self.scores(text, tokens, s, cache)
+            score = kept[s] if kept else self.scores(text, tokens, s)
             rest = score + back[:len(score)]
             if s in found:
                 n, y = found[s]

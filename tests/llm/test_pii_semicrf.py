@@ -153,6 +153,6 @@ def test_words_between_belong_to_an_island():
     assert P.spans_of(text, model)[1] == [("phone", 5, 18)]
     # no base span is lost in an island, and marginals are those of the table
     tokens = P.islands(text)[0]
-    table = {(i, n): (f, list(model.scores(text, tokens, i, {})[n - 1])) for i in range(len(tokens)) for n, f in P.segments(text, tokens, i)}
+    table = {(i, n): (f, list(model.scores(text, tokens, i)[n - 1])) for i in range(len(tokens)) for n, f in P.segments(text, tokens, i)}
     kind, a, b, p = model.decode(text, tokens)[0]
     assert np.isclose(p, model.marginals(len(tokens), table)[0, 4][4])
