@@ -6,7 +6,7 @@ text, which are maximal runs of tokens with a digit or an at sign (and the
 single tokens between them, which no entity begins or ends with), it scores whole candidate segments of up to
 ``MOST_TOKENS`` tokens by features of the whole span (digits, separators,
 groups, alphabet, length, the words before it) and chooses boundaries and types
-jointly: forward sums for training, and a dynamic programme over segment ends
+jointly, with a weight for each kind after each other: forward and backward sums for training, and a dynamic programme over segment ends
 with bounded entity length for decoding.  A decoded entity is added if no base
 span touches it and its marginal probability is ``CERTAIN`` or more.
 
@@ -15,7 +15,7 @@ hash), with the base spans, and long hexadecimal or mixed tokens after a word
 for a secret, as labels.  All their islands are used, up to ``SAMPLE_TOKENS``
 tokens; beyond that they are chosen by hash, each set of kinds in its turn.
 Islands of more than ``TRAIN_TOKENS`` tokens are learned in pieces cut between
-segments, and an island with a label that doesn't begin and end with tokens is
+segments (a piece begins as an island does), and an island with a label that doesn't begin and end with tokens is
 left out.  The features leave out what only the fixed patterns test (check
 digits), so that near forms are found too.
 
@@ -236,6 +236,11 @@ class Sums:
                                               - self.z[:, None, None], 0))
         return out
 
+    def transitions(self, pairs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The expected numbers of (kind, next kind), with the first kind after "none", over all islands."""
+        p = self.ahead[:, :-1, :, None] + pairs + self.onto[:, :, None, :] - self.z[:, None, None, None]
+        return np.einsum("isab,i->ab", np.exp(np.minimum(p, 0)), weight)
+
 
 class SemiMarkov:
     """Weights of (kind, feature); kind 0 is "none" and spans one token."""
@@ -434,35 +439,42 @@ def fit(texts: list[str]) -> SemiMarkov:
     between = np.array([f == ("between",) for f in number])
     single = between | np.array(["n=1" in f for f in number])
     batches: list[Cases] = []
-    observed = np.zeros((len(flat), size))
+    observed, follows = np.zeros((len(flat), size)), np.zeros((size, size))
     part: list[tuple] = []
     for (rows, want), count in sorted(groups.items(), key=lambda g: len(g[0][0])):
+        before = 0
         for s, n, y in want:
             observed[rows[s][n - 1], y] += 1.0 + np.log(count)
+            follows[before, y] += 1.0 + np.log(count)
+            before = y
         if part and (len(rows) > 1.25 * len(part[0][0]) or len(part) * len(rows) > BATCH_TOKENS):
             batches.append(Cases(part))
             part = []
         part.append((rows, want, count))
     batches.append(Cases(part))
 
-    weights, seen, pairs = np.zeros((len(names), size)), np.full((len(names), size), 1e-8), np.zeros((size, size))
+    weights, seen = np.zeros((len(names), size)), np.full((len(names), size), 1e-8)
+    pairs, seen_pairs = np.zeros((size, size)), np.full((size, size), 1e-8)
     for _ in range(EPOCHS):
         score = np.full((len(flat) + 1, size), -np.inf)
         for y in range(size):
             score[:-1, y] = np.bincount(seg_of, weights[name_of, y], len(flat))
         score[:-1, 0][~single] = -np.inf
         score[:-1, 1:][between] = -np.inf
-        left = observed.copy()
+        left, left_pairs = observed.copy(), follows - 0.02 * pairs
         for batch in batches:
             at = score[batch.segment]
             sums = Sums(at, batch.length, pairs)
             p = sums.segments(at) * batch.weight[:, None, None, None]
+            left_pairs -= sums.transitions(pairs, batch.weight)
             real = batch.segment >= 0
             for y in range(size):
                 left[:, y] -= np.bincount(batch.segment[real], p[..., y][real], len(flat))
         grad = np.stack([np.bincount(name_of, left[seg_of, y], len(names)) for y in range(size)], axis=1) - 0.02 * weights
         seen += grad * grad
         weights += RATE * grad / np.sqrt(seen)
+        seen_pairs += left_pairs * left_pairs
+        pairs += RATE * left_pairs / np.sqrt(seen_pairs)
     return SemiMarkov({(y, x): float(w) for x, i in names.items() for y, w in enumerate(weights[i]) if w}, pairs)
 
 

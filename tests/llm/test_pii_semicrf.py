@@ -156,3 +156,21 @@ def test_words_between_belong_to_an_island():
     table = {(i, n): (f, list(model.scores(text, tokens, i)[n - 1])) for i in range(len(tokens)) for n, f in P.segments(text, tokens, i)}
     kind, a, b, p = model.decode(text, tokens)[0]
     assert np.isclose(p, model.marginals(len(tokens), table)[0, 4][4])
+
+
+def test_transitions_are_learned():
+    rng = np.random.default_rng(1)
+    score, pairs, length = rng.normal(size=(2, 6, P.MOST_TOKENS, 6)), rng.normal(size=(6, 6)), np.array([6, 4])
+    score[:, :, 1:, 0] = -np.inf
+    for i, n in enumerate(length):
+        for s in range(6):
+            score[i, s, max(n - s, 0):] = -np.inf
+    got = P.Sums(score, length, pairs).transitions(pairs, np.array([1.0, 2.0]))
+    for a, b in np.ndindex(6, 6):
+        step = np.zeros((6, 6))
+        step[a, b] = 1e-5
+        z = (P.Sums(score, length, pairs + step).z - P.Sums(score, length, pairs - step).z) / 2e-5
+        assert np.isclose(got[a, b], z @ [1.0, 2.0], atol=1e-6)
+    # an address is followed by a port, never by another address
+    model = P.fit([f"from 10.0.{i}.7 {8000 + i} to" for i in range(50)] + [f"in {1900 + i} we" for i in range(50)])
+    assert model.pairs[2, 0] > 0 > model.pairs[2, 2]
