@@ -143,3 +143,22 @@ def test_half_written_version_is_not_read(spark, tmp_dir):
     overwrite_table(spark.createDataFrame([(9,)], "x int"), path, version=2)
     os.remove(f"{path}/version=2/_SUCCESS")
     assert [r.x for r in read_latest_version(spark, path).collect()] == [1]
+
+
+def test_incremental_medallion_stops_on_a_null_payment_date(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from paylake.plans import inputs as I
+    from paylake.plans.catalog import _land_bronze
+    from paylake.plans.chains import run_medallion, scratch_lake
+    sf = "/root/testdata/sf0.001"
+    lake = scratch_lake(spark, "t_null_date")
+    _land_bronze(spark, sf, lake)
+    now = I.now_of(spark, sf)
+    run_medallion(spark, lake, now=now, incremental_gold=True)
+    bronze = lake.read(spark, "bronze_a")
+    undated = bronze.limit(1).withColumn("payment_date", F.lit(None).cast("date")).withColumn("payment_month", F.lit(None).cast("int"))
+    undated.write.mode("append").partitionBy("payment_month").parquet(lake.path("bronze_a"))
+    with pytest.raises(RuntimeError, match="not_null:payment_date=1"):
+        run_medallion(spark, lake, now=now, incremental_gold=True)
