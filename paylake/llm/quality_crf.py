@@ -9,8 +9,8 @@ forward-backward algorithm, and the document's score is the mean marginal of
 Training: the document's label stands for each of its lines.  The model is
 fitted on a bounded sample of labelled documents (``SAMPLE_DOCS``), the first
 by a hash of the id among the rows whose ``crc32(doc_id)`` mod 5 is not 0;
-only features of those documents come to the driver (``SAMPLE_LINES`` at most,
-whole documents).  Scores use the text alone.
+only features of those documents come to the driver (whole documents, of any
+length, up to ``SAMPLE_LINES`` lines in all; one that no longer fits is passed over).  Scores use the text alone.
 
 Nulls and empty texts are one empty line.  Texts of any length are scored
 whole; a line of any length is one row of features.
@@ -215,6 +215,16 @@ def fold(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS, F.lit(1))
 
 
+def fitting(sizes: list[tuple[int, int, int]], most: int) -> list[tuple[int, int]]:
+    """(id, hash) of the texts, in their order, that together have ``most`` lines at most."""
+    out, total = [], 0
+    for doc_id, th, lines in sizes:
+        if total + lines <= most:
+            out.append((doc_id, th))
+            total += lines
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the bounded sample; without any label the model scores 0.5."""
     common.prepare(docs.sparkSession)
@@ -232,15 +242,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 [batch.column("k_id"), batch.column("label"), pa.array(per_doc.astype(np.int64)), pa.array(raw, pa.binary())],
                 names=["k_id", "label", "lines", "own"])
 
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .join(F.broadcast(ids), F.col("doc_id") == F.col("k_id"))        # at most SAMPLE_DOCS rows
+    text = F.coalesce(F.col("text"), F.lit(""))
+    labelled = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+                .join(F.broadcast(ids), F.col("doc_id") == F.col("k_id"))        # at most SAMPLE_DOCS rows
+                .withColumn("th", F.xxhash64("text")))
+    # numbers of lines first: only the documents that fit send features
+    sizes = (labelled.select("k_id", "th", (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).alias("lines"))
+             .groupBy("k_id", "th", "lines").count()
+             .orderBy(F.xxhash64("k_id"), "k_id", "lines", "th").limit(SAMPLE_DOCS).collect())
+    fit_in = fitting([(r.k_id, r.th, r.lines * r["count"]) for r in sizes], SAMPLE_LINES)
+    if not fit_in:
+        return Model(np.zeros(FEATURES), np.zeros((2, 2)))
+    taken = docs.sparkSession.createDataFrame(fit_in, "t_id long, t_th long")
+    rows = (labelled.join(F.broadcast(taken), (F.col("k_id") == F.col("t_id")) & (F.col("th") == F.col("t_th")))
             .select("k_id", "label", "text").mapInArrow(run, "k_id long, label int, lines long, own binary")
-            .filter(F.col("lines") <= SAMPLE_LINES // 100)
             .orderBy(F.xxhash64("k_id"), "k_id", "lines", "own").limit(SAMPLE_DOCS).collect())
     own, per_doc, label, total = [], [], [], 0
     for r in rows:
-        if total + r.lines > SAMPLE_LINES:
-            break
         own.append(np.frombuffer(r.own, np.float32).reshape(-1, OWN))
         per_doc.append(r.lines)
         label.append(r.label)

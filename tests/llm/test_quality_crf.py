@@ -70,3 +70,14 @@ def test_odd_rows_and_tables(spark):
     assert {r.score for r in Q.scored(docs, none, ["doc_id"]).collect()} == {0.5}
     assert Q.scored(docs.filter("false"), model, ["doc_id"]).collect() == []
     assert os.path.isdir(SF)
+
+
+def test_long_documents_are_in_the_sample(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(Q, "fit", lambda own, per_doc, label: got.append((list(per_doc), list(label))) or Q.Model(np.zeros(Q.FEATURES), np.zeros((2, 2))))
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:4]
+    docs = spark.createDataFrame([(ids[0], "a line\n" * 2999), (ids[1], "one"), (ids[2], None), (ids[3], "x\n" * (Q.SAMPLE_LINES + 1))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    Q.train(docs, labels)
+    assert sorted(got[0][0]) == [1, 1, 3000] and got[0][1] == [1, 1, 1]
+    assert Q.fitting([(1, 1, 6), (2, 2, 5), (3, 3, 4)], 10) == [(1, 1), (3, 3)]
