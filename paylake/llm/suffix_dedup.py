@@ -1,18 +1,13 @@
-"""Repeated passages of 400 bytes, exactly, by prefix-free parsing.
-
-The corpus is cut into phrases at trigger positions, where a rolling hash of
-``WINDOW`` bytes is 0 modulo ``MODULUS``; a trigger depends on its window alone,
-so equal strings are cut alike wherever they stand.  A text position lies in a
-phrase, before that phrase's closing trigger (its anchor).  Two positions start
-equal 400-byte strings exactly if
-
-* the suffixes of their phrases are equal (the dictionary part), and
-* the parses that follow agree up to 400 bytes (the parse part).
-
-Corpus order is needed only so far that equal 400-byte prefixes are neighbours,
-so suffixes are ordered by hashes of these parts (prefix sums of a polynomial,
-two of 64 bits) instead of by bytes, and the order is resolved from coarse to
-fine:
+"""Repeated passages of 400 bytes, exactly up to 64-bit hashes, by anchored window hashing.
+
+This stands in the place of prefix-free parsing with suffix arrays: there is no
+phrase dictionary, no parse, no suffix array of either and no order of suffixes.
+Only the triggers of prefix-free parsing are used: positions where a rolling hash
+of ``WINDOW`` bytes is 0 modulo ``MODULUS``.  A trigger depends on its window
+alone, so equal strings have equal triggers wherever they stand.  A text position
+has the next trigger as its anchor.  Positions with equal 400-byte strings have
+equal distances to their anchors, so windows around anchors are grouped by rolling
+hashes (prefix sums of a polynomial, two of 64 bits), from coarse to fine:
 
 1. For each anchor and each band of ``BAND`` start positions before it one row:
    the hash of the bytes that all the band's 400-byte strings share (``core``)
