@@ -16,6 +16,7 @@ from .projected_ann import op7_projected_ann
 from .quality_crf import op2_quality
 from .suffix_dedup import op1_suffix_dedup
 from .token_output import op9_token_output
+from .whitening import op11_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_gumbel_pieces": op8_gumbel_pieces,
         "op9_token_output": op9_token_output,
         "op10_mixing": op10_mixing,
+        "op11_whitening": op11_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
