@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import topk, url_filter
 from .bagminhash import op5_near_dedup
+from .byte_bpe import op12_byte_bpe
 from .gumbel_pieces import op8_gumbel_pieces
 from .mixing import op10_mixing
 from .pii_semicrf import op6_pii
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_output": op9_token_output,
         "op10_mixing": op10_mixing,
         "op11_whitening": op11_whitening,
+        "op12_byte_bpe": op12_byte_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
