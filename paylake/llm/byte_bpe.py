@@ -1,7 +1,9 @@
 """Byte-level BPE ids of whole texts, long ones by tree concatenation, and back.
 
-Texts up to ``LEAF`` characters are encoded where they stand.  A longer text is
-cut into leaves, which Spark deals out over the tasks and encodes in parallel:
+Texts up to ``LEAF`` characters are encoded where they stand, stretch by stretch
+(the tokenizer always cuts before the blanks that follow a word, and between a
+letter and ASCII punctuation), and each worker remembers the stretches it has met.  A longer text is cut into leaves,
+which Spark deals out over the tasks and encodes in parallel:
 
 * at white space after a character that isn't: the tokenizer cuts there whatever
   stands around it, so such leaves only need to be put one after the other;
@@ -43,6 +45,8 @@ LEAF = 65_536
 WINDOW = 4
 #: Characters that one call of the library encodes.
 CALL_CHARS = 2_000_000
+#: Stretches that a worker remembers before it forgets those not met since it last did.
+MEMORY = 400_000
 
 #: What a leaf holds: whole text, words in the tokenizer's byte alphabet (one a
 #: line), one id, or a later part of the word before it.
@@ -79,6 +83,10 @@ class Coder:
         self.added_re = re.compile("|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self.piece = {i: p for p, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self.text = {i: str(i) for i in self.piece}
+        self.memory: dict[str, tuple[int, bytes, bytes]] = {}
+        self.older: dict[str, tuple[int, bytes, bytes]] = {}
+        alphabet = _byte_alphabet()
+        self.raw = {i: p.encode() if i in added else bytes(alphabet[c] for c in p) for i, p in self.piece.items()}
 
     def word(self, mapped: str) -> list[int]:
         """Ids of one word in the byte alphabet."""
@@ -97,6 +105,40 @@ class Coder:
         return (len(ids), hashlib.sha256(",".join([text[i] for i in ids]).encode()).hexdigest(),
                 hashlib.sha256(decoded.encode()).hexdigest())
 
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """``digest`` of whole texts from their remembered stretches."""
+        out = []
+        for a, b in common.slices(np.fromiter(map(len, texts), np.int64, len(texts)), CALL_CHARS):
+            cut = [None if _ODD_BLANK.search(t) else _STRETCH.findall(t) for t in texts[a:b]]
+            self.remember({s for stretches in cut if stretches for s in stretches})
+            get = self.memory.__getitem__
+            for text, stretches in zip(texts[a:b], cut):
+                if stretches is None:
+                    out.append(self.digest(self.tok.encode(text, add_special_tokens=False).ids))
+                    continue
+                n, ids, raw = zip(*map(get, stretches)) if stretches else ((), (), ())
+                decoded = b"".join(raw).decode("utf-8", "replace")
+                out.append((sum(n), hashlib.sha256(b",".join(ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+        return out
+
+    def remember(self, stretches: set[str]) -> None:
+        """(number of ids, ids as text, bytes that they decode to) of stretches."""
+        if len(self.memory) + len(stretches) > MEMORY:
+            self.memory, self.older = {}, self.memory
+        memory, older, new = self.memory, self.older, []
+        for s in stretches:
+            if s not in memory:
+                if s in older:
+                    memory[s] = older[s]
+                else:
+                    new.append(s)
+        text, raw = self.text, self.raw
+        for k in range(0, len(new), 20_000):
+            part = new[k:k + 20_000]
+            for s, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                ids = e.ids
+                memory[s] = (len(ids), ",".join([text[i] for i in ids]).encode(), b"".join([raw[i] for i in ids]))
+
     def join(self, left: list[int], right: list[int], window: int = WINDOW) -> list[int]:
         """Ids of the word whose halves have the ids ``left`` and ``right``."""
         a = b = window
@@ -170,10 +212,24 @@ class Coder:
         return out
 
 
+#: Blanks and the Latin letters after them, up to a blank or ASCII punctuation; or
+#: blanks and all that follows up to the next blank.  White space of another kind
+#: may be cut in other ways: a text that holds some is encoded whole.
+_STRETCH = re.compile(r"[ \n\t]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?=[ \n\t!-/:-@\[-`{-~]|\Z)"
+                      r"|[ \n\t]*[^ \n\t]+|[ \n\t]+")
+_ODD_BLANK = re.compile(r"[^\S \n\t]")
 #: A character that is no white space before ASCII white space: always a cut.
 _SAFE = re.compile(r"[\w!-~](?=[ \n\t])")
 
 
+def _byte_alphabet() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary:
+    bytes that print stand for themselves, the others for the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 def halves(word: str, leaf: int) -> list[str]:
     """A word halved until no part is longer than ``leaf``."""
     if len(word) <= leaf:
@@ -252,8 +308,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF) -> D
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for batch in batches:
-            rows = [coder.digest(ids) for ids in coder.texts(batch.column("text").to_pylist())]
-            yield _batch(batch.column("doc_id"), rows)
+            yield _batch(batch.column("doc_id"), coder.digests(batch.column("text").to_pylist()))
 
     def join_leaves(table: pa.Table) -> pa.Table:
         coder = _coder(path)

@@ -39,6 +39,21 @@ def test_leaves_join_exactly(coder, text, leaf):
     assert by_leaves(coder, text, leaf) == coder.tok.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="ab' \n\t\r\x0b\xa0\u3000\x85\x1c!é日👩<|endoftext|>0", max_size=60), max_size=5))
+def test_remembered_stretches(texts):
+    coder = B._coder(B.default_tokenizer())
+    assert coder.digests(texts) == [plain(coder.tok, t) for t in texts]
+
+
+def test_memory_starts_anew(coder, monkeypatch):
+    monkeypatch.setattr(B, "MEMORY", 5)
+    texts = ["one two three four five six seven eight", " nine ten", *ODD]
+    assert coder.digests(texts) == [plain(coder.tok, t) for t in texts]
+    monkeypatch.setattr(B, "CALL_CHARS", 10)
+    assert coder.digests(texts) == [plain(coder.tok, t) for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab ceinrst'\nAé日0 ", min_size=1, max_size=200), st.integers(2, 20))
 def test_random_texts(text, leaf):
