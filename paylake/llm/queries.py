@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk, url_filter
+from . import prefix_trie, topk, url_filter
 from .bagminhash import op5_near_dedup
 from .byte_bpe import op12_byte_bpe
 from .gumbel_pieces import op8_gumbel_pieces
@@ -34,9 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": op10_mixing,
         "op11_whitening": op11_whitening,
         "op12_byte_bpe": op12_byte_bpe,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": topk.OP3_SQL, "op4_url_filter": url_filter.oracle()}
+    return {"op3_topk": topk.OP3_SQL, "op4_url_filter": url_filter.oracle(),
+            "op13_prefix_trie": prefix_trie.oracle()}
