@@ -28,10 +28,10 @@ END_ID = 1
 STRIPE_BYTES = 16 * 1024 * 1024
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
-#: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
-WORD_MEMORY = 1_000_000
-#: Bytes of text whose words are told apart together.
-SLICE_BYTES = 8_000_000
+#: Distinct words that a worker remembers before it forgets those not met since it last did.
+WORD_MEMORY = 500_000
+#: Bytes of text whose words are told apart together (a longer text alone).
+SLICE_BYTES = 10_000_000
 
 _tokenizers: dict = {}
 
@@ -44,10 +44,12 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Whole-text ids from remembered ids of space-separated words.
 
-    The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words in order.  Words are cut at spaces and line
-    feeds only.  Texts that may hold a special token (which the library matches
-    before cutting words) are encoded whole.
+    The tokenizer drops white space, never joins across it and always cuts between
+    an ASCII letter and ASCII punctuation, so the ids of a text are those of its
+    words in order, cut there (at spaces and line feeds only) and, as the tokenizer
+    lower-cases, those of the lower-case word where it is ASCII.  Texts that may
+    hold a special token (which the library matches before cutting words) are
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -55,13 +57,20 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def word_ids(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words as little-endian unsigned 32-bit integers."""
         if len(self.memory) + len(words) > WORD_MEMORY:
-            self.memory = {}
+            self.memory, self.older = {}, self.memory
         out = list(map(self.memory.get, words))
-        new = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            known = self.older.get(words[i])
+            if known is None:
+                new.append(i)
+            else:
+                out[i] = self.memory[words[i]] = known
         for k in range(0, len(new), 20_000):
             part = [words[i] for i in new[k:k + 20_000]]
             for i, w, e in zip(new[k:k + 20_000], part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
@@ -71,9 +80,10 @@ class WordEncoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, end id last in each text; offsets of the texts) of texts
         without special tokens, from the ids of their distinct words."""
-        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        flat = pc.replace_substring_regex(pc.fill_null(texts, ""), *_BEFORE_MARK)
+        cut = pc.split_pattern(pc.replace_substring(flat, "\n", " "), " ")
         off = cut.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = cut.flatten().dictionary_encode()
+        coded = lower_ascii(cut.flatten()).dictionary_encode()
         raw = self.word_ids(coded.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(raw), "<u4")
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
@@ -108,12 +118,39 @@ class WordEncoder:
                 yield a + c, a + d, *self.ids(texts.slice(a + c, d - c))
 
 
+#: A place between an ASCII letter and ASCII punctuation, and the space put there.
+_BEFORE_MARK = (r"([A-Za-z])([!-/:-@\[-`{-~])", r"\1 \2")
+
+
+def lower_ascii(words: pa.Array) -> pa.Array:
+    """ASCII words in lower case, others as they stand (their marks may combine)."""
+    return pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+
+
 def _encoder(path: str) -> WordEncoder:
     if path not in _tokenizers:
         _tokenizers[path] = WordEncoder(path)
     return _tokenizers[path]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(doc_id, text) of several batches together, up to about a slice."""
+    held, size = [], 0
+    for batch in batches:
+        n = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if held and size + n > SLICE_BYTES:
+            yield _joined(held)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+    return tuple(pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text"))
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text, end id included, rows in the
     order of ``docs``; a null or empty text has the end id alone."""
@@ -122,10 +159,10 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
-        for batch in batches:
-            for a, b, ids, off in enc.parts(batch.column("text")):
+        for docs, texts in gathered(batches):
+            for a, b, ids, off in enc.parts(texts):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a),
+                    [docs.slice(a, b - a),
                      pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.view(np.int32)))],
                     names=["doc_id", "ids"])
 
@@ -164,10 +201,13 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the written files: doc_id, start (ids of all documents
     before it in file order), n_tokens, ids_crc32.
 
-    The running sum is taken per file and within files per id, so no task sees
-    more than one file; the per-file totals (one row per file) are joined.
+    Rows are numbered as they stand in their file (a stripe range is read by one
+    task, in order), so rows that share an id get the starts that are theirs.  The
+    running sum is taken per file, so no task sees more than one file; the per-file
+    totals (one row per file) are joined.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
             lists = batch.column("ids")
             off = lists.offsets.to_numpy(zero_copy_only=False)
@@ -175,18 +215,21 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
             raw = memoryview(np.ascontiguousarray(flat)).cast("B")
             crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("part"), pa.array(np.diff(off).astype(np.int64)),
-                 pa.array(crc, pa.int64())], names=["doc_id", "part", "n_tokens", "ids_crc32"])
-
-    rows = read_orc(spark, path).withColumn(
-        "part", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int"))
-    rows = common.staged(rows.select("doc_id", "part", "ids").mapInArrow(
-        run, "doc_id long, part int, n_tokens long, ids_crc32 long"), "token-digest")
+                [batch.column("doc_id"), batch.column("part"), batch.column("block"),
+                 pa.array(np.arange(seen, seen + len(crc))), pa.array(np.diff(off).astype(np.int64)),
+                 pa.array(crc, pa.int64())], names=["doc_id", "part", "block", "k", "n_tokens", "ids_crc32"])
+            seen += len(crc)
+
+    rows = read_orc(spark, path).select(
+        "doc_id", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("part"),
+        F.col("_metadata.file_block_start").alias("block"), "ids")
+    rows = common.staged(rows.mapInArrow(
+        run, "doc_id long, part int, block long, k long, n_tokens long, ids_crc32 long"), "token-digest")
     # One row per file: its total and, by a window over those rows, what lies before it.
     files = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     files = files.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)) - F.col("total")).alias("before"))
-    within = Window.partitionBy("part").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(
+    within = Window.partitionBy("part").orderBy("block", "k").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (rows.withColumn("upto", F.sum("n_tokens").over(within)).join(files, "part")
             .select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"),
