@@ -43,7 +43,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
-#: The most rounds of label propagation; a component's diameter halves with each.
+#: The most rounds of contraction, and of jumps within one.
 MOST_ROUNDS = 60
 #: Further leaders that buckets of several components get before pairs are listed.
 MORE_LEADERS = 1
@@ -232,35 +232,62 @@ def overlaps(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(node, comp) for the nodes of ``links`` (a, b): comp is the component's
-    smallest node.  Rounds of: each node points at its smallest neighbour's
-    label, then labels jump to their label's label; every round is a written
-    table, and no link or label comes to the driver (only a count of changes)."""
-    edges = common.staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                          .filter("a <> b").distinct(), f"{name}-edges")
-    labels = common.staged(edges.groupBy("a").agg(F.min("b").alias("m"))
-                           .select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), f"{name}-labels")
+    """(node, comp) for the nodes of ``links`` (a, b): comp is one node of the
+    component.  Rounds of: each node points at its smallest neighbour or itself,
+    pointers jump to their ends, and the links are contracted to links between
+    ends.  A round leaves at most the nodes that no neighbour undercuts, so links
+    and nodes shrink from round to round; every round is a written table, and only
+    counts come to the driver."""
+    edges = _between(links, name)
+    labels = None
     for _ in range(MOST_ROUNDS):
-        near = (edges.join(labels.select(F.col("node").alias("b"), "comp"), "b")
-                .groupBy("a").agg(F.min("comp").alias("near")))
-        step = (labels.join(near, labels.node == near.a)
-                .select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")))
-        # a label's own label: pointer jumping halves the distance to the smallest node
-        step = common.staged(step, f"{name}-step")
-        jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        new = common.staged(step.join(jump, "comp", "left").select("node", "old", F.least("comp", "root").alias("comp")),
-                            f"{name}-labels")
-        changed = new.filter("comp <> old").limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
+        ways = edges.union(edges.select("b", "a"))
+        ends = _ends(ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+                     .select("node", F.least("node", "m").alias("comp")), name)
+        labels = ends if labels is None else common.staged(_renamed(labels, ends), f"{name}-labels")
+        edges = _between(edges.join(ends.withColumnsRenamed({"node": "a", "comp": "a2"}), "a")
+                         .join(ends.withColumnsRenamed({"node": "b", "comp": "b2"}), "b")
+                         .select(F.col("a2").alias("a"), F.col("b2").alias("b")), name)
+        if not edges.limit(1).count():
             return labels
-    raise RuntimeError("label propagation did not end")
+    raise RuntimeError("contraction did not end")
+
+
+def _between(links: DataFrame, name: str) -> DataFrame:
+    """The distinct links (a, b) between different nodes, a below b; written."""
+    return common.staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                         .filter("a < b").distinct(), f"{name}-edges")
+
+
+def _ends(pointers: DataFrame, name: str) -> DataFrame:
+    """Pointers (node, comp) followed to their ends, twice as far with each round."""
+    for _ in range(MOST_ROUNDS):
+        pointers = common.staged(pointers, f"{name}-pointers")
+        far = pointers.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
+        if not pointers.join(far, "comp").filter("further <> comp").limit(1).count():
+            return pointers
+        pointers = pointers.join(far, "comp").select("node", F.col("further").alias("comp"))
+    raise RuntimeError("pointers did not end")
+
+
+def _renamed(labels: DataFrame, ends: DataFrame) -> DataFrame:
+    """Labels (node, comp) with each comp that has a new name under that name."""
+    return (labels.join(ends.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left")
+            .select("node", F.coalesce("root", "comp").alias("comp")))
+
+
+def merged(comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``comps`` (node, comp) of all nodes after ``links`` between them: what was
+    linked before stands for one node each, so only new links are followed."""
+    a = comps.select(F.col("node").alias("a"), F.col("comp").alias("a2"))
+    b = comps.select(F.col("node").alias("b"), F.col("comp").alias("b2"))
+    fresh = links.select("a", "b").join(a, "a").join(b, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
+    return common.staged(_renamed(comps, components(fresh, name)), f"{name}-comps")
 
 
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members (bucket, rep, ...) with ``comp``, of buckets that hold several components."""
-    placed = (members.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-              .withColumn("comp", F.coalesce("comp", "rep")))
+    placed = members.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep")
     several = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket")
     return placed.join(several, "bucket")
 
@@ -334,9 +361,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         .select("rep", "text").dropDuplicates(["rep"]), "near-texts")
     near = f"j >= {least} - 1e-9"
     star = shared.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    known = common.staged(overlaps(texts, star), "near-overlaps")
-    links = known.filter(near).select("a", "b")
-    comps = components(links, "near-star")
+    found = common.staged(overlaps(texts, star), "near-overlaps")
+    alone = common.staged(texts.select(F.col("rep").alias("node"), F.col("rep").alias("comp")), "near-alone")
+    comps = merged(alone, found.filter(near), "near-star")
     # buckets that hold several components, with their leaders so far
     rest = common.staged(_open(shared.withColumn("leaders", F.array("leader")), comps), "near-open")
     for _ in range(MORE_LEADERS):
@@ -347,14 +374,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         led = rest.join(lead, "bucket")
         found = common.staged(overlaps(texts, led.filter("rep <> lead and not array_contains(leaders, rep)")
                                        .select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()), "near-overlaps")
-        links = links.unionByName(found.filter(near).select("a", "b"))
-        comps = components(links, "near-star")
+        comps = merged(comps, found.filter(near), "near-led")
         rest = common.staged(_open(led.withColumn("leaders", F.array_append("leaders", F.col("lead"))).drop("lead"), comps), "near-open")
     # what is still in different components of a bucket; a representative is in one bucket a band at most
     rest = common.staged(rest.groupBy("rep").agg(F.first("comp").alias("comp"), F.collect_set("bucket").alias("buckets")), "near-open")
     more = meeting(rest, texts, least)
     found = common.staged(overlaps(texts, more), "near-overlaps")
-    comps = components(links.unionByName(found.filter(near).select("a", "b")), "near-all")
+    comps = merged(comps, found.filter(near), "near-all")
     named = (reps.select("rep", "least_id").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
              .withColumn("comp", F.coalesce("comp", "rep")))
     classes = named.groupBy("comp").agg(F.min("least_id").alias("class_id"))

@@ -97,6 +97,29 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_random_links(spark):
+    """Stars whose centre is the largest or smallest node, trees, cycles, repeated links, loops."""
+    rng = np.random.default_rng(6)
+    pairs = [(int(x), int(y)) for x, y in rng.integers(0, 400, (260, 2))]
+    pairs += [(999, i) for i in range(500, 540)] + [(600, i) for i in range(601, 640)] + [(7, 7), (700, 700)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in pairs:
+        parent[find(x)] = find(y)
+    got = {r.node: r.comp for r in B.components(spark.createDataFrame(pairs + pairs[:50], "a long, b long")).collect()}
+    linked = {v for x, y in pairs if x != y for v in (x, y)}
+    assert set(got) == linked
+    groups = lambda label: {frozenset(v for v in linked if label(v) == c) for c in map(label, linked)}
+    assert groups(got.get) == groups(find)
+    assert all(got[c] == c for c in got.values())
+    assert B.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_prefix_filter_loses_no_pair_and_lists_few(spark):
     """A group of texts around 0.8 to one another: every pair of overlap 0.8 meets, most others don't."""
     rng = np.random.default_rng(3)
