@@ -5,16 +5,20 @@ The rule is that of a strict typed JSON decoder:
 
 * the text is exactly one JSON value (nothing before or after it) and that
   value is an object or ``null``;
-* keys match field names case-insensitively, unknown keys are ignored and
-  the last duplicate wins;
+* keys match field names case-insensitively and unknown keys are ignored; of
+  duplicate keys each value must have the field's type, and the last value that
+  isn't null stands;
 * ``event_id`` / ``status`` / ``payment_date`` / ``updated_at`` must be strings,
   ``user_id`` an unsigned 64-bit integer, ``amount`` a finite number; ``null``
   is allowed for every field.
 
 Everything is evaluated with Spark's native VARIANT expressions in the JVM --
 no Python runs per row.  The common case (no upper-case key) is plain
-code-generated expressions; only objects with upper-case keys take a
-case-insensitive lambda over all entries.  ``try_parse_json`` stops at the
+code-generated expressions; only objects with upper-case or duplicate keys take a
+case-insensitive lambda over all entries.  A VARIANT keeps one of equal keys, so
+duplicates are told from the list of keys (``json_object_keys``), and such a
+message is parsed as a map, whose entries keep them all in their order.
+``try_parse_json`` stops at the
 end of the first JSON value, so the text is checked in two wrappings:
 ``[<text>]`` must be an array of exactly one element (rejects ``{}, 1``;
 a streaming ``json_array_length``) and ``{"a":<text>,"z":0}`` must be an
@@ -76,18 +80,29 @@ def _field_ok(entry: Column) -> Column:
     return rule
 
 
-def _fields_ok(body: Column, fields: Column) -> Column:
-    """All known fields well typed.
+def _entries(value: Column) -> Column:
+    """Every ``(key, value)`` entry of an object's text in order, duplicates too."""
+    return F.map_entries(F.from_json(value, "map<string,variant>"))
 
-    Fast path (no upper-case letter in any key, the normal case): look the six
-    fields up by exact name -- plain code-generated expressions.  Otherwise
-    walk every entry with a lambda so that keys match case-insensitively."""
+
+def _has_duplicates(value: Column, fields: Column) -> Column:
+    return F.size(F.json_object_keys(value)) > F.size(fields)
+
+
+def _fields_ok(value: Column, body: Column, fields: Column) -> Column:
+    """All known fields well typed, every value of duplicate keys included.
+
+    Fast path (no upper-case letter in any key and no key twice, the normal
+    case): look the six fields up by exact name -- plain code-generated
+    expressions.  Otherwise walk every entry with a lambda so that keys match
+    case-insensitively."""
     names = F.array_join(F.map_keys(fields), "\u0001")
     exact = F.lit(True)
     for field in _ALL_FIELDS:
         exact = exact & _kind_ok(field, F.try_variant_get(body, f"$.{field}", "variant"))
-    by_entry = F.coalesce(F.forall(F.map_entries(fields), _field_ok), F.lit(True))
-    return F.when(fields.isNull(), F.lit(True)).when(names == F.lower(names), exact).otherwise(by_entry)
+    plain = (names == F.lower(names)) & ~_has_duplicates(value, fields)
+    by_entry = F.coalesce(F.forall(_entries(value), _field_ok), F.lit(True))
+    return F.when(fields.isNull(), F.lit(True)).when(plain, exact).otherwise(by_entry)
 
 
 def _parsed(value: Column) -> dict[str, Column]:
@@ -103,7 +118,7 @@ def _reason(value: Column, one: Column, pair: Column, body: Column, fields: Colu
     is_object = fields.isNotNull() | F.coalesce(F.is_variant_null(body), F.lit(False))
     return (F.when(value.isNull() | ~single, F.lit("malformed_json"))
             .when(~is_object, F.lit("not_an_object"))
-            .when(~_fields_ok(body, fields), F.lit("bad_field_type")))
+            .when(~_fields_ok(value, body, fields), F.lit("bad_field_type")))
 
 
 def gate_reason(value: Column) -> Column:
@@ -143,14 +158,11 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 def to_keyed(good: DataFrame, value_col: str = "value") -> DataFrame:
     """V3: ``(key, value)`` with the original text as value and ``event_id`` as key.
 
-    The key is read with the same case-insensitive rule as the gate (of keys
-    equal in case the last stands, of others the last in name order that isn't
-    null); a message without an id has the key ``''``.
-    Repartitioning by key is left to the sink (Kafka hashes the key).
+    The key is read with the same case-insensitive rule as the gate (of several
+    ids, the last in the text that isn't null); a message without an id has the
+    key ``''``.  Repartitioning by key is left to the sink (Kafka hashes the key).
     """
-    fields = F.map_entries(
-        F.try_parse_json(F.col(value_col)).try_cast("map<string,variant>"))
-    ids = F.filter(fields, lambda e: F.lower(e["key"]) == "event_id")
+    ids = F.filter(_entries(F.col(value_col)), lambda e: F.lower(e["key"]) == "event_id")
     texts = F.filter(F.transform(ids, lambda e: F.try_variant_get(e["value"], "$", "string")), lambda x: x.isNotNull())
     key = F.coalesce(F.try_element_at(texts, F.lit(-1)), F.lit(""))
     return good.select(key.alias("key"), F.col(value_col).alias("value"),

@@ -53,6 +53,9 @@ REJECT_CASES = (
     ('{"event_id":"a" /* note */}', "malformed_json"),
     ('{event_id:"a"}', "malformed_json"),
     ('{"event_id":"a\tb"}', "malformed_json"),
+    ('{"user_id":"x","user_id":5}', "bad_field_type"),
+    ('{"event_id":5,"event_id":"a"}', "bad_field_type"),
+    ('{"amount":"1","amount":1}', "bad_field_type"),
 )
 REJECT_PAYLOADS = tuple(payload for payload, _ in REJECT_CASES)
 # Payloads the gate must accept.
@@ -163,6 +166,18 @@ def dirty_payloads(events: DataFrame) -> DataFrame:
     return rows.select(F.col("src_id").alias("offset"), value.alias("value"))
 
 
+def duplicate_payloads(events: DataFrame) -> DataFrame:
+    """JSON messages ``(offset, value)`` with a key given twice, in six kinds by id:
+    a null after the id, a user id first as text, an id first as number, an id of
+    another letter case last, an amount last as text, an id of another case first."""
+    n = F.col("event_id").cast("string")
+    kinds = ('{"event_id":"evt-%","event_id":null}', '{"user_id":"%","user_id":%}', '{"event_id":%,"event_id":"evt-%"}',
+             '{"event_id":"evt-%","amount":1.5,"EVENT_ID":"alt-%"}', '{"amount":%,"status":"paid","amount":"%"}',
+             '{"EVENT_ID":"alt-%","user_id":1,"user_id":2,"event_id":"evt-%"}')
+    value = F.element_at(F.array(*[F.replace(F.lit(k), F.lit("%"), n) for k in kinds]), (F.col("event_id") % 6 + 1).cast("int"))
+    return events.select(F.col("event_id").alias("offset"), value.alias("value"))
+
+
 def misfit_payments(events: DataFrame) -> DataFrame:
     """Raw bronze payments of which every 9th amount is beyond DECIMAL(12,2) and
     every 11th row has no ``updated_at``."""
