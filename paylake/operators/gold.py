@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paylake.functions import as_date, days_before, week_start
+from paylake.operators.merge import touched_leaves
 from paylake.schemas import AMOUNT_DECIMAL
+from paylake.sources import generations
 
 _COUNTED = ("pending", "failed", "refunded", "cancelled", "unknown")
 REVENUE_TYPE = "decimal(22,2)"
@@ -77,12 +79,18 @@ def recent_revenue(gold: DataFrame, as_of, days: int = 30) -> DataFrame:
 
 def refresh_gold_days(spark, silver_b: DataFrame, gold_path: str, days: list | None) -> None:
     """G1 incrementally: recompute only the given days and replace exactly
-    those day partitions of a day-partitioned gold table.
+    those days of a day-partitioned gold table, by one committed pointer.
 
     A gold row for day D depends only on silver rows of day D, so this equals
     a full rebuild while reading only the touched silver partitions
-    (``days=None`` rebuilds every day)."""
+    (``days=None`` rebuilds every day).  Columns that gold gains are appended to
+    the table's; days built before have null there (M6)."""
     rows = silver_b if days is None else silver_b.filter(F.col("payment_date").isin(days))
-    out = gold_revenue(rows).hint("rebalance", "payment_date")
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("payment_date").parquet(gold_path))
+    replace_gold_days(spark, gold_revenue(rows), gold_path, days)
+
+
+def replace_gold_days(spark, gold: DataFrame, gold_path: str, days: list | None) -> None:
+    """The rows ``gold`` in place of the table's rows of ``days`` (None: of all days)."""
+    old = generations.leaves(spark, gold_path) if days is None \
+        else touched_leaves(spark, gold_path, "payment_date", days)
+    generations.replace(spark, gold_path, gold, ["payment_date"], old)

@@ -7,10 +7,10 @@ one row per map task across the network.
 
 Tables are Parquet directories (no table format is on the classpath), so:
 
-* M3 ``upsert`` reads only the partitions the update touches, merges, cuts
-  lineage with a reliable checkpoint in the shared checkpoint folder and then
-  rewrites exactly those partitions with dynamic partition overwrite (Spark
-  stages the new files and swaps directories at job commit).
+* M3 ``upsert`` reads only the partitions the update touches, merges, writes the
+  result to a fresh folder and commits a pointer that names it in their place
+  (:mod:`paylake.sources.generations`): a run killed at any moment leaves the old
+  table whole.
 * M5 ``overwrite_table`` appends a new ``version=N`` partition and readers take
   the newest one, so a failed build never leaves a half-written table.
 """
@@ -19,15 +19,16 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paylake.functions import to_amount_decimal
 from paylake.schemas import SILVER_B_KEY, SILVER_COLUMNS
 from paylake.session import shared_dir
-from paylake.sources.tables import path_exists
+from paylake.sources import generations
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -87,29 +88,36 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[st
     """M3: primary-key upsert into a partitioned Parquet table at ``path``;
     returns the partition values it rewrote.
 
-    Into an existing table: the update is checkpointed once (it is read twice
-    -- for the touched partition values and for the merge -- and must not
-    change between the two under task retries), the touched partitions are
-    merged with it and the result, checkpointed again because it is written
-    over its own source, replaces exactly those partitions (dynamic partition
-    overwrite).  A new table is simply written."""
-    if not path_exists(spark, path):
-        updates = checkpointed(updates)
-        values = partition_values(updates, partition_col)
-        merged = latest_by_key(updates, keys, order)
+    The update is checkpointed once (it is read twice -- for the touched partition
+    values and for the merge -- and must not change between the two under task
+    retries).  Only the directories of the touched values are read; the merged
+    rows are written to a fresh folder and take their place with the commit."""
+    updates = checkpointed(updates)
+    values = partition_values(updates, partition_col)
+    old = touched_leaves(spark, path, partition_col, values)
+    if old:
+        current = generations.read_some(spark, path, old)
+        merged = upsert_frame(current, updates.select(*[c for c in current.columns if c in updates.columns]), keys, order)
     else:
-        updates = checkpointed(updates)
-        values = partition_values(updates, partition_col)
-        current = spark.read.parquet(path)
-        merged = checkpointed(upsert_frame(touched_partitions(current, updates, partition_col, values),
-                                           updates.select(*current.columns), keys, order))
-    # REBALANCE (not repartition): AQE splits a partition value that holds a
-    # large share of the rows into several ~64 MB files instead of one task.
-    (merged.hint("rebalance", partition_col).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path))
+        merged = latest_by_key(updates, keys, order)
+    generations.replace(spark, path, merged, [partition_col], old)
     return values
 
 
+def touched_leaves(spark: SparkSession, path: str, partition_col: str, values: Sequence) -> list[str]:
+    """The table's directories that hold the given partition values.  The values
+    are compared after Spark has read the directories' names, one row each, so
+    escaped and null values match."""
+    dirs = generations.leaves(spark, path)
+    if not dirs or not values:
+        return []
+    kind = generations.read_some(spark, path, dirs[:1]).schema[partition_col].dataType
+    names = spark.createDataFrame([(d, generations.level(d, partition_col)) for d in dirs], "leaf string, name string")
+    value = F.when(F.col("name") != generations.NULL_NAME, F.expr("url_decode(replace(name, '+', '%2B'))")).cast(kind)
+    wanted = set(values)
+    return [r["leaf"] for r in names.select("leaf", value.alias("value")).collect() if r["value"] in wanted]
+
+
 def overwrite_table(df: DataFrame, path: str, version: int | None = None) -> int:
     """M5 full refresh: write ``df`` as a new ``version=N`` of the table at ``path``.
 
@@ -171,26 +179,47 @@ def sync_frame(silver_a: DataFrame, silver_b: DataFrame | None = None) -> DataFr
     return upsert_frame(silver_b.select(*SILVER_COLUMNS), incoming, SILVER_B_KEY, order)
 
 
-def sync_silver(spark: SparkSession, silver_a: DataFrame, path_b: str) -> list:
+def sync_silver(spark: SparkSession, silver_a: DataFrame, path_b: str, quarantine_path: str | None = None,
+                batch_id: int = 0) -> list:
     """M7: upsert current lane-A silver into the warehouse silver table;
-    returns the days (partitions) it rewrote."""
+    returns the days (partitions) it rewrote.  Rows that the warehouse silver
+    can't hold replace the ``batch_id`` of the table at ``quarantine_path``."""
+    if quarantine_path:
+        (sync_misfits(silver_a).withColumn("batch_id", F.lit(int(batch_id)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(quarantine_path))
     incoming = to_warehouse_silver(silver_a)
     return upsert(spark, path_b, incoming, SILVER_B_KEY,
                   ["updated_at", "user_id", "amount", "status"], "payment_date")
 
 
+def merge_bucketed(spark: SparkSession, current: str, updates: str, keys: Sequence[str]) -> DataFrame:
+    """L4 + M3: the rows of the catalog table ``current`` with those of ``updates``
+    in their place, both bucketed alike by the first of ``keys`` and unique by all.
+
+    Buckets are joined on their own key (the other keys are left to the condition,
+    as a join on all of them would ask for other buckets), so neither table is
+    shuffled; the later write's row stands."""
+    a, b = spark.table(current).alias("a"), spark.table(updates).alias("b")
+    same = F.col(f"a.{keys[0]}") == F.col(f"b.{keys[0]}")
+    rest = [F.coalesce(F.col(f"a.{k}") == F.col(f"b.{k}"), F.col(f"a.{k}").isNull() & F.col(f"b.{k}").isNull())
+            for k in keys[1:]]
+    kept = a.join(b, reduce(lambda x, y: x & y, rest, same), "left_anti")
+    return kept.select("*").unionByName(b.select("*"))
+
+
 def merge_partitions(spark: SparkSession, path: str, partition_col: str, values: Sequence,
                      keys: Sequence[str], order: Sequence[str]) -> int:
     """M1 applied at merge time: rewrite the given partitions keeping only the
     latest row per key (what a replacing merge tree does in the background).
 
-    Only the listed partitions are read (static partition pruning) and
-    rewritten (dynamic partition overwrite); returns the rows kept."""
-    if not values:
+    Only the directories of the listed values are read; the merged rows take
+    their place with the commit of a fresh folder.  Returns the rows kept."""
+    old = touched_leaves(spark, path, partition_col, values)
+    if not old:
         return 0
-    part = spark.read.parquet(path).filter(F.col(partition_col).isin(list(values)))
-    merged = checkpointed(latest_by_key(part, keys, order))
-    kept = merged.count()
-    (merged.hint("rebalance", partition_col).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path))
-    return kept
+    kept = Observation("merge_partitions")
+    merged = latest_by_key(generations.read_some(spark, path, old), keys, order)
+    generations.replace(spark, path, merged.observe(kept, F.count(F.lit(1)).alias("rows")),
+                        generations.levels(old[0]), old)
+    return int(kept.get["rows"])

@@ -877,3 +877,6 @@ def _register_sql(name: str) -> None:
 for _name in ("status_breakdown", "day_summary", "top_users", "bad_data_profile", "drop_rate",
               "gold_revenue"):
     _register_sql(_name)
+
+
+from paylake.plans import catalog_tables  # noqa: E402,F401  (registers its queries)

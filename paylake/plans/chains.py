@@ -9,15 +9,17 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paylake.operators import quality as Q
 from paylake.operators.gold import gold_revenue, refresh_gold_days
-from paylake.operators.lifecycle import list_partitions, write_partitioned
-from paylake.operators.merge import merge_partitions, overwrite_table, sync_misfits, sync_silver, user_dim
+from paylake.operators.lifecycle import compact, list_partitions
+from paylake.operators.merge import align_schema, merge_partitions, overwrite_table, sync_silver, user_dim
 from paylake.operators.sessions import session_rollup
-from paylake.operators.silver import incremental_since, silver_current, silver_incremental
+from paylake.operators.silver import incremental_since, silver_current, silver_incremental, silver_rows
 from paylake.schemas import ACCEPTED_STATUSES, NEW_DATA_MINUTES, RECENT_HOURS
 from paylake.session import shared_dir
+from paylake.sources import generations
 from paylake.sources.tables import Lakehouse
 
 
@@ -30,36 +32,85 @@ def _wall_clock(spark: SparkSession):
     return spark.range(1).select(F.current_timestamp().cast("timestamp_ntz")).first()[0]
 
 
-def recent_target(spark: SparkSession, lake: Lakehouse) -> DataFrame | None:
-    """The part of lane-A silver that can hold its newest day and newest batch.
+#: One row a silver run, merge or sync: what it wrote, for the runs after it.
+RUN_LOG = "kind string, batch_id bigint, months array<int>, rows bigint, ran_at timestamp_ntz"
+#: Directories of the run log beyond which they are compacted to one a kind.
+LOG_DIRS = 64
+
+
+def log_run(spark: SparkSession, lake: Lakehouse, kind: str, batch: int, months: list[int], rows: int | None) -> None:
+    """Append a row to the run log."""
+    path = lake.path("run_log")
+    row = spark.createDataFrame([(kind, batch, sorted(months), rows, _wall_clock(spark))], RUN_LOG)
+    generations.replace(spark, path, row, ["kind"])
+    if len(generations.leaves(spark, path)) > LOG_DIRS:
+        compact(spark, path, "kind", ["run", "merge", "sync", "sync_b"])
+        generations.vacuum(spark, path, keep=LOG_DIRS)
+
+
+def runs(spark: SparkSession, lake: Lakehouse) -> DataFrame:
+    """The run log (empty before the first run)."""
+    if generations.pointer(spark, lake.path("run_log")) is None:
+        return spark.createDataFrame([], RUN_LOG)
+    return lake.read(spark, "run_log").select(*[c.split()[0] for c in RUN_LOG.split(", ")])
+
+
+def last_batch(spark: SparkSession, lake: Lakehouse, kind: str) -> int | None:
+    return runs(spark, lake).filter(F.col("kind") == kind).agg(F.max("batch_id")).first()[0]
+
+
+def months_since(spark: SparkSession, lake: Lakehouse, kind: str) -> list[int]:
+    """The months that silver runs have written since the last run of ``kind``;
+    all months of a table whose runs were not logged.  A list of months, so its
+    length is bounded by the table's layout."""
+    log, last = runs(spark, lake), last_batch(spark, lake, kind)
+    logged = log.filter(F.col("kind") == "run")
+    if not logged.limit(1).count():
+        return [int(m) for m in list_partitions(spark, lake.path("silver_events"), "payment_month")]
+    fresh = logged.filter(F.col("batch_id") > F.lit(-1 if last is None else last))
+    return sorted(r[0] for r in fresh.select(F.explode("months")).distinct().collect())
+
 
-    A run appends rows on or after (newest day - overlap), so every batch after
-    the one that wrote the newest day lies in the newest month or the month
-    before it.  Reading only those two month partitions keeps the watermark
-    and batch-id lookups independent of the table's size."""
-    months = sorted(int(m) for m in list_partitions(spark, lake.path("silver_events"), "payment_month"))
+def recent_target(spark: SparkSession, lake: Lakehouse) -> DataFrame | None:
+    """The part of lane-A silver that holds its newest day: the newest month."""
+    months = [int(m) for m in list_partitions(spark, lake.path("silver_events"), "payment_month")]
     if not months:
         return None
-    return lake.read(spark, "silver_events").filter(F.col("payment_month").isin(months[-2:]))
+    return lake.read(spark, "silver_events").filter(F.col("payment_month") == max(months))
+
+
+def next_batch(spark: SparkSession, lake: Lakehouse) -> int:
+    """One more than the newest silver batch, by the run log; a table whose runs
+    were not logged is asked itself."""
+    last = last_batch(spark, lake, "run")
+    if last is None and generations.leaves(spark, lake.path("silver_events")):
+        last = lake.read(spark, "silver_events").agg(F.max("batch_id")).first()[0]
+    return 0 if last is None else int(last) + 1
 
 
 def silver_run(spark: SparkSession, lake: Lakehouse, overlap_days: int = 1) -> int:
     """M4: append one incremental run of bronze -> silver; returns rows appended.
 
-    The run's ``batch_id`` is one more than the newest batch in silver, so the
-    merge (M1) can tell later inserts from earlier ones."""
-    bronze = lake.read(spark, "bronze_a")
-    target = recent_target(spark, lake)
-    batch = 0
-    if target is not None:
-        batch = (target.agg(F.max("batch_id")).first()[0] or 0) + 1
-    rows = silver_incremental(bronze, target, overlap_days).withColumn("batch_id", F.lit(batch))
-    rows = rows.withColumn("payment_month", (F.year("payment_date") * 100
-                                             + F.month("payment_date")).cast("int"))
+    The run's ``batch_id`` is one more than the newest one logged, so the merge
+    (M1) can tell later inserts from earlier ones.  The rows are a fresh folder;
+    the run log gets the months in it before the commit, so a run that dies leaves
+    at most a log row without rows, never rows without a log row.  Columns that
+    bronze gains are ignored once silver has its schema (M6)."""
+    path = lake.path("silver_events")
+    batch = next_batch(spark, lake)
+    rows = silver_incremental(lake.read(spark, "bronze_a"), recent_target(spark, lake), overlap_days)
+    rows = (rows.withColumn("batch_id", F.lit(batch))
+                .withColumn("payment_month", (F.year("payment_date") * 100 + F.month("payment_date")).cast("int")))
+    stored = generations.pointer(spark, path)
+    if stored:
+        rows = align_schema(rows, T.StructType.fromJson(stored["schema"]), "ignore")
     obs = Observation(f"silver_{batch}")
-    write_partitioned(rows.observe(obs, F.count(F.lit(1)).alias("rows")),
-                      lake.path("silver_events"), ["payment_month"],
-                      sort_cols=["payment_date", "user_id", "event_id"])
+
+    def log(fresh: list[str]) -> None:
+        log_run(spark, lake, "run", batch, [int(generations.level(d, "payment_month")) for d in fresh], int(obs.get["rows"]))
+
+    generations.replace(spark, path, rows.observe(obs, F.count(F.lit(1)).alias("rows")), ["payment_month"],
+                        sort_cols=["payment_date", "user_id", "event_id"], before_commit=log)
     return int(obs.get["rows"])
 
 
@@ -82,22 +133,25 @@ def run_realtime(spark: SparkSession, lake: Lakehouse, now=None,
 
 def merge_silver(spark: SparkSession, lake: Lakehouse, months: list[int] | None = None) -> int:
     """Background merge of lane-A silver: deduplicate the given months (default:
-    the newest two, where incremental runs append) in place."""
+    every month that a run has written since the last merge)."""
+    batch = last_batch(spark, lake, "run")
     if months is None:
-        months = sorted(int(m) for m in list_partitions(spark, lake.path("silver_events"),
-                                                        "payment_month"))[-2:]
+        months = months_since(spark, lake, "merge")
     order = ["batch_id", "updated_at", "amount", "status"]
-    return merge_partitions(spark, lake.path("silver_events"), "payment_month", months,
+    kept = merge_partitions(spark, lake.path("silver_events"), "payment_month", months,
                             ["payment_date", "user_id", "event_id"], order)
+    if batch is not None:
+        log_run(spark, lake, "merge", batch, months, kept)
+    return kept
 
 
 def unsynced_batches(spark: SparkSession, lake: Lakehouse) -> DataFrame:
-    """Silver rows of the batches appended since the last sync (see the log)."""
-    last = -1
-    if lake.exists(spark, "sync_log"):
-        last = spark.read.parquet(lake.path("sync_log")).agg(F.max("batch_id")).first()[0]
-        last = -1 if last is None else last
-    return lake.read(spark, "silver_events").filter(F.col("batch_id") > last)
+    """Silver rows of the batches appended since the last sync: the run log names
+    the months that hold them, so only those are read."""
+    last = last_batch(spark, lake, "sync")
+    months = months_since(spark, lake, "sync")
+    return (lake.read(spark, "silver_events").filter(F.col("payment_month").isin(months))
+                .filter(F.col("batch_id") > F.lit(-1 if last is None else last)))
 
 
 def sync_new_batches(spark: SparkSession, lake: Lakehouse) -> list | None:
@@ -105,22 +159,17 @@ def sync_new_batches(spark: SparkSession, lake: Lakehouse) -> list | None:
 
     Rows of a newer batch win the merge for their keys, so the rows of the
     unsynced batches (merged among themselves) are exactly the current rows
-    that changed.  The synced batch ids go to a one-row-per-sync log *after*
-    the upsert: a crash in between re-syncs the batch (the upsert is
-    idempotent) instead of losing it.  Rows that the warehouse silver can't hold
-    go to the table ``sync_quarantine``, under the newest batch of the sync.
-    Returns the days rewritten."""
+    that changed.  The synced batch goes to the run log *after* the upsert: a crash
+    in between re-syncs the batch (the upsert is idempotent) instead of losing it.
+    Rows that the warehouse silver can't hold go to the table ``sync_quarantine``,
+    under the newest batch of the sync.  Returns the days rewritten."""
     fresh = unsynced_batches(spark, lake)
     newest = fresh.agg(F.max("batch_id")).first()[0]
     if newest is None:
         return []
-    changed = silver_current(fresh)
-    (sync_misfits(changed).withColumn("batch_id", F.lit(int(newest)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(lake.path("sync_quarantine")))
-    days = sync_silver(spark, changed, lake.path("silver_payments"))
-    (spark.createDataFrame([(int(newest),)], "batch_id bigint")
-          .write.mode("append").parquet(lake.path("sync_log")))
+    days = sync_silver(spark, silver_current(fresh), lake.path("silver_payments"),
+                       lake.path("sync_quarantine"), int(newest))
+    log_run(spark, lake, "sync", int(newest), months_since(spark, lake, "sync"), None)
     return days
 
 
@@ -129,6 +178,33 @@ def current_silver(spark: SparkSession, lake: Lakehouse) -> DataFrame:
     return silver_current(lake.read(spark, "silver_events"))
 
 
+def new_lane_b_rows(spark: SparkSession, lake: Lakehouse) -> tuple[DataFrame | None, int]:
+    """Lane-B bronze rows of the batches that the warehouse silver hasn't taken
+    yet, and the newest of those batches: found by the directories' names."""
+    path, last = lake.path("bronze_b"), last_batch(spark, lake, "sync_b")
+    dirs = [d for d in generations.leaves(spark, path)
+            if int(generations.level(d, "batch_id")) > (-1 if last is None else last)]
+    if not dirs:
+        return None, -1 if last is None else last
+    return generations.read_some(spark, path, dirs), max(int(generations.level(d, "batch_id")) for d in dirs)
+
+
+def run_warehouse(spark: SparkSession, lake: Lakehouse) -> dict:
+    """Lane B by itself: new bronze batches -> valid rows with normalised status ->
+    upsert into warehouse silver -> the rewritten days of gold.  Rows that the
+    warehouse silver can't hold go to the quarantine.  The batch is logged after
+    the upsert, so a run that dies is done again with the same result."""
+    rows, newest = new_lane_b_rows(spark, lake)
+    if rows is None:
+        return {"days": []}
+    Q.raise_on_failure(Q.check_not_null(rows, ["event_id", "user_id", "payment_date"]))
+    silver = silver_rows(rows)
+    days = sync_silver(spark, silver, lake.path("silver_payments"), lake.path("sync_quarantine_b"), newest)
+    log_run(spark, lake, "sync_b", newest, [], None)
+    refresh_gold_days(spark, lake.read(spark, "silver_payments"), lake.path("gold_revenue_daily"), days)
+    return {"days": days}
+
+
 def build_user_tables(spark: SparkSession, lake: Lakehouse) -> None:
     """M2 / M8 as tables: ``silver_users`` and ``silver_sessions`` built from the
     merged silver, each as a new version."""

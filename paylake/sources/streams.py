@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from paylake.sources.tables import path_exists
 
+# Rows of a consumed block, and how many consumers take one at a time.
+BLOCK_ROWS = 65536
+CONSUMERS = 4
+
 
 def _kafka(spark: SparkSession, url: str, starting: str, max_rows: int | None,
            min_partitions: int | None, group: str | None) -> DataFrame:
@@ -36,9 +40,14 @@ def _kafka(spark: SparkSession, url: str, starting: str, max_rows: int | None,
 def read_messages(spark: SparkSession, src: str, starting: str = "earliest",
                   max_rows: int | None = None, min_partitions: int | None = None,
                   group: str | None = None, max_files: int | None = None,
-                  position: str | None = None) -> DataFrame:
+                  position: str | None = None, max_bytes: int | str | None = None) -> DataFrame:
     """A stream of raw message text from a Kafka URL or a text directory/glob.
 
+    ``max_rows`` bounds a Kafka batch.  A directory admits whole files, at most
+    ``max_files`` or ``max_bytes`` (``"512m"``) of them a batch, a file beyond the
+    bytes alone; where the gate lands a topic, files end after ``BLOCK_ROWS`` rows,
+    so ``max_files`` bounds rows too.
+
     ``starting='latest'`` on a directory skips files that already existed at the
     stream's first start (filter on the file's modification time).  That start
     is written to the folder ``position`` (keep it beside the stream's
@@ -50,6 +59,8 @@ def read_messages(spark: SparkSession, src: str, starting: str = "earliest",
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    elif max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     stream = reader.load(src)
     if starting == "latest":
         started = first_start(spark, position)
@@ -75,12 +86,17 @@ def read_events(spark: SparkSession, src: str, starting: str = "earliest",
 
 
 def read_validated(spark: SparkSession, src: str, starting: str = "earliest",
-                   max_rows: int | None = 65536, min_partitions: int | None = 4,
-                   max_files: int | None = None, position: str | None = None) -> DataFrame:
+                   max_rows: int | None = BLOCK_ROWS, min_partitions: int | None = CONSUMERS,
+                   max_files: int | None = None, position: str | None = None,
+                   max_bytes: int | str | None = None) -> DataFrame:
     """S2 (lane A, earliest, 65,536-row blocks, 4 consumers) and S3 (lane B,
-    ``starting='latest'``) read of the validated topic."""
-    return read_messages(spark, src, starting=starting, max_rows=max_rows,
-                         min_partitions=min_partitions, max_files=max_files, position=position)
+    ``starting='latest'``) read of the validated topic.  From a directory each
+    consumer takes a file, which the gate ends after a block, a batch
+    (``max_files`` / ``max_bytes`` bound it otherwise)."""
+    if max_files is None and max_bytes is None:
+        max_files = min_partitions
+    return read_messages(spark, src, starting=starting, max_rows=max_rows, min_partitions=min_partitions,
+                         max_files=max_files, position=position, max_bytes=max_bytes)
 
 
 def read_table_stream(spark: SparkSession, directory: str, table: str,

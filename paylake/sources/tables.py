@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paylake.sources import generations
+
 # Layer name -> (sub-directory, partition column).
 LAYERS = {
     "bronze_a": ("bronze/payments_bronze", "payment_month"),
@@ -23,9 +25,10 @@ LAYERS = {
     "gold_revenue": ("gold/gold_revenue", "version"),
     "gold_revenue_daily": ("gold/gold_revenue_daily", "payment_date"),
     "silver_users": ("silver/silver_users", "version"),
-    "sync_log": ("silver/_sync_log", None),
+    "run_log": ("silver/_run_log", "kind"),
     "silver_sessions": ("silver/silver_sessions", "version"),
     "sync_quarantine": ("silver/_sync_quarantine", "batch_id"),
+    "sync_quarantine_b": ("silver/_sync_quarantine_b", "batch_id"),
 }
 
 
@@ -52,8 +55,20 @@ class Lakehouse:
 
 
 def bronze_table(spark: SparkSession, path: str) -> DataFrame:
-    """S4 query-on-read scan of a partitioned Parquet table (no copy)."""
-    return spark.read.option("basePath", path).parquet(path)
+    """S4 query-on-read scan of a partitioned Parquet table (no copy); a table
+    with a committed pointer is read as that lists it."""
+    return generations.read(spark, path)
+
+
+def external_table(spark: SparkSession, name: str, path: str) -> None:
+    """S4 as a catalog table: ``name`` stands for the Parquet files at ``path``
+    (nothing is copied), its partitions are discovered from the directories.  For
+    tables that streams append to; call it again to see later partitions."""
+    schema = spark.read.option("basePath", path).parquet(path).schema
+    by = generations.levels(generations.leaves(spark, path)[0])
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({', '.join(by)}) LOCATION '{path}'")
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -20,16 +21,17 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from paylake.functions import minute_of
 from paylake.operators.gate import gate_counter_columns, to_keyed, validate_events
-from paylake.operators.merge import partition_values
+from paylake.operators.merge import partition_values, touched_leaves
 from paylake.operators.parse import enforce_broken_budget, split_staged, stage_lane_a, stage_lane_b
 from paylake.session import spread
-from paylake.sources.tables import path_exists
+from paylake.sources import generations
+from paylake.sources.streams import BLOCK_ROWS
 
 _LOG = logging.getLogger("paylake.streaming")
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, partition_cols: Sequence[str] = (),
-                 fmt: str = "parquet") -> None:
+                 fmt: str = "parquet", max_records_per_file: int = 0) -> None:
     """Idempotent micro-batch write: overwrite this batch's partitions only.
 
     Inside ``foreachBatch`` this is a batch job with AQE, so the REBALANCE on
@@ -39,44 +41,53 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, partition_cols: Sequen
     if partition_cols:
         out = out.hint("rebalance", *partition_cols)
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy(*partition_cols, "batch_id").format(fmt).save(path))
 
 
 def write_validated(keyed: DataFrame, sink: str, batch_id: int) -> None:
     """K1: publish validated messages.  ``kafka://host:port/topic`` gets
     ``(key, value)`` records keyed by event_id (the producer partitions by the
-    key); a directory gets the original text as one line per message."""
+    key); a directory gets the original text as one line per message, in files of
+    one block (``BLOCK_ROWS``) at most, so its readers can take bounded batches."""
     if sink.startswith("kafka://"):
         servers, _, topic = sink[len("kafka://"):].partition("/")
         (keyed.select("key", "value").write.format("kafka")
               .option("kafka.bootstrap.servers", servers).option("topic", topic).save())
     else:
-        _write_batch(keyed.select("value"), sink, batch_id, fmt="text")
+        _write_batch(keyed.select("value"), sink, batch_id, fmt="text", max_records_per_file=BLOCK_ROWS)
 
 
-def start_with_state_partitions(writer, spark, state_partitions: int | None) -> StreamingQuery:
+#: Keeps a query's state on the executors' disks and its changes in the checkpoint,
+#: so state is bounded by disks, not by heaps.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def start_with_state_partitions(writer, spark, state_partitions: int | None, on_disk: bool = False) -> StreamingQuery:
     """Start a stream.  A stateful query fixes its number of state partitions
-    from ``spark.sql.shuffle.partitions`` at its first start (it is then kept
-    in the checkpoint); ``state_partitions`` sets it for this start only."""
-    if not state_partitions:
-        return writer.start()
-    key = "spark.sql.shuffle.partitions"
-    previous = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
+    (``spark.sql.shuffle.partitions``) and its state store at its first start
+    (both are then kept in the checkpoint); ``state_partitions`` and ``on_disk``
+    set them for this start only."""
+    wanted = {"spark.sql.shuffle.partitions": str(state_partitions) if state_partitions else None,
+              "spark.sql.streaming.stateStore.providerClass": ROCKSDB if on_disk else None}
+    previous = {k: spark.conf.get(k) for k, v in wanted.items() if v}
+    for key in previous:
+        spark.conf.set(key, wanted[key])
     try:
         return writer.start()
     finally:
-        spark.conf.set(key, previous)
+        for key, value in previous.items():
+            spark.conf.set(key, value)
 
 
 def _start(stream: DataFrame, name: str, checkpoint: str, handler: Callable | None = None,
            trigger: dict | None = None, output_mode: str = "append",
-           state_partitions: int | None = None) -> StreamingQuery:
+           state_partitions: int | None = None, on_disk: bool = False) -> StreamingQuery:
     writer = (stream.writeStream.queryName(name).option("checkpointLocation", checkpoint)
               .outputMode(output_mode).trigger(**(trigger or {"availableNow": True})))
     if handler is not None:
         writer = writer.foreachBatch(handler)
-    return start_with_state_partitions(writer, stream.sparkSession, state_partitions)
+    return start_with_state_partitions(writer, stream.sparkSession, state_partitions, on_disk)
 
 
 def gate_stream(messages: DataFrame, validated_path: str, quarantine_path: str,
@@ -239,17 +250,13 @@ def dedup_table_stream(rows: DataFrame, keys: Sequence[str], out_path: str, chec
     if partition_col not in keys:
         raise ValueError(f"{partition_col} must be one of the keys")
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         new = batch.dropDuplicates(list(keys))
-        if path_exists(batch.sparkSession, out_path):
-            days = partition_values(batch, partition_col)
-            known = [d for d in days if d is not None]
-            stored = (batch.sparkSession.read.schema(stored_schema).option("basePath", out_path).parquet(out_path)
-                      .filter(F.col(partition_col).isin(known) | (F.col(partition_col).isNull() if None in days else F.lit(False)))
-                      .filter(F.col("batch_id") != batch_id).select(*[F.col(k).alias(f"_{k}") for k in keys]))
-            same = None
-            for k in keys:
-                eq = F.col(k).eqNullSafe(F.col(f"_{k}"))
-                same = eq if same is None else same & eq
+        dirs = [d for d in touched_leaves(spark, out_path, partition_col, partition_values(batch, partition_col))
+                if generations.level(d, "batch_id") != str(batch_id)]
+        if dirs:
+            stored = generations.read_leaves(spark, out_path, dirs, stored_schema).select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
             new = new.join(stored, same, "left_anti")
         _write_batch(new, out_path, batch_id, [partition_col])
 
@@ -257,6 +264,21 @@ def dedup_table_stream(rows: DataFrame, keys: Sequence[str], out_path: str, chec
     return _start(rows, "dedup_table", checkpoint, handle, trigger)
 
 
+def dedup_state_stream(rows: DataFrame, keys: Sequence[str], out_path: str, checkpoint: str,
+                       partition_col: str = "payment_date", trigger: dict | None = None,
+                       state_partitions: int | None = None) -> StreamingQuery:
+    """T2 without a time limit and at a cost per batch that doesn't grow with the
+    table: the keys ever stored are the query's state, on disk, and a batch looks
+    up its own keys only.  No stored row is read; rows may come as late as they
+    like, and a replayed batch replaces itself.  The state holds every key; a
+    stream of 90 days at 500 a second has about 4 billion."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch, out_path, batch_id, [partition_col])
+
+    return _start(rows.dropDuplicates(list(keys)), "dedup_state", checkpoint, handle, trigger,
+                  state_partitions=state_partitions, on_disk=True)
+
+
 def dedup_stream(rows: DataFrame, keys: Sequence[str], ts_col: str, delay: str = "1 hour") -> DataFrame:
     """T2 with bounded state: drop redelivered copies that arrive within ``delay``
     of each other.  Rows later than ``delay`` are dropped by the watermark; where

@@ -4,6 +4,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from paylake.operators import quality as Q
+from paylake.sources import generations
 from paylake.operators.lifecycle import (
     apply_partition_window, apply_retention, drop_old_versions, list_partitions, retained,
     write_partitioned,
@@ -71,7 +72,7 @@ def test_apply_retention_on_disk(spark, tmp_dir):
     write_partitioned(df, path, ["payment_month"])
     out = apply_retention(spark, path, "2024-04-15", 90)
     assert out["dropped_partitions"] == 1
-    left = sorted(r.payment_date for r in spark.read.parquet(path).collect())
+    left = sorted(r.payment_date for r in generations.read(spark, path).collect())
     assert left == [dt.date(2024, 1, 20), dt.date(2024, 2, 1)]
 
 
@@ -96,9 +97,10 @@ def test_compact_and_file_size_cap(spark, tmp_dir):
     df = _df(spark, days).repartition(20)
     df.write.partitionBy("payment_date").parquet(path)            # many small files
     before = len(glob.glob(f"{path}/payment_date=2024-01-01/*.parquet"))
-    compact(spark, path, "payment_date", ["2024-01-01"])
-    after = len(glob.glob(f"{path}/payment_date=2024-01-01/*.parquet"))
-    assert after < before and spark.read.parquet(path).count() == 300
+    assert compact(spark, path, "payment_date", ["2024-01-01"]) == 1
+    fresh = [d for d in generations.leaves(spark, path) if "2024-01-01" in d]
+    assert len(fresh) == 1 and len(glob.glob(f"{path}/{fresh[0]}/*.parquet")) < before
+    assert generations.read(spark, path).count() == 300
     capped = f"{tmp_dir}/c"
     write_partitioned(df, capped, ["payment_date"], max_records_per_file=40)
     files = glob.glob(f"{capped}/payment_date=*/*.parquet")
@@ -157,7 +159,7 @@ def test_apply_retention_day_partitions(spark, tmp_dir):
     write_partitioned(_df(spark, days), path, ["payment_date"])
     out = apply_retention(spark, path, "2024-04-15", 90, partition_col="payment_date")
     assert out["dropped_partitions"] == 2
-    assert [r.payment_date.day for r in spark.read.parquet(path).collect()] == [17]
+    assert [r.payment_date.day for r in generations.read(spark, path).collect()] == [17]
 
 
 def test_cli_runs_chains(spark, tmp_dir):
@@ -174,4 +176,4 @@ def test_cli_runs_chains(spark, tmp_dir):
     assert main(["realtime", "--root", lake.root, "--now", "2024-01-02 00:03:00"]) == 0
     assert main(["merge", "--root", lake.root]) == 0
     assert main(["retention", "--root", lake.root, "--as-of", "2024-03-31"]) == 0
-    assert spark.read.parquet(lake.path("bronze_a")).count() == 1
+    assert lake.read(spark, "bronze_a").count() == 1

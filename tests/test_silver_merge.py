@@ -8,6 +8,7 @@ from paylake.operators.merge import (
     align_schema, latest_by_key, overwrite_table, upsert, upsert_frame, user_dim,
 )
 from paylake.operators.silver import silver_current, silver_incremental
+from paylake.sources import generations
 from paylake.sources.tables import read_latest_version
 
 SCHEMA = "event_id string, user_id bigint, amount double, status string, payment_date date, updated_at timestamp_ntz"
@@ -63,7 +64,7 @@ def test_upsert_on_disk_is_idempotent_and_local(spark, tmp_dir):
     upd = spark.createDataFrame([_row("b", 2, 99.0, hour=3), _row("d", 2)], SCHEMA)
     upsert(spark, path, upd, keys, order, "payment_date")
     upsert(spark, path, upd, keys, order, "payment_date")           # replay: no duplicates
-    got = {r.event_id: r.amount for r in spark.read.parquet(path).collect()}
+    got = {r.event_id: r.amount for r in generations.read(spark, path).collect()}
     assert got == {"a": 10.0, "b": 99.0, "c": 10.0, "d": 10.0}
 
 

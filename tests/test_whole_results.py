@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from paylake.functions import money_sum
+from paylake.sources import generations
 from paylake.operators import lifecycle, merge, quality
 from paylake.operators.gate import to_keyed
 from paylake.sources.streams import first_start
@@ -57,8 +58,20 @@ def test_retention_removes_expired_batches_of_the_boundary_month(spark, tmp_dir)
     spark.createDataFrame(rows, "x int, payment_date date, payment_month int, batch_id int") \
         .write.partitionBy("payment_month", "batch_id").parquet(path)
     lifecycle.apply_retention(spark, path, "2024-04-10", days=90)               # cutoff 2024-01-11
-    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [2, 3]
-    assert not os.path.exists(f"{path}/payment_month=202401/batch_id=0")
+    assert sorted(r.x for r in generations.read(spark, path).collect()) == [2, 3]
+    assert not any("batch_id=0" in d for d in generations.leaves(spark, path))
+
+
+def test_retention_keeps_null_and_escaped_levels(spark, tmp_dir):
+    """Directories are known by their own names: live rows under a null level or one with ':' stay."""
+    rows = [(1, dt.date(2024, 1, 2), 202401, "a:b"), (2, dt.date(2024, 1, 20), 202401, "a:b"), (3, dt.date(2024, 1, 21), 202401, None),
+            (4, dt.date(2024, 1, 22), 202401, "x"), (5, dt.date(2024, 1, 3), 202401, "gone"), (6, None, None, "x")]
+    path = f"{tmp_dir}/levels"
+    spark.createDataFrame(rows, "x int, payment_date date, payment_month int, level string") \
+        .write.partitionBy("payment_month", "level").parquet(path)
+    lifecycle.apply_retention(spark, path, "2024-04-10", days=90)
+    assert sorted((r.x, r.level) for r in generations.read(spark, path).collect() if r.level) == [(2, "a:b"), (4, "x"), (6, "x")]
+    assert [r.x for r in generations.read(spark, path).filter("level is null").collect()] == [3]
 
 
 def test_key_of_a_message(spark):
