@@ -13,7 +13,10 @@ only features of those documents come to the driver (whole documents, of any
 length, up to ``SAMPLE_LINES`` lines in all; one that no longer fits is passed over).  Scores use the text alone.
 
 Nulls and empty texts are one empty line.  Texts of any length are scored
-whole; a line of any length is one row of features.
+whole; a line of any length is one row of features.  Repeated rows get equal
+scores; an id with several labels has the smallest, and an id on several texts
+labels each of them.  Ties in the sample's order go by id, lines and hash of the
+text.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ SAMPLE_DOCS = 6000
 SAMPLE_LINES = 150_000
 EPOCHS = 150
 L2 = 1e-4
+TRANSITION_L2 = 0.02
 LEARNING_RATE = 0.08
 #: Fixed values of the task.
 FOLDS, THRESHOLD = 5, 0.3
@@ -135,18 +139,21 @@ def with_neighbours(own: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(score: np.ndarray, trans: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def forward_backward(score: np.ndarray, trans: np.ndarray, per_doc: np.ndarray,
+                     weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of the two-label chains.
 
     ``score``: log-potential of "good" over "bad" of each line; ``trans``: 2 x 2
     log-potentials of neighbouring labels.  Returns P(good) of each line, the
-    expected number of each transition, and the sum of log partition functions.
+    expected number of each transition (chains counted by ``weight``, 1 if not
+    given), and the sum of log partition functions.
     All chains advance together, longest first.
     """
     n = len(score)
     order = np.argsort(-per_doc, kind="stable")
     starts = (np.cumsum(per_doc) - per_doc)[order]
     lens = per_doc[order]
+    each = np.ones(len(lens)) if weight is None else weight[order]
     pot = np.exp(np.stack([-score / 2, score / 2], 1).clip(-300, 300))
     t = np.exp(trans)
     alpha, scale = np.zeros((n, 2)), np.ones(n)
@@ -164,7 +171,7 @@ def forward_backward(score: np.ndarray, trans: np.ndarray, per_doc: np.ndarray)
         at = starts[:active] + k
         nxt = pot[at + 1] * beta[at + 1] / scale[at + 1][:, None]
         beta[at] = nxt @ t.T
-        pairs += (alpha[at].T @ nxt) * t
+        pairs += (alpha[at].T @ (nxt * each[:active, None])) * t
     post = alpha * beta
     return post[:, 1] / post.sum(1), pairs, float(np.log(scale).sum())
 
@@ -185,28 +192,34 @@ class Model:
 
 
 def fit(own: np.ndarray, per_doc: np.ndarray, label: np.ndarray) -> Model:
-    """Maximum likelihood by Adam on the whole sample; labels of documents weigh
-    so that both classes count alike."""
+    """The chain of document labels repeated on every line; see :func:`fit_lines`."""
+    return fit_lines(own, per_doc, np.repeat(label, per_doc))
+
+
+def fit_lines(own: np.ndarray, per_doc: np.ndarray, y: np.ndarray) -> Model:
+    """Weighted maximum likelihood by Adam on the whole sample, from a label of each
+    line.  A document weighs as much for its pairs of neighbouring lines as for its
+    lines: one over its number of lines, times a share by which lines of both labels
+    count alike.  All weights are regularised; the transitions, which documents of
+    one label alone would make as strong as they are let, by ``TRANSITION_L2``."""
     x = with_neighbours(own, per_doc).astype(float)
     doc = np.repeat(np.arange(len(per_doc)), per_doc)
-    y = label[doc].astype(float)
-    good = max(float(label.mean()), 1e-3) if len(label) else 0.5
-    share = np.where(label > 0, 0.5 / good, 0.5 / max(1 - good, 1e-3))
-    weight = (share / np.maximum(per_doc, 1))[doc] / max(len(per_doc), 1)
+    y = y.astype(float)
+    of_doc = np.bincount(doc, y, len(per_doc)) / np.maximum(per_doc, 1)          # share of good lines
+    good = min(max(float(of_doc.mean()), 1e-3), 1 - 1e-3) if len(per_doc) else 0.5
+    share = of_doc * 0.5 / good + (1 - of_doc) * 0.5 / (1 - good)
+    chain = share / np.maximum(per_doc, 1) / max(len(per_doc), 1)
+    weight = chain[doc]
     w, m, v = np.zeros(FEATURES + 4), np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
-    inner = np.maximum(per_doc - 1, 0)
-    seen = np.zeros((2, 2))
-    for c in (0, 1):
-        seen[c, c] = inner[label == c].sum()
-    links = max(seen.sum(), 1)
+    l2 = np.concatenate([np.full(FEATURES, L2), np.full(4, TRANSITION_L2)])
+    same = doc[1:] == doc[:-1]
+    seen = np.bincount((2 * y[:-1] + y[1:]).astype(int)[same], weight[1:][same], 4)
     for step in range(1, EPOCHS + 1):
         trans = w[FEATURES:].reshape(2, 2)
-        p, pairs, _ = forward_backward(x @ w[:FEATURES], trans, per_doc)
-        grad = np.concatenate([x.T @ (weight * (p - y)), ((pairs - seen) / links).ravel()]) + L2 * w
+        p, pairs, _ = forward_backward(x @ w[:FEATURES], trans, per_doc, chain)
+        grad = np.concatenate([x.T @ (weight * (p - y)), pairs.ravel() - seen]) + l2 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - LEARNING_RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        # neighbouring labels of one document never differ in training: keep the coupling finite
-        w[FEATURES:] = np.clip(w[FEATURES:], -1.0, 1.0)
     return Model(w[:FEATURES], w[FEATURES:].reshape(2, 2))
 
 

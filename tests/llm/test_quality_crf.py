@@ -81,3 +81,68 @@ def test_long_documents_are_in_the_sample(spark, monkeypatch):
     Q.train(docs, labels)
     assert sorted(got[0][0]) == [1, 1, 3000] and got[0][1] == [1, 1, 1]
     assert Q.fitting([(1, 1, 6), (2, 2, 5), (3, 3, 4)], 10) == [(1, 1), (3, 3)]
+
+
+def test_mixed_neighbours_teach_the_transitions():
+    """Lines whose labels alternate, or stay, with features that say little: the chain learns which."""
+    rng = np.random.default_rng(2)
+    for stay in (0.1, 0.9):
+        per_doc = rng.integers(5, 30, 300)
+        y = []
+        for n in per_doc:
+            y.append(int(rng.integers(2)))
+            for _ in range(int(n) - 1):
+                y.append(y[-1] if rng.random() < stay else 1 - y[-1])
+        own = rng.normal(size=(len(y), Q.OWN)).astype(np.float32)
+        own[:, 0] += 0.3 * np.array(y)
+        t = Q.fit_lines(own, per_doc, np.array(y)).trans
+        apart = t[0, 1] + t[1, 0] - t[0, 0] - t[1, 1]
+        assert (apart > 0.5) if stay < 0.5 else (apart < -0.5)
+
+
+def test_gradient_is_that_of_the_weighted_likelihood():
+    """At the fitted weights no small step along a transition raises the regularised likelihood by much."""
+    rng = np.random.default_rng(3)
+    per_doc, label = rng.integers(1, 12, 60), rng.integers(0, 2, 60)
+    own = rng.normal(size=(per_doc.sum(), Q.OWN)).astype(np.float32) + 0.5 * np.repeat(label, per_doc)[:, None]
+    m = Q.fit(own, per_doc, label)
+    x, y = Q.with_neighbours(own, per_doc).astype(float), np.repeat(label, per_doc)
+    doc = np.repeat(np.arange(60), per_doc)
+    good = label.mean()
+    chain = np.where(label > 0, 0.5 / good, 0.5 / (1 - good)) / per_doc / 60
+
+    def objective(trans):
+        total = -Q.TRANSITION_L2 / 2 * (trans**2).sum()
+        score = x @ m.weights
+        for d in range(60):
+            at = np.flatnonzero(doc == d)
+            _, _, logz = Q.forward_backward(score[at], trans, np.array([len(at)]))
+            own_score = (score[at] / 2 * (2 * y[at] - 1)).sum() + sum(trans[a, b] for a, b in zip(y[at][:-1], y[at][1:]))
+            total += chain[d] * (own_score - logz)
+        return total
+
+    at = objective(m.trans)
+    for i, j in itertools.product((0, 1), repeat=2):
+        for step in (-0.2, 0.2):
+            moved = m.trans.copy()
+            moved[i, j] += step
+            assert objective(moved) < at + 1e-3
+
+
+def test_query_equals_enumeration_of_labels(spark):
+    """op2's scores of short documents: every labelling of their lines, weighted by line length."""
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    m = Q.train(docs, labels)
+    got = {r.doc_id: r.score for r in Q.op2_quality(spark, SF).collect()}
+    short = [r for r in docs.collect() if (r.text or "").count("\n") < 8][:120]
+    assert len(short) > 50
+    for r in short:
+        data, off = common.buffers(pa.array([r.text], pa.string()))
+        own, lengths, per_doc = Q.line_features(data, off)
+        score = Q.with_neighbours(own, per_doc).astype(float) @ m.weights
+        n, z, mean = len(score), 0.0, np.zeros(len(score))
+        for y in itertools.product((0, 1), repeat=n):
+            e = np.exp(sum(s / 2 * (1 if k else -1) for s, k in zip(score, y)) + sum(m.trans[a, b] for a, b in zip(y, y[1:])))
+            z, mean = z + e, mean + e * np.array(y)
+        want = ((lengths + 1.0) * mean / z).sum() / (lengths + 1.0).sum()
+        assert abs(got[r.doc_id] - min(max(want, 0), 1)) < 1e-9
