@@ -7,10 +7,11 @@ hold.  The tokens of a url fetch the rules filed under them, and only those run
 their regular expression.  Rules without any literal token are filed under the
 empty token, which every url holds.
 
-Each distinct url is judged once per distinct (page_id, url) row group; the
-token join is an ordinary join of exploded tokens with the rule index, so an
-index of any size works (a small one is broadcast by Spark's own size check)
-and a frequent token is split by AQE.
+Each distinct url is judged once per distinct (page_id, url) row group.  Exploded
+tokens are joined with the rule index: rules up to ``INDEX_BYTES`` are broadcast, so
+no token is shuffled; beyond it every rule stands once for each of ``SALTS`` salts
+and a url's tokens take one of them by its hash, so a token that a third of all
+urls hold is dealt to that many keys.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ TASK_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "exampl
 #: part (parts are cut at hyphens and dots) is blocked unless a rule fits.
 BAD_HOST_WORDS = ("adult", "ads", "adserver", "betting", "casino", "cheap", "clickbait", "doubleclick", "gambling",
                   "malware", "phishing", "pills", "poker", "porn", "sex", "spam", "tracker", "viagra", "warez", "xxx")
+#: Bytes of rules up to which the index is broadcast, and salts of a token beyond it.
+INDEX_BYTES = 8_000_000
+SALTS = 64
 #: What a url without any fitting rule or pattern gets.
 DEFAULT = "allow"
 _TOKEN = r"[a-z0-9]+"
@@ -97,6 +101,17 @@ def index(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.drop("tokens").join(rarest, "no")
 
 
+def with_rules(urls: DataFrame, filed: DataFrame, size: int) -> DataFrame:
+    """(page_id, url, host, path, rule columns): urls with the rules filed under
+    one of their tokens; ``size``: bytes of the rules."""
+    held = urls.select("page_id", "url", "host", "path", F.explode("tokens").alias("token"))
+    if size <= INDEX_BYTES:
+        return held.join(F.broadcast(filed), "token")
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+    salted = filed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return held.withColumn("salt", salt).join(salted, ["token", "salt"]).drop("salt")
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages`` (page_id, url).
 
@@ -115,8 +130,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, default: st
     urls = common.staged(urls, "urls")
     rows = spark.createDataFrame([(i, r.name, r.action, r.pattern, list(r.tokens), r.priority) for i, r in enumerate(rules)],
                                  "no long, name string, action string, pattern string, tokens array<string>, priority long")
-    found = (urls.select("page_id", "url", "host", "path", F.explode("tokens").alias("token"))
-             .join(index(urls, rows), "token")
+    found = (with_rules(urls, index(urls, rows), sum(len(r.pattern) + len(r.name or "") + 64 for r in rules))
              .filter(F.expr("regexp_like(concat(host, path), pattern)"))
              .groupBy("page_id", "url")
              .agg(F.min(F.struct((-F.col("priority")).alias("p"), "name", "action", "pattern")).alias("hit")))

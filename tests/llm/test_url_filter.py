@@ -1,6 +1,8 @@
 """URL rules: index choice, longest rule, odd urls, against trying every rule."""
 import re
 
+import pytest
+
 from paylake.llm import url_filter as U
 
 URLS = ["http://a.org/x", "https://example.org/es/1", "https://www.Example.ORG/es/", "http://example.org/en/178", "http://xexample.org/es/1",
@@ -22,7 +24,9 @@ def brute(url, rules):
     return host, path, hits[0][2] or None, hits[0][3]
 
 
-def test_equals_trying_every_rule(spark):
+@pytest.mark.parametrize("index_bytes", [U.INDEX_BYTES, 0])
+def test_equals_trying_every_rule(spark, monkeypatch, index_bytes):
+    monkeypatch.setattr(U, "INDEX_BYTES", index_bytes)
     rows = [(i, u) for i, u in enumerate(URLS)] + [(None, URLS[1]), (1, URLS[1]), (1, URLS[1]), (1, URLS[2])]
     df = spark.createDataFrame([(i, u, "t", "h") for i, u in rows], "page_id long, url string, token string, host string")
     rules = (*U.DEFAULT_RULES, U.Rule("any-xx", "block", "x{50}", (), 5))
