@@ -287,9 +287,11 @@ def removed(docs: DataFrame) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without bytes of repeated 400-byte strings:
-    doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining text (bytes
+    that no longer make a character become the replacement character)."""
     out = removed(common.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def brute_force(texts: list[bytes]) -> list[tuple[int, int, int, str]]:
