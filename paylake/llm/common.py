@@ -25,7 +25,9 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable on every executor and bound the Arrow batches.
+    """Make the package importable on every executor and bound the Arrow batches
+    (for the whole session: plans run after this call returns).  A batch has at most
+    ``BATCH_ROWS`` rows and Spark's own byte bound (64 MB by default) plus one text.
 
     The package is added to the application as a zip (``addPyFile``), so
     executors need no folder in common with the driver.

@@ -11,7 +11,7 @@ with bounded entity length for decoding.  A decoded entity is added if no base
 span touches it and its marginal probability is ``CERTAIN`` or more.
 
 Training: islands of a bounded sample of texts (the first ``SAMPLE_DOCS`` by a
-hash), with the base spans, and long hexadecimal or mixed tokens after a word
+hash, of ``SAMPLE_CHARS`` characters at most), with the base spans, and long hexadecimal or mixed tokens after a word
 for a secret, as labels.  All their islands are used, up to ``SAMPLE_TOKENS``
 tokens; beyond that they are chosen by hash, each set of kinds in its turn.
 Islands of more than ``TRAIN_TOKENS`` tokens are learned in pieces cut between
@@ -19,7 +19,8 @@ segments (a piece begins as an island does), and an island with a label that doe
 left out.  The features leave out what only the fixed patterns test (check
 digits), so that near forms are found too.
 
-Null and empty texts have no spans.  Texts and islands are handled whole: a
+Null and empty texts have no spans; repeated rows each get their own result, and
+further columns are passed through by name or not read.  Texts and islands are handled whole: a
 segment's scores are made when its first token is reached and kept for no longer,
 so of a long island only some numbers per token stay in memory.
 """
@@ -43,6 +44,8 @@ from . import common
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 SAMPLE_DOCS = 1500
+#: Texts of more characters are not used for training (all are searched whole).
+SAMPLE_CHARS = 20_000
 #: The most number tokens of a base form: a card of 19 digits with a blank after each.
 MOST_TOKENS = 19
 CERTAIN = 0.95
@@ -480,11 +483,10 @@ def fit(texts: list[str]) -> SemiMarkov:
 
 def train(docs: DataFrame) -> SemiMarkov:
     """Fit on a bounded sample: the first texts by a hash of id and text among
-    those with a digit or an at sign; texts above 20,000 characters aren't used
-    for training."""
+    those with a digit or an at sign and at most ``SAMPLE_CHARS`` characters."""
     text = F.col("text").cast("string")
     some = (docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
-            .filter((F.length("text") <= 20_000) & F.col("text").rlike("[0-9@]")))
+            .filter((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]")))
     # hashes first, so that tasks send numbers and not texts
     last = some.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
     if last is None:
