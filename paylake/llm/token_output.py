@@ -55,6 +55,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -71,9 +72,17 @@ class WordEncoder:
                 new.append(i)
             else:
                 out[i] = self.memory[words[i]] = known
-        for k in range(0, len(new), 20_000):
-            part = [words[i] for i in new[k:k + 20_000]]
-            for i, w, e in zip(new[k:k + 20_000], part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+        # a word of ASCII small letters is one word to the tokenizer as it stands: to its model at once
+        rest = []
+        for i in new:
+            w = words[i]
+            if w.isascii() and w.isalpha() and w.islower():
+                out[i] = self.memory[w] = array.array("I", [t.id for t in self.model.tokenize(w)]).tobytes()
+            else:
+                rest.append(i)
+        for k in range(0, len(rest), 20_000):
+            part = [words[i] for i in rest[k:k + 20_000]]
+            for i, w, e in zip(rest[k:k + 20_000], part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
                 out[i] = self.memory[w] = array.array("I", e.ids).tobytes()
         return out
 
@@ -85,19 +94,14 @@ class WordEncoder:
         off = cut.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lower_ascii(cut.flatten()).dictionary_encode()
         raw = self.word_ids(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(raw), "<u4")
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        at = np.cumsum(size) - size
-        word = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[word]
-        before = np.concatenate([[0], np.cumsum(n)])
-        body = flat[np.repeat(at[word] - before[:-1], n) + np.arange(before[-1])]
-        ends = before[off - off[0]] + np.arange(len(off))            # where texts end, with the end ids before them
-        out = np.full(len(body) + len(texts), END_ID, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[ends[1:] - 1] = False
-        out[keep] = body
-        return out, ends
+        # the ids of each distinct word, and the end id as one more word after each text's last
+        flat = np.frombuffer(b"".join(raw) + END_ID.to_bytes(4, "little"), "<i4")
+        of_word = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size), [len(flat)]])), pa.array(flat))
+        word = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), off[1:] - off[0], len(size))
+        taken = of_word.take(pa.array(word))
+        ends = taken.offsets.to_numpy()[off - off[0] + np.arange(len(off))]
+        return taken.flatten().to_numpy(zero_copy_only=False).view(np.uint32), ends - ends[0]
 
     def whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         ids = [*self.tok.encode(text, add_special_tokens=False).ids, END_ID]
