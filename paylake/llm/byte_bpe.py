@@ -48,6 +48,8 @@ CALL_CHARS = 2_000_000
 #: Stretches that a worker remembers before it forgets those not met since it last did.
 MEMORY = 400_000
 
+#: Fixed value: a space in the byte alphabet.
+_SPACE = "\u0120"
 #: What a leaf holds: whole text, words in the tokenizer's byte alphabet (one a
 #: line), one id, or a later part of the word before it.
 TEXT, WORDS, ID, PART = "text", "words", "id", "part"
@@ -76,6 +78,7 @@ class Coder:
                        for t in spec["added_tokens"])):
             raise ValueError(f"{path}: not a plain byte-level BPE tokenizer")
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.tok.no_truncation()
         self.tok.no_padding()
         added = self.tok.get_added_tokens_decoder()
@@ -90,7 +93,7 @@ class Coder:
 
     def word(self, mapped: str) -> list[int]:
         """Ids of one word in the byte alphabet."""
-        return [t.id for t in self.tok.model.tokenize(mapped)] if mapped else []
+        return [t.id for t in self.model.tokenize(mapped)] if mapped else []
 
     def texts(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of whole texts, a bounded number of characters a call."""
@@ -132,12 +135,22 @@ class Coder:
                     memory[s] = older[s]
                 else:
                     new.append(s)
-        text, raw = self.text, self.raw
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
+        text, raw, rest = self.text, self.raw, []
+
+        def put(s: str, ids: list[int]) -> None:
+            memory[s] = (len(ids), ",".join([text[i] for i in ids]).encode(), b"".join([raw[i] for i in ids]))
+
+        # ASCII letters after a space or none are one word to the tokenizer: to its model at once
+        for s in new:
+            w = s[1:] if s[0] == " " else s
+            if w.isascii() and w.isalpha():
+                put(s, self.word(_SPACE + w if w is not s else w))
+            else:
+                rest.append(s)
+        for k in range(0, len(rest), 20_000):
+            part = rest[k:k + 20_000]
             for s, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                ids = e.ids
-                memory[s] = (len(ids), ",".join([text[i] for i in ids]).encode(), b"".join([raw[i] for i in ids]))
+                put(s, e.ids)
 
     def join(self, left: list[int], right: list[int], window: int = WINDOW) -> list[int]:
         """Ids of the word whose halves have the ids ``left`` and ``right``."""
