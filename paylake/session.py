@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import PySparkAttributeError, PySparkNotImplementedError
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that can be changed on a live session (SQL confs).
@@ -88,6 +89,6 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave as is
+    except (PySparkAttributeError, PySparkNotImplementedError):    # sessions without RDD access: leave as is
         return df
     return df.repartition(target) if current < target else df
