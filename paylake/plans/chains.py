@@ -14,8 +14,16 @@ from pyspark.sql import types as T
 from paylake.operators import quality as Q
 from paylake.operators.gold import gold_revenue, refresh_gold_days
 from paylake.operators.lifecycle import compact, list_partitions
-from paylake.operators.merge import align_schema, merge_partitions, overwrite_table, sync_silver, user_dim
-from paylake.operators.sessions import session_rollup
+from paylake.operators.merge import (
+    align_schema,
+    latest_by_key,
+    merge_partitions,
+    overwrite_table,
+    sync_silver,
+    touched_leaves,
+    user_dim,
+)
+from paylake.operators.sessions import fragments, stitched
 from paylake.operators.silver import incremental_since, silver_current, silver_incremental, silver_rows
 from paylake.schemas import ACCEPTED_STATUSES, NEW_DATA_MINUTES, RECENT_HOURS
 from paylake.session import shared_dir
@@ -44,7 +52,7 @@ def log_run(spark: SparkSession, lake: Lakehouse, kind: str, batch: int, months:
     row = spark.createDataFrame([(kind, batch, sorted(months), rows, _wall_clock(spark))], RUN_LOG)
     generations.replace(spark, path, row, ["kind"])
     if len(generations.leaves(spark, path)) > LOG_DIRS:
-        compact(spark, path, "kind", ["run", "merge", "sync", "sync_b"])
+        compact(spark, path, "kind", ["run", "merge", "sync", "sync_b", "users"])
         generations.vacuum(spark, path, keep=LOG_DIRS)
 
 
@@ -205,12 +213,27 @@ def run_warehouse(spark: SparkSession, lake: Lakehouse) -> dict:
     return {"days": days}
 
 
-def build_user_tables(spark: SparkSession, lake: Lakehouse) -> None:
-    """M2 / M8 as tables: ``silver_users`` and ``silver_sessions`` built from the
-    merged silver, each as a new version."""
-    silver = current_silver(spark, lake)
-    overwrite_table(user_dim(silver), lake.path("silver_users"))
-    overwrite_table(session_rollup(silver), lake.path("silver_sessions"))
+def build_user_tables(spark: SparkSession, lake: Lakehouse) -> list[int]:
+    """M2 / M8 as tables: ``silver_users`` and ``silver_sessions``, each a new version.
+
+    Both come from stored parts by month -- the latest row of each user, the
+    session fragments of each user and chunk -- of which only the months that a
+    silver run has written since the last build are computed anew, so a build
+    reads those months of silver and the parts, which are far fewer.  Returns the
+    months read."""
+    months = months_since(spark, lake, "users")
+    batch = last_batch(spark, lake, "run")
+    if months:
+        fresh = silver_current(lake.read(spark, "silver_events").filter(F.col("payment_month").isin(months)))
+        users = latest_by_key(fresh, ["user_id", "payment_month"], ["updated_at", "event_id", "payment_date"])
+        for layer, parts in (("user_parts", users), ("session_parts", fragments(fresh, extra=["payment_month"]))):
+            path = lake.path(layer)
+            generations.replace(spark, path, parts, ["payment_month"], touched_leaves(spark, path, "payment_month", months))
+    overwrite_table(user_dim(lake.read(spark, "user_parts")), lake.path("silver_users"))
+    overwrite_table(stitched(lake.read(spark, "session_parts")), lake.path("silver_sessions"))
+    if batch is not None:
+        log_run(spark, lake, "users", batch, months, None)
+    return months
 
 
 def run_medallion(spark: SparkSession, lake: Lakehouse, now=None,

@@ -27,6 +27,8 @@ LAYERS = {
     "silver_users": ("silver/silver_users", "version"),
     "run_log": ("silver/_run_log", "kind"),
     "silver_sessions": ("silver/silver_sessions", "version"),
+    "user_parts": ("silver/_user_parts", "payment_month"),
+    "session_parts": ("silver/_session_parts", "payment_month"),
     "sync_quarantine": ("silver/_sync_quarantine", "batch_id"),
     "sync_quarantine_b": ("silver/_sync_quarantine_b", "batch_id"),
 }
