@@ -158,3 +158,24 @@ def test_classes_of_a_group_around_the_threshold(spark):
                 old, new = max(label[x], label[y]), min(label[x], label[y])
                 label = {k: new if v == old else v for k, v in label.items()}
     assert got == label
+
+
+def test_verified_pairs_grow_in_proportion(spark, monkeypatch):
+    """Edited copies of one text, four times as many: the pairs that are verified stay a few a copy."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    listed = []
+    real = B.overlaps
+    monkeypatch.setattr(B, "overlaps", lambda texts, pairs: listed.append(pairs.count()) or real(texts, pairs))
+    each = {}
+    for n in (150, 600):
+        rows = []
+        for i in range(n):
+            t = list(base)
+            for _ in range(int(rng.integers(0, 8))):
+                t[int(rng.integers(len(t)))] = f"n{rng.integers(10**6)}"
+            rows.append((i, " ".join(t)))
+        listed.clear()
+        B.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
+        each[n] = sum(listed) / n
+    assert each[600] < 1.6 * each[150] and each[600] < 20, each
