@@ -14,6 +14,10 @@ Training: islands of a bounded sample of texts (the first ``SAMPLE_DOCS`` by a
 hash, of ``SAMPLE_CHARS`` characters at most), with the base spans, and long hexadecimal or mixed tokens after a word
 for a secret, as labels.  All their islands are used, up to ``SAMPLE_TOKENS``
 tokens; beyond that they are chosen by hash, each set of kinds in its turn.
+Near forms are learned from the sample itself: every base span is written once more
+in a form that the patterns don't take (``near_form``: other separators, brackets,
+without the plus sign), in its own surroundings and under its kind's label, and its
+digits once as a quantity, a date and a time, without a label.
 Islands of more than ``TRAIN_TOKENS`` tokens are learned in pieces cut between
 segments (a piece begins as an island does), and an island with a label that doesn't begin and end with tokens is
 left out.  The features leave out what only the fixed patterns test (check
@@ -48,7 +52,9 @@ SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 20_000
 #: The most number tokens of a base form: a card of 19 digits with a blank after each.
 MOST_TOKENS = 19
-CERTAIN = 0.95
+CERTAIN = 0.8
+#: Characters around a span that its near form is learned with.
+NEAR_CHARS = 60
 #: Training: an island of more tokens than TRAIN_TOKENS is cut between segments, and
 #: the islands have SAMPLE_TOKENS tokens at most (a sample of sf0.1 has about 1,500);
 #: of more, islands are chosen by hash, each set of kinds in its turn.
@@ -361,6 +367,45 @@ def secrets(text: str, tokens: list[list[Token]]) -> list[tuple[str, int, int]]:
     return out
 
 
+def near_form(kind: str, span: str, pick: int) -> str:
+    """A way of writing a span that the base patterns don't match."""
+    groups = re.findall(r"[0-9]+", span)
+    if kind == "email":
+        name, _, host = span.rpartition("@")
+        return (f"{name}[@]{host}", f"{name}(@){host}", f"{name}@[{host}]")[pick % 3]
+    if kind == "ip":
+        return ("[.]", "(.)", " . ")[pick % 3].join(groups)
+    if kind == "card":
+        digits = "".join(groups)
+        return (".", "/", "  ")[pick % 3].join(digits[i:i + 4] for i in range(0, len(digits), 4))
+    rest = groups[1:] or [groups[0][2:]]
+    first = groups[0] if groups[1:] else groups[0][:2]
+    return (f"00{first} {' '.join(rest)}", f"({first}) {'.'.join(rest)}", "/".join([first, *rest]))[pick % 3]
+
+
+def plain_number(span: str, pick: int) -> str:
+    """The digits of a span as a quantity, a date or a time: no personal data."""
+    d = ("".join(re.findall(r"[0-9]+", span)) + "31415926")[:8]
+    return (f"{d[:3]},{d[3:6]}.{d[6:8]}", f"{1 + int(d[:2]) % 28:02d}.{1 + int(d[2:4]) % 12:02d}.20{d[4:6]}",
+            f"{int(d[:2]) % 24:02d}:{int(d[2:4]) % 60:02d}", f"20{d[:2]}-{1 + int(d[2:4]) % 12:02d}-{1 + int(d[4:6]) % 28:02d}")[pick % 4]
+
+
+def rewritten(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """(text, labels) of each base span written in a near form and as a plain
+    number, between the words around it."""
+    for k, (kind, a, b) in enumerate(spans):
+        head, tail = text[max(0, a - NEAR_CHARS):a], text[b:b + NEAR_CHARS]
+        head = head[head.find(" ") + 1:] if a > NEAR_CHARS else head
+        tail = tail[:tail.rfind(" ")] if b + NEAR_CHARS < len(text) and " " in tail else tail
+        near = near_form(kind, text[a:b], k)
+        made = head + near + tail
+        labels = [("near", len(head), len(head) + len(near))]
+        if not any(x < labels[0][2] and y > labels[0][1] for _, x, y in base_spans(made)):
+            yield made, [(kind, *labels[0][1:]), *base_spans(made)]
+        plain = head + plain_number(text[a:b], k) + tail
+        yield plain, base_spans(plain)
+
+
 def pieces(want: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
     """(first token, tokens, segments) of an island's pieces for training: a piece
     ends with the segment that brings it to ``TRAIN_TOKENS`` tokens."""
@@ -407,10 +452,13 @@ class Cases:
 def fit(texts: list[str]) -> SemiMarkov:
     """Conditional maximum likelihood by AdaGrad over the islands of the sample, all
     of them up to ``SAMPLE_TOKENS`` tokens."""
-    cases = []
+    cases, labelled = [], []
     for text in texts:
+        spans = base_spans(text)
+        labelled += [(text, spans), *rewritten(text, spans)]
+    for text, spans in labelled:
         found = islands(text)
-        spans = base_spans(text) + secrets(text, found)
+        spans = spans + secrets(text, found)
         name = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         for tokens in found:
             want = gold(text, tokens, spans)

@@ -174,3 +174,55 @@ def test_transitions_are_learned():
     # an address is followed by a port, never by another address
     model = P.fit([f"from 10.0.{i}.7 {8000 + i} to" for i in range(50)] + [f"in {1900 + i} we" for i in range(50)])
     assert model.pairs[2, 0] > 0 > model.pairs[2, 2]
+
+
+def other_form(kind, span, pick):
+    """Ways of writing a span that training never shows."""
+    groups = re.findall("[0-9]+", span)
+    if kind == "email":
+        name, _, host = span.rpartition("@")
+        return (f"{name}{{@}}{host}", f"{name}<@>{host}")[pick % 2]
+    if kind == "ip":
+        return ("{.}", "[dot]")[pick % 2].join(groups)
+    if kind == "card":
+        digits = "".join(groups)
+        return ("_", ":", " / ")[pick % 3].join(digits[i:i + 4] for i in range(0, len(digits), 4))
+    return ("00" + "-".join(groups), f"[{groups[0]}] " + " ".join(groups[1:]), "_".join(groups))[pick % 3]
+
+
+def test_held_out_near_forms_are_found():
+    """Base spans of texts that weren't in training, in separators and brackets that
+    training never had.  Measured: recall 0.80, precision 1.0 with this small sample (0.92 and
+    0.98 with 1,500 texts of a larger table); few plain numbers are taken for personal data."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet").column("text").to_pylist()
+             if t and len(t) <= 20_000 and re.search("[0-9@]", t)]
+    model = P.fit(texts[::2][:1500])
+    hit = found = total = wrong = plain_numbers = 0
+    for text in texts[1::2][:900]:
+        for k, (kind, a, b) in enumerate(P.base_spans(text)):
+            head, tail = text[max(0, a - 40):a], text[b:b + 40]
+            near = other_form(kind, text[a:b], k)
+            lo, hi = len(head), len(head) + len(near)
+            base, spans = P.spans_of(head + near + tail, model)
+            if any(x < hi and y > lo for _, x, y in base):
+                continue
+            added = [s for s in spans if s not in base and s[0] != "secret"]
+            total += 1
+            found += len(added)
+            hit += any(s[0] == kind and s[1] >= lo - 1 and s[2] <= hi + 1 and s[2] - s[1] >= 0.8 * (hi - lo) for s in added)
+            plain_text = head + P.plain_number(text[a:b], k + 1) + tail
+            base, spans = P.spans_of(plain_text, model)
+            plain_numbers += 1
+            wrong += len(spans) > len(base)
+    assert total > 200 and hit / total >= 0.75 and hit / found >= 0.95, (hit, found, total)
+    assert wrong <= 0.02 * plain_numbers, (wrong, plain_numbers)
+
+
+def test_near_forms_are_no_base_spans():
+    for kind, span in (("email", "a.b@c.de"), ("ip", "10.0.25.1"), ("card", "4111 1111-1111 1111"), ("phone", "+1 (743) 555-3824"), ("phone", "+4930123456")):
+        assert P.base_spans(span) and P.base_spans(span)[0][0] == kind
+        for pick in range(4):
+            assert not any(b - a >= len(span) - 2 for _, a, b in P.base_spans(P.near_form(kind, span, pick)))
+            assert not P.base_spans(P.plain_number(span, pick))
