@@ -111,6 +111,11 @@ class Mix:
 
     Sizes and positions are DataFrames; only the per-source totals (one row per
     distinct source) and the shards' counts come to the driver.
+
+    A null or empty text has size 0 and is never taken from; null sources are one
+    source, the last.  Rows equal in id, text and source have places of their own;
+    rows that differ in further columns alone are paired with the words taken by
+    rank.  Texts of any length are counted and cut whole.
     """
 
     def __init__(self, docs: DataFrame, seed: int = SEED, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS):

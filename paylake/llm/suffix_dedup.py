@@ -1,7 +1,8 @@
 """Repeated passages of 400 bytes, exactly up to 64-bit hashes, by anchored window hashing.
 
 This stands in the place of prefix-free parsing with suffix arrays: there is no
-phrase dictionary, no parse, no suffix array of either and no order of suffixes.
+phrase dictionary, no parse, no suffix array of either and no order of suffixes: in
+text that repeats little the dictionary is as large as the text (README has figures).
 Only the triggers of prefix-free parsing are used: positions where a rolling hash
 of ``WINDOW`` bytes is 0 modulo ``MODULUS``.  A trigger depends on its window
 alone, so equal strings have equal triggers wherever they stand.  A text position
@@ -245,7 +246,8 @@ def removed(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_bytes,
     n_removed, n_spans, kept (binary).
 
-    Null texts are empty.  Repeated rows count as further occurrences, so rows
+    Null texts are empty; texts of any length are handled whole, in slices of whole
+    texts (a longer text is one slice); further columns are not read.  Repeated rows count as further occurrences, so rows
     equal to each other lose all text that is long enough.  Rows of one id with
     different texts are told apart by a hash of the text.
     """

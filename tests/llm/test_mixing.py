@@ -73,3 +73,38 @@ def test_mix_meets_targets(spark):
 def test_empty_table(spark):
     assert M.Mix(docs(spark, [])).taken().collect() == []
     assert M.mix_documents(docs(spark, [])).collect() == []
+
+
+def test_taken_words_equal_a_plain_model_of_blocks(spark):
+    """Every slot's block walked word by word: who owns each word, how often it is taken."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        n = int(rng.integers(0, 40))
+        rows.append((i, " ".join(f"w{i}_{j}" for j in range(n)), "en", ["hot", "hot", "a", "b", None][i % 5], n, 1))
+    rows += [(3, "same", "en", "a", 4, 1), (3, "same", "en", "a", 4, 1), (None, "no id", "en", "b", 5, 1), (500, None, "en", "a", 0, 1)]
+    mix = M.Mix(docs(spark, rows), block=7, shard_slots=5)
+    placed = mix.placed().collect()
+    owner = [np.full(w, -1) for w in mix.words]
+    for x, r in enumerate(placed):
+        own = owner[r.source_no][r["at"]:r["at"] + r.size]
+        assert (own == -1).all()                                  # places don't overlap
+        own[:] = x
+    assert all((o >= 0).all() for o in owner) and mix.shards > 5
+    taken = np.zeros(len(placed), int)
+    for k, words in enumerate(mix.words):
+        left = mix.quota[k]
+        seen = []
+        for shard in range(mix.shards):
+            for slot in range(int(mix.first_slot[shard, k]), int(mix.first_slot[shard + 1, k])):
+                seen.append(slot)
+                epoch, j = divmod(slot, mix.blocks[k])
+                at = int(M.permuted(np.array([j]), np.array([mix.blocks[k]]), np.array([mix._key(k, epoch)]))[0])
+                for word in range(at * 7, min(at * 7 + 7, words)):
+                    if left:
+                        taken[owner[k][word]] += 1
+                        left -= 1
+        assert seen == list(range(mix.slots[k])) and left == 0
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    want = sorted(((r.doc_id, r.size, mix.words[r.source_no], float(mix.targets[r.source_no]), int(t)) for r, t in zip(placed, taken)), key=key)
+    assert sorted((tuple(r) for r in mix.taken().collect()), key=key) == want
