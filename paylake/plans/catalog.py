@@ -289,8 +289,10 @@ def q_drop_rate_b(spark, sf_dir):
 
 
 @register("lane_lag", O.with_layers("bronze") + f"""
-SELECT COUNT(*) AS lane_a_rows, COUNT(*) AS lane_b_rows, CAST(0 AS BIGINT) AS lag_rows
-FROM bronze WHERE src_id % 50 <> 0 AND payment_date = DATE '{I.AS_OF}'""")
+, lanes AS (SELECT COUNT(*) AS lane_a_rows,
+                   COUNT(*) FILTER (WHERE event_id IS NOT NULL AND user_id IS NOT NULL) AS lane_b_rows
+            FROM bronze WHERE src_id % {CORRUPT_EVERY} <> 0 AND payment_date = DATE '{I.AS_OF}')
+SELECT lane_a_rows, lane_b_rows, lane_a_rows - lane_b_rows AS lag_rows FROM lanes""")
 def q_lane_lag(spark, sf_dir):
     """J3 lane A vs lane B bronze rows on one day (both lanes fed by the gate)."""
     topic = I.validated_topic(spark, sf_dir)
@@ -299,9 +301,11 @@ def q_lane_lag(spark, sf_dir):
     return Q.lane_lag(a, b, I.AS_OF)
 
 
-@register("lane_lag_by_day", O.with_layers("bronze") + """
-SELECT payment_date, COUNT(*) AS lane_a_rows, COUNT(*) AS lane_b_rows, CAST(0 AS BIGINT) AS lag_rows
-FROM bronze WHERE src_id % 50 <> 0 GROUP BY payment_date""")
+@register("lane_lag_by_day", O.with_layers("bronze") + f"""
+, lanes AS (SELECT payment_date, COUNT(*) AS lane_a_rows,
+                   COUNT(*) FILTER (WHERE event_id IS NOT NULL AND user_id IS NOT NULL) AS lane_b_rows
+            FROM bronze WHERE src_id % {CORRUPT_EVERY} <> 0 GROUP BY payment_date)
+SELECT *, lane_a_rows - lane_b_rows AS lag_rows FROM lanes""")
 def q_lane_lag_by_day(spark, sf_dir):
     """J3 per day, without a join."""
     topic = I.validated_topic(spark, sf_dir)

@@ -6,23 +6,24 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paylake.operators import gold as G
 from paylake.operators import quality as Q
 from paylake.operators import reports as R
 from paylake.operators.gate import split_valid, to_keyed, validate_events
-from paylake.operators.lifecycle import apply_retention, fold_batches, last_committed
+from paylake.operators.lifecycle import apply_retention, bucketed_write, fold_batches, last_committed
 from paylake.operators.merge import latest_by_key, merge_bucketed, to_warehouse_silver
-from paylake.operators.lifecycle import bucketed_write
 from paylake.operators.silver import silver_incremental, silver_rows
 from paylake.plans import inputs as I
 from paylake.plans import oracle as O
 from paylake.plans.catalog import _GATED_BRONZE, _GATED_BRONZE_MS, _land_bronze, _late_events, _stream_dirs, register
-from paylake.plans.chains import log_run, merge_silver, run_medallion, run_realtime, run_warehouse, scratch_lake
+from paylake.plans.chains import merge_silver, run_realtime, run_warehouse, scratch_lake
 from paylake.schemas import BRONZE_TTL_DAYS, EVENT_ID_MAX_LEN, SILVER_COLUMNS, SILVER_B_KEY, STATUS_MAX_LEN
 from paylake.sources import generations
-from paylake.sources.driver_tables import CORRUPT_EVERY, duplicate_payloads, payments_from_events, raw_payloads, redelivered
+from paylake.sources.driver_tables import CORRUPT_EVERY, dirty_payloads, duplicate_payloads, payments_from_events, redelivered
 from paylake.sources.streams import read_validated
 from paylake.sources.tables import external_table
 from paylake.streaming.ingest import (
@@ -162,6 +163,41 @@ def q_stream_bronze_latest(spark, sf_dir):
     return lake.read(spark, "bronze_b").select(*SILVER_COLUMNS)
 
 
+@register("broken_budget", O.with_layers("bronze") + """
+, flawed AS (SELECT COUNT(*) FILTER (WHERE src_id % 7 IN (1, 2, 3, 5, 6)) AS broken FROM bronze)
+SELECT budget, broken > budget AS stopped FROM flawed, (VALUES (0::BIGINT), (1000000000::BIGINT)) AS b(budget)""")
+def q_broken_budget(spark, sf_dir):
+    """V7 a lane-A stream over flawed messages stops beyond its budget of broken ones, and runs within it."""
+    lake, ckpt = _stream_dirs(spark, "budget")
+    topic = f"{lake.root}/topic"
+    dirty_payloads(I.events(spark, sf_dir)).select("value").write.text(topic)
+    rows = []
+    for budget in (0, 1_000_000_000):
+        try:
+            run_to_end(bronze_a_stream(read_validated(spark, topic), f"{lake.root}/bronze/t{budget}", f"{lake.root}/quarantine{budget}",
+                                       f"{ckpt}/{budget}", max_broken=budget))
+            rows.append((budget, False))
+        except (RuntimeError, StreamingQueryException) as error:
+            if "broken messages" not in str(error):
+                raise
+            rows.append((budget, True))
+    return spark.createDataFrame(rows, "budget bigint, stopped boolean")
+
+
+@register("storage_order", O.with_layers("bronze", bronze=_GATED_BRONZE) + """
+SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS out_of_order FROM bronze""")
+def q_storage_order(spark, sf_dir):
+    """O3 the files of stored bronze are in the order of the storage key: no row stands before its predecessor."""
+    lake = scratch_lake(spark, "order")
+    _land_bronze(spark, sf_dir, lake)
+    rows = spark.read.parquet(lake.path("bronze_a")).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"),
+        F.struct("payment_date", "event_id").alias("key"))
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    return (rows.withColumn("before", before)
+            .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("key") < F.col("before")).alias("out_of_order")))
+
+
 # ---------------------------------------------------------------------------
 # Lane B by itself, run log, merge
 

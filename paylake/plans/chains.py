@@ -5,6 +5,7 @@ here; a caller (cron, an orchestrator, a streaming trigger) calls these.
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -49,7 +50,8 @@ LOG_DIRS = 64
 def log_run(spark: SparkSession, lake: Lakehouse, kind: str, batch: int, months: list[int], rows: int | None) -> None:
     """Append a row to the run log."""
     path = lake.path("run_log")
-    row = spark.createDataFrame([(kind, batch, sorted(months), rows, _wall_clock(spark))], RUN_LOG)
+    at = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+    row = spark.createDataFrame([(kind, batch, sorted(months), rows, at)], RUN_LOG)
     generations.replace(spark, path, row, ["kind"])
     if len(generations.leaves(spark, path)) > LOG_DIRS:
         compact(spark, path, "kind", ["run", "merge", "sync", "sync_b", "users"])
@@ -71,11 +73,12 @@ def months_since(spark: SparkSession, lake: Lakehouse, kind: str) -> list[int]:
     """The months that silver runs have written since the last run of ``kind``;
     all months of a table whose runs were not logged.  A list of months, so its
     length is bounded by the table's layout."""
-    log, last = runs(spark, lake), last_batch(spark, lake, kind)
-    logged = log.filter(F.col("kind") == "run")
-    if not logged.limit(1).count():
+    log = runs(spark, lake)
+    ran, last = log.agg(F.max(F.when(F.col("kind") == "run", F.col("batch_id"))),
+                        F.max(F.when(F.col("kind") == kind, F.col("batch_id")))).first()
+    if ran is None:
         return [int(m) for m in list_partitions(spark, lake.path("silver_events"), "payment_month")]
-    fresh = logged.filter(F.col("batch_id") > F.lit(-1 if last is None else last))
+    fresh = log.filter((F.col("kind") == "run") & (F.col("batch_id") > F.lit(-1 if last is None else last)))
     return sorted(r[0] for r in fresh.select(F.explode("months")).distinct().collect())
 
 
