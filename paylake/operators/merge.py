@@ -84,15 +84,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str],
-           order: Sequence[str], partition_col: str) -> list:
+           order: Sequence[str], partition_col: str, stable: bool = False) -> list:
     """M3: primary-key upsert into a partitioned Parquet table at ``path``;
     returns the partition values it rewrote.
 
     The update is checkpointed once (it is read twice -- for the touched partition
     values and for the merge -- and must not change between the two under task
-    retries).  Only the directories of the touched values are read; the merged
+    retries), unless the caller says that it is ``stable``.  Only the directories of the touched values are read; the merged
     rows are written to a fresh folder and take their place with the commit."""
-    updates = checkpointed(updates)
+    updates = updates if stable else checkpointed(updates)
     values = partition_values(updates, partition_col)
     old = touched_leaves(spark, path, partition_col, values)
     if old:
@@ -180,17 +180,18 @@ def sync_frame(silver_a: DataFrame, silver_b: DataFrame | None = None) -> DataFr
 
 
 def sync_silver(spark: SparkSession, silver_a: DataFrame, path_b: str, quarantine_path: str | None = None,
-                batch_id: int = 0) -> list:
+                batch_id: int = 0, stable: bool = False) -> list:
     """M7: upsert current lane-A silver into the warehouse silver table;
     returns the days (partitions) it rewrote.  Rows that the warehouse silver
-    can't hold replace the ``batch_id`` of the table at ``quarantine_path``."""
+    can't hold replace the ``batch_id`` of the table at ``quarantine_path``.
+    ``stable``: the rows are written already and can't change."""
     if quarantine_path:
         (sync_misfits(silver_a).withColumn("batch_id", F.lit(int(batch_id)))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(quarantine_path))
     incoming = to_warehouse_silver(silver_a)
     return upsert(spark, path_b, incoming, SILVER_B_KEY,
-                  ["updated_at", "user_id", "amount", "status"], "payment_date")
+                  ["updated_at", "user_id", "amount", "status"], "payment_date", stable)
 
 
 def merge_bucketed(spark: SparkSession, current: str, updates: str, keys: Sequence[str]) -> DataFrame:

@@ -43,6 +43,18 @@ def check_accepted(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
     return _summary(df, "accepted_values", {col: F.count_if(bad)})
 
 
+def check_columns(df: DataFrame, not_null: Sequence[str] = (), accepted: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Q1 and Q2 of a layer in one pass over it: the rows of :func:`check_not_null`
+    and of :func:`check_accepted` for each column of ``accepted``."""
+    accepted = accepted or {}
+    counts = {("not_null", c): F.count_if(F.col(c).isNull()) for c in not_null}
+    counts |= {("accepted_values", c): F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*v)) for c, v in accepted.items()}
+    wide = df.agg(F.array(*[F.struct(F.lit(check).alias("check_name"), F.lit(col).alias("column_name"),
+                                     n.cast("bigint").alias("failures")) for (check, col), n in counts.items()]).alias("c"))
+    return (wide.select(F.explode("c").alias("c")).select("c.check_name", "c.column_name", "c.failures")
+                .withColumn("status", F.when(F.col("failures") == 0, "pass").otherwise("fail")))
+
+
 def accepted_violations(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
     """Q2 detail: each unexpected value and how often it occurs."""
     return (df.filter(F.col(col).isNotNull() & ~F.col(col).isin(*values))

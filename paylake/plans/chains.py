@@ -17,6 +17,7 @@ from paylake.operators.gold import gold_revenue, refresh_gold_days
 from paylake.operators.lifecycle import compact, list_partitions
 from paylake.operators.merge import (
     align_schema,
+    checkpointed,
     latest_by_key,
     merge_partitions,
     overwrite_table,
@@ -165,22 +166,28 @@ def unsynced_batches(spark: SparkSession, lake: Lakehouse) -> DataFrame:
                 .filter(F.col("batch_id") > F.lit(-1 if last is None else last)))
 
 
-def sync_new_batches(spark: SparkSession, lake: Lakehouse) -> list | None:
-    """M7 incrementally: sync only silver batches appended since the last sync.
+def changed_rows(spark: SparkSession, lake: Lakehouse) -> DataFrame:
+    """The current rows that the batches since the last sync have changed, computed
+    once: rows of a newer batch win the merge for their keys, so these are the
+    unsynced batches merged among themselves."""
+    return checkpointed(silver_current(unsynced_batches(spark, lake)))
 
-    Rows of a newer batch win the merge for their keys, so the rows of the
-    unsynced batches (merged among themselves) are exactly the current rows
-    that changed.  The synced batch goes to the run log *after* the upsert: a crash
-    in between re-syncs the batch (the upsert is idempotent) instead of losing it.
-    Rows that the warehouse silver can't hold go to the table ``sync_quarantine``,
-    under the newest batch of the sync.  Returns the days rewritten."""
-    fresh = unsynced_batches(spark, lake)
-    newest = fresh.agg(F.max("batch_id")).first()[0]
-    if newest is None:
+
+def sync_new_batches(spark: SparkSession, lake: Lakehouse, changed: DataFrame | None = None) -> list:
+    """M7 incrementally: sync only silver batches appended since the last sync
+    (``changed``: their rows, if the caller has them).
+
+    The synced batch goes to the run log *after* the upsert: a crash in between
+    re-syncs the batch (the upsert is idempotent) instead of losing it.  Rows that
+    the warehouse silver can't hold go to the table ``sync_quarantine``, under the
+    newest batch of the sync.  Returns the days rewritten."""
+    newest, last = next_batch(spark, lake) - 1, last_batch(spark, lake, "sync")
+    if newest < 0 or newest == last:
         return []
-    days = sync_silver(spark, silver_current(fresh), lake.path("silver_payments"),
-                       lake.path("sync_quarantine"), int(newest))
-    log_run(spark, lake, "sync", int(newest), months_since(spark, lake, "sync"), None)
+    months = months_since(spark, lake, "sync")
+    days = sync_silver(spark, changed if changed is not None else changed_rows(spark, lake), lake.path("silver_payments"),
+                       lake.path("sync_quarantine"), newest, stable=True)
+    log_run(spark, lake, "sync", newest, months, None)
     return days
 
 
@@ -265,15 +272,13 @@ def run_medallion(spark: SparkSession, lake: Lakehouse, now=None,
     appended = silver_run(spark, lake)
     # data tests: all of silver (as a full test run does), or in incremental
     # mode only the rows this run will sync
-    silver = silver_current(unsynced_batches(spark, lake)) if incremental_gold \
-        else current_silver(spark, lake)
-    Q.raise_on_failure(Q.check_not_null(silver, ["event_id", "payment_date", "amount"])
-                       .unionByName(Q.check_accepted(silver, "status", ACCEPTED_STATUSES)))
-    days = sync_new_batches(spark, lake)
+    changed = changed_rows(spark, lake)
+    silver = changed if incremental_gold else current_silver(spark, lake)
+    Q.raise_on_failure(Q.check_columns(silver, ["event_id", "payment_date", "amount"], {"status": ACCEPTED_STATUSES}))
+    days = sync_new_batches(spark, lake, changed)
     silver_b = lake.read(spark, "silver_payments")
     synced = silver_b.filter(F.col("payment_date").isin(days)) if incremental_gold else silver_b
-    Q.raise_on_failure(Q.check_not_null(synced, ["event_id", "user_id", "amount", "payment_date"])
-                       .unionByName(Q.check_accepted(synced, "status", ACCEPTED_STATUSES)))
+    Q.raise_on_failure(Q.check_columns(synced, ["event_id", "user_id", "amount", "payment_date"], {"status": ACCEPTED_STATUSES}))
     if incremental_gold:
         refresh_gold_days(spark, silver_b, lake.path("gold_revenue_daily"), days)
         gold, result = lake.read(spark, "gold_revenue_daily"), {"gold_days": days}
