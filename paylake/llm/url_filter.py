@@ -90,12 +90,15 @@ def tokens(host: F.Column, path: F.Column) -> F.Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(lower, F.lit(_TOKEN), 0)))
 
 
-def index(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def index(urls: DataFrame, rules: DataFrame, size: int = 0) -> DataFrame:
     """Rules (no, tokens, ...) with ``token``: the literal token that the fewest
-    rows of ``urls`` (tokens) hold, counted over all of them."""
+    rows of ``urls`` (tokens) hold, counted over all of them; ``size``: bytes of the
+    rules.  Tokens are counted map-side, before any shuffle."""
     wanted = rules.select("no", F.explode_outer("tokens").alias("token")).withColumn("token", F.coalesce("token", F.lit("")))
-    counts = (urls.select(F.explode("tokens").alias("token"))
-              .join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls")))
+    held = urls.select(F.explode("tokens").alias("token"))
+    if size <= INDEX_BYTES:
+        held = held.join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi")
+    counts = held.groupBy("token").agg(F.count("*").alias("urls"))
     rarest = (wanted.join(counts, "token", "left").groupBy("no")
               .agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token"))["token"].alias("token")))
     return rules.drop("tokens").join(rarest, "no")
@@ -130,7 +133,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, default: st
     urls = common.staged(urls, "urls")
     rows = spark.createDataFrame([(i, r.name, r.action, r.pattern, list(r.tokens), r.priority) for i, r in enumerate(rules)],
                                  "no long, name string, action string, pattern string, tokens array<string>, priority long")
-    found = (with_rules(urls, index(urls, rows), sum(len(r.pattern) + len(r.name or "") + 64 for r in rules))
+    size = sum(len(r.pattern) + len(r.name or "") + 64 for r in rules)
+    found = (with_rules(urls, index(urls, rows, size), size)
              .filter(F.expr("regexp_like(concat(host, path), pattern)"))
              .groupBy("page_id", "url")
              .agg(F.min(F.struct((-F.col("priority")).alias("p"), "name", "action", "pattern")).alias("hit")))
