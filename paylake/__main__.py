@@ -33,7 +33,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--root", required=True, help="lakehouse root directory")
     parser.add_argument("--now", default=None, help="reference time (default: wall clock)")
     parser.add_argument("--as-of", default=None, help="day for retention / partition window")
-    parser.add_argument("--layer", default="bronze_a", help="fold: the stream-written layer")
+    parser.add_argument("--layer", default="bronze_a", choices=["bronze_a", "bronze_b"],
+                        help="fold: the stream-written layer (ingestion logs are stream sources and stay as they are)")
     parser.add_argument("--checkpoint", default=None, help="fold: the stream's checkpoint (closed batches fold)")
     parser.add_argument("--keep", type=int, default=2, help="vacuum: pointers that readers may still follow")
     parser.add_argument("--incremental-gold", action="store_true",

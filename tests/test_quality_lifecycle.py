@@ -177,3 +177,13 @@ def test_cli_runs_chains(spark, tmp_dir):
     assert main(["merge", "--root", lake.root]) == 0
     assert main(["retention", "--root", lake.root, "--as-of", "2024-03-31"]) == 0
     assert lake.read(spark, "bronze_a").count() == 1
+
+
+def test_a_layers_checks_in_one_pass(spark):
+    df = spark.createDataFrame([("a", 1, "paid"), (None, 2, "odd"), (None, None, None)], "event_id string, user_id int, status string")
+    both = Q.check_not_null(df, ["event_id", "user_id"]).unionByName(Q.check_accepted(df, "status", ["paid"]))
+    one = Q.check_columns(df, ["event_id", "user_id"], {"status": ["paid"]})
+    assert sorted(map(tuple, one.collect())) == sorted(tuple(r[c] for c in one.columns) for r in both.collect())
+    assert {r.status for r in Q.check_columns(df.limit(0), ["event_id"]).collect()} == {"pass"}
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
