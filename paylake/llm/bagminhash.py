@@ -196,7 +196,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                      pc.if_else(pa.array(has), lists, pa.scalar(None, lists.type))],
                     names=["doc_id", "th", "set1", "set2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, set1 long, set2 long, bands array<long>")
+    return docs.mapInArrow(common.released(run), "doc_id long, th long, set1 long, set2 long, bands array<long>")
 
 
 def _texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def overlaps(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                     [batch.column("a").slice(x, n), batch.column("b").slice(x, n), pa.array(common_ / np.maximum(total, 1))],
                     names=["a", "b", "j"])
 
-    return _texts(texts, pairs).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, j double")
+    return _texts(texts, pairs).select("a", "b", "text_a", "text_b").mapInArrow(common.released(run), "a long, b long, j double")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -308,7 +308,7 @@ def elements(texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(rep[d]), pa.array(h[a:b].view(np.int64)), pa.array(w[a:b].astype(np.int64)), pa.array(n[d])],
                                                      names=["rep", "h", "w", "n"])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, h long, w long, n long")
+    return texts.select("rep", "text").mapInArrow(common.released(run), "rep long, h long, w long, n long")
 
 
 def meeting(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:

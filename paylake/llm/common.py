@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table, through Arrow: plain lists start Python
+    workers beside those of the operators on every executor."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows]) for i, n in enumerate(names)}), schema)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the cluster's shared folder."""
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
@@ -65,6 +73,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give the memory that a Python worker has freed back to the system.  Workers
+    live on from stage to stage, and allocators keep what the largest step took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)    # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow or mapInPandas, its memory given back when a task ends."""
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return task
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls count as empty texts."""
     if isinstance(texts, pa.ChunkedArray):

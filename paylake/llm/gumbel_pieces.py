@@ -51,6 +51,8 @@ OFFSET = 100
 SEED = 8
 #: Distinct words whose lattices a worker keeps; beyond it they start anew.
 WORD_MEMORY = 150_000
+#: New words whose lattices are made at once.
+NEW_WORDS = 5_000
 #: Edges from here on stand for characters outside the vocabulary.
 CHAR = 1 << 20
 #: Leading bits of hashes that a table resolves at once.
@@ -287,11 +289,11 @@ class Vocabulary:
 
     def _room(self, nodes: int, edges: int) -> None:
         while self.nodes + nodes > len(self.first):
-            self.first, self.count, self.beta, self.char, self.after = (
-                np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.beta, self.char, self.after))
+            for name in ("first", "count", "beta", "char", "after"):
+                setattr(self, name, _wider(getattr(self, name), self.nodes))
         while self.edges + edges > len(self.piece):
-            self.piece, self.to, self.upto, self.given, self.side = (
-                np.concatenate([x, np.zeros_like(x)]) for x in (self.piece, self.to, self.upto, self.given, self.side))
+            for name in ("piece", "to", "upto", "given", "side"):
+                setattr(self, name, _wider(getattr(self, name), self.edges))
 
     def begin(self) -> None:
         if len(self.number) > WORD_MEMORY:
@@ -301,12 +303,19 @@ class Vocabulary:
         """First lattice node of each word."""
         numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         new = self.number.new
-        for k in range(0, len(new), 20_000):
-            self._add(new[k:k + 20_000])
+        for k in range(0, len(new), NEW_WORDS):
+            self._add(new[k:k + NEW_WORDS])
         new.clear()
         return self.root[numbers]
 
 
+def _wider(x: np.ndarray, used: int) -> np.ndarray:
+    """The array with twice the room; what isn't used yet takes no memory."""
+    out = np.zeros(2 * len(x), x.dtype)
+    out[:used] = x[:used]
+    return out
+
+
 class _Numbers(dict):
     """Numbers of words, from 0; words get one when first asked for, and are listed in ``new``."""
 
@@ -516,12 +525,13 @@ def sample(docs: DataFrame, k: int = K, seed: int = SEED, model: str | None = No
                     [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(draw, pa.int32()), lists,
                      *(pa.array([r[c] for r in results], pa.float64()) for c in ("log_prob", "value", "inclusion")),
                      *([pa.array(texts_of(voc, lists), pa.string())] if decoded else [])], names=names)
+            common.release()
         voc._words()                                    # a worker's next task may be another one
 
     docs = docs.select(*common.text_key()).withColumn("key", F.xxhash64("doc_id", "th"))
     schema = "doc_id long, th long, draw int, ids array<int>, log_prob double, value double, inclusion double" + ", decoded string" * decoded
     names = [c.split()[0] for c in schema.split(", ")]
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.released(run), schema)
 
 
 def texts_of(voc: Vocabulary, lists: pa.ListArray) -> list[str]:

@@ -194,7 +194,7 @@ class Mix:
 
         # one shard is one task
         return (self.spark.range(0, self.shards, 1, self.shards)
-                .mapInPandas(run, "shard long, slot long, source_no long, epoch long, block long, use long"))
+                .mapInPandas(common.released(run), "shard long, slot long, source_no long, epoch long, block long, use long"))
 
     def placed(self) -> DataFrame:
         """Documents with their place in their source's stream: doc_id, th,
@@ -204,8 +204,8 @@ class Mix:
         run come from one row per run, those within a run from a window, so a
         large source spreads over tasks.
         """
-        nos = self.spark.createDataFrame([(s, k, self.runs[k]) for k, s in enumerate(self.sources)] or [(None, 0, 1)],
-                                         "name string, source_no long, runs long")
+        nos = common.small_table(self.spark, [(s, k, self.runs[k]) for k, s in enumerate(self.sources)] or [(None, 0, 1)],
+                                 "name string, source_no long, runs long")
         docs = (self.sized.join(F.broadcast(nos), F.col("source").eqNullSafe(F.col("name")))
                 .withColumn("run", F.pmod(F.xxhash64("doc_id", "th"), F.col("runs"))))
         runs = docs.groupBy("source_no", "run").agg(F.sum("size").alias("words"))
@@ -242,8 +242,8 @@ class Mix:
         # sums per document; ``at`` tells equal documents of a source apart
         sums = self.taken_pieces(placed).groupBy("source_no", "doc_id", "th", "at").agg(
             F.sum(F.col("hi") - F.col("lo")).alias("words"))
-        facts = self.spark.createDataFrame(
-            [(k, self.words[k], float(self.targets[k])) for k in range(len(self.words))] or [(0, 0, 0.0)],
+        facts = common.small_table(
+            self.spark, [(k, self.words[k], float(self.targets[k])) for k in range(len(self.words))] or [(0, 0, 0.0)],
             "source_no long, source_size long, target double")
         a, b = placed.alias("a"), sums.alias("b")
         return (a.join(b, (F.col("a.source_no") == F.col("b.source_no")) & (F.col("a.at") == F.col("b.at"))
@@ -301,7 +301,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
                                 "source": frame["source"], "n_chars": [len(t) for t in out]})
 
     return joined.select("doc_id", "text", "lang", "source", "spans").mapInPandas(
-        run, "doc_id long, text string, lang string, source string, n_chars long")
+        common.released(run), "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -595,7 +595,7 @@ def detect(docs: DataFrame, model: SemiMarkov, keep: list[str]) -> DataFrame:
                                               pa.array(clean, pa.string())], names=[*keep, "base", "spans", "redacted"])
 
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(
-        run, f"{schema}, base string, spans string, redacted string")
+        common.released(run), f"{schema}, base string, spans string, redacted string")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:

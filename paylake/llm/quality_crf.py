@@ -266,9 +266,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     fit_in = fitting([(r.k_id, r.th, r.lines * r["count"]) for r in sizes], SAMPLE_LINES)
     if not fit_in:
         return Model(np.zeros(FEATURES), np.zeros((2, 2)))
-    taken = docs.sparkSession.createDataFrame(fit_in, "t_id long, t_th long")
+    taken = common.small_table(docs.sparkSession, fit_in, "t_id long, t_th long")
     rows = (labelled.join(F.broadcast(taken), (F.col("k_id") == F.col("t_id")) & (F.col("th") == F.col("t_th")))
-            .select("k_id", "label", "text").mapInArrow(run, "k_id long, label int, lines long, own binary")
+            .select("k_id", "label", "text").mapInArrow(common.released(run), "k_id long, label int, lines long, own binary")
             .orderBy(F.xxhash64("k_id"), "k_id", "lines", "own").limit(SAMPLE_DOCS).collect())
     own, per_doc, label, total = [], [], [], 0
     for r in rows:
@@ -295,7 +295,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(a, b - a) for c in keep), pa.array(score)], names=names)
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(common.released(run), f"{schema}, score double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
