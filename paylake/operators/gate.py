@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from paylake.schemas import LONG_MAX, UINT64_MAX
+from paylake.session import computed
 
 _STRING_FIELDS = ("event_id", "status", "payment_date", "updated_at")
 _ALL_FIELDS = ("event_id", "user_id", "amount", "status", "payment_date", "updated_at")
@@ -132,16 +133,15 @@ def validate_events(df: DataFrame, value_col: str = "value") -> DataFrame:
     """V1: add ``ok`` (BOOLEAN) and ``reason`` (STRING, NULL when ok).
 
     The parsed forms are intermediate columns, dropped again at the end.
-    A filter on ``ok`` may be pushed towards the scan by Catalyst; that is
-    fine for row-local input, see :func:`paylake.session.spread` otherwise."""
+    A filter on ``ok`` reads its value, see :func:`paylake.session.computed`."""
     value = F.col(value_col).cast("string")
     parsed = _parsed(value)
     staged = (df.withColumn("_one", parsed["one"]).withColumn("_pair", parsed["pair"])
                 .withColumn("_body", F.col("_pair")["a"])
                 .withColumn("_fields", F.col("_body").try_cast("map<string,variant>")))
     reason = _reason(value, F.col("_one"), F.col("_pair"), F.col("_body"), F.col("_fields"))
-    return (staged.withColumn("reason", reason).drop("_one", "_pair", "_body", "_fields")
-                  .withColumn("ok", F.col("reason").isNull()))
+    return computed(staged.withColumn("reason", reason).drop("_one", "_pair", "_body", "_fields")
+                          .withColumn("ok", F.col("reason").isNull()))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -26,6 +26,7 @@ from paylake.functions import (
     to_amount_decimal,
 )
 from paylake.schemas import LONG_MAX, MAX_BROKEN_MESSAGES, RAW_PAYMENT_SCHEMA
+from paylake.session import computed
 
 _CORRUPT = "_corrupt"
 _STRICT_SCHEMA = T.StructType(RAW_PAYMENT_SCHEMA.fields + [T.StructField(_CORRUPT, T.StringType())])
@@ -44,7 +45,7 @@ def parse_strict(df: DataFrame, value_col: str = "value") -> DataFrame:
     """
     parsed = F.from_json(F.col(value_col), _STRICT_SCHEMA,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    out = df.withColumn("_p", parsed)
+    out = computed(df.withColumn("_p", parsed))
     error = (F.when(F.col("_p").isNull() | F.col(f"_p.{_CORRUPT}").isNotNull(),
                     F.lit("undecodable"))
              .otherwise(F.lit("")))
@@ -90,13 +91,13 @@ def stage_lane_a(messages: DataFrame, value_col: str = "value",
     reason = (F.when(F.col("_error") != "", F.col("_error"))
               .otherwise(conversion_reason(F.col("user_id"), F.col("payment_date"),
                                            F.col("updated_at"), date_value, ts_value)))
-    return parsed.select(
+    return computed(parsed.select(
         F.col(value_col).alias("_value"), reason.alias("_reason"),
         F.col("event_id"), F.col("user_id").try_cast("bigint").alias("user_id"),
         F.col("amount"), F.col("status"),
         date_value.alias("payment_date"), ts_value.alias("updated_at"),
         (ingested_at if ingested_at is not None else ingest_time()).alias("ingested_at"),
-    ).withColumn("payment_month", payment_month("payment_date"))
+    )).withColumn("payment_month", payment_month("payment_date"))
 
 
 def split_staged(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +123,7 @@ def parse_lenient(df: DataFrame, value_col: str = "value") -> DataFrame:
     """V8: decode with bad fields as NULL; a message that is not a JSON object
     at all (no struct) is skipped."""
     parsed = F.from_json(F.col(value_col), RAW_PAYMENT_SCHEMA, {"mode": "PERMISSIVE"})
-    return (df.withColumn("_p", parsed).filter(F.col("_p").isNotNull())
+    return (computed(df.withColumn("_p", parsed)).filter(F.col("_p").isNotNull())
               .select("*", *[F.col(f"_p.{f}").alias(f) for f in RAW_PAYMENT_SCHEMA.fieldNames()])
               .drop("_p"))
 
@@ -142,12 +143,12 @@ def stage_lane_b(messages: DataFrame, value_col: str = "value",
     amount = to_amount_decimal(F.col("amount"))
     reason = (conversion_reason(F.col("user_id"), F.col("payment_date"), None, date_value, None)
               .when(F.col("amount").isNotNull() & amount.isNull(), F.lit("amount_out_of_range")))
-    return parsed.select(
+    return computed(parsed.select(
         F.col(value_col).alias("_value"), reason.alias("_reason"),
         "event_id", F.col("user_id").try_cast("bigint").alias("user_id"),
         amount.alias("amount"), "status", date_value.alias("payment_date"),
         parse_timestamp_ms(F.col("updated_at")).alias("updated_at"),
-        (ingested_at if ingested_at is not None else ingest_time()).alias("ingested_at"))
+        (ingested_at if ingested_at is not None else ingest_time()).alias("ingested_at")))
 
 
 def bronze_lane_b(messages: DataFrame, value_col: str = "value",

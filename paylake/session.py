@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.errors import PySparkAttributeError, PySparkNotImplementedError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that can be changed on a live session (SQL confs).
 RUNTIME_CONF = {
@@ -71,6 +72,16 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def computed(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` with every column computed once, as the rows of a generator.
+
+    Catalyst pushes a filter through projections and puts a column's expression in
+    place of each mention of it; a filter shares nothing between the mentions, so one
+    on a parsed message parses it again for each.  No filter passes a generator:
+    what stands above reads values.  Row-local, also in streams."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a *batch* input over the cluster when its source yields
     fewer partitions than ``min_partitions`` (default: the cluster's default

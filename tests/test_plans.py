@@ -1,7 +1,9 @@
 """Physical-plan shape: pushdown, pruning, map-side reduction, no joins."""
 from paylake.operators import quality as Q
+from paylake.operators.gate import split_valid, validate_events
 from paylake.operators.gold import gold_revenue
 from paylake.operators.merge import latest_by_key
+from paylake.operators.parse import bronze_lane_a, bronze_lane_b
 from paylake.operators.reports import top_users
 from paylake.operators.silver import silver_rows
 from paylake.plans import inputs as I
@@ -83,3 +85,16 @@ def test_spread_only_for_under_partitioned_inputs(spark, tmp_dir):
     one = spark.read.parquet(f"{SF}/events.parquet")
     assert one.rdd.getNumPartitions() == 1
     assert "RoundRobinPartitioning(4)" in _plan(spread(one, 4))
+
+
+def test_filters_read_values_of_parsed_messages(spark):
+    """No filter parses a message again: the gate's and both lanes' filters stand above the computed columns."""
+    messages = spark.createDataFrame([(0, '{"event_id":"a","user_id":1,"payment_date":"2024-01-02","updated_at":"2024-01-02T10:00:00Z"}')], "offset long, value string")
+    good, _ = split_valid(validate_events(messages))
+    for lane in (bronze_lane_a, bronze_lane_b):
+        rows, _ = lane(good)
+        late = rows.filter("updated_at > TIMESTAMP_NTZ '2024-01-01 00:00:00' or event_id = 'a'")
+        plan = late._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if "Filter" in line]
+        assert filters and not any(word in line for line in filters for word in ("from_json", "jsontostructs", "parse_json", "parseJson", "json_array_length", "variant"))
+        assert [r.event_id for r in late.collect()] == ["a"]
