@@ -59,16 +59,16 @@ def _finite(kind: Column, value: Column) -> Column:
                & (F.abs(as_double) < F.lit(float("inf")))))
 
 
-def _kind_ok(field: str, value: Column) -> Column:
-    """Kind rule for the value of one known field (absent or JSON null passes)."""
-    kind = F.schema_of_variant(value)
+def _kind_ok(field: str, kind: Column, value: Column) -> Column:
+    """Kind rule for the value of one known field (absent or JSON null passes);
+    ``kind`` is the value's ``schema_of_variant``, null for an absent one."""
     if field in _STRING_FIELDS:
         ok = kind == "STRING"
     elif field == "user_id":
         ok = _unsigned(kind, value)
     else:
         ok = _finite(kind, value)
-    return F.when(value.isNull() | (kind == "VOID"), F.lit(True)).otherwise(F.coalesce(ok, F.lit(False)))
+    return F.when(kind.isNull() | (kind == "VOID"), F.lit(True)).otherwise(F.coalesce(ok, F.lit(False)))
 
 
 def _field_ok(entry: Column) -> Column:
@@ -77,7 +77,7 @@ def _field_ok(entry: Column) -> Column:
     value = entry["value"]
     rule = F.lit(True)
     for field in reversed(_ALL_FIELDS):
-        rule = F.when(key == field, _kind_ok(field, value)).otherwise(rule)
+        rule = F.when(key == field, _kind_ok(field, F.schema_of_variant(value), value)).otherwise(rule)
     return rule
 
 
@@ -86,24 +86,33 @@ def _entries(value: Column) -> Column:
     return F.map_entries(F.from_json(value, "map<string,variant>"))
 
 
-def _has_duplicates(value: Column, fields: Column) -> Column:
-    return F.size(F.json_object_keys(value)) > F.size(fields)
+def _field(body: Column, field: str) -> Column:
+    return F.try_variant_get(body, f"$.{field}", "variant")
 
 
-def _fields_ok(value: Column, body: Column, fields: Column) -> Column:
+def _kinds(body: Column) -> dict[str, Column]:
+    """The kind of each known field, looked up by its exact name."""
+    return {f: F.schema_of_variant(_field(body, f)) for f in _ALL_FIELDS}
+
+
+def _exact_ok(body: Column, kinds: dict[str, Column]) -> Column:
+    """All known fields well typed, looked up by their exact names."""
+    ok = F.lit(True)
+    for field in _ALL_FIELDS:
+        ok = ok & _kind_ok(field, kinds[field], _field(body, field))
+    return ok
+
+
+def _fields_ok(value: Column, size: Column, names: Column, exact: Column) -> Column:
     """All known fields well typed, every value of duplicate keys included.
 
     Fast path (no upper-case letter in any key and no key twice, the normal
-    case): look the six fields up by exact name -- plain code-generated
+    case): the six fields looked up by exact name -- plain code-generated
     expressions.  Otherwise walk every entry with a lambda so that keys match
     case-insensitively."""
-    names = F.array_join(F.map_keys(fields), "\u0001")
-    exact = F.lit(True)
-    for field in _ALL_FIELDS:
-        exact = exact & _kind_ok(field, F.try_variant_get(body, f"$.{field}", "variant"))
-    plain = (names == F.lower(names)) & ~_has_duplicates(value, fields)
+    plain = (names == F.lower(names)) & ~(F.size(F.json_object_keys(value)) > size)
     by_entry = F.coalesce(F.forall(_entries(value), _field_ok), F.lit(True))
-    return F.when(fields.isNull(), F.lit(True)).when(plain, exact).otherwise(by_entry)
+    return F.when(names.isNull(), F.lit(True)).when(plain, exact).otherwise(by_entry)
 
 
 def _parsed(value: Column) -> dict[str, Column]:
@@ -113,35 +122,52 @@ def _parsed(value: Column) -> dict[str, Column]:
             "pair": wrapped.try_cast("map<string,variant>")}
 
 
-def _reason(value: Column, one: Column, pair: Column, body: Column, fields: Column) -> Column:
-    single = F.coalesce(one == 1, F.lit(False)) & F.coalesce(F.size(pair) == 2, F.lit(False))
+def _facts(one: Column, pair: Column, body: Column, fields: Column, kinds: dict[str, Column]) -> dict[str, Column]:
+    """What the rule needs of the parsed forms, in plain values: whether the text is
+    one value and that JSON null, an object's number of keys, the keys (null for
+    anything else) and whether the fields of these exact names are well typed."""
+    return {"single": F.coalesce(one == 1, F.lit(False)) & F.coalesce(F.size(pair) == 2, F.lit(False)),
+            "void": F.coalesce(F.is_variant_null(body), F.lit(False)),
+            "size": F.size(fields),
+            "names": F.array_join(F.map_keys(fields), "\u0001"),
+            "exact": _exact_ok(body, kinds)}
+
+
+def _reason(value: Column, single: Column, void: Column, size: Column, names: Column, exact: Column) -> Column:
     # An object is exactly what casts to a map; JSON null is also accepted.
-    is_object = fields.isNotNull() | F.coalesce(F.is_variant_null(body), F.lit(False))
     return (F.when(value.isNull() | ~single, F.lit("malformed_json"))
-            .when(~is_object, F.lit("not_an_object"))
-            .when(~_fields_ok(value, body, fields), F.lit("bad_field_type")))
+            .when(names.isNull() & ~void, F.lit("not_an_object"))
+            .when(~_fields_ok(value, size, names, exact), F.lit("bad_field_type")))
 
 
 def gate_reason(value: Column) -> Column:
     """NULL if the message passes the gate, else the reason it is dropped."""
     parsed = _parsed(value)
     body = parsed["pair"]["a"]
-    return _reason(value, parsed["one"], parsed["pair"], body, body.try_cast("map<string,variant>"))
+    return _reason(value, **_facts(parsed["one"], parsed["pair"], body, body.try_cast("map<string,variant>"), _kinds(body)))
 
 
 def validate_events(df: DataFrame, value_col: str = "value") -> DataFrame:
     """V1: add ``ok`` (BOOLEAN) and ``reason`` (STRING, NULL when ok).
 
-    The parsed forms are intermediate columns, dropped again at the end.
+    The parsed forms, the fields' kinds and what the rule needs of them are
+    intermediate columns, dropped again at the end: the rule mentions each several
+    times within conditions, where nothing is shared between the mentions, and the
+    step that may walk entries gets plain values in place of parsed objects.
     A filter on ``ok`` reads its value, see :func:`paylake.session.computed`."""
     value = F.col(value_col).cast("string")
     parsed = _parsed(value)
     staged = (df.withColumn("_one", parsed["one"]).withColumn("_pair", parsed["pair"])
                 .withColumn("_body", F.col("_pair")["a"])
-                .withColumn("_fields", F.col("_body").try_cast("map<string,variant>")))
-    reason = _reason(value, F.col("_one"), F.col("_pair"), F.col("_body"), F.col("_fields"))
-    return computed(staged.withColumn("reason", reason).drop("_one", "_pair", "_body", "_fields")
-                          .withColumn("ok", F.col("reason").isNull()))
+                .withColumn("_fields", F.col("_body").try_cast("map<string,variant>"))
+                .withColumns({f"_kind_{f}": kind for f, kind in _kinds(F.col("_body")).items()}))
+    kinds = {f: F.col(f"_kind_{f}") for f in _ALL_FIELDS}
+    facts = _facts(F.col("_one"), F.col("_pair"), F.col("_body"), F.col("_fields"), kinds)
+    staged = (staged.withColumns({f"_{k}": c for k, c in facts.items()})
+                    .drop("_one", "_pair", "_body", "_fields", *[f"_kind_{f}" for f in kinds])
+                    .withColumn("reason", _reason(value, **{k: F.col(f"_{k}") for k in facts}))
+                    .drop(*[f"_{k}" for k in facts]))
+    return computed(staged.withColumn("ok", F.col("reason").isNull()))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -34,7 +34,7 @@ def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str],
     out = df.hint("rebalance", *partition_cols)
     if sort_cols:
         out = out.sortWithinPartitions(*partition_cols, *sort_cols)
-    writer = out.write.mode("append").partitionBy(*partition_cols)
+    writer = out.write.mode("append").option("parquet.block.size", generations.ROW_GROUP).partitionBy(*partition_cols)
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.parquet(path)

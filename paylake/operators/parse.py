@@ -85,9 +85,9 @@ def stage_lane_a(messages: DataFrame, value_col: str = "value",
 
     Split with :func:`split_staged`; persist the staged frame first when both
     sides are written, so each message is parsed once."""
-    parsed = fill_lane_a_defaults(parse_strict(messages, value_col))
-    date_value = parse_date_strict(F.col("payment_date"))
-    ts_value = parse_timestamp_ms(F.col("updated_at"))
+    parsed = fill_lane_a_defaults(parse_strict(messages, value_col)).withColumns(
+        {"_date": parse_date_strict(F.col("payment_date")), "_ts": parse_timestamp_ms(F.col("updated_at"))})
+    date_value, ts_value = F.col("_date"), F.col("_ts")
     reason = (F.when(F.col("_error") != "", F.col("_error"))
               .otherwise(conversion_reason(F.col("user_id"), F.col("payment_date"),
                                            F.col("updated_at"), date_value, ts_value)))

@@ -32,12 +32,14 @@ def fragments(silver: DataFrame, chunk_minutes: int = 5, ts: str = "updated_at",
     last time, rows, paid rows, and their amounts in two sums."""
     chunk_us = int(chunk_minutes) * 60 * 1_000_000
     paid = F.col("status") == "paid"
+    exact = F.col("_exact")                                # one cast a row for both sums
     return (silver.withColumn("chunk", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / chunk_us))
+                  .withColumn("_exact", F.when(paid, F.col("amount").try_cast(_EXACT)))
                   .groupBy("user_id", "chunk", *extra)
                   .agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"),
                        F.count(F.lit(1)).alias("events"), F.count_if(paid).alias("paid_events"),
-                       F.sum(F.when(paid, F.col("amount").try_cast(_EXACT))).alias("exact_amount"),
-                       F.sum(F.when(paid & F.col("amount").try_cast(_EXACT).isNull(), F.col("amount"))).alias("rest_amount")))
+                       F.sum(exact).alias("exact_amount"),
+                       F.sum(F.when(paid & exact.isNull(), F.col("amount"))).alias("rest_amount")))
 
 
 def stitched(parts: DataFrame, gap_minutes: int = 30) -> DataFrame:

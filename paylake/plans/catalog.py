@@ -763,7 +763,9 @@ def q_stream_dedup(spark, sf_dir):
 def _land_bronze(spark, sf_dir, lake):
     """Batch landing of lane-A bronze from the gated messages (what the bronze
     stream does per micro-batch): parse once, write rows and quarantine."""
-    staged = stage_lane_a(I.gated(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    staged = stage_lane_a(I.gated(spark, sf_dir))
+    staged = staged.withColumn("_value", F.when(F.col("_reason").isNotNull(), F.col("_value")))     # only the quarantine keeps texts
+    staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         bronze_a, quarantine = split_staged(staged)
         write_partitioned(bronze_a, lake.path("bronze_a"), ["payment_month"],

@@ -27,6 +27,9 @@ from pyspark.sql import types as T
 
 _POINTER = "_pointer"
 _GEN = "gen"
+#: Bytes of a row group.  A scan gives a row group to one task: a file of the
+#: advisory size that is one group would be read by one task, however many are free.
+ROW_GROUP = 8 * 2**20
 #: Fixed value: the directory name of a null partition value.
 NULL_NAME = "__HIVE_DEFAULT_PARTITION__"
 
@@ -181,7 +184,7 @@ def replace(spark: SparkSession, path: str, rows: DataFrame | None, by: Sequence
         out = rows.hint("rebalance", *by)
         if sort_cols:
             out = out.sortWithinPartitions(*by, *sort_cols)
-        writer = out.write.partitionBy(*by)
+        writer = out.write.option("parquet.block.size", ROW_GROUP).partitionBy(*by)
         if max_records_per_file:
             writer = writer.option("maxRecordsPerFile", max_records_per_file)
         writer.parquet(f"{path}/{_GEN}={gen}")

@@ -72,3 +72,12 @@ def test_every_duplicate_is_checked_and_the_last_id_stands(spark):
     assert {r.offset: r.reason for r in out.collect()} == {i: r for i, (_, r, _) in enumerate(DUPLICATES)}
     keys = dict(to_keyed(split_valid(out)[0]).select("offset", "key").collect())
     assert keys == {i: k for i, (_, r, k) in enumerate(DUPLICATES) if r is None}
+
+
+def test_the_gate_looks_each_field_up_once(spark):
+    """The rule's conditions mention a field's kind several times; the kind is found
+    once a message, and no parsed object reaches the step that may walk entries."""
+    plan = validate_events(_corpus(spark).repartition(2))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schemaOfVariant(try_variant_get(") == 6
+    rule = next(line for line in plan.splitlines() if "malformed_json" in line)
+    assert "try_variant_get(_body" not in rule and "map_keys" not in rule

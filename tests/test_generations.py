@@ -3,10 +3,11 @@ import datetime as dt
 import glob
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from paylake.operators.lifecycle import apply_retention, compact, fold_batches, last_committed
+from paylake.operators.lifecycle import apply_retention, compact, fold_batches, last_committed, write_partitioned
 from paylake.operators.merge import merge_partitions, touched_leaves, upsert
 from paylake.sources import generations
 
@@ -146,3 +147,15 @@ def test_merge_retention_and_compaction_in_one_table(spark, tmp_dir):
     compact(spark, path, "payment_month", [202401])
     left = generations.read(spark, path)
     assert left.count() == 18 and left.agg(F.min("payment_date")).first()[0] == dt.date(2024, 1, 12)
+
+
+def test_a_file_has_row_groups_for_several_tasks(spark, tmp_dir, monkeypatch):
+    """One file of one large row group is read by one task, however many are free."""
+    monkeypatch.setattr(generations, "ROW_GROUP", 64 * 1024)
+    rows = spark.range(50_000).select(F.md5(F.col("id").cast("string")).alias("k"), F.lit(1).alias("p"))
+    write_partitioned(rows, f"{tmp_dir}/plain", ["p"])
+    generations.replace(spark, f"{tmp_dir}/gen", rows, ["p"])
+    for name in ("plain", "gen"):
+        groups = [pq.ParquetFile(f).num_row_groups for f in glob.glob(f"{tmp_dir}/{name}/**/*.parquet", recursive=True)]
+        assert len(groups) == 1 and groups[0] > 4, (name, groups)
+        assert generations.read(spark, f"{tmp_dir}/{name}").distinct().count() == 50_000
