@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, word_passages
+from .rolling import BASE, Hashes, signed
 
 #: Fixed value of the task: bytes of a repeated string.
 LENGTH = 400
@@ -45,39 +46,12 @@ MODULUS = 64
 BAND = 64
 CORE = LENGTH - BAND + 1
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_BYTES = np.random.default_rng(400).integers(0, 2**63, (2, 256), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_power = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _power, _inverse
-    if len(_power) < n:
-        m = max(n, 1 << 20)
-        _power = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(m - 1, _BASE, np.uint64))])
-        _inverse = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(m - 1, _INVERSE, np.uint64))])
-    return _power, _inverse
-
-
-class Hashes:
-    """Hashes of substrings of ``data``: of 64 bits each, from two byte tables."""
-
-    def __init__(self, data: np.ndarray, tables: int = 2):
-        power, self.inverse = _powers(len(data) + 1)
-        self.sums = [np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[k][data] * power[:len(data)])]) for k in range(tables)]
-
-    def of(self, lo: np.ndarray, hi: np.ndarray, table: int) -> np.ndarray:
-        s = self.sums[table]
-        return common.mix64((s[hi] - s[lo]) * self.inverse[lo])
-
 
 def parse(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """Rows of step 1 for texts given as bytes and offsets: doc (index), lo, hi
     (first and last start position, in the text), core, span, n (occurrences in
     these texts: more than 1 where they hold a string several times)."""
-    h = Hashes(data)
+    h = Hashes.of_bytes(data)
     size = len(data)
     first, end = off[:-1], off[1:]
     long_ = np.flatnonzero(end - first >= LENGTH)
@@ -104,7 +78,7 @@ def parse(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         span = h.of(a, b + LENGTH, 1)
         shape = ((t - a) * 512 + (t - b)).astype(np.uint64)
         out["core"].append(common.mix64(core + np.uint64(c)))
-        out["span"].append(common.mix64(span ^ (shape * np.uint64(_BASE))))
+        out["span"].append(common.mix64(span ^ (shape * np.uint64(BASE))))
         for k, v in (("doc", doc[i]), ("lo", a), ("hi", b), ("n", np.ones(len(i), np.int64))):
             out[k].append(v)
     # starts without a trigger in their string: before the band of an anchor, after the last anchor
@@ -167,10 +141,6 @@ def _merged(rows: dict[str, np.ndarray], h: Hashes) -> dict[str, np.ndarray]:
     return {k: np.concatenate([v, ranges[k].astype(v.dtype)]) for k, v in rows.items()}
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
-
-
 def anchors(docs: DataFrame) -> DataFrame:
     """Step 1 rows of (doc_id, th, text): core, span, n, doc_id, th, lo, hi."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +153,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                     continue
                 doc = pa.array(r["doc"] + a)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(r["core"]), _signed(r["span"]), pa.array(r["n"].astype(np.int64)), ids.take(doc), th.take(doc),
+                    [signed(r["core"]), signed(r["span"]), pa.array(r["n"].astype(np.int64)), ids.take(doc), th.take(doc),
                      pa.array(r["lo"].astype(np.int32)), pa.array(r["hi"].astype(np.int32))],
                     names=["core", "span", "n", "doc_id", "th", "lo", "hi"])
 
@@ -199,7 +169,7 @@ def _resolved(parts: DataFrame) -> DataFrame:
             ids, th = batch.column("doc_id"), batch.column("th")
             bands = batch.column("bands").to_pylist()
             for a, b in common.slices(np.diff(off)):
-                h = Hashes(data[off[a]:off[b]])
+                h = Hashes.of_bytes(data[off[a]:off[b]])
                 doc, at = [], []
                 for k in range(a, b):
                     got = np.unique(np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in bands[k]]))
@@ -211,7 +181,7 @@ def _resolved(parts: DataFrame) -> DataFrame:
                     lo = i + off[d] - off[a]
                     d = pa.array(d)
                     yield pa.RecordBatch.from_arrays(
-                        [_signed(h.of(lo, lo + LENGTH, 0)), _signed(h.of(lo, lo + LENGTH, 1)), ids.take(d), th.take(d),
+                        [signed(h.of(lo, lo + LENGTH, 0)), signed(h.of(lo, lo + LENGTH, 1)), ids.take(d), th.take(d),
                          pa.array(i.astype(np.int32))], names=["h1", "h2", "doc_id", "th", "lo"])
 
     return parts.mapInArrow(run, "h1 long, h2 long, doc_id long, th long, lo int")
@@ -244,7 +214,8 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_bytes,
-    n_removed, n_spans, kept (binary).
+    n_removed, n_spans, kept (binary), n_passage_words (words within passages of over
+    50 words that another row has too, whatever their bytes; they are told, not removed).
 
     Null texts are empty; texts of any length are handled whole, in slices of whole
     texts (a longer text is one slice); further columns are not read.  Repeated rows count as further occurrences, so rows
@@ -253,11 +224,13 @@ def removed(docs: DataFrame) -> DataFrame:
     """
     common.prepare(docs.sparkSession)
     docs = docs.select(*common.text_key())
-    ranges = (repeated_starts(docs.filter(F.octet_length("text") >= LENGTH)).groupBy("doc_id", "th")
-              .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))      # bounded by the text's length
+    starts = repeated_starts(docs.filter(F.octet_length("text") >= LENGTH)).select("doc_id", "th", F.struct("lo", "hi").alias("range"))
+    words = word_passages.passage_words(docs)
+    ranges = (starts.unionByName(words, allowMissingColumns=True).groupBy("doc_id", "th")
+              .agg(F.collect_list("range").alias("ranges"), F.max("n_words").alias("n_words")))      # bounded by the text's length
     d, r = docs.alias("d"), ranges.alias("r")
     joined = d.join(r, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.th") == F.col("r.th")), "left") \
-        .select("d.doc_id", "d.text", "r.ranges")
+        .select("d.doc_id", "d.text", "r.ranges", F.coalesce("r.n_words", F.lit(0)).alias("n_words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,18 +255,21 @@ def removed(docs: DataFrame) -> DataFrame:
                 out.append((len(text), int(gone.sum()), runs, text[~gone].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3)),
-                 pa.array([o[3] for o in out], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                 pa.array([o[3] for o in out], pa.binary()), batch.column("n_words")],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without bytes of repeated 400-byte strings:
-    doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining text (bytes
-    that no longer make a character become the replacement character)."""
+    doc_id, n_bytes, n_removed, n_spans, kept_sha256, the remaining text (bytes that
+    no longer make a character become the replacement character), and n_passage_words:
+    the document's words within passages of over 50 words that another document has
+    too.  Such passages may have fewer than 400 bytes, and then they stay in the text."""
     out = removed(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
-                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"), "n_passage_words")
 
 
 def brute_force(texts: list[bytes]) -> list[tuple[int, int, int, str]]:
