@@ -21,6 +21,8 @@ from paylake.session import shared_dir
 BATCH_ROWS = 1000
 #: Bytes of text that one vectorised step handles (a longer text is one step).
 SLICE_BYTES = 2_000_000
+#: Spark's setting that removes an execution's shuffle files at its end.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: set[str] = set()
 
@@ -64,12 +66,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, so a
-    lost executor costs a re-read and not a recomputation."""
+    lost executor costs a re-read and not a recomputation.  ``drop_shuffles``: the
+    write's shuffle files go when it ends, not when the driver next collects garbage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    if drop_shuffles:
+        spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -193,12 +193,12 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     rows = anchors(docs)
     cores = (rows.groupBy("core").agg(F.sum("n").alias("total"), F.min("span").alias("s0"), F.max("span").alias("s1"))
              .filter("total > 1").select("core", (F.col("s0") == F.col("s1")).alias("alike")))
-    hits = common.staged(rows.join(cores, "core"), "suffix-hits")
+    hits = common.staged(rows.join(cores, "core"), "suffix-hits", True)
     whole = hits.filter("alike").select("doc_id", "th", "lo", "hi")
     mixed = hits.filter("not alike")
     spans = common.staged(
         mixed.groupBy("core", "span").agg(F.sum("n").alias("total"),
-                                          F.min(F.struct("doc_id", "th", "lo", "hi")).alias("one")), "suffix-spans")
+                                          F.min(F.struct("doc_id", "th", "lo", "hi")).alias("one")), "suffix-spans", True)
     again = (mixed.join(spans.filter("total > 1").select("core", "span"), ["core", "span"])
              .select("doc_id", "th", "lo", "hi"))
     bands = (spans.select("one.*").distinct().groupBy("doc_id", "th")
@@ -206,7 +206,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     d, b = docs.alias("d"), bands.alias("b")
     places = _resolved(d.join(b, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.th") == F.col("b.th")))
                        .select("d.doc_id", "d.th", "d.text", "b.bands"))
-    places = common.staged(places.dropDuplicates(["doc_id", "th", "lo"]), "suffix-places")
+    places = common.staged(places.dropDuplicates(["doc_id", "th", "lo"]), "suffix-places", True)
     twice = places.groupBy("h1", "h2").agg(F.count("*").alias("total")).filter("total > 1").select("h1", "h2")
     single = places.join(twice, ["h1", "h2"]).select("doc_id", "th", "lo", F.col("lo").alias("hi"))
     return whole.unionByName(again).unionByName(single)

@@ -134,12 +134,12 @@ def shared_windows(docs: DataFrame) -> DataFrame:
     rows = runs(docs)
     cores = (rows.groupBy("core").agg(F.sum("new_core").alias("docs"), F.min("span").alias("s0"), F.max("span").alias("s1"))
              .filter("docs > 1").select("core", (F.col("s0") == F.col("s1")).alias("alike")))
-    hits = common.staged(rows.join(cores, "core").drop("new_core"), "passage-hits")
+    hits = common.staged(rows.join(cores, "core").drop("new_core"), "passage-hits", True)
     whole = hits.filter("alike").select("doc_id", "th", "lo", "hi")
     mixed = hits.filter("not alike")
     spans = common.staged(
         mixed.groupBy("core", "span").agg((F.sum("new_span") > 1).alias("several"),
-                                          F.min(F.struct("doc_id", "th", "lo", "hi")).alias("one")), "passage-spans")
+                                          F.min(F.struct("doc_id", "th", "lo", "hi")).alias("one")), "passage-spans", True)
     told = mixed.join(spans.select("core", "span", "several"), ["core", "span"]).select("doc_id", "th", "lo", "hi", "several")
     again = told.filter("several").drop("several")
     parts = (told.filter("not several").unionByName(spans.filter("several").select("one.*", "several")).groupBy("doc_id", "th")
@@ -147,7 +147,7 @@ def shared_windows(docs: DataFrame) -> DataFrame:
     d, p = docs.alias("d"), parts.alias("p")
     places = common.staged(
         _resolved(d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.th") == F.col("p.th")))
-                  .select("d.doc_id", "d.th", "d.text", "p.runs")), "passage-places")
+                  .select("d.doc_id", "d.th", "d.text", "p.runs")), "passage-places", True)
     # a text that stands in two rows has spans of several documents, so different texts tell the others apart
     shared = (places.groupBy("h1", "h2").agg(F.max("several").alias("several"), F.min("th").alias("t0"), F.max("th").alias("t1"))
               .filter("several or t0 != t1").select("h1", "h2"))
@@ -163,7 +163,7 @@ def passage_words(docs: DataFrame) -> DataFrame:
     before = Window.partitionBy("doc_id", "th").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     new = F.col("hi") + WORDS - F.greatest(F.col("lo"), F.max(F.col("hi") + WORDS).over(before))       # beyond the ranges before
     return common.staged(ranges.withColumn("n", F.greatest(new, F.lit(0))).groupBy("doc_id", "th")
-                         .agg(F.sum("n").alias("n_words")), "passage-words")
+                         .agg(F.sum("n").alias("n_words")), "passage-words", True)
 
 
 def brute_force(texts: list[bytes]) -> list[int]:

@@ -1,7 +1,12 @@
 """Passages of over 50 words that other documents have too, against listing every window of 51 words."""
+import glob
+import os
+import time
+
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
+from paylake.llm import common
 from paylake.llm import suffix_dedup as S
 from paylake.llm import word_passages as W
 
@@ -78,3 +83,17 @@ def test_every_window_has_one_row(parts, seed):
         for i, c in got:
             cores.setdefault(tuple(t[i:i + W.WORDS]), set()).add(c)
     assert all(len(c) == 1 for c in cores.values())
+
+
+def test_staged_writes_leave_no_shuffle_files(spark):
+    """Shuffle files of a written step waited for the driver's garbage collection before."""
+    top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in top for f in glob.glob(os.path.join(d.getPath(), "*", "shuffle_*"))}
+    before, kept = files(), spark.conf.get(common.DROP_SHUFFLES)
+    out = common.staged(spark.range(10000).selectExpr("id % 7 k").groupBy("k").count(), "test", True)
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(common.DROP_SHUFFLES) == kept
+    assert out.count() == 7
