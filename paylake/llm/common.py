@@ -72,15 +72,25 @@ def staged(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     write's shuffle files go when it ends, not when the driver next collects garbage."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _write(df, path, drop_shuffles, "errorifexists")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Add ``df``'s rows to a folder from ``new_path``; the write's shuffle files go when it ends."""
+    _write(df, path, True, "append")
+
+
+def _write(df: DataFrame, path: str, drop_shuffles: bool, mode: str) -> None:
+    spark = df.sparkSession
     before = spark.conf.get(DROP_SHUFFLES, "false")
     if drop_shuffles:
         spark.conf.set(DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.mode(mode).parquet(path)
     finally:
         if drop_shuffles:
             spark.conf.set(DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
